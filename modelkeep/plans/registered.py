@@ -322,3 +322,209 @@ FROM e""", "v_dirty"))
 def q_p14(spark, d):
     raw = _dirty(spark, d)
     return P.profile_totals(_enriched(spark, d), len(raw.columns))
+
+
+# -------------------------------------------------------------------- drift
+from modelkeep.operators import drift as D  # noqa: E402
+from modelkeep.plans.oracle import drift_sql  # noqa: E402
+
+_LARGE = dict(numeric=["l_quantity", "l_extendedprice", "l_discount", "l_tax"], text=["l_linestatus"],
+              order=["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus"])
+_PARTY = dict(numeric=["nationkey", "acctbal", "positive"], text=["region", "nation"],
+              order=["nationkey", "acctbal", "region", "nation", "positive"])
+
+
+def _drift_with(ref, cur, spec, views, body):
+    return with_views("WITH " + drift_sql(ref, cur, spec["numeric"], spec["text"],
+                                          spec["order"]).strip() + "\n" + body, *views)
+
+
+_LARGE_VIEWS = ("v_drift_ref", "v_drift_cur")
+_PARTY_VIEWS = ("v_party_ref", "v_party_cur")
+_FEATS_SQL = """SELECT feature, position, feature_type, test_name, score_kind, n_ref, n_cur, n_values,
+       round(statistic, 6) AS statistic, round(p_value, 6) AS p_value,
+       round(drift_score, 6) AS drift_score, drift_detected FROM feats"""
+
+
+def _round_feats(df):
+    return df.select("feature", "position", "feature_type", "test_name", "score_kind", "n_ref",
+                     "n_cur", "n_values", r6("statistic").alias("statistic"),
+                     r6("p_value").alias("p_value"), r6("drift_score").alias("drift_score"),
+                     "drift_detected")
+
+
+@register("D1_align_features", """
+SELECT column_name AS feature,
+       CAST(row_number() OVER (ORDER BY ordinal_position) - 1 AS INTEGER) AS position
+FROM information_schema.columns
+WHERE table_name = 'lineitem' AND column_name <> 'l_returnflag'
+  AND column_name IN ('k', 'l_quantity', 'l_discount', 'l_tax', 'l_returnflag', 'l_extendedprice')""")
+def q_d1(spark, d):
+    feats = D.align_features(table(spark, d, "lineitem"), V.v_reg(spark, d), "l_returnflag")
+    return spark.createDataFrame(list(zip(feats, range(len(feats)))), "feature string, position int")
+
+
+_NULL_COLS = ["l_quantity", "l_tax", "l_returnflag"]
+
+
+def _null_pair(spark, d):
+    return V.v_nulls(spark, d).select(*_NULL_COLS), V.v_reg(spark, d).select(*_NULL_COLS)
+
+
+@register("D2_harmonise_types", with_views("""
+SELECT 'l_returnflag' AS feature, 'categorical' AS feature_type,
+       CAST((SELECT count(*) FROM v_nulls WHERE COALESCE(l_returnflag, 'nan') = 'nan') AS BIGINT) AS ref_nan,
+       CAST((SELECT count(*) FROM v_reg WHERE COALESCE(l_returnflag, 'nan') = 'nan') AS BIGINT) AS cur_nan
+UNION ALL
+SELECT f, 'numerical', CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM (VALUES ('l_quantity'), ('l_tax')) t(f)""",
+    "v_nulls", "v_reg"))
+def q_d2(spark, d):
+    ref, cur = _null_pair(spark, d)
+    r, c, numeric, text = D.harmonise_types(ref, cur, D.align_features(ref, cur))
+    feats = numeric + text
+
+    def nan_counts(df, name):
+        counts = df.agg(*[(F.count_if(F.col(f) == "nan") if f in text else F.lit(0))
+                          .cast("long").alias(f) for f in feats])
+        return counts.unpivot([], feats, "feature", name)
+
+    kind = F.when(F.col("feature").isin(numeric), "numerical").otherwise("categorical")
+    return nan_counts(r, "ref_nan").join(nan_counts(c, "cur_nan"), "feature").select(
+        "feature", kind.alias("feature_type"), "ref_nan", "cur_nan")
+
+
+@register("D3_fill_from_reference", with_views("""
+SELECT f AS feature, round(med, 6) AS median, ref_filled, cur_filled FROM (
+  SELECT 'l_quantity' AS f, (SELECT median(l_quantity) FROM v_nulls) AS med,
+         CAST((SELECT count(*) - count(l_quantity) FROM v_nulls) AS BIGINT) AS ref_filled,
+         CAST((SELECT count(*) - count(l_quantity) FROM v_reg) AS BIGINT) AS cur_filled
+  UNION ALL
+  SELECT 'l_tax', (SELECT median(l_tax) FROM v_nulls),
+         CAST((SELECT count(*) - count(l_tax) FROM v_nulls) AS BIGINT),
+         CAST((SELECT count(*) - count(l_tax) FROM v_reg) AS BIGINT))""", "v_nulls", "v_reg"))
+def q_d3(spark, d):
+    ref, cur = _null_pair(spark, d)
+    r, c, numeric, text = D.harmonise_types(ref, cur, D.align_features(ref, cur))
+    raw = D.long_counts(r, c, numeric, text)
+    med = D.reference_medians(raw)
+    nulls = (raw.where(F.col("feature").isin(numeric) & F.col("num").isNull())
+             .groupBy("feature").agg(
+                 F.sum(F.when(F.col("grp") == 0, F.col("n")).otherwise(0)).cast("long").alias("ref_filled"),
+                 F.sum(F.when(F.col("grp") == 1, F.col("n")).otherwise(0)).cast("long").alias("cur_filled")))
+    return med.join(nulls, "feature", "left").select(
+        "feature", r6("median").alias("median"),
+        F.coalesce("ref_filled", F.lit(0)).cast("long").alias("ref_filled"),
+        F.coalesce("cur_filled", F.lit(0)).cast("long").alias("cur_filled"))
+
+
+def _pair_tests(spark, d, fx):
+    ref, cur = fx(spark, d)
+    _, aligned, tests = D.prepared_counts(ref, cur)
+    return aligned, tests
+
+
+_D4_BODY = """SELECT '{pair}' AS pair, feature, feature_type, n_ref, n_cur, n_values, test_name FROM tests2"""
+
+
+@register("D4_choose_test", with_views(
+    "WITH " + drift_sql("v_drift_ref", "v_drift_cur", _LARGE["numeric"], _LARGE["text"], _LARGE["order"]).strip()
+    + "\n" + _D4_BODY.format(pair="large"), *_LARGE_VIEWS))
+def q_d4(spark, d):
+    _, tests = _pair_tests(spark, d, V.v_drift_large)
+    return tests.select(F.lit("large").alias("pair"), "feature", "feature_type", "n_ref", "n_cur",
+                        "n_values", "test_name")
+
+
+@register("D4_choose_test_parties", with_views(
+    "WITH " + drift_sql("v_party_ref", "v_party_cur", _PARTY["numeric"], _PARTY["text"], _PARTY["order"]).strip()
+    + "\n" + _D4_BODY.format(pair="parties"), *_PARTY_VIEWS))
+def q_d4_parties(spark, d):
+    _, tests = _pair_tests(spark, d, V.v_drift_parties)
+    return tests.select(F.lit("parties").alias("pair"), "feature", "feature_type", "n_ref", "n_cur",
+                        "n_values", "test_name")
+
+
+def _test_sql(spec, views, test, cols):
+    body = (f"SELECT feature, {', '.join(f'round({c}, 6) AS {c}' if c != 'dof' else 'CAST(dof AS BIGINT) AS dof' for c in cols)} "
+            f"FROM feats WHERE test_name = '{test}'")
+    return _drift_with(views[0], views[1], spec, views, body)
+
+
+def _test_q(fx, fn, cols):
+    def q(spark, d):
+        aligned, tests = _pair_tests(spark, d, fx)
+        out = fn(aligned, tests)
+        return out.select("feature", *[r6(c).alias(c) if c != "dof" else F.col(c).cast("long")
+                                       for c in cols])
+    return q
+
+
+for _name, _fx, _fn, _spec, _views, _test, _cols in [
+    ("D5_drift_ks", V.v_drift_parties, D.drift_ks, _PARTY, _PARTY_VIEWS, D.TEST_KS, ["statistic", "p_value"]),
+    ("D6_drift_chi2", V.v_drift_parties, D.drift_chi2, _PARTY, _PARTY_VIEWS, D.TEST_CHI2,
+     ["statistic", "dof", "p_value"]),
+    ("D7_drift_z", V.v_drift_parties, D.drift_z, _PARTY, _PARTY_VIEWS, D.TEST_Z, ["statistic", "p_value"]),
+    ("D8_drift_wasserstein", V.v_drift_large, D.drift_wasserstein, _LARGE, _LARGE_VIEWS,
+     D.TEST_WASSERSTEIN, ["statistic"]),
+    ("D9_drift_js", V.v_drift_large, D.drift_js, _LARGE, _LARGE_VIEWS, D.TEST_JS, ["statistic"]),
+]:
+    register(_name, _test_sql(_spec, _views, _test, _cols))(_test_q(_fx, _fn, _cols))
+
+
+_D10_BODY = """SELECT '{pair}' AS pair, round(avg(CASE WHEN drift_detected THEN 1.0 ELSE 0.0 END), 6) AS drift_score,
+       CAST(count(*) AS BIGINT) AS number_of_columns,
+       CAST(count_if(drift_detected) AS BIGINT) AS number_of_drifted_columns,
+       avg(CASE WHEN drift_detected THEN 1.0 ELSE 0.0 END) >= 0.3 AS has_drift,
+       'Drift check complete. ' || count_if(drift_detected) || ' of ' || count(*) ||
+       ' features drifted (ratio: ' || printf('%.2f', avg(CASE WHEN drift_detected THEN 1.0 ELSE 0.0 END)) || ').' AS message
+FROM feats"""
+
+
+def _d10_q(fx, pair):
+    def q(spark, d):
+        ref, cur = fx(spark, d)
+        _, summary = D.drift_report(ref, cur)
+        return summary.select(F.lit(pair).alias("pair"), r6("drift_score").alias("drift_score"),
+                              "number_of_columns", "number_of_drifted_columns", "has_drift", "message")
+    return q
+
+
+register("D10_drift_score", _drift_with("v_drift_ref", "v_drift_cur", _LARGE, _LARGE_VIEWS,
+                                        _D10_BODY.format(pair="large")))(_d10_q(V.v_drift_large, "large"))
+register("D10_drift_score_parties", _drift_with("v_party_ref", "v_party_cur", _PARTY, _PARTY_VIEWS,
+                                                _D10_BODY.format(pair="parties")))(
+    _d10_q(V.v_drift_parties, "parties"))
+
+
+def _d11_q(fx):
+    def q(spark, d):
+        ref, cur = fx(spark, d)
+        feats, _ = D.drift_report(ref, cur)
+        return _round_feats(feats)
+    return q
+
+
+register("D11_drift_report", _drift_with("v_drift_ref", "v_drift_cur", _LARGE, _LARGE_VIEWS, _FEATS_SQL))(
+    _d11_q(V.v_drift_large))
+register("D11_drift_report_parties", _drift_with("v_party_ref", "v_party_cur", _PARTY, _PARTY_VIEWS,
+                                                 _FEATS_SQL))(_d11_q(V.v_drift_parties))
+
+_D12_BODY = """SELECT CAST(count(*) AS BIGINT) AS features_checked,
+       CAST(count_if(drift_detected) AS BIGINT) AS drifted_features,
+       CAST(count(*) - count_if(drift_detected) AS BIGINT) AS stable_features,
+       printf('%.1f', 100.0 * count_if(drift_detected) / count(*)) || '%' AS overall_drift
+FROM feats"""
+
+
+def _d12_q(fx):
+    def q(spark, d):
+        ref, cur = fx(spark, d)
+        feats, _ = D.drift_report(ref, cur)
+        return D.drift_summary(feats)
+    return q
+
+
+register("D12_drift_summary", _drift_with("v_drift_ref", "v_drift_cur", _LARGE, _LARGE_VIEWS, _D12_BODY))(
+    _d12_q(V.v_drift_large))
+register("D12_drift_summary_parties", _drift_with("v_party_ref", "v_party_cur", _PARTY, _PARTY_VIEWS,
+                                                  _D12_BODY))(_d12_q(V.v_drift_parties))
