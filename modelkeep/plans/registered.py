@@ -528,3 +528,495 @@ register("D12_drift_summary", _drift_with("v_drift_ref", "v_drift_cur", _LARGE,
     _d12_q(V.v_drift_large))
 register("D12_drift_summary_parties", _drift_with("v_party_ref", "v_party_cur", _PARTY, _PARTY_VIEWS,
                                                   _D12_BODY))(_d12_q(V.v_drift_parties))
+
+
+# --------------------------------------------------------------- evaluation
+from modelkeep.operators import evaluate as E  # noqa: E402
+
+
+def _classes(df, col="label"):
+    """Sorted distinct labels: bounded by the class count."""
+    return [r[0] for r in df.select(F.col(col).cast("string")).distinct().orderBy(1).collect()]
+
+
+def _eval_multi(spark, d):
+    labels = table(spark, d, "events").select(F.col("event_type").alias("label"))
+    return V.v_eval_multi(spark, d, _classes(labels))
+
+
+_MULTI_SCORES = """
+cls AS (SELECT DISTINCT label AS c FROM v_eval_multi),
+ms AS (SELECT m.event_id, m.label, cls.c,
+              CASE WHEN m.prediction = cls.c THEN 0.5 + CAST(m.event_id % 7 AS DOUBLE) / 20.0
+                   ELSE CAST(m.event_id % 5 AS DOUBLE) / 20.0 END AS score
+       FROM v_eval_multi m JOIN cls ON TRUE)"""
+
+
+@register("E1_accuracy", with_views("""
+SELECT 'cls' AS fixture, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM v_eval_cls
+UNION ALL
+SELECT 'multi', round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) FROM v_eval_multi""",
+    "v_eval_cls", "v_eval_multi"))
+def q_e1(spark, d):
+    a = E.accuracy(V.v_eval_cls(spark, d)).select(F.lit("cls").alias("fixture"), r6("accuracy").alias("accuracy"))
+    b = E.accuracy(_eval_multi(spark, d)).select(F.lit("multi").alias("fixture"), r6("accuracy").alias("accuracy"))
+    return a.unionByName(b)
+
+
+def _weighted_sql(view, fixture):
+    return f"""
+SELECT '{fixture}' AS fixture, round(sum(support * prec) / sum(support), 6) AS weighted_precision,
+       round(sum(support * rec) / sum(support), 6) AS weighted_recall,
+       round(sum(support * CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END)
+             / sum(support), 6) AS weighted_f1
+FROM (SELECT c, support, CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / predicted ELSE 0 END AS prec,
+             CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0 END AS rec
+      FROM (SELECT COALESCE(s.c, p.c) AS c, COALESCE(s.support, 0) AS support,
+                   COALESCE(p.predicted, 0) AS predicted, COALESCE(t.tp, 0) AS tp
+            FROM (SELECT label AS c, count(*) AS support FROM {view} GROUP BY label) s
+            FULL OUTER JOIN (SELECT prediction AS c, count(*) AS predicted FROM {view} GROUP BY prediction) p
+              ON s.c = p.c
+            LEFT JOIN (SELECT label AS c, count(*) AS tp FROM {view} WHERE label = prediction GROUP BY label) t
+              ON COALESCE(s.c, p.c) = t.c))"""
+
+
+_WEIGHTED_SQL = with_views(_weighted_sql("v_eval_cls", "cls") + "\nUNION ALL\n"
+                           + _weighted_sql("v_eval_multi", "multi"), "v_eval_cls", "v_eval_multi")
+
+
+def _weighted(spark, d, cols):
+    a = E.weighted_metrics(V.v_eval_cls(spark, d)).select(F.lit("cls").alias("fixture"), *[r6(c).alias(c) for c in cols])
+    b = E.weighted_metrics(_eval_multi(spark, d)).select(F.lit("multi").alias("fixture"), *[r6(c).alias(c) for c in cols])
+    return a.unionByName(b)
+
+
+def _sel_sql(sql, cols):
+    return f"SELECT fixture, {', '.join(cols)} FROM (\n{sql}\n)"
+
+
+for _name, _col in [("E2_weighted_precision", "weighted_precision"), ("E3_weighted_recall", "weighted_recall"),
+                    ("E4_weighted_f1", "weighted_f1")]:
+    _inner = _weighted_sql("v_eval_cls", "cls") + "\nUNION ALL\n" + _weighted_sql("v_eval_multi", "multi")
+    register(_name, with_views(_sel_sql(_inner, [_col]), "v_eval_cls", "v_eval_multi"))(
+        (lambda col: lambda spark, d: _weighted(spark, d, [col]))(_col))
+
+
+@register("E5_roc_auc_binary", with_views("""
+WITH s AS (SELECT score, sum(CASE WHEN label = '1' THEN 1 ELSE 0 END) AS pos,
+                  sum(CASE WHEN label = '1' THEN 0 ELSE 1 END) AS neg FROM v_eval_cls GROUP BY score),
+c AS (SELECT *, COALESCE(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb
+      FROM s)
+SELECT round(CASE WHEN sum(pos) = 0 OR sum(neg) = 0 THEN 0.0
+                  ELSE sum(pos * (nb + 0.5 * neg)) / (sum(pos) * sum(neg)) END, 6) AS roc_auc FROM c""",
+    "v_eval_cls"))
+def q_e5(spark, d):
+    return E.roc_auc_binary(V.v_eval_cls(spark, d), "1").select(r6("roc_auc").alias("roc_auc"))
+
+
+@register("E6_roc_auc_ovr", with_views("WITH " + _MULTI_SCORES.strip() + """,
+s AS (SELECT c, score, sum(CASE WHEN label = c THEN 1 ELSE 0 END) AS pos,
+             sum(CASE WHEN label = c THEN 0 ELSE 1 END) AS neg FROM ms GROUP BY c, score),
+w AS (SELECT *, COALESCE(sum(neg) OVER (PARTITION BY c ORDER BY score
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM s),
+per AS (SELECT c, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+                       THEN sum(pos * (nb + 0.5 * neg)) / (sum(pos) * sum(neg)) END AS auc
+        FROM w GROUP BY c)
+SELECT round(CASE WHEN count(auc) = count(*) THEN avg(auc) ELSE 0.0 END, 6) AS roc_auc FROM per""",
+    "v_eval_multi"))
+def q_e6(spark, d):
+    labels = table(spark, d, "events").select(F.col("event_type").alias("label"))
+    classes = _classes(labels)
+    return E.roc_auc_ovr(V.v_eval_multi(spark, d, classes), classes).select(r6("roc_auc").alias("roc_auc"))
+
+
+@register("E7_regression_metrics", with_views("""
+SELECT round(CASE WHEN var_pop(y) * count(*) > 0 THEN 1 - sum((yhat - y) * (yhat - y)) / (var_pop(y) * count(*))
+                  WHEN sum((yhat - y) * (yhat - y)) = 0 THEN 1.0 ELSE 0.0 END, 6) AS r2_score,
+       round(avg(abs(yhat - y)), 6) AS mae, round(avg((yhat - y) * (yhat - y)), 6) AS mse,
+       round(sqrt(avg((yhat - y) * (yhat - y))), 6) AS rmse
+FROM v_eval_reg""", "v_eval_reg"))
+def q_e7(spark, d):
+    m = E.regression_metrics(V.v_eval_reg(spark, d))
+    return m.select(*[r6(c).alias(c) for c in m.columns])
+
+
+# ----------------------------------------------------------------- registry
+from modelkeep.functions.ordered import dense_positions  # noqa: E402
+from modelkeep.operators import registry as R  # noqa: E402
+
+TS_FMT = "yyyy-MM-dd HH:mm:ss"
+TS_SQL = "'%Y-%m-%d %H:%M:%S'"
+R3_MODEL_ID = 7
+R4_SEARCH = "forest"
+R12_DRIFT = 0.25
+
+
+def _models(spark, d):
+    return V.v_models(spark, d)
+
+
+def _deps(spark, d, models=None):
+    return V.v_deployments(spark, d, models)
+
+
+@register("R1_next_version", with_views("""
+SELECT dataset_id, CAST(count(*) + 1 AS BIGINT) AS next_version FROM v_models GROUP BY dataset_id""",
+    "v_models"))
+def q_r1(spark, d):
+    return R.next_version(_models(spark, d))
+
+
+@register("R2_list_models", with_views(f"""
+SELECT CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS BIGINT) AS position, id, model_name,
+       algorithm, status, version, strftime(created_at, {TS_SQL}) AS created_at
+FROM v_models""", "v_models"))
+def q_r2(spark, d):
+    m = _models(spark, d).withColumn("__ts", F.unix_micros(F.col("created_at").cast("timestamp")))
+    ranked = dense_positions(m, [], ["__ts", "id"], descending=True, name="position")
+    return ranked.select(F.col("position").cast("long").alias("position"), "id", "model_name", "algorithm",
+                         "status", "version", F.date_format("created_at", TS_FMT).alias("created_at"))
+
+
+@register("R3_model_status", with_views(f"""
+SELECT id, model_name, status, algorithm, version FROM v_models WHERE id = {R3_MODEL_ID}""", "v_models"))
+def q_r3(spark, d):
+    return R.model_status(_models(spark, d), R3_MODEL_ID).select(
+        "id", "model_name", "status", "algorithm", "version")
+
+
+def _leader_sql(search):
+    cond = (f"AND (lower(algorithm) LIKE '%{search}%' OR lower(model_name) LIKE '%{search}%')"
+            if search else "")
+    return with_views(f"""
+SELECT CAST(row_number() OVER (ORDER BY COALESCE(f1_score, r2_score, 0) DESC, id ASC) AS BIGINT) AS rank,
+       id, model_name, algorithm, version, round(COALESCE(f1_score, r2_score, 0), 6) AS score,
+       id IN (SELECT model_id FROM v_deployments WHERE status = 'active') AS is_active
+FROM v_models WHERE status = 'DONE' {cond}""", "v_models", "v_deployments")
+
+
+def _leader_q(search):
+    def q(spark, d):
+        m = _models(spark, d)
+        lb = R.leaderboard(m, _deps(spark, d, m), search)
+        return lb.withColumn("score", r6("score"))
+    return q
+
+
+register("R4_leaderboard", _leader_sql(R4_SEARCH))(_leader_q(R4_SEARCH))
+register("R4_leaderboard_all", _leader_sql(None))(_leader_q(None))
+
+
+@register("R5_job_counts", with_views("""
+SELECT CAST(count_if(status = 'DONE') AS BIGINT) AS done,
+       CAST(count_if(status IN ('PENDING', 'TRAINING')) AS BIGINT) AS in_progress,
+       CAST(count_if(status = 'FAILED') AS BIGINT) AS failed FROM v_models""", "v_models"))
+def q_r5(spark, d):
+    return R.job_counts(_models(spark, d))
+
+
+@register("R6_explode_metrics", with_views("""
+SELECT id, 'F1 Score' AS metric, CAST(round(f1_score * 100) AS BIGINT) AS value
+FROM v_models WHERE status = 'DONE' AND f1_score IS NOT NULL
+UNION ALL
+SELECT id, 'R2 Score', CAST(round(r2_score * 100) AS BIGINT)
+FROM v_models WHERE status = 'DONE' AND r2_score IS NOT NULL""", "v_models"))
+def q_r6(spark, d):
+    return R.explode_metrics(_models(spark, d))
+
+
+@register("R7_model_comparison", with_views("""
+SELECT id, 'v' || version || ' ' || split_part(algorithm, ' ', 1) AS name,
+       CAST(round(COALESCE(f1_score, r2_score, 0) * 100) AS BIGINT) AS score
+FROM v_models WHERE status = 'DONE' ORDER BY created_at DESC, id DESC LIMIT 8""", "v_models"))
+def q_r7(spark, d):
+    return R.model_comparison(_models(spark, d))
+
+
+_BEST_SQL = """best AS (SELECT id FROM v_models WHERE status = 'DONE'
+                 ORDER BY COALESCE(f1_score, r2_score, 0) DESC, id ASC LIMIT 1)"""
+
+
+def _best_model(models):
+    done = models.where(F.col("status") == "DONE").select("id", R.model_score(models).alias("score"))
+    return R.select_best(done, "score", "id")
+
+
+@register("M7_select_best", with_views(f"""
+WITH {_BEST_SQL}
+SELECT m.id, round(COALESCE(m.f1_score, m.r2_score, 0), 6) AS score FROM v_models m JOIN best ON m.id = best.id""",
+    "v_models"))
+def q_m7(spark, d):
+    return _best_model(_models(spark, d)).select("id", r6("score").alias("score"))
+
+
+@register("R8_set_active", with_views(f"""
+WITH {_BEST_SQL}
+SELECT id, model_id, CASE WHEN model_id = (SELECT id FROM best) THEN 'active' ELSE 'inactive' END AS status,
+       drift_threshold, performance_threshold FROM v_deployments
+UNION ALL
+SELECT (SELECT max(id) + 1 FROM v_deployments), (SELECT id FROM best), 'active', 0.3, 0.7
+WHERE (SELECT id FROM best) NOT IN (SELECT model_id FROM v_deployments)""", "v_models", "v_deployments"))
+def q_r8(spark, d):
+    m = _models(spark, d)
+    best = _best_model(m).first()["id"]
+    return R.set_active(_deps(spark, d, m).drop("deployed_at"), m, best)
+
+
+@register("R9_active_deployment", with_views("""
+SELECT dp.id AS deployment_id, dp.model_id, dp.drift_threshold, dp.performance_threshold,
+       m.dataset_id, m.version, m.algorithm, m.model_name
+FROM v_deployments dp JOIN v_models m ON dp.model_id = m.id WHERE dp.status = 'active'""",
+    "v_models", "v_deployments"))
+def q_r9(spark, d):
+    m = _models(spark, d)
+    return R.active_deployment(_deps(spark, d, m), m)
+
+
+@register("R10_active_for_dataset", with_views("""
+SELECT m.dataset_id, dp.id AS deployment_id, dp.model_id
+FROM v_deployments dp JOIN v_models m ON dp.model_id = m.id WHERE dp.status = 'active'""",
+    "v_models", "v_deployments"))
+def q_r10(spark, d):
+    m = _models(spark, d)
+    return R.active_for_dataset(_deps(spark, d, m), m)
+
+
+def _newest_done(models):
+    done = models.where(F.col("status") == "DONE")
+    return done.groupBy("dataset_id").agg(
+        F.max_by(F.struct("id", "version", "f1_score", "r2_score"), "id").alias("s")
+    ).select("dataset_id", "s.*")
+
+
+@register("R11_promote_if_better", with_views("""
+WITH nw AS (SELECT * FROM v_models WHERE id IN (SELECT max(id) FROM v_models WHERE status = 'DONE' GROUP BY dataset_id)),
+act AS (SELECT dp.id AS deployment_id, dp.model_id, m.dataset_id, m.f1_score, m.r2_score
+        FROM v_deployments dp JOIN v_models m ON dp.model_id = m.id WHERE dp.status = 'active'),
+j AS (SELECT nw.dataset_id, act.deployment_id, act.model_id AS active_model_id, nw.id AS new_model_id,
+             COALESCE(CASE WHEN ds.problem_type = 'classification' THEN act.f1_score ELSE act.r2_score END, -1.0) AS am,
+             COALESCE(CASE WHEN ds.problem_type = 'classification' THEN nw.f1_score ELSE nw.r2_score END, -1.0) AS nm
+      FROM nw JOIN act ON nw.dataset_id = act.dataset_id JOIN v_datasets ds ON ds.id = nw.dataset_id)
+SELECT dataset_id, deployment_id, active_model_id, new_model_id, round(am, 6) AS active_metric,
+       round(nm, 6) AS new_metric, nm > am AS promoted FROM j""", "v_models", "v_deployments", "v_datasets"))
+def q_r11(spark, d):
+    m = _models(spark, d)
+    dec = R.promote_if_better(_newest_done(m), m, _deps(spark, d, m), V.v_datasets(spark, d, m))
+    return dec.select("dataset_id", "deployment_id", "active_model_id", "new_model_id",
+                      r6("active_metric").alias("active_metric"), r6("new_metric").alias("new_metric"),
+                      "promoted")
+
+
+@register("R12_update_thresholds", with_views(f"""
+SELECT id, model_id, status, CASE WHEN status = 'active' THEN {R12_DRIFT} ELSE drift_threshold END AS drift_threshold,
+       performance_threshold FROM v_deployments""", "v_models", "v_deployments"))
+def q_r12(spark, d):
+    return R.update_thresholds(_deps(spark, d).drop("deployed_at"), drift=R12_DRIFT)
+
+
+@register("R13_job_transitions", with_views("""
+WITH ev AS (
+  SELECT id AS model_id, 'PENDING' AS status, created_at AS ts FROM v_models
+  UNION ALL SELECT id, 'TRAINING', created_at + INTERVAL 1 HOUR FROM v_models WHERE status IN ('TRAINING', 'DONE', 'FAILED')
+  UNION ALL SELECT id, status, created_at + INTERVAL 2 HOUR FROM v_models WHERE status IN ('DONE', 'FAILED'))
+SELECT model_id, arg_max(status, ts) AS status, CAST(count(*) AS BIGINT) AS n_events FROM ev GROUP BY model_id""",
+    "v_models"))
+def q_r13(spark, d):
+    return R.job_transitions(R.job_events(_models(spark, d)))
+
+
+# ------------------------------------------------------- scoring & feedback
+from modelkeep.operators import scoring as S  # noqa: E402
+
+F1_REQUIRED = ["k", "value"]
+
+
+@register("F1_check_inputs", """
+SELECT event_id AS prediction_id,
+       array_to_string(list_filter(['k', 'value'], lambda x: NOT list_contains(json_keys(props), x)), ',') AS missing
+FROM events""")
+def q_f1(spark, d):
+    out = S.check_inputs(V.v_pred_log(spark, d), F1_REQUIRED)
+    return out.select("prediction_id", F.array_join("missing", ",").alias("missing"))
+
+
+@register("F3_decode_labels", """
+WITH cls AS (SELECT list(event_type ORDER BY event_type) AS c FROM (SELECT DISTINCT event_type FROM events))
+SELECT event_id AS prediction_id, CAST(event_id % 6 AS BIGINT) AS raw_prediction,
+       CASE WHEN event_id % 6 < len(cls.c) THEN cls.c[event_id % 6 + 1] ELSE CAST(event_id % 6 AS VARCHAR) END AS prediction
+FROM events, cls""")
+def q_f3(spark, d):
+    ev = table(spark, d, "events")
+    classes = _classes(ev.select(F.col("event_type").alias("label")))
+    pred = ev.select(F.col("event_id").alias("prediction_id"), (F.col("event_id") % 6).alias("raw_prediction"))
+    return S.decode_labels(pred, classes)
+
+
+@register("F5_prediction_counts", with_views("""
+SELECT deployment_id, CAST(count(*) AS BIGINT) AS prediction_count FROM v_pred_log GROUP BY deployment_id""",
+    "v_pred_log"))
+def q_f5(spark, d):
+    return S.prediction_counts(V.v_pred_log(spark, d))
+
+
+_LATEST_FB = "lf AS (SELECT prediction_id, arg_max(actual_value, received_at) AS actual FROM v_feedback GROUP BY prediction_id)"
+
+
+@register("F6_attach_feedback", with_views(f"""
+WITH {_LATEST_FB}
+SELECT l.prediction_id, l.deployment_id, l.prediction, lf.actual
+FROM v_pred_log l LEFT JOIN lf ON l.prediction_id = lf.prediction_id""", "v_pred_log", "v_feedback"))
+def q_f6(spark, d):
+    out = S.attach_feedback(V.v_pred_log(spark, d), V.v_feedback(spark, d))
+    return out.select("prediction_id", "deployment_id", "prediction", "actual")
+
+
+@register("F6_unknown_feedback", with_views(f"""
+WITH {_LATEST_FB}
+SELECT prediction_id, actual FROM lf WHERE prediction_id NOT IN (SELECT prediction_id FROM v_pred_log)""",
+    "v_pred_log", "v_feedback"))
+def q_f6u(spark, d):
+    return S.unknown_feedback(V.v_pred_log(spark, d), V.v_feedback(spark, d))
+
+
+_ACC_SQL = """
+SELECT deployment_id, CAST(count(*) AS BIGINT) AS n_labelled, CAST(count_if({ok}) AS BIGINT) AS n_correct,
+       round(avg(CASE WHEN {ok} THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM {view} WHERE actual IS NOT NULL GROUP BY deployment_id"""
+_CLS_OK = "lower(prediction) = lower(actual)"
+_REG_OK = """COALESCE(CASE WHEN TRY_CAST(actual AS DOUBLE) <> 0
+     THEN abs(TRY_CAST(prediction AS DOUBLE) - TRY_CAST(actual AS DOUBLE)) / abs(TRY_CAST(actual AS DOUBLE)) < 0.15
+     ELSE abs(TRY_CAST(prediction AS DOUBLE)) < 0.15 END, FALSE)"""
+
+
+def _acc_out(df):
+    return df.select("deployment_id", "n_labelled", "n_correct", r6("accuracy").alias("accuracy"))
+
+
+@register("F7_accuracy_classification", with_views(_ACC_SQL.format(ok=_CLS_OK, view="v_pred_log"), "v_pred_log"))
+def q_f7(spark, d):
+    return _acc_out(S.accuracy_classification(V.v_pred_log(spark, d)))
+
+
+@register("F8_accuracy_tolerance", with_views(_ACC_SQL.format(ok=_REG_OK, view="v_pred_reg"), "v_pred_reg"))
+def q_f8(spark, d):
+    return _acc_out(S.accuracy_tolerance(V.v_pred_reg(spark, d)))
+
+
+_F9_SQL = f"""
+acc AS ({_ACC_SQL.format(ok=_CLS_OK, view="v_pred_log")}),
+chk AS (SELECT a.deployment_id, a.n_labelled, a.accuracy, dp.performance_threshold,
+               a.accuracy < dp.performance_threshold AS alarm
+        FROM acc a JOIN v_deployments dp ON a.deployment_id = dp.id WHERE a.n_labelled >= 5)"""
+
+
+@register("F9_performance_check", with_views("WITH " + _F9_SQL.strip() + "\nSELECT * FROM chk",
+                                             "v_pred_log", "v_models", "v_deployments"))
+def q_f9(spark, d):
+    out = S.performance_check(V.v_pred_log(spark, d), _deps(spark, d))
+    return out.select("deployment_id", "n_labelled", r6("accuracy").alias("accuracy"),
+                      "performance_threshold", "alarm")
+
+
+@register("F10_retrain_requests", with_views("WITH " + _F9_SQL.strip() + """
+SELECT m.dataset_id, replace(ds.name, '.csv', '') || '_autoretrain_v' || (m.version + 1) AS model_name,
+       m.algorithm, CAST(m.version + 1 AS BIGINT) AS version, 'PENDING' AS status,
+       'Performance drop auto-trigger retraining.' AS status_message
+FROM chk JOIN v_deployments dp ON chk.deployment_id = dp.id JOIN v_models m ON dp.model_id = m.id
+JOIN v_datasets ds ON ds.id = m.dataset_id WHERE chk.alarm""", "v_pred_log", "v_models", "v_deployments",
+    "v_datasets"))
+def q_f10(spark, d):
+    m = _models(spark, d)
+    deps = _deps(spark, d, m)
+    alarms = S.performance_check(V.v_pred_log(spark, d), deps).where("alarm")
+    return S.retrain_requests(alarms, m, deps, V.v_datasets(spark, d, m), "performance")
+
+
+# -------------------------------------------------------------------- audit
+from modelkeep.operators import audit as A  # noqa: E402
+
+
+def _events_out(df):
+    return df.select("id", "event_type", "message", "severity",
+                     F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"))
+
+
+_EV_COLS = "id, event_type, message, severity, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at"
+
+
+@register("A2_list_events", with_views(f"""
+SELECT {_EV_COLS} FROM v_audit WHERE event_type = 'DRIFT'
+ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 10""", "v_audit"))
+def q_a2(spark, d):
+    return _events_out(A.list_events(V.v_audit(spark, d), "DRIFT", None, 50, 10))
+
+
+@register("A2_list_events_warning", with_views(f"""
+SELECT {_EV_COLS} FROM v_audit WHERE severity = 'WARNING'
+ORDER BY created_at DESC, id DESC LIMIT 200""", "v_audit"))
+def q_a2w(spark, d):
+    return _events_out(A.list_events(V.v_audit(spark, d), None, "WARNING", 200, 0))
+
+
+@register("A3_severity_counts", with_views("""
+SELECT CAST(count_if(severity = 'INFO') AS BIGINT) AS info, CAST(count_if(severity = 'WARNING') AS BIGINT) AS warning,
+       CAST(count_if(severity = 'ERROR') AS BIGINT) AS error
+FROM (SELECT * FROM v_audit ORDER BY created_at DESC, id DESC LIMIT 200)""", "v_audit"))
+def q_a3(spark, d):
+    return A.severity_counts(A.list_events(V.v_audit(spark, d), None, None, 200, 0))
+
+
+# ------------------------------------------------------------------ sources
+from modelkeep.sources import tables as TB  # noqa: E402
+
+
+@register("S2_scan_table", "SELECT * FROM supplier")
+def q_s2(spark, d):
+    return TB.scan_table(spark, f"{d}/supplier.parquet")
+
+
+@register("S3_dataset_shape", "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS row_count, "
+    f"CAST((SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS BIGINT) AS column_count "
+    f"FROM {t}" for t in TB.TABLES))
+def q_s3(spark, d):
+    out = None
+    for t in TB.TABLES:
+        one = TB.dataset_shape(table(spark, d, t)).select(F.lit(t).alias("table_name"), "row_count", "column_count")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("S4_preview", with_views("""
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, COALESCE(price_txt, '') AS price_txt,
+       COALESCE(o_orderstatus, '') AS o_orderstatus, COALESCE(o_orderpriority, '') AS o_orderpriority,
+       COALESCE(mixed, '') AS mixed, COALESCE(sparse, '') AS sparse
+FROM (SELECT * FROM v_dirty ORDER BY o_orderkey LIMIT 10)""", "v_dirty"))
+def q_s4(spark, d):
+    return TB.preview(V.v_dirty(spark, d), ["o_orderkey"], 10)
+
+
+@register("S5_scan_inputs_json", """
+SELECT event_id AS prediction_id, json_extract_string(props, '$.k') AS k FROM events""")
+def q_s5(spark, d):
+    return TB.scan_inputs_json(V.v_pred_log(spark, d), keep=["prediction_id"])
+
+
+@register("S8_list_datasets", with_views(f"""
+SELECT CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS BIGINT) AS position, id, name,
+       problem_type, strftime(created_at, {TS_SQL}) AS created_at FROM v_datasets""", "v_models", "v_datasets"))
+def q_s8(spark, d):
+    ds = TB.list_datasets(V.v_datasets(spark, d)).withColumn("__ts", F.unix_micros(F.col("created_at").cast("timestamp")))
+    ranked = dense_positions(ds, [], ["__ts", "id"], descending=True, name="position")
+    return ranked.select(F.col("position").cast("long").alias("position"), "id", "name", "problem_type",
+                         F.date_format("created_at", TS_FMT).alias("created_at"))
+
+
+# ---------------------------------------------------- stream volume (batch)
+@register("X2_stream_volume", with_views(f"""
+SELECT deployment_id, strftime(date_trunc('hour', logged_at), {TS_SQL}) AS window_start,
+       CAST(count(*) AS BIGINT) AS predictions
+FROM v_pred_log GROUP BY deployment_id, date_trunc('hour', logged_at)""", "v_pred_log"))
+def q_x2(spark, d):
+    from modelkeep.streaming.streams import volume_by_hour
+    out = volume_by_hour(V.v_pred_log(spark, d))
+    return out.select("deployment_id", F.date_format("window_start", TS_FMT).alias("window_start"), "predictions")

@@ -114,7 +114,8 @@ def v_models(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     ds = F.col("o_custkey") % N_DATASETS
     done = F.col("o_orderstatus") == "F"
-    score = F.round(F.col("o_totalprice") / F.lit(500000.0), 6)
+    # a score in [0, 1) whose decimals never end on a rounding tie
+    score = F.col("o_totalprice") / (F.col("o_totalprice") + F.lit(100000.0))
     base = o.select(
         F.col("o_orderkey").alias("id"),
         ds.alias("dataset_id"),
@@ -296,9 +297,9 @@ SQL_VIEWS: dict[str, str] = {
                  CASE o_orderstatus WHEN 'F' THEN 'DONE' WHEN 'O' THEN 'TRAINING' ELSE 'PENDING' END AS status,
                  {_sql_case('o_orderpriority', PRIORITY_ALGORITHM[:-1], PRIORITY_ALGORITHM[-1][1])} AS algorithm,
                  CASE WHEN o_orderstatus = 'F' AND (o_custkey % {N_DATASETS}) % 2 = 0
-                      THEN round(o_totalprice / 500000.0::DOUBLE, 6) END AS f1_score,
+                      THEN o_totalprice / (o_totalprice + 100000.0::DOUBLE) END AS f1_score,
                  CASE WHEN o_orderstatus = 'F' AND (o_custkey % {N_DATASETS}) % 2 = 1
-                      THEN round(o_totalprice / 500000.0::DOUBLE, 6) END AS r2_score,
+                      THEN o_totalprice / (o_totalprice + 100000.0::DOUBLE) END AS r2_score,
                  o_orderdate AS created_at,
                  CAST(row_number() OVER (PARTITION BY o_custkey % {N_DATASETS} ORDER BY o_orderkey) AS BIGINT) AS version
           FROM orders)""",
