@@ -1020,3 +1020,145 @@ def q_x2(spark, d):
     from modelkeep.streaming.streams import volume_by_hour
     out = volume_by_hour(V.v_pred_log(spark, d))
     return out.select("deployment_id", F.date_format("window_start", TS_FMT).alias("window_start"), "predictions")
+
+
+# -------------------------------------------------------------- preparation
+from modelkeep.operators import prep as T  # noqa: E402
+
+_SPLIT_SQL = "(CAST(('0x' || substr(md5('42:' || {k}), 1, 8)) AS BIGINT) % 100)"
+
+
+def _test_flag_sql(k):
+    return f"{_SPLIT_SQL.format(k=k)} < 20"
+
+
+@register("T1_select_features", with_views("SELECT l_quantity, l_discount, l_tax, l_returnflag FROM v_reg", "v_reg"))
+def q_t1(spark, d):
+    from modelkeep.plans.lifecycle import profile_dataset
+    df = V.v_reg(spark, d)
+    dp = profile_dataset(df, "l_extendedprice")
+    return T.select_features(df, dp.numerical, dp.categorical)
+
+
+@register("T2_drop_null_target", with_views("SELECT k, l_quantity FROM v_nulls WHERE l_quantity IS NOT NULL",
+                                            "v_nulls"))
+def q_t2(spark, d):
+    return T.drop_null_target(V.v_nulls(spark, d), "l_quantity").select("k", "l_quantity")
+
+
+@register("T3_split_train_test", with_views(f"SELECT k, {_test_flag_sql('k')} AS is_test FROM v_reg", "v_reg"))
+def q_t3(spark, d):
+    train, test = T.split_train_test(V.v_reg(spark, d), "k")
+    return train.select("k", F.lit(False).alias("is_test")).unionByName(test.select("k", F.lit(True).alias("is_test")))
+
+
+@register("T4_encode_labels", with_views(f"""
+SELECT 'cls' AS fixture, label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS idx
+FROM (SELECT DISTINCT CAST(quality AS VARCHAR) AS label FROM v_cls WHERE NOT {_test_flag_sql('CAST(doc_id AS VARCHAR)')})
+UNION ALL
+SELECT 'events', label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER)
+FROM (SELECT DISTINCT event_type AS label FROM events WHERE NOT {_test_flag_sql('CAST(event_id AS VARCHAR)')})""",
+    "v_cls"))
+def q_t4(spark, d):
+    cls_train, _ = T.split_train_test(V.v_cls(spark, d), "doc_id")
+    ev_train, _ = T.split_train_test(table(spark, d, "events"), "event_id")
+    a = T.encode_labels(cls_train, "quality").select(F.lit("cls").alias("fixture"), "label", "idx")
+    b = T.encode_labels(ev_train, "event_type").select(F.lit("events").alias("fixture"), "label", "idx")
+    return a.unionByName(b)
+
+
+@register("T5_filter_seen_classes", f"""
+SELECT event_id, event_type FROM events
+WHERE {_test_flag_sql('CAST(event_id AS VARCHAR)')}
+  AND event_type IN (SELECT event_type FROM events WHERE NOT {_test_flag_sql('CAST(event_id AS VARCHAR)')})""")
+def q_t5(spark, d):
+    ev = table(spark, d, "events").select("event_id", "event_type")
+    train, test = T.split_train_test(ev, "event_id")
+    return T.filter_seen_classes(test, T.encode_labels(train, "event_type"), train, "event_type")
+
+
+_NULLS_TRAIN = f"NOT {_test_flag_sql('k')}"
+
+
+@register("T6_impute_median", with_views(f"""
+SELECT k, round(COALESCE(l_quantity, (SELECT median(l_quantity) FROM v_nulls WHERE {_NULLS_TRAIN})), 6) AS l_quantity
+FROM v_nulls""", "v_nulls"))
+def q_t6(spark, d):
+    df = V.v_nulls(spark, d)
+    train, _ = T.split_train_test(df, "k")
+    model = T.MedianImputer(inputCols=["l_quantity"]).fit(train)
+    return model.transform(df).select("k", r6("l_quantity").alias("l_quantity"))
+
+
+@register("T7_impute_mode", with_views(f"""
+WITH m AS (SELECT l_returnflag FROM v_nulls WHERE {_NULLS_TRAIN} AND l_returnflag IS NOT NULL
+           GROUP BY l_returnflag ORDER BY count(*) DESC, l_returnflag ASC LIMIT 1)
+SELECT k, COALESCE(l_returnflag, (SELECT l_returnflag FROM m)) AS l_returnflag FROM v_nulls""", "v_nulls"))
+def q_t7(spark, d):
+    df = V.v_nulls(spark, d)
+    train, _ = T.split_train_test(df, "k")
+    model = T.ModeImputer(inputCols=["l_returnflag"]).fit(train)
+    return model.transform(df).select("k", "l_returnflag")
+
+
+_SCALE_COLS = ["l_quantity", "l_discount", "l_tax"]
+
+
+@register("T8_scale_standard", with_views(f"""
+WITH s AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _SCALE_COLS)}
+           FROM v_reg WHERE NOT {_test_flag_sql('k')})
+SELECT k, {', '.join(f'round(({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, 6) AS {c}' for c in _SCALE_COLS)}
+FROM v_reg, s""", "v_reg"))
+def q_t8(spark, d):
+    df = V.v_reg(spark, d)
+    train, _ = T.split_train_test(df, "k")
+    model = T.PopulationScaler(inputCols=_SCALE_COLS).fit(train)
+    return model.transform(df).select("k", *[r6(c).alias(c) for c in _SCALE_COLS])
+
+
+_ONEHOT_COLS = ["o_orderstatus", "o_orderpriority", "mixed"]
+
+
+@register("T9_encode_onehot", with_views(f"""
+WITH tr AS (SELECT * FROM v_dirty WHERE NOT {_test_flag_sql('CAST(o_orderkey AS VARCHAR)')}),
+vc AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, {c} AS category, count(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY {c}" for c in _ONEHOT_COLS)}),
+r AS (SELECT *, count(*) OVER (PARTITION BY col) AS n_cats,
+             row_number() OVER (PARTITION BY col ORDER BY n DESC, category DESC) AS fr FROM vc),
+f AS (SELECT *, (n_cats <= 50 OR fr <= 49) AS frequent FROM r),
+s AS (SELECT *, CASE WHEN frequent THEN row_number() OVER (PARTITION BY col, frequent ORDER BY category) - 1
+                     ELSE count_if(frequent) OVER (PARTITION BY col) END AS slot FROM f)
+SELECT col AS "column", category, CAST(n AS BIGINT) AS n, frequent, CAST(slot AS INTEGER) AS slot FROM s""",
+    "v_dirty"))
+def q_t9(spark, d):
+    df = V.v_dirty(spark, d)
+    train, _ = T.split_train_test(df, "o_orderkey")
+    return T.capped_categories(train, _ONEHOT_COLS)
+
+
+@register("T11_union_feedback", with_views("""
+SELECT CAST(event_id AS BIGINT) AS id, value, event_type AS target, CAST(NULL AS VARCHAR) AS k FROM events
+UNION ALL
+SELECT NULL, NULL, actual, json_extract_string(input_json, '$.k') FROM v_pred_log WHERE actual IS NOT NULL""",
+    "v_pred_log"))
+def q_t11(spark, d):
+    from modelkeep.plans.lifecycle import feedback_rows
+    base = table(spark, d, "events").select(F.col("event_id").alias("id"), "value",
+                                            F.col("event_type").alias("target"),
+                                            F.lit(None).cast("string").alias("k"))
+    fb = feedback_rows(V.v_pred_log(spark, d), "target").drop("prediction_id")
+    return T.union_feedback(base, fb, "target")
+
+
+@register("T12_class_counts", with_views(f"""
+SELECT 'cls' AS fixture, CAST(count(*) AS BIGINT) AS n_classes, CAST(min(n) AS BIGINT) AS min_class_count,
+       CAST(CASE WHEN count(*) > 30 THEN 0 ELSE least(3, min(n)) END AS BIGINT) AS folds
+FROM (SELECT quality, count(*) AS n FROM v_cls WHERE NOT {_test_flag_sql('CAST(doc_id AS VARCHAR)')} GROUP BY quality)
+UNION ALL
+SELECT 'reg', NULL, NULL, CAST(least(3, count(*)) AS BIGINT) FROM v_reg WHERE NOT {_test_flag_sql('k')}""",
+    "v_cls", "v_reg"))
+def q_t12(spark, d):
+    cls_train, _ = T.split_train_test(V.v_cls(spark, d), "doc_id")
+    reg_train, _ = T.split_train_test(V.v_reg(spark, d), "k")
+    a = T.cv_folds(cls_train, "quality", "classification").select(F.lit("cls").alias("fixture"), "*")
+    b = T.cv_folds(reg_train, "l_extendedprice", "regression").select(F.lit("reg").alias("fixture"), "*")
+    return a.unionByName(b)
