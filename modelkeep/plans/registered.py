@@ -1162,3 +1162,188 @@ def q_t12(spark, d):
     a = T.cv_folds(cls_train, "quality", "classification").select(F.lit("cls").alias("fixture"), "*")
     b = T.cv_folds(reg_train, "l_extendedprice", "regression").select(F.lit("reg").alias("fixture"), "*")
     return a.unionByName(b)
+
+
+# ------------------------------------------------------------ model fitting
+from modelkeep.operators import train as M  # noqa: E402
+from modelkeep.plans import lifecycle as L  # noqa: E402
+
+
+def _cls_setup(spark, d):
+    df = V.v_cls(spark, d)
+    dp = L.profile_dataset(df, "quality")
+    return df, dp
+
+
+def _reg_setup(spark, d):
+    df = V.v_reg(spark, d)
+    dp = L.profile_dataset(df, "l_extendedprice")
+    return df, dp
+
+
+def _assembled(df, dp, key, classes=None):
+    """Feature pipeline fitted on the training split; (train, test) frames
+    with ``features`` and ``label``."""
+    train, test = T.split_train_test(df.where(F.col(dp.target).isNotNull()), key)
+    if dp.problem_type == "classification" and classes is None:
+        classes = [r["label"] for r in T.encode_labels(train, dp.target).orderBy("idx").collect()]
+    lab = lambda x: x.withColumn("label", M.label_column(x, dp.target, classes)).where(F.col("label").isNotNull())
+    prep = T.feature_pipeline(dp.numerical, dp.categorical).fit(lab(train))
+    return prep.transform(lab(train)), prep.transform(lab(test)), classes
+
+
+def _predictions(model, test, key):
+    return model.transform(test).select(key, "label", "prediction")
+
+
+@register("T10_assemble_features")
+def q_t10(spark, d):
+    df, dp = _reg_setup(spark, d)
+    train, test, _ = _assembled(df, dp, "k")
+    from pyspark.ml.functions import vector_to_array
+    return train.unionByName(test).select("k", vector_to_array("features").alias("features"))
+
+
+@register("M1_fit_logistic")
+def q_m1(spark, d):
+    df, dp = _cls_setup(spark, d)
+    train, test, _ = _assembled(df, dp, "doc_id")
+    return _predictions(M.fit_logistic(train), test, "doc_id")
+
+
+@register("M2_fit_linear", """
+SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
+       round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem""")
+def q_m2(spark, d):
+    from pyspark.ml.feature import VectorAssembler
+    li = table(spark, d, "lineitem").select(F.col("l_quantity"), F.col("l_extendedprice").alias("label"))
+    x = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li)
+    model = M.make_estimator("linear", "regression", {}, 0).setSolver("normal").fit(x)
+    return spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))],
+                                 "slope double, intercept double").select(
+        F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
+@register("M3_fit_forest")
+def q_m3(spark, d):
+    df, dp = _reg_setup(spark, d)
+    train, test, _ = _assembled(df, dp, "k")
+    return _predictions(M.fit_forest(train, "regression", {"numTrees": 50, "maxDepth": 5, "minSplit": 2}), test, "k")
+
+
+@register("M4_fit_boosted_level")
+def q_m4(spark, d):
+    df, dp = _reg_setup(spark, d)
+    train, test, _ = _assembled(df, dp, "k")
+    return _predictions(M.fit_boosted_level(train, "regression", {"rounds": 50, "maxDepth": 3,
+                                                                  "learningRate": 0.1}), test, "k")
+
+
+@register("M5_fit_boosted_leaf")
+def q_m5(spark, d):
+    df, dp = _cls_setup(spark, d)
+    train, test, classes = _assembled(df, dp, "doc_id")
+    return _predictions(M.fit_boosted_leaf(train, "classification", {}, len(classes)), test, "doc_id")
+
+
+@register("M6_random_search")
+def q_m6(spark, d):
+    df, dp = _cls_setup(spark, d)
+    train, _ = T.split_train_test(df, "doc_id")
+    classes = [r["label"] for r in T.encode_labels(train, "quality").orderBy("idx").collect()]
+    folds = int(T.cv_folds(train, "quality", "classification").first()["folds"])
+    tl = train.withColumn("label", M.label_column(train, "quality", classes)) \
+        .withColumn("fold", M.fold_column(F.col("doc_id"), max(folds, 2)))
+    r = M.random_search("Logistic Regression", "logistic", "classification", tl, dp.numerical,
+                        dp.categorical, folds, len(classes))
+    return spark.createDataFrame([(r.name, str(r.setting), r.cv_metric)],
+                                 "algorithm string, setting string, cv_metric double")
+
+
+@register("M8_refit_full")
+def q_m8(spark, d):
+    df, dp = _cls_setup(spark, d)
+    best = M.SearchResult("Logistic Regression", "logistic", {"C": 1.0}, None, None)
+    classes = [r["label"] for r in T.encode_labels(df, "quality").orderBy("idx").collect()]
+    lab = df.withColumn("label", M.label_column(df, "quality", classes)).where(F.col("label").isNotNull())
+    model = M.refit_full(best, lab, "classification", dp.numerical, dp.categorical, len(classes))
+    return model.transform(lab).select("doc_id", "label", "prediction")
+
+
+def _auto_train_cls(spark, d):
+    df, dp = _cls_setup(spark, d)
+    return M.auto_train(df, dp.target, dp.problem_type, dp.numerical, dp.categorical, "doc_id")
+
+
+@register("M9_auto_train")
+def q_m9(spark, d):
+    return _auto_train_cls(spark, d).results_frame(spark)
+
+
+@register("M10_train_custom_estimator")
+def q_m10(spark, d):
+    from pyspark.ml.classification import LogisticRegression
+    df, dp = _cls_setup(spark, d)
+    _, metrics, _ = M.train_custom_estimator(LogisticRegression(maxIter=100), df, dp.target,
+                                             dp.problem_type, dp.numerical, dp.categorical, "doc_id")
+    return spark.createDataFrame([tuple(float(metrics[k]) for k in sorted(metrics))],
+                                 ", ".join(f"{k} double" for k in sorted(metrics)))
+
+
+@register("F2_score_batch")
+def q_f2(spark, d):
+    df, dp = _reg_setup(spark, d)
+    model, _, _ = M.train_custom_estimator(M.make_estimator("linear", "regression", {}, 0), df, dp.target,
+                                           dp.problem_type, dp.numerical, dp.categorical, "k")
+    return L.score_batch(model, df, None).select("k", "prediction")
+
+
+@register("F4_log_predictions")
+def q_f4(spark, d):
+    df, dp = _reg_setup(spark, d)
+    model, _, _ = M.train_custom_estimator(M.make_estimator("linear", "regression", {}, 0), df, dp.target,
+                                           dp.problem_type, dp.numerical, dp.categorical, "k")
+    return S.log_predictions(L.score_batch(model, df, None), 0, dp.numerical + dp.categorical)
+
+
+@register("P15_register_dataset")
+def q_p15(spark, d):
+    return L.register_dataset(V.v_dirty(spark, d), "orders_dirty.csv", key=["o_orderkey"])
+
+
+def _monitor_inputs(spark, d):
+    """Training data of the deployed models' datasets: the logged input
+    schema (``k``) read from the events themselves; current = the logs."""
+    m = _models(spark, d)
+    deps = _deps(spark, d, m)
+    ds = V.v_datasets(spark, d, m)
+    ev = table(spark, d, "events")
+    reference = ev.select(F.get_json_object("props", "$.k").alias("k"),
+                          F.col("event_type").alias("target"))
+    refs = {i: reference for i in range(V.N_DATASETS)}
+    return m, deps, ds, refs
+
+
+@register("D13_drift_monitor")
+def q_d13(spark, d):
+    m, deps, ds, refs = _monitor_inputs(spark, d)
+    report, feats, _ = L.drift_monitor(deps, m, ds, refs, V.v_pred_log(spark, d))
+    return report
+
+
+@register("F11_run_retraining")
+def q_f11(spark, d):
+    df, dp = _cls_setup(spark, d)
+    m = _models(spark, d)
+    deps = _deps(spark, d, m)
+    ds = V.v_datasets(spark, d, m)
+    result, decision = L.run_retraining(df, dp, "doc_id", None, m, deps, ds, dataset_id=0)
+    return decision.select("dataset_id", "active_model_id", "active_metric", "new_metric", "promoted", "message")
+
+
+@register("S1_scan_csv", """
+SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+def q_s1(spark, d):
+    from modelkeep.session import scratch_path
+    path = TB.write_csv(table(spark, d, "customer"), scratch_path(spark, "csv-customer"))
+    return TB.scan_csv(spark, path)
