@@ -78,6 +78,20 @@ def parse_number(text: Column) -> Column:
     return F.when(cleaned.rlike(NUMBER_PATTERN), cleaned.try_cast("double"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give per-row work at least one partition per core.
+
+    A small input that arrives as fewer partitions than the cluster has
+    cores (one Parquet row group) is round-robined to the default
+    parallelism before heavy per-row work; a large scan already has far
+    more partitions than cores and is returned unchanged (no shuffle).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def profile_columns(df: DataFrame) -> list[str]:
     """Columns a profile looks at: everything except nested/binary/vector."""
     return [f.name for f in df.schema.fields if not is_nested(f.dataType)]
@@ -86,7 +100,7 @@ def profile_columns(df: DataFrame) -> list[str]:
 def long_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Unpivot to ``(column, value)`` with values as text; NULLs kept."""
     cols = columns if columns is not None else profile_columns(df)
-    texts = df.select(*[as_text(df, c).alias(c) for c in cols])
+    texts = spread(df.select(*cols)).select(*[as_text(df, c).alias(c) for c in cols])
     return texts.unpivot([], cols, "column", "value")
 
 
@@ -103,53 +117,54 @@ def distinct_counts(vc: DataFrame) -> DataFrame:
             .groupBy("column").agg(F.count(F.lit(1)).alias("n_unique")))
 
 
-def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per column from a single aggregation pass.
-
-    ``(column, pos, numeric, n_rows, non_null, null_count, min, max, mean,
-    url_ratio)``; min/max/mean only for numeric columns, url_ratio only for
-    text.  Joined with ``distinct_counts`` where needed.
-    """
+def typed_value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``(column, num, txt, n)``: counts per distinct value, numeric columns
+    as double (no text cast), everything else as text; NULL included."""
     cols = columns if columns is not None else profile_columns(df)
-    n_rows = F.count(F.lit(1))
-    structs = []
-    for pos, name in enumerate(cols):
-        dt = df.schema[name].dataType
-        c = typed(df, name)
-        numeric = is_numeric_type(dt)
-        as_num = c.cast("double") if numeric else F.lit(None).cast("double")
-        url = (F.avg(F.when(c.isNotNull(), as_text(df, name).rlike(URL_PATTERN).cast("double")))
-               if not numeric else F.lit(None).cast("double"))
-        structs.append(F.struct(
-            F.lit(name).alias("column"),
-            F.lit(pos).alias("pos"),
-            F.lit(numeric).alias("numeric"),
-            n_rows.cast("long").alias("n_rows"),
-            F.count(c).cast("long").alias("non_null"),
-            (n_rows - F.count(c)).cast("long").alias("null_count"),
-            F.min(as_num).alias("min"),
-            F.max(as_num).alias("max"),
-            F.avg(as_num).alias("mean"),
-            url.alias("url_ratio"),
-        ))
-    return df.agg(F.array(*structs).alias("s")).select(F.inline("s"))
+    cells = []
+    for c in cols:
+        numeric = is_numeric_type(df.schema[c].dataType)
+        cells.append(F.struct(
+            F.lit(c).alias("column"),
+            (typed(df, c).cast("double") if numeric else F.lit(None).cast("double")).alias("num"),
+            (F.lit(None).cast("string") if numeric else as_text(df, c)).alias("txt")))
+    return (spread(df.select(*cols)).select(F.inline(F.array(*cells)))
+            .groupBy("column", "num", "txt").agg(F.count(F.lit(1)).alias("n")))
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``column_stats`` joined with exact distinct counts and dtypes.
+    """One row per column from ONE scan and one shuffle.
 
-    The join partner has one row per column, so the broadcast is bounded by
-    the schema width.
+    ``(column, pos, numeric, n_rows, non_null, null_count, n_unique, min,
+    max, mean, url_ratio, dtype)``.  Every statistic is derived from the
+    typed distinct-value counts: min/max/mean from numeric values weighted
+    by their counts, the URL share by testing each distinct text once.
     """
     cols = columns if columns is not None else profile_columns(df)
-    stats = column_stats(df, cols)
-    nuniq = distinct_counts(value_counts(df, cols))
-    out = (stats.join(F.broadcast(nuniq), "column", "left")
-           .withColumn("n_unique", F.coalesce("n_unique", F.lit(0)).cast("long")))
+    vc = typed_value_counts(df, cols)
+    present = F.col("num").isNotNull() | F.col("txt").isNotNull()
+    url = F.col("txt").rlike(URL_PATTERN).cast("double")
+    per = vc.groupBy("column").agg(
+        F.sum("n").cast("long").alias("n_rows"),
+        F.sum(F.when(present, F.col("n")).otherwise(0)).cast("long").alias("non_null"),
+        F.count_if(present).cast("long").alias("n_unique"),
+        F.min("num").alias("min"), F.max("num").alias("max"),
+        (F.sum(F.col("num") * F.col("n")) / F.sum(F.when(F.col("num").isNotNull(), F.col("n"))))
+        .alias("mean"),
+        (F.sum(F.when(F.col("txt").isNotNull(), url * F.col("n")))
+         / F.sum(F.when(F.col("txt").isNotNull(), F.col("n")))).alias("url_ratio"))
+    pos = F.element_at(F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))]),
+                       F.col("column"))
+    numeric = F.col("column").isin([c for c in cols if is_numeric_type(df.schema[c].dataType)] or [""])
+    out = per.select(
+        "column", pos.cast("int").alias("pos"), numeric.alias("numeric"), "n_rows", "non_null",
+        (F.col("n_rows") - F.col("non_null")).alias("null_count"), "n_unique",
+        F.when(numeric, F.col("min")).alias("min"), F.when(numeric, F.col("max")).alias("max"),
+        F.when(numeric, F.col("mean")).alias("mean"),
+        F.when(~numeric, F.col("url_ratio")).alias("url_ratio"))
     dtype_expr = None
     for c in cols:
-        dt = df.schema[c].dataType
-        e = pandas_dtype(dt, F.col("null_count") > 0)
+        e = pandas_dtype(df.schema[c].dataType, F.col("null_count") > 0)
         dtype_expr = (F.when(F.col("column") == c, e) if dtype_expr is None
                       else dtype_expr.when(F.col("column") == c, e))
     return out.withColumn("dtype", dtype_expr if dtype_expr is not None else F.lit("object"))

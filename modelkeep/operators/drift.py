@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from modelkeep.functions.ordered import exact_median, running_sums
 from modelkeep.functions.pvalues import chi2_pvalue, ks_pvalue_col, z_pvalue
-from modelkeep.functions.values import is_numeric_type, typed
+from modelkeep.functions.values import is_numeric_type, spread, typed
 
 # Gate, test selection and thresholds of the drift preset.
 MIN_CURRENT_ROWS = 5
@@ -99,7 +99,7 @@ def long_counts(ref: DataFrame, cur: DataFrame, numeric: list[str], text: list[s
             out = out.unionByName(p)
         return out.withColumn("grp", F.lit(grp))
 
-    both = side(ref, 0).unionByName(side(cur, 1))
+    both = spread(side(ref, 0).unionByName(side(cur, 1)))
     return both.groupBy("feature", "grp", "num", "cat").agg(F.count(F.lit(1)).alias("n"))
 
 
