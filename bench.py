@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from modelkeep.functions.values import column_profile  # noqa: E402
+from modelkeep.functions.values import spread  # noqa: E402
 from modelkeep.operators import drift as D  # noqa: E402
 from modelkeep.operators import evaluate as E  # noqa: E402
 from modelkeep.operators import profile as P  # noqa: E402
@@ -49,7 +49,7 @@ def main():
     li = table(spark, sf_dir, "lineitem")
     reg = V.v_reg(spark, sf_dir)
     reg_dp = L.profile_dataset(reg, "l_extendedprice")
-    train, test = T.split_train_test(reg, "k")
+    train, test = T.split_train_test(spread(reg), "k")
     prep = T.feature_pipeline(reg_dp.numerical, reg_dp.categorical).fit(
         train.withColumn("label", F.col("l_extendedprice")))
     reg_train = prep.transform(train.withColumn("label", F.col("l_extendedprice"))).persist()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelkeep.functions.ordered import exact_median, running_sums
+from modelkeep.functions.ordered import MAX_ROWS_PER_BUCKET, exact_median, running_sums
 from modelkeep.functions.pvalues import chi2_pvalue, ks_pvalue_col, z_pvalue
 from modelkeep.functions.values import is_numeric_type, spread, typed
 
@@ -160,10 +160,13 @@ def ordered_statistics(aligned: DataFrame, tests: DataFrame) -> DataFrame:
     |F - G| over the value axis (Wasserstein) and the reference population
     variance.  ``tests`` has one row per feature, hence the broadcast.
     """
-    info = F.broadcast(tests.where(F.col("test_name").isin(TEST_KS, TEST_WASSERSTEIN))
-                       .select("feature", "n_ref", "n_cur", "mu"))
+    ordered = tests.where(F.col("test_name").isin(TEST_KS, TEST_WASSERSTEIN))
+    info = F.broadcast(ordered.select("feature", "n_ref", "n_cur", "mu"))
     a = aligned.where(F.col("num").isNotNull()).join(info, "feature")
-    cum = running_sums(a, ["feature"], ["num"], ["ref_n", "cur_n"], with_next=True)
+    # the distinct-value count per feature is known: size the buckets from it
+    widest = ordered.agg(F.max("n_values")).first()[0] or 0
+    buckets = max(1, -(-widest // MAX_ROWS_PER_BUCKET))
+    cum = running_sums(a, ["feature"], ["num"], ["ref_n", "cur_n"], with_next=True, buckets=buckets)
     gap = F.coalesce(F.col("num_next") - F.col("num"), F.lit(0.0))
     diff = F.abs(F.col("ref_n_cum") / F.col("n_ref") - F.col("cur_n_cum") / F.col("n_cur"))
     return cum.groupBy("feature").agg(
@@ -217,10 +220,14 @@ def drift_statistics(aligned: DataFrame, tests: DataFrame) -> DataFrame:
     dof = F.when(t == TEST_CHI2, F.col("n_values") - 1)
     out = stats.select("feature", "feature_type", "test_name", "n_ref", "n_cur", "n_values",
                        statistic.alias("statistic"), dof.alias("dof"))
-    # One row per feature: the p-value UDFs see a handful of rows.
-    p_value = (F.when(t == TEST_KS, ks_pvalue_col(F.col("statistic"), n, m))
-               .when(t == TEST_CHI2, chi2_pvalue(F.col("statistic"), F.col("dof").cast("double")))
-               .when(t == TEST_Z, z_pvalue(F.col("statistic"))))
+    # One row per feature: the p-value UDFs see a handful of rows, and are
+    # only planned when a chi-square or z test was chosen.
+    chosen = {r["test_name"] for r in tests.select("test_name").distinct().collect()}
+    p_value = F.when(t == TEST_KS, ks_pvalue_col(F.col("statistic"), n, m))
+    if TEST_CHI2 in chosen:
+        p_value = p_value.when(t == TEST_CHI2, chi2_pvalue(F.col("statistic"), F.col("dof").cast("double")))
+    if TEST_Z in chosen:
+        p_value = p_value.when(t == TEST_Z, z_pvalue(F.col("statistic")))
     return out.withColumn("p_value", p_value)
 
 

@@ -1184,7 +1184,8 @@ def _reg_setup(spark, d):
 def _assembled(df, dp, key, classes=None):
     """Feature pipeline fitted on the training split; (train, test) frames
     with ``features`` and ``label``."""
-    train, test = T.split_train_test(df.where(F.col(dp.target).isNotNull()), key)
+    from modelkeep.functions.values import spread
+    train, test = T.split_train_test(spread(df.where(F.col(dp.target).isNotNull())), key)
     if dp.problem_type == "classification" and classes is None:
         classes = [r["label"] for r in T.encode_labels(train, dp.target).orderBy("idx").collect()]
     lab = lambda x: x.withColumn("label", M.label_column(x, dp.target, classes)).where(F.col("label").isNotNull())
