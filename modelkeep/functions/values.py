@@ -1,10 +1,11 @@
-"""Column kinds, numeric parsing and the shared ``value_counts`` frame.
-
-``value_counts`` is the one shuffle that serves distinct counts, modes,
-category caps and drift histograms: every column is unpivoted (an Expand,
-no arrays) to ``(column, value)`` and grouped.  The partial aggregation on
-the map side collapses hot values before the shuffle, so a value holding a
-third of all rows costs one row per input partition.
+"""Column kinds, numeric parsing and the shared value-count frames.
+
+Distinct counts, modes, category caps and the whole column profile come
+from counting each column's distinct values once: every column is
+unpivoted to ``(column, value)`` rows and grouped.  The partial
+aggregation on the map side collapses hot values before the shuffle, so a
+value holding a third of all rows costs one row per input partition, and
+per-value work (regex tests, parsing) runs once per distinct value.
 """
 
 from __future__ import annotations

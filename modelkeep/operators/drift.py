@@ -333,7 +333,8 @@ def drift_report(ref: DataFrame, cur: DataFrame, target: str | None = None,
             "drift_score double, number_of_columns bigint, number_of_drifted_columns bigint, "
             "has_drift boolean, message string")
         return empty, summary
-    feats = feature_drift(ref, cur, target)
+    # one row per feature: kept so the summary does not recompute the tests
+    feats = feature_drift(ref, cur, target).persist()
     return feats, drift_score(feats, threshold)
 
 

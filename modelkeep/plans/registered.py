@@ -13,11 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelkeep.functions.values import column_profile
 from modelkeep.operators import profile as P
 from modelkeep.operators import quality as Q
 from modelkeep.plans.oracle import (
-    SPECS, coerced_view, ignorable_sql, parse_sql, profile_sql, text_sql, unpivot_text_sql)
+    SPECS, coerced_view, ignorable_sql, parse_sql, profile_sql, unpivot_text_sql)
 from modelkeep.sources import fixtures as V
 from modelkeep.sources.fixtures import with_views
 from modelkeep.sources.tables import table
