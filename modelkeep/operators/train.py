@@ -240,7 +240,9 @@ def auto_train(df: DataFrame, target: str, problem: str, numerical: list[str],
     """M9 (with M6-M8): split, encode, search every candidate, pick the best
     test score (strict ``>``: the earlier candidate wins a tie), refit it on
     every row whose class is known."""
-    data = df.where(F.col(target).isNotNull()).select(key, *numerical, *categorical, target)
+    # the key may itself be a feature (a numeric id the rule profile keeps)
+    cols = list(dict.fromkeys([key, *numerical, *categorical, target]))
+    data = df.where(F.col(target).isNotNull()).select(*cols)
     train, test = split_train_test(data, key)
     classes = None
     if problem == "classification":

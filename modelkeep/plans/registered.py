@@ -995,7 +995,7 @@ def q_s4(spark, d):
 
 
 @register("S5_scan_inputs_json", """
-SELECT event_id AS prediction_id, json_extract_string(props, '$.k') AS k FROM events""")
+SELECT event_id AS prediction_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def q_s5(spark, d):
     return TB.scan_inputs_json(V.v_pred_log(spark, d), keep=["prediction_id"])
 
@@ -1135,15 +1135,15 @@ def q_t9(spark, d):
 
 
 @register("T11_union_feedback", with_views("""
-SELECT CAST(event_id AS BIGINT) AS id, value, event_type AS target, CAST(NULL AS VARCHAR) AS k FROM events
+SELECT CAST(event_id AS BIGINT) AS id, value, event_type AS target, CAST(NULL AS BIGINT) AS k FROM events
 UNION ALL
-SELECT NULL, NULL, actual, json_extract_string(input_json, '$.k') FROM v_pred_log WHERE actual IS NOT NULL""",
+SELECT NULL, NULL, actual, CAST(json_extract(input_json, '$.k') AS BIGINT) FROM v_pred_log WHERE actual IS NOT NULL""",
     "v_pred_log"))
 def q_t11(spark, d):
     from modelkeep.plans.lifecycle import feedback_rows
     base = table(spark, d, "events").select(F.col("event_id").alias("id"), "value",
                                             F.col("event_type").alias("target"),
-                                            F.lit(None).cast("string").alias("k"))
+                                            F.lit(None).cast("bigint").alias("k"))
     fb = feedback_rows(V.v_pred_log(spark, d), "target").drop("prediction_id")
     return T.union_feedback(base, fb, "target")
 
@@ -1318,7 +1318,7 @@ def _monitor_inputs(spark, d):
     deps = _deps(spark, d, m)
     ds = V.v_datasets(spark, d, m)
     ev = table(spark, d, "events")
-    reference = ev.select(F.get_json_object("props", "$.k").alias("k"),
+    reference = ev.select(F.get_json_object("props", "$.k").cast("bigint").alias("k"),
                           F.col("event_type").alias("target"))
     refs = {i: reference for i in range(V.N_DATASETS)}
     return m, deps, ds, refs

@@ -107,23 +107,55 @@ def preview(df: DataFrame, order_by: list[str], n: int = 10) -> DataFrame:
     return top.select(*[F.coalesce(as_text(top, c), F.lit("")).alias(c) for c in df.columns])
 
 
+_VARIANT_TYPES = {"BIGINT": "bigint", "INT": "bigint", "SMALLINT": "bigint", "TINYINT": "bigint",
+                  "DOUBLE": "double", "FLOAT": "double", "BOOLEAN": "boolean", "STRING": "string",
+                  "DATE": "string", "TIMESTAMP": "string", "TIMESTAMP_NTZ": "string"}
+
+
+def _object_fields(ddl: str) -> list[tuple[str, str]]:
+    """``OBJECT<a: BIGINT, b: DECIMAL(9,2)>`` -> [(a, bigint), (b, double)];
+    nested values stay JSON text."""
+    body = ddl.strip()
+    if not body.startswith("OBJECT<"):
+        return []
+    body = body[len("OBJECT<"):-1]
+    fields, depth, cur = [], 0, ""
+    for ch in body + ",":
+        if ch in "<(":
+            depth += 1
+        elif ch in ">)":
+            depth -= 1
+        if ch == "," and depth == 0:
+            if cur.strip():
+                name, _, typ = cur.strip().partition(": ")
+                base = typ.split("(")[0].split("<")[0].strip()
+                spark_type = "double" if base == "DECIMAL" else _VARIANT_TYPES.get(base, "string")
+                fields.append((name.strip("`"), spark_type))
+            cur = ""
+        else:
+            cur += ch
+    return fields
+
+
 def scan_inputs_json(log: DataFrame, column: str = "input_json",
                      schema: T.StructType | str | None = None,
                      keep: list[str] | None = None) -> DataFrame:
     """Logged JSON objects -> columns; union of keys, missing key -> NULL.
 
     With the deployment's schema this is one ``from_json``.  Without one the
-    schema is inferred by ``schema_of_json_agg``-style merging: the set of
-    keys is aggregated (bounded by the key vocabulary) and every value read
-    as text, which is what a dict-of-rows frame holds before typing.
+    merged schema of all objects is one distributed aggregate
+    (``schema_of_variant_agg``: numbers stay numbers, as in a frame built
+    from the logged dicts), then each key is read with ``try_variant_get``.
     """
     keep = keep or []
-    if schema is None:
-        keys = (log.select(F.explode(F.json_object_keys(F.col(column))).alias("k"))
-                .distinct().orderBy("k").collect())
-        schema = T.StructType([T.StructField(r["k"], T.StringType()) for r in keys])
-    parsed = log.select(*keep, F.from_json(F.col(column), schema).alias("__j"))
-    return parsed.select(*keep, "__j.*")
+    if schema is not None:
+        parsed = log.select(*keep, F.from_json(F.col(column), schema).alias("__j"))
+        return parsed.select(*keep, "__j.*")
+    v = log.select(*keep, F.try_parse_json(F.col(column)).alias("__v"))
+    ddl = v.select(F.schema_of_variant_agg("__v")).first()[0] or ""
+    fields = _object_fields(ddl)
+    return v.select(*keep, *[
+        F.try_variant_get("__v", "$['" + k.replace("'", "\\'") + "']", t).alias(k) for k, t in fields])
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append", id_col: str | None = "id") -> DataFrame:
