@@ -67,9 +67,9 @@ def register_dataset(df: DataFrame, name: str, target: str | None = None,
         raise ValueError("Dataset is empty.")
     dp = profile_dataset(df, target)
     meta = dp.profile.select(
-        "column", F.to_json(F.struct("type", "null_count", "dtype",
-                                     F.struct("min", "max", "mean", "unique_count").alias("stats"),
-                                     "role", "explanation")).alias("m"))
+        "column", F.struct("type", "null_count", "dtype",
+                           F.struct("min", "max", "mean", "unique_count").alias("stats"),
+                           "role", "explanation").alias("m"))
     meta_json = meta.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("column", "m"))))
                          .alias("j")).first()["j"]  # one entry per column
     if key:
