@@ -93,6 +93,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+ROWS_PER_TASK = 50_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """Partition a frame of known row count for iterative work (model fits
+    run one job per tree level / iteration, so a task per core only pays
+    off with enough rows per task).  Target: one partition per
+    ``ROWS_PER_TASK`` rows, at most one per core; large frames that already
+    have more partitions than that are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    target = max(1, min(cores, -(-rows // ROWS_PER_TASK)))
+    current = df.rdd.getNumPartitions()
+    if current < target:
+        return df.repartition(target)
+    if current > target and rows < ROWS_PER_TASK * current:
+        return df.coalesce(target)
+    return df
+
+
 def profile_columns(df: DataFrame) -> list[str]:
     """Columns a profile looks at: everything except nested/binary/vector."""
     return [f.name for f in df.schema.fields if not is_nested(f.dataType)]

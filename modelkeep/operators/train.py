@@ -24,7 +24,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelkeep.functions.values import spread
+from modelkeep.functions.values import sized
 from modelkeep.operators import evaluate as E
 from modelkeep.operators.prep import (SPLIT_SEED, cv_folds, encode_labels, feature_pipeline,
                                       grid_settings, split_train_test, _label_text)
@@ -120,6 +120,18 @@ def fit_boosted_leaf(train: DataFrame, problem: str, setting: dict | None = None
     return make_estimator("boosted_leaf", problem, setting or {}, 0, n_classes).fit(train)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Persist a frame that many fits will read, partitioned by its size."""
+    df = df.persist()
+    rows = df.count()
+    out = sized(df, rows)
+    if out is not df:
+        out = out.persist()
+        out.count()
+        df.unpersist()
+    return out
+
+
 def label_column(df: DataFrame, target: str, classes: list[str] | None):
     """Index of the class in ``classes`` (sorted text), or the numeric target."""
     if classes is None:
@@ -250,8 +262,8 @@ def auto_train(df: DataFrame, target: str, problem: str, numerical: list[str],
     folds_row = cv_folds(train, target, problem).first()
     folds = int(folds_row["folds"] or 0)
     lab = lambda d: d.withColumn("label", label_column(d, target, classes)).where(F.col("label").isNotNull())
-    train_l = spread(lab(train).withColumn("fold", fold_column(F.col(key), max(folds, 2)))).persist()
-    test_l = spread(lab(test)).persist()
+    train_l = _kept(lab(train).withColumn("fold", fold_column(F.col(key), max(folds, 2))))
+    test_l = _kept(lab(test))
     if test_l.isEmpty():
         test_l = train_l
     n_classes = len(classes) if classes else 0
@@ -273,7 +285,7 @@ def auto_train(df: DataFrame, target: str, problem: str, numerical: list[str],
     for r in results[1:]:
         if (r.metrics.get(metric) or float("-inf")) > (best.metrics.get(metric) or float("-inf")):
             best = r
-    final = refit_full(best, spread(lab(data)), problem, numerical, categorical, n_classes)
+    final = refit_full(best, _kept(lab(data)), problem, numerical, categorical, n_classes)
     train_l.unpersist()
     return TrainResult(problem, target, classes, results, best, final, numerical, categorical)
 
@@ -300,8 +312,8 @@ def train_custom_estimator(estimator, df: DataFrame, target: str, problem: str,
     lab = lambda d: d.withColumn("label", label_column(d, target, classes)).where(F.col("label").isNotNull())
     pipe = estimator if isinstance(estimator, Pipeline) else Pipeline(
         stages=feature_pipeline(numerical, categorical).getStages() + [estimator])
-    model = pipe.fit(spread(lab(train)))
+    model = pipe.fit(_kept(lab(train)))
     test_l = lab(test)
     metrics = evaluate_model(model, test_l if not test_l.isEmpty() else lab(train), problem, classes)
-    final = pipe.fit(spread(lab(data)))
+    final = pipe.fit(_kept(lab(data)))
     return final, metrics, classes
