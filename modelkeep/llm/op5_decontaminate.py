@@ -224,10 +224,10 @@ win AS (
 doc AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
 size AS (SELECT DISTINCT n FROM win),
-at AS (
+place AS (
   SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS t
   FROM doc, size, LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS s) WHERE len(w) >= n),
-hit AS (SELECT a.doc_id, a.s, a.n, w.item_id FROM at a JOIN win w ON a.t = w.t AND a.n = w.n),
+hit AS (SELECT a.doc_id, a.s, a.n, w.item_id FROM place a JOIN win w ON a.t = w.t AND a.n = w.n),
 word AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from modelkeep.llm.op3_simhash import op3_simhash
+from modelkeep.llm.op4_pii import op4_pii
 from modelkeep.llm.op5_decontaminate import OP5_SQL, op5_decontamination
+from modelkeep.llm.op7_bpe import op7_bpe
+from modelkeep.llm.op8_substrings import OP8_SQL, op8_substrings
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
+    "op7_bpe": op7_bpe,
+    "op8_substrings": op8_substrings,
 }
 
 ORACLE = {
     "op5_decontamination": OP5_SQL,
+    "op8_substrings": OP8_SQL,
 }
