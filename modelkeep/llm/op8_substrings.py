@@ -151,16 +151,16 @@ def repeated_spans(docs: DataFrame, window: int = 20, anchor: int = 8) -> DataFr
     return later.unionByName(branches)
 
 
-def _keep_words(text: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
+def _keep_words(text: pa.Array, spans: pa.Array) -> pa.Array:
+    """The words of each text outside its spans, each of which is start * 2^32 + length."""
     kept, n_words, n_removed = [], [], []
-    for own, at, long in zip(text, starts, lengths):
+    for own, at in zip(text, spans):
         words = own.as_py().encode().split()
         n_words.append(len(words))
         if at.is_valid and len(at.values):
-            begin = at.values.to_numpy(zero_copy_only=False)
-            gone = np.zeros(len(words) + 1, np.int64)
-            np.add.at(gone, begin, 1)
-            np.add.at(gone, begin + long.values.to_numpy(zero_copy_only=False), -1)
+            span = at.values.to_numpy()
+            begin, end = span >> 32, (span >> 32) + (span & 0xFFFFFFFF)
+            gone = np.bincount(begin, minlength=len(words) + 1) - np.bincount(end, minlength=len(words) + 1)
             words = [w for w, g in zip(words, np.cumsum(gone).tolist()) if not g]
         n_removed.append(n_words[-1] - len(words))
         kept.append(b" ".join(words).decode())
@@ -180,13 +180,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     settle(docs.sparkSession)
     own = _documents(docs, id_col, text_col)
-    spans = repeated_spans(own, window, anchor).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    packed = F.shiftleft(F.col("start").cast("long"), 32) + F.col("length")
+    spans = repeated_spans(own, window, anchor).groupBy("doc", "text_hash").agg(F.collect_list(packed).alias("spans"))
     d, t, s, k = (fresh(docs, name) for name in ("span_doc", "span_hash", "spans", "kept_words"))
     spans = spans.select(apart(F.col("doc")).alias(d), F.col("text_hash").alias(t), F.col("spans").alias(s))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     joined = docs.join(spans, (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)) == F.col(d)) & (F.hash(text) == F.col(t)), "left")
     keep_words = arrow_udf(_keep_words, "n_words long, n_removed long, kept string")
-    kept = joined.withColumn(k, keep_words(text, F.col(f"{s}.start"), F.col(f"{s}.length")))
+    kept = joined.withColumn(k, keep_words(text, F.col(s)))
     return kept.select(*docs.columns, F.col(f"{k}.n_words").alias(fresh(docs, "n_words")), F.col(f"{k}.n_removed").alias(fresh(docs, "n_removed")),
                        F.col(f"{k}.kept").alias(fresh(docs, "kept")))
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 #: `[^\x20\x09-\x0D]+`, byte by byte (every byte of a longer UTF-8 character belongs to the word).
 NOT_SPACE = np.ones(256, bool)
