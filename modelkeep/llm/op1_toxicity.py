@@ -28,6 +28,7 @@ from pyspark.sql.functions import arrow_udf
 
 from modelkeep.llm import words as W
 from modelkeep.llm.common import fold, per_batch, settle, staged
+from modelkeep.llm.logistic import regression
 
 # The grammar's words in English, German, French and Spanish.
 INSULTS = ("idiot moron stupid loser worthless pathetic disgusting scum trash clown imbecile dumbass "
@@ -285,34 +286,6 @@ def _learn_stems(sample: DataFrame) -> dict[str, float]:
     return chosen
 
 
-def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps; the constant isn't shrunk, and no
-    feature but those of weakened matches may lower a score."""
-    x = np.column_stack([x, np.ones(len(x))])
-    free = np.ones(x.shape[1], bool)
-    w = np.zeros(x.shape[1])
-    for _ in range(4):
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            penalty = np.full(len(w), ridge)
-            penalty[-1] = 1e-6
-            gradient = (x.T @ (y - p) - penalty * w) * free
-            hessian = (x.T * (p * (1 - p) + 1e-9)) @ x + np.diag(penalty)
-            hessian[~free] = hessian[:, ~free] = 0
-            hessian[~free, ~free] = 1
-            step = np.linalg.solve(hessian, gradient)
-            w += step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
-            if np.abs(step).max() < 1e-6:
-                break
-        down = (w < 0) & free
-        down[-1] = False
-        if not down.any():
-            break
-        free &= ~down
-        w[down] = 0
-    return w
-
-
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         bound: int = SAMPLE) -> Model:
     """A model from labelled documents for which ``train`` holds.
@@ -334,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     if not (0 < y.sum() < len(y)):
         return Model(grammar, np.array([1.0, 0.5, *np.zeros(len(OUTPUTS)), -2.5]))
     x = np.array(rows["x"].to_pylist())
-    return Model(grammar, _regression(x, y))
+    return Model(grammar, regression(x, y, only_raise=True))
 
 
 def score_column(spark, model: Model):

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from modelkeep.llm.common import settle, staged
 
-#: Queries and candidates of a cell, about.
-QUERIES, CANDIDATES = 1024, 32768
+#: Queries and candidates of a cell, about, at most; and the least number of cells, so that a small table spreads too.
+QUERIES, CANDIDATES, CELLS = 1024, 32768, 48
 
 #: Candidates that go through the dimensions together, and dimensions of a block.
 CHUNK, BLOCK = 4096, 16
@@ -117,6 +117,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
     rows = staged(quantised(vectors, id_col, vector_col, scale), "vectors").withColumn("dims", F.size("v"))
     n_rows, n_queries = rows.agg(F.count("*"), F.count_if(queries)).first()
     down, across = max(1, math.ceil(n_queries / QUERIES)), max(1, math.ceil(n_rows / CANDIDATES))
+    across = max(across, math.ceil(CELLS / down))
     place = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # Each cell has a row of its own in this table, a query's copies and a candidate's go to the cells of its row or column.
