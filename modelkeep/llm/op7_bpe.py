@@ -76,8 +76,9 @@ class Automaton:
         self.cells: dict[tuple[int, int], bool] = {}
         for rank, (u, v) in enumerate(merges):
             a, b = vocabulary[u], vocabulary[v]
-            # A merge whose pair the automaton can't read never happens.
-            if (a, b) in self.taken or not self._arc(a, b, rank):
+            # A merge whose halves are never made, or never read one after the other, never happens.
+            made = all(len(self.label[x]) == 1 or x in self.halves for x in (a, b))
+            if not made or (a, b) in self.taken or not self._arc(a, b, rank):
                 continue
             self.taken[a, b] = rank
             self.halves.setdefault(vocabulary[u + v], (rank, a, b))
