@@ -30,6 +30,12 @@ def model_score(models: DataFrame):
     return F.coalesce(F.col("f1_score"), F.col("r2_score"), F.lit(0.0))
 
 
+def next_record_id(table: DataFrame) -> int:
+    """The smallest id after all ids of a table; 0 for an empty one."""
+    last = table.agg(F.max("id")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def next_version(models: DataFrame) -> DataFrame:
     """``(dataset_id, next_version)`` = models of the dataset + 1."""
     return models.groupBy("dataset_id").agg((F.count(F.lit(1)) + 1).cast("long").alias("next_version"))
@@ -78,9 +84,20 @@ def job_counts(models: DataFrame) -> DataFrame:
         F.count_if(st == FAILED).cast("long").alias("failed"))
 
 
+def jobs_not_done(models: DataFrame) -> DataFrame:
+    """The jobs that wait, run or failed, newest first."""
+    left = models.where(F.col("status").isin(PENDING, TRAINING, FAILED))
+    return left.orderBy(F.col("created_at").desc(), F.col("id").desc())
+
+
+#: Metrics that a model row can carry.
+METRICS = ("accuracy", "f1_score", "precision", "recall", "roc_auc", "r2_score", "mae", "mse", "rmse")
+
+
 def metrics_map(models: DataFrame):
     """Numeric metrics of a model as a map (NULL entries dropped)."""
-    m = F.create_map(F.lit("f1_score"), F.col("f1_score"), F.lit("r2_score"), F.col("r2_score"))
+    have = [name for name in METRICS if name in models.columns]
+    m = F.create_map(*[x for name in have for x in (F.lit(name), F.col(name).cast("double"))])
     return F.map_filter(m, lambda k, v: v.isNotNull() & ~F.isnan(v))
 
 
@@ -121,7 +138,7 @@ def set_active(deployments: DataFrame, models: DataFrame, model_id: int) -> Data
         raise ValueError("Cannot deploy a model that is not in 'DONE' state.")
     updated = deployments.withColumn(
         "status", F.when(F.col("model_id") == model_id, F.lit(ACTIVE)).otherwise(F.lit(INACTIVE)))
-    next_id = (deployments.agg(F.max("id")).first()[0] or -1) + 1
+    next_id = next_record_id(deployments)
     new = (m.join(deployments.select(F.col("model_id").alias("id")), "id", "left_anti")
            .select(F.lit(next_id).cast("long").alias("id"), F.col("id").alias("model_id"),
                    F.lit(ACTIVE).alias("status"),
@@ -177,7 +194,7 @@ def apply_promotions(deployments: DataFrame, decisions: DataFrame) -> DataFrame:
     base = (deployments.join(retired, "id", "left")
             .withColumn("status", F.when(F.col("__retire"), F.lit(INACTIVE)).otherwise(F.col("status")))
             .drop("__retire"))
-    next_id = (deployments.agg(F.max("id")).first()[0] or -1) + 1
+    next_id = next_record_id(deployments)
     new = won.select((F.lit(next_id) + F.col("dataset_id")).cast("long").alias("id"),
                      F.col("new_model_id").alias("model_id"), F.lit(ACTIVE).alias("status"),
                      "drift_threshold", "performance_threshold")

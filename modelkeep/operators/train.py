@@ -1,10 +1,10 @@
 """Model fitting: M1-M10 with Spark ML.
 
-Every candidate is ``Pipeline(feature stages + estimator)`` so the
-preparation is refit inside each cross-validation fold.  The random search
-draws 3 settings (seeded) and runs ``CrossValidator`` with a hash fold
-column (deterministic under recomputation) and parallel fits; the winner
-is refit on the whole training split by CrossValidator, evaluated on the
+The preparation is refit inside each cross-validation fold, once: its
+assembled frames (``prepare_folds``) are shared by all settings of all
+candidates.  Folds are stratified by class and deterministic under
+recomputation.  The random search draws 3 settings (seeded) and fits them in
+parallel; the winner is refit on the whole training split, evaluated on the
 test split, and the best candidate is refit on every labelled row.
 """
 
@@ -20,19 +20,19 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsR
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelkeep.functions.values import sized
+from modelkeep.functions.values import parse_number, sized
 from modelkeep.operators import evaluate as E
 from modelkeep.operators.prep import (SPLIT_SEED, cv_folds, encode_labels, feature_pipeline,
                                       grid_settings, split_train_test, _label_text)
+from modelkeep.operators.profile import coerce_report
 
 # Candidate grids and defaults of the reference's search.
 N_SETTINGS = 3
-UNBOUNDED_FOREST_DEPTH = 15     # Spark trees need a depth; "no limit" maps here
-UNBOUNDED_LEAF_DEPTH = 8
+FOREST_DEPTH = 30               # "no limit": the deepest tree Spark grows
+LEAF_DEPTH = 8                  # of boosted trees without a limit, which boosting keeps small
 LEAF_MIN_INSTANCES = 20
 LEAF_SUBSAMPLE = 0.8
 CV_PARALLELISM = 4
@@ -59,16 +59,18 @@ CANDIDATES = {
 }
 
 
-def _forest_depth(d):
-    return UNBOUNDED_FOREST_DEPTH if d is None else int(d)
-
-
 def _min_instances(split):
     return 1 if int(split) <= 2 else 2
 
 
-def make_estimator(kind: str, problem: str, setting: dict, n_train: int, n_classes: int = 2):
-    """M1-M5: the Spark ML estimator for one candidate setting."""
+def make_estimator(kind: str, problem: str, setting: dict, n_train: int, n_classes: int = 2,
+                   forest_depth: int = FOREST_DEPTH, leaf_depth: int = LEAF_DEPTH):
+    """M1-M5: the Spark ML estimator for one candidate setting.
+
+    ``forest_depth`` and ``leaf_depth`` stand for "no limit" in forests and in
+    boosted trees grown by leaves; ``n_train`` is the number of rows it will
+    be fitted to.
+    """
     s = {**DEFAULTS[kind], **setting}
     cls = problem == "classification"
     if kind == "logistic":
@@ -78,13 +80,13 @@ def make_estimator(kind: str, problem: str, setting: dict, n_train: int, n_class
     if kind == "linear":
         return LinearRegression(regParam=0.0, elasticNetParam=0.0, standardization=False)
     if kind == "forest":
-        args = dict(numTrees=int(s["numTrees"]), maxDepth=_forest_depth(s["maxDepth"]),
+        args = dict(numTrees=int(s["numTrees"]), maxDepth=forest_depth if s["maxDepth"] is None else int(s["maxDepth"]),
                     minInstancesPerNode=_min_instances(s["minSplit"]), seed=SPLIT_SEED)
-        return RandomForestClassifier(**args) if cls else RandomForestRegressor(**args)
+        return RandomForestClassifier(**args) if cls else RandomForestRegressor(featureSubsetStrategy="all", **args)
     depth = int(s["maxDepth"])
     args = dict(maxIter=int(s["rounds"]), stepSize=float(s["learningRate"]), seed=SPLIT_SEED)
     if kind == "boosted_leaf":
-        args.update(maxDepth=UNBOUNDED_LEAF_DEPTH if depth < 0 else depth,
+        args.update(maxDepth=leaf_depth if depth < 0 else depth,
                     minInstancesPerNode=LEAF_MIN_INSTANCES, subsamplingRate=LEAF_SUBSAMPLE)
     else:
         args.update(maxDepth=depth)
@@ -140,9 +142,28 @@ def label_column(df: DataFrame, target: str, classes: list[str] | None):
     return F.when(pos > 0, (pos - 1).cast("double"))
 
 
-def fold_column(key, folds: int):
-    """Deterministic fold id 0..k-1 from the row key."""
-    return F.pmod(F.xxhash64(key.cast("string"), F.lit(SPLIT_SEED)), F.lit(folds)).cast("int")
+ROWS_PER_FOLD_BUCKET = 100_000
+
+
+def with_folds(train: DataFrame, key: str, folds: int, rows: int, by: str | None = None) -> DataFrame:
+    """``train`` with ``fold`` 0..folds-1, balanced within each value of ``by``.
+
+    Rows of a class are counted in the order of their key's hash and dealt
+    out in turn.  The count is a window inside hash buckets plus each bucket's
+    offset, so a class with most of the rows is numbered by many tasks.
+    """
+    group = F.col(by) if by else F.lit(0)
+    buckets = max(1, -(-rows // ROWS_PER_FOLD_BUCKET))
+    h = F.xxhash64(F.col(key).cast("string"), F.lit(SPLIT_SEED))
+    marked = train.withColumns({"__class": group, "__bucket": F.pmod(h, F.lit(buckets)).cast("int"), "__hash": h})
+    sizes = marked.groupBy("__class", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__class").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("__class").alias("__c"), F.col("__bucket").alias("__b"),
+                           F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__class", "__bucket").orderBy("__hash", F.col(key).cast("string"))
+    numbered = marked.withColumn("__at", F.row_number().over(inside)).join(
+        offsets, F.col("__class").eqNullSafe(F.col("__c")) & (F.col("__bucket") == F.col("__b")))
+    return numbered.withColumn("fold", F.pmod(F.col("__at") + F.col("__before"), F.lit(folds)).cast("int")).select(*train.columns, "fold")
 
 
 def evaluator(problem: str):
@@ -161,35 +182,57 @@ class SearchResult:
     metrics: dict = field(default_factory=dict)
 
 
-def random_search(name: str, kind: str, problem: str, train: DataFrame, numerical, categorical,
-                  folds: int, n_classes: int) -> SearchResult:
-    """M6: 3 seeded settings, k-fold CV on weighted F1 / R^2, best refit on
-    the whole training split; no CV (direct default fit) when folds < 2 or
-    the grid is empty."""
-    n_train = train.count()
-    grid = GRIDS[kind]
+@dataclass
+class Prepared:
+    """Fitted preparations and their assembled frames: of the whole training
+    split and, to validate, of each fold's complement (``fold`` kept)."""
+    model: PipelineModel
+    train: DataFrame
+    rows: int
+    folds: list[tuple[DataFrame, int]]
+
+    def unpersist(self) -> None:
+        for frame in [self.train, *(f for f, _ in self.folds)]:
+            frame.unpersist()
+
+
+def prepare_folds(train: DataFrame, numerical, categorical, folds: int) -> Prepared:
+    """The preparation, fitted once per fold and once on all of ``train``
+    (with ``label`` and ``fold``); every candidate and setting reads these."""
     prep = feature_pipeline(numerical, categorical)
-    if not grid or folds < 2:
-        est = make_estimator(kind, problem, {}, n_train, n_classes)
-        model = Pipeline(stages=prep.getStages() + [est]).fit(train)
-        return SearchResult(name, kind, {}, None, model)
-    settings = grid_settings(grid, N_SETTINGS)
-    base = make_estimator(kind, problem, settings[0], n_train, n_classes)
-    pipe = Pipeline(stages=prep.getStages() + [base])
-    maps = [_param_map(base, kind, problem, s, n_train, n_classes) for s in settings]
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator(problem),
-                        foldCol="fold", parallelism=CV_PARALLELISM, seed=SPLIT_SEED)
-    cvm = cv.fit(train)
-    best = max(range(len(settings)), key=lambda i: (cvm.avgMetrics[i], -i))
-    return SearchResult(name, kind, settings[best], float(cvm.avgMetrics[best]), cvm.bestModel)
-
-
-def _param_map(base, kind, problem, setting, n_train, n_classes):
-    est = make_estimator(kind, problem, setting, n_train, n_classes)
-    if isinstance(base, OneVsRest):
-        return {base.classifier: est.getClassifier()}
-    return {base.getParam(p.name): est.getOrDefault(p) for p in est.params
-            if est.isSet(p) and base.hasParam(p.name)}
+
+    def one(fold):
+        part = train if fold is None else train.where(F.col("fold") != fold)
+        model = prep.fit(part)
+        frame = _kept(model.transform(train).select("features", "label", "fold"))
+        return model, frame, part.count()
+    with ThreadPoolExecutor(max_workers=CV_PARALLELISM) as pool:
+        done = list(pool.map(one, [None, *range(folds if folds >= 2 else 0)]))
+    return Prepared(done[0][0], done[0][1], done[0][2], [(frame, n) for _, frame, n in done[1:]])
+
+
+def random_search(name: str, kind: str, problem: str, prepared: Prepared, n_classes: int) -> SearchResult:
+    """M6: 3 seeded settings, k-fold CV on weighted F1 / R^2, best refit on
+    the whole training split; no CV (direct default fit) when there are no
+    folds or the grid is empty."""
+    grid, setting, metric = GRIDS[kind], {}, None
+    if grid and prepared.folds:
+        settings = grid_settings(grid, N_SETTINGS)
+
+        def score(at):
+            k, fold = at
+            frame, n = prepared.folds[fold]
+            est = make_estimator(kind, problem, settings[k], n, n_classes)
+            return evaluator(problem).evaluate(est.fit(frame.where(F.col("fold") != fold)).transform(frame.where(F.col("fold") == fold)))
+        todo = [(k, f) for k in range(len(settings)) for f in range(len(prepared.folds))]
+        with ThreadPoolExecutor(max_workers=CV_PARALLELISM) as pool:
+            scores = dict(zip(todo, pool.map(score, todo)))
+        means = [sum(scores[k, f] for f in range(len(prepared.folds))) / len(prepared.folds) for k in range(len(settings))]
+        best = max(range(len(settings)), key=lambda k: (means[k], -k))
+        setting, metric = settings[best], float(means[best])
+    est = make_estimator(kind, problem, setting, prepared.rows, n_classes)
+    model = PipelineModel(stages=[*prepared.model.stages, est.fit(prepared.train)])
+    return SearchResult(name, kind, setting, metric, model)
 
 
 def class_scores(pred: DataFrame):
@@ -209,7 +252,8 @@ def evaluate_model(model: PipelineModel, test: DataFrame, problem: str,
     if problem != "classification":
         row = E.regression_metrics(pred, "label", "prediction").first()
         return {"r2_score": row["r2_score"], "mae": row["mae"], "mse": row["mse"], "rmse": row["rmse"]}
-    p = pred.select("label", "prediction", class_scores(pred).alias("scores"))
+    # Scored once; the three metric groups read the kept predictions.
+    p = pred.select("label", "prediction", class_scores(pred).alias("scores")).persist()
     acc = E.accuracy(p).first()["accuracy"]
     w = E.weighted_metrics(p).first()
     idx = [str(float(i)) for i in range(len(classes))]
@@ -217,6 +261,7 @@ def evaluate_model(model: PipelineModel, test: DataFrame, problem: str,
         auc = E.roc_auc_binary(p.select("label", F.element_at("scores", 2).alias("score")), idx[1]).first()["roc_auc"]
     else:
         auc = E.roc_auc_ovr(p, idx, "label", "scores").first()["roc_auc"]
+    p.unpersist()
     return {"accuracy": acc, "f1_score": w["weighted_f1"], "precision": w["weighted_precision"],
             "recall": w["weighted_recall"], "roc_auc": auc}
 
@@ -247,14 +292,30 @@ class TrainResult:
                 "algorithm": self.best.name, "metrics": self.best.metrics}
 
 
+#: The split key beside the features; a feature may be the key itself.
+SPLIT_KEY = "__split_key"
+
+
+def training_rows(df: DataFrame, target: str, numerical: list[str], categorical: list[str], key: str) -> DataFrame:
+    """Rows with a target: the features and the target with formatted numbers
+    coerced (P1), and the key as text in a column of its own."""
+    cols = list(dict.fromkeys([*numerical, *categorical, target]))
+    rows = df.where(F.col(target).isNotNull())
+    keyed = rows.select(*cols, F.col(key).cast("string").alias(SPLIT_KEY)) if key != SPLIT_KEY else rows.select(*cols, key)
+    kinds = dict(keyed.dtypes)
+    text = [c for c in numerical + [target] if kinds[c] == "string"]
+    chosen = {r["column"] for r in coerce_report(keyed.select(*text)).where("coerced").select("column").collect()} if text else set()
+    return keyed.withColumns({c: parse_number(F.col(c)) for c in chosen}) if chosen else keyed
+
+
 def auto_train(df: DataFrame, target: str, problem: str, numerical: list[str],
                categorical: list[str], key: str, kinds: list[str] | None = None) -> TrainResult:
     """M9 (with M6-M8): split, encode, search every candidate, pick the best
     test score (strict ``>``: the earlier candidate wins a tie), refit it on
-    every row whose class is known."""
+    every row whose class is known.  Formatted numbers are coerced first (P1)."""
     # the key may itself be a feature (a numeric id the rule profile keeps)
-    cols = list(dict.fromkeys([key, *numerical, *categorical, target]))
-    data = df.where(F.col(target).isNotNull()).select(*cols)
+    data = training_rows(df, target, numerical, categorical, key)
+    key = SPLIT_KEY
     train, test = split_train_test(data, key)
     classes = None
     if problem == "classification":
@@ -262,8 +323,10 @@ def auto_train(df: DataFrame, target: str, problem: str, numerical: list[str],
     folds_row = cv_folds(train, target, problem).first()
     folds = int(folds_row["folds"] or 0)
     lab = lambda d: d.withColumn("label", label_column(d, target, classes)).where(F.col("label").isNotNull())
-    train_l = _kept(lab(train).withColumn("fold", fold_column(F.col(key), max(folds, 2))))
+    labelled = _kept(lab(train))
+    train_l = _kept(with_folds(labelled, key, max(folds, 2), labelled.count(), "label" if classes else None))
     test_l = _kept(lab(test))
+    prepared = prepare_folds(train_l, numerical, categorical, folds)
     if test_l.isEmpty():
         test_l = train_l
     n_classes = len(classes) if classes else 0
@@ -271,7 +334,7 @@ def auto_train(df: DataFrame, target: str, problem: str, numerical: list[str],
 
     def run(candidate):
         name, kind = candidate
-        r = random_search(name, kind, problem, train_l, numerical, categorical, folds, n_classes)
+        r = random_search(name, kind, problem, prepared, n_classes)
         r.metrics = evaluate_model(r.model, test_l, problem, classes)
         return r
 
@@ -285,8 +348,11 @@ def auto_train(df: DataFrame, target: str, problem: str, numerical: list[str],
     for r in results[1:]:
         if (r.metrics.get(metric) or float("-inf")) > (best.metrics.get(metric) or float("-inf")):
             best = r
-    final = refit_full(best, _kept(lab(data)), problem, numerical, categorical, n_classes)
-    train_l.unpersist()
+    whole = _kept(lab(data))
+    final = refit_full(best, whole, problem, numerical, categorical, n_classes)
+    prepared.unpersist()
+    for frame in (labelled, train_l, test_l, whole):
+        frame.unpersist()
     return TrainResult(problem, target, classes, results, best, final, numerical, categorical)
 
 
@@ -305,8 +371,8 @@ def train_custom_estimator(estimator, df: DataFrame, target: str, problem: str,
     is wrapped with the feature stages; fit on the training split, evaluated
     on the test split, refit on every labelled row.  Returns
     ``(final_model, metrics, classes)``."""
-    data = df.where(F.col(target).isNotNull())
-    train, test = split_train_test(data, key)
+    data = training_rows(df, target, numerical, categorical, key)
+    train, test = split_train_test(data, SPLIT_KEY)
     if problem == "classification" and classes is None:
         classes = [r["label"] for r in encode_labels(train, target).orderBy("idx").collect()]
     lab = lambda d: d.withColumn("label", label_column(d, target, classes)).where(F.col("label").isNotNull())

@@ -140,14 +140,14 @@ def run_retraining(dataset: DataFrame, dp: DatasetProfile, key: str, log: DataFr
                    dataset_id: int, kinds: list[str] | None = None):
     """dataset (+ labelled feedback of its active deployment) -> M9 ->
     R11 decision.  Returns ``(TrainResult, decision_df)``."""
-    data = dataset
+    # The split key is a column of its own (the dataset's key may be a feature);
+    # feedback rows get a deterministic one, so the split survives recomputation.
+    data = dataset.withColumn(M.SPLIT_KEY, F.col(key).cast("string"))
     if log is not None:
-        # feedback rows keep a deterministic key so the split survives recomputation
         fb = feedback_rows(log, dp.target)
-        fb = fb.withColumn(key, F.concat(F.lit("fb:"), F.col("prediction_id").cast("string")))
-        data = union_feedback(dataset.withColumn(key, F.col(key).cast("string")),
-                              fb.drop("prediction_id"), dp.target)
-    result = M.auto_train(data, dp.target, dp.problem_type, dp.numerical, dp.categorical, key, kinds)
+        fb = fb.withColumn(M.SPLIT_KEY, F.concat(F.lit("fb:"), F.col("prediction_id").cast("string")))
+        data = union_feedback(data, fb.drop("prediction_id"), dp.target)
+    result = M.auto_train(data, dp.target, dp.problem_type, dp.numerical, dp.categorical, M.SPLIT_KEY, kinds)
     spark = dataset.sparkSession
     new_version = (models.where(F.col("dataset_id") == dataset_id).count()) + 1
     new = spark.createDataFrame(

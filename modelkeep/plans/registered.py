@@ -1183,8 +1183,7 @@ def _reg_setup(spark, d):
 def _assembled(df, dp, key, classes=None):
     """Feature pipeline fitted on the training split; (train, test) frames
     with ``features`` and ``label``."""
-    from modelkeep.functions.values import spread
-    train, test = T.split_train_test(spread(df.where(F.col(dp.target).isNotNull())), key)
+    train, test = T.split_train_test(df.where(F.col(dp.target).isNotNull()), key)
     if dp.problem_type == "classification" and classes is None:
         classes = [r["label"] for r in T.encode_labels(train, dp.target).orderBy("idx").collect()]
     lab = lambda x: x.withColumn("label", M.label_column(x, dp.target, classes)).where(F.col("label").isNotNull())
@@ -1218,7 +1217,7 @@ def q_m2(spark, d):
     from pyspark.ml.feature import VectorAssembler
     li = table(spark, d, "lineitem").select(F.col("l_quantity"), F.col("l_extendedprice").alias("label"))
     x = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li)
-    model = M.make_estimator("linear", "regression", {}, 0).setSolver("normal").fit(x)
+    model = M.fit_linear(x)
     return spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))],
                                  "slope double, intercept double").select(
         F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
@@ -1252,10 +1251,11 @@ def q_m6(spark, d):
     train, _ = T.split_train_test(df, "doc_id")
     classes = [r["label"] for r in T.encode_labels(train, "quality").orderBy("idx").collect()]
     folds = int(T.cv_folds(train, "quality", "classification").first()["folds"])
-    tl = train.withColumn("label", M.label_column(train, "quality", classes)) \
-        .withColumn("fold", M.fold_column(F.col("doc_id"), max(folds, 2)))
-    r = M.random_search("Logistic Regression", "logistic", "classification", tl, dp.numerical,
-                        dp.categorical, folds, len(classes))
+    labelled = train.withColumn("label", M.label_column(train, "quality", classes))
+    tl = M.with_folds(labelled, "doc_id", max(folds, 2), labelled.count(), "label")
+    prepared = M.prepare_folds(tl, dp.numerical, dp.categorical, folds)
+    r = M.random_search("Logistic Regression", "logistic", "classification", prepared, len(classes))
+    prepared.unpersist()
     return spark.createDataFrame([(r.name, str(r.setting), r.cv_metric)],
                                  "algorithm string, setting string, cv_metric double")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,7 +40,7 @@ def get_spark(master: str | None = None, app: str = "modelkeep",
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
-        conf.setdefault("spark.driver.memory", "16g")
+        conf.setdefault("spark.driver.memory", "8g")
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -54,9 +55,9 @@ def get_spark(master: str | None = None, app: str = "modelkeep",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a fresh
-    scratch folder is created and registered, never on a cluster that
-    already names one.
+    Read from the session; only when it is unset in local mode (tests) a
+    fresh scratch folder is created and registered.  A cluster must name one,
+    as its executors can't see the driver's folders.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,6 +65,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current.rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^-\]]*\])?", sc.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         configured = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("MODELKEEP_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

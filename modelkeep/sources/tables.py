@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +43,8 @@ def scan_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
 
     Read every column as text (PERMISSIVE, multi-line), turn the NA tokens
     into NULL, then type each column by a vote computed in ONE aggregation:
-    all non-null values integers -> bigint, all numbers -> double, all
-    true/false -> boolean, else string.  With an explicit schema the vote is
+    all non-null values integers that fit -> bigint, all numbers -> double,
+    all true/false -> boolean, else string.  With an explicit schema the vote is
     skipped.
     """
     reader = (spark.read.option("header", True).option("multiLine", True)
@@ -57,7 +58,7 @@ def scan_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
     votes = cleaned.agg(*[
         F.struct(
             F.count(c).alias("nn"),
-            F.count_if(F.trim(F.col(c)).rlike(_INT_PATTERN)).alias("ints"),
+            F.count_if(F.trim(F.col(c)).rlike(_INT_PATTERN) & F.trim(F.col(c)).try_cast("bigint").isNotNull()).alias("ints"),
             F.count_if(F.trim(F.col(c)).rlike(NUMBER_PATTERN)).alias("nums"),
             F.count_if(F.col(c).isin(_BOOL_VALUES)).alias("bools"),
         ).alias(c) for c in cols]).first()
@@ -107,34 +108,21 @@ def preview(df: DataFrame, order_by: list[str], n: int = 10) -> DataFrame:
     return top.select(*[F.coalesce(as_text(top, c), F.lit("")).alias(c) for c in df.columns])
 
 
-_VARIANT_TYPES = {"BIGINT": "bigint", "INT": "bigint", "SMALLINT": "bigint", "TINYINT": "bigint",
-                  "DOUBLE": "double", "FLOAT": "double", "BOOLEAN": "boolean", "STRING": "string",
-                  "DATE": "string", "TIMESTAMP": "string", "TIMESTAMP_NTZ": "string"}
-
-
-def _object_fields(ddl: str) -> list[tuple[str, str]]:
-    """``OBJECT<a: BIGINT, b: DECIMAL(9,2)>`` -> [(a, bigint), (b, double)];
-    nested values stay JSON text."""
-    body = ddl.strip()
-    if not body.startswith("OBJECT<"):
-        return []
-    body = body[len("OBJECT<"):-1]
-    fields, depth, cur = [], 0, ""
-    for ch in body + ",":
-        if ch in "<(":
-            depth += 1
-        elif ch in ">)":
-            depth -= 1
-        if ch == "," and depth == 0:
-            if cur.strip():
-                name, _, typ = cur.strip().partition(": ")
-                base = typ.split("(")[0].split("<")[0].strip()
-                spark_type = "double" if base == "DECIMAL" else _VARIANT_TYPES.get(base, "string")
-                fields.append((name.strip("`"), spark_type))
-            cur = ""
-        else:
-            cur += ch
-    return fields
+#: Types that the values of one key agree on, by JSON type; mixed numbers are doubles, anything else is text.
+_JSON_TYPES = {frozenset({"BIGINT"}): "bigint", frozenset({"DOUBLE"}): "double", frozenset({"BIGINT", "DOUBLE"}): "double", frozenset({"BOOLEAN"}): "boolean"}
+
+
+def _json_keys(parsed: DataFrame, column: str) -> list[tuple[str, str]]:
+    """Every key of the JSON objects in ``column`` with its type, by an
+    aggregate with one row per key and type; keys may hold any characters."""
+    kind = F.expr("schema_of_variant(value)")
+    kind = F.when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "DOUBLE").when(
+        kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "BIGINT").when(kind == "BOOLEAN", kind).otherwise("STRING")
+    each = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col(column).outer())).where("key IS NOT NULL AND NOT is_variant_null(value)")
+    found: dict[str, set[str]] = {}
+    for row in each.select("key", kind.alias("kind")).distinct().collect():
+        found.setdefault(row["key"], set()).add(row["kind"])
+    return [(k, _JSON_TYPES.get(frozenset(kinds), "string")) for k, kinds in sorted(found.items())]
 
 
 def scan_inputs_json(log: DataFrame, column: str = "input_json",
@@ -143,19 +131,21 @@ def scan_inputs_json(log: DataFrame, column: str = "input_json",
     """Logged JSON objects -> columns; union of keys, missing key -> NULL.
 
     With the deployment's schema this is one ``from_json``.  Without one the
-    merged schema of all objects is one distributed aggregate
-    (``schema_of_variant_agg``: numbers stay numbers, as in a frame built
-    from the logged dicts), then each key is read with ``try_variant_get``.
+    keys and their types are one distributed aggregate (numbers stay
+    numbers), and the objects are then read with that schema.  Nested values
+    stay JSON text.
     """
     keep = keep or []
-    if schema is not None:
-        parsed = log.select(*keep, F.from_json(F.col(column), schema).alias("__j"))
-        return parsed.select(*keep, "__j.*")
-    v = log.select(*keep, F.try_parse_json(F.col(column)).alias("__v"))
-    ddl = v.select(F.schema_of_variant_agg("__v")).first()[0] or ""
-    fields = _object_fields(ddl)
-    return v.select(*keep, *[
-        F.try_variant_get("__v", "$['" + k.replace("'", "\\'") + "']", t).alias(k) for k, t in fields])
+    if schema is None:
+        keys = _json_keys(log.select(F.try_parse_json(F.col(column)).alias("__v")), "__v")
+        schema = T.StructType([T.StructField(k, _SPARK_TYPES[t]) for k, t in keys])
+    if not isinstance(schema, str) and not schema.fields:
+        return log.select(*keep)
+    parsed = log.select(*keep, F.from_json(F.col(column), schema).alias("__j"))
+    return parsed.select(*keep, "__j.*")
+
+
+_SPARK_TYPES = {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append", id_col: str | None = "id") -> DataFrame:
@@ -168,12 +158,13 @@ def write_table(df: DataFrame, path: str, mode: str = "append", id_col: str | No
     spark = df.sparkSession
     out = df
     if id_col and id_col not in df.columns:
-        start = 0
         try:
-            existing = spark.read.parquet(path)
-            start = (existing.agg(F.max(id_col)).first()[0] or -1) + 1
-        except Exception:  # first write: no table yet
-            start = 0
+            last = spark.read.parquet(path).agg(F.max(id_col)).first()[0]
+        except AnalysisException as e:  # first write: no table yet
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            last = None
+        start = 0 if last is None else last + 1
         out = df.withColumn(id_col, F.lit(start).cast("long") + F.monotonically_increasing_id())
     out.write.mode(mode).parquet(path)
     return out

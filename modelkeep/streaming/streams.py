@@ -11,6 +11,7 @@ never double-counts.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,15 @@ def stream_feedback(preds: DataFrame, feedback: DataFrame, wait: str = "1 day")
         F.col("f.actual_value").alias("actual"), "f.received_at")
 
 
+def latest_feedback(paired: DataFrame) -> DataFrame:
+    """Pairs with the last feedback of each prediction, as F6 has it: the
+    stream emits a pair for every feedback, a corrected label counts once."""
+    if not {"prediction_id", "received_at"} <= set(paired.columns):
+        return paired
+    last = paired.groupBy("prediction_id").agg(F.max_by(F.struct(*paired.columns), "received_at").alias("last"))
+    return last.select("last.*")
+
+
 def performance_batch(paired_root: str, out_root: str, deployments: DataFrame,
                       problem_type: str = "classification"):
     """X4 body: ``foreachBatch`` function that appends the labelled pairs of
@@ -84,9 +94,11 @@ def performance_batch(paired_root: str, out_root: str, deployments: DataFrame,
         spark = batch.sparkSession
         try:
             history = spark.read.parquet(paired_root)
-        except Exception:  # nothing labelled yet
+        except AnalysisException as e:  # nothing labelled yet
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             return
-        scope = history.join(touched, "deployment_id", "left_semi")
+        scope = latest_feedback(history.join(touched, "deployment_id", "left_semi"))
         check = S.performance_check(scope, deployments, problem_type)
         check.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
             .parquet(f"{out_root}/batch_id={batch_id}")
