@@ -135,7 +135,7 @@ _BRACKET_DOT = re.compile(rf"{_OPEN}(?:{_DOT_WORD}|\.){_SHUT}", re.I)
 _BARE_AT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]{{1,3}}(?:{_AT_WORD}|@)[ \t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}{_DOT}[A-Za-z0-9])", re.I)
 _BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9])[ \t]{{1,3}}{_DOT_WORD}[ \t]{{1,3}}(?=[A-Za-z0-9])", re.I)
 #: What a text must hold for any of the transducers to change it.
-_ODD = re.compile("[" + re.escape("".join(map(chr, _ONE_TO_ONE)) + _INVISIBLE) + "]")
+_ODD = re.compile("[\u00ad\u00b2\u00b3\u00b9\u0370-\u052f\u200b-\u200d\u2010-\u2013\u2024\u2060\u2070-\u2089\u2460-\u2473\u3002\ufe52\ufe6b\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
 _SIGNS = (" dot ", " punkt ", " punto ", " point ", "arobase", "arroba", " @ ", "\tdot\t", "\t@\t")
 _BRACKETED = re.compile(rf"[\[({{<][ \t]{{0,3}}(?:{_AT_WORD}|{_DOT_WORD}|@|\.)[ \t]{{0,3}}[\])}}>]")
 _AT_DOMAIN = re.compile(r"[ \t]at[ \t]{1,3}[a-z0-9-]{1,63}\.[a-z0-9]")
