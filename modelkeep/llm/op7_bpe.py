@@ -44,9 +44,6 @@ PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _SPACE = r" \t\n\r\x0b\f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
-#: First bytes by which a place's possible labels are looked up.
-PREFIX = 4
-
 #: Remembered runs (twice as many at most) and transitions of a worker.
 WORDS_KEPT, CELLS_KEPT = 1 << 18, 1 << 18
 
@@ -71,6 +68,7 @@ class Automaton:
         self.label = {i: text for text, i in self.id_of.items()}
         self.added = added or {}
         self.label.update({i: text.encode() for text, i in self.added.items()})
+        self.written = {i: str(i) for i in self.label}
         self.halves: dict[int, tuple[int, int, int]] = {}  # token -> (rank, left, right)
         self.taken: dict[tuple[int, int], int] = {}  # (u, v) -> rank of the gadget that took the arc
         self.cells: dict[tuple[int, int], bool] = {}
@@ -85,14 +83,13 @@ class Automaton:
         self.cells = {}
         readable = {i for i in self.label if i in self.halves or len(self.label[i]) == 1}
         self.tokens = {text: i for text, i in self.id_of.items() if i in readable}
-        self.longest = max(map(len, self.tokens), default=1)
-        # For the first bytes of a place, up to PREFIX: the lengths of the labels that can begin there, longest first.
-        lengths: dict[bytes, set[int]] = {}
-        for text in self.tokens:
-            lengths.setdefault(text[:PREFIX], set()).add(len(text))
-        for start, own in lengths.items():
-            own.update(k for k in range(1, len(start)) if start[:k] in self.tokens)
-        self.lengths = {start: sorted(own, reverse=True) for start, own in lengths.items()}
+        # All labels as a trie: a node's children by byte, and at -1 the token that ends there.
+        self.trie: dict = {}
+        for text, i in self.tokens.items():
+            node = self.trie
+            for byte in text:
+                node = node.setdefault(byte, {})
+            node[-1] = i
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.splitter = regex.compile(PRE_SPLIT)
@@ -141,26 +138,31 @@ class Automaton:
 
     def path(self, word: bytes) -> list[int]:
         """The tokens of one pre-split word."""
-        n, at, last, path, dead, below = len(word), 0, -1, [], set(), _NEVER
-        tokens, lengths, cells = self.tokens, self.lengths, self.cells
+        n, at, last, path, dead, below = len(word), 0, -1, [], None, _NEVER
+        trie, cells = self.trie, self.cells
         while at < n:
-            for head in range(min(PREFIX, n - at), 0, -1):
-                found = lengths.get(word[at:at + head])
-                if found:
+            node, to, found = trie, at, []
+            while to < n:
+                node = node.get(word[to])
+                if node is None:
                     break
-            for k in found or ():
-                if k >= below or at + k in dead:
-                    continue
-                token = tokens.get(word[at:at + k])
-                if token is None or at + k > n:
+                to += 1
+                if -1 in node:
+                    found.append((to, node[-1]))
+            for to, token in reversed(found):
+                if to - at >= below or dead and to in dead:
                     continue
-                if last < 0 or (cells.get(last << 32 | token) if last << 32 | token in cells else self.reads(last, token)):
-                    path.append(token)
-                    at, last, below = at + k, token, _NEVER
-                    break
+                if last >= 0:
+                    reads = cells.get(last << 32 | token)
+                    if not (self.reads(last, token) if reads is None else reads):
+                        continue
+                path.append(token)
+                at, last, below = to, token, _NEVER
+                break
             else:
                 if not path:
                     raise ValueError(f"the vocabulary can't spell {word[:40]!r}")
+                dead = dead or set()
                 dead.add(at)
                 below = len(self.label[path.pop()])
                 at, last = at - below, path[-1] if path else -1
@@ -270,7 +272,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             for text in batch.column(1).slice(lo, hi - lo):
                 ids = own.encode(text.as_py())
                 n.append(len(ids))
-                ids_sha.append(hex_sha256(",".join(map(str, ids)).encode()))
+                ids_sha.append(hex_sha256(",".join([own.written[i] for i in ids]).encode()))
                 text_sha.append(hex_sha256(own.decode(ids).encode()))
             yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
                                   names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
