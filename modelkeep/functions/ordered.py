@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
 
 
 def _order_cols(order: list[str | Column], descending: bool) -> list[Column]:
@@ -38,7 +37,7 @@ def _order_cols(order: list[str | Column], descending: bool) -> list[Column]:
 def bucket_count(df: DataFrame, groups: list[str], max_rows_per_bucket: int) -> int:
     """Buckets needed so that no (group, bucket) exceeds the row budget."""
     largest = df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
-    return max(1, min(MAX_BUCKETS, math.ceil(largest / max_rows_per_bucket)))
+    return max(1, math.ceil(largest / max_rows_per_bucket))
 
 
 def running_sums(df: DataFrame, groups: list[str], order: list[str],

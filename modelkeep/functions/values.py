@@ -80,17 +80,16 @@ def parse_number(text: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give per-row work at least one partition per core.
+    """A scan of a single split (one small file, or one row group) dealt to
+    all cores before heavy per-row work; anything else is returned as it is.
 
-    A small input that arrives as fewer partitions than the cluster has
-    cores (one Parquet row group) is round-robined to the default
-    parallelism before heavy per-row work; a large scan already has far
-    more partitions than cores and is returned unchanged (no shuffle).
+    Only plans without an exchange are asked for their partitions, so this
+    starts no job, and at most one split is ever shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if any(word in plan for word in ("Exchange", "Join", "Aggregate", "Window", "Sort", "Limit", "InMemory", "Union", "Existing")):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 ROWS_PER_TASK = 50_000

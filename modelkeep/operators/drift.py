@@ -86,20 +86,12 @@ def long_counts(ref: DataFrame, cur: DataFrame, numeric: list[str], text: list[s
     shuffle, so a hot value costs one row per input partition.
     """
     def side(df, grp):
-        parts = []
-        if numeric:
-            parts.append(df.select(*numeric).unpivot([], numeric, "feature", "num")
-                         .withColumn("cat", F.lit(None).cast("string")))
-        if text:
-            parts.append(df.select(*text).unpivot([], text, "feature", "cat")
-                         .withColumn("num", F.lit(None).cast("double"))
-                         .select("feature", "num", "cat"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.withColumn("grp", F.lit(grp))
-
-    both = spread(side(ref, 0).unionByName(side(cur, 1)))
+        # One scan per side: a row becomes one cell per feature.
+        cells = [F.struct(F.lit(f).alias("feature"), F.col(f).alias("num"), F.lit(None).cast("string").alias("cat")) for f in numeric]
+        cells += [F.struct(F.lit(f).alias("feature"), F.lit(None).cast("double").alias("num"), F.col(f).alias("cat")) for f in text]
+        return spread(df.select(*numeric, *text)).select(F.inline(F.array(*cells))).withColumn("grp", F.lit(grp))
+
+    both = side(ref, 0).unionByName(side(cur, 1))
     return both.groupBy("feature", "grp", "num", "cat").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -141,17 +133,19 @@ def choose_test(aligned: DataFrame, numeric: list[str]) -> DataFrame:
         F.count(F.lit(1)).cast("long").alias("n_values"),
         (F.sum(F.col("num") * F.col("ref_n")) / F.sum("ref_n")).alias("mu"))
     num = F.col("feature").isin(numeric) if numeric else F.lit(False)
-    small = F.col("n_ref") <= SMALL_REFERENCE_ROWS
-    many = F.col("n_values") > NUMERIC_MIN_UNIQUE
-    test = (F.when(small & num & many, TEST_KS)
-            .when(small & (F.col("n_values") > BINARY_MAX_UNIQUE), TEST_CHI2)
-            .when(small, TEST_Z)
-            .when(num & many, TEST_WASSERSTEIN)
+    test = (F.when(F.col("n_ref") <= SMALL_REFERENCE_ROWS, _small_test(num))
+            .when(num & (F.col("n_values") > NUMERIC_MIN_UNIQUE), TEST_WASSERSTEIN)
             .otherwise(TEST_JS))
     return per.select("feature", F.when(num, "numerical").otherwise("categorical").alias("feature_type"),
                       "n_ref", "n_cur", "n_values", test.alias("test_name"), "mu")
 
 
+def _small_test(numeric):
+    """The test of a feature whose reference is small."""
+    return (F.when(numeric & (F.col("n_values") > NUMERIC_MIN_UNIQUE), TEST_KS)
+            .when(F.col("n_values") > BINARY_MAX_UNIQUE, TEST_CHI2).otherwise(TEST_Z))
+
+
 # --------------------------------------------------------------- D5 .. D9
 def ordered_statistics(aligned: DataFrame, tests: DataFrame) -> DataFrame:
     """ECDF statistics of numeric features in ONE ordered pass.
@@ -232,6 +226,10 @@ def drift_statistics(aligned: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def _by_test(aligned, tests, test, cols):
+    """Features that ``test`` is for.  The tests with p-values don't ask how
+    large the reference is; D10 asks, when it chooses."""
+    if test in (TEST_KS, TEST_CHI2, TEST_Z):
+        tests = tests.withColumn("test_name", _small_test(F.col("feature_type") == "numerical"))
     return drift_statistics(aligned, tests).where(F.col("test_name") == test).select("feature", *cols)
 
 
@@ -264,18 +262,25 @@ def prepared_counts(ref: DataFrame, cur: DataFrame, target: str | None = None):
     """D1-D4 composed: ``(features, aligned, tests)``; the distinct-value
     frames are persisted because every statistic reads them (they are far
     smaller than the input and rebuilt from lineage if an executor is lost).
+    The caller releases ``aligned`` and ``tests``.
     """
     features = align_features(ref, cur, target)
     r, c, numeric, text = harmonise_types(ref, cur, features)
     raw = long_counts(r, c, numeric, text).persist()
     aligned = aligned_counts(fill_from_reference(raw, numeric)).persist()
     tests = choose_test(aligned, numeric).persist()
+    tests.count()  # fills all three, so the raw counts can go
+    raw.unpersist()
     return features, aligned, tests
 
 
 # ------------------------------------------------------------- D10 / D11
 def feature_drift(ref: DataFrame, cur: DataFrame, target: str | None = None) -> DataFrame:
-    """Per-feature drift rows (D1-D9 composed), schema ``FEATURE_SCHEMA``."""
+    """Per-feature drift rows (D1-D9 composed), schema ``FEATURE_SCHEMA``.
+
+    The rows, one per feature, are computed at once and the frames behind
+    them released, so a report leaves nothing cached.
+    """
     spark = ref.sparkSession
     if not align_features(ref, cur, target):
         return spark.createDataFrame([], FEATURE_SCHEMA)
@@ -287,11 +292,15 @@ def feature_drift(ref: DataFrame, cur: DataFrame, target: str | None = None) ->
     score = F.when(is_p, F.col("p_value")).otherwise(F.col("statistic"))
     detected = F.when(is_p, F.col("p_value") < P_VALUE_THRESHOLD) \
         .otherwise(F.col("statistic") >= DISTANCE_THRESHOLD)
-    return stats.select(
+    rows = stats.select(
         "feature", pos.cast("int").alias("position"), "feature_type", "test_name",
         F.when(is_p, "p_value").otherwise("distance").alias("score_kind"),
         "n_ref", "n_cur", "n_values", "statistic", "p_value",
         score.alias("drift_score"), detected.alias("drift_detected"))
+    found = spark.createDataFrame(rows.collect(), rows.schema)
+    aligned.unpersist()
+    tests.unpersist()
+    return found
 
 
 def drift_score(features: DataFrame, threshold: float = DEFAULT_DRIFT_THRESHOLD) -> DataFrame:
@@ -333,8 +342,7 @@ def drift_report(ref: DataFrame, cur: DataFrame, target: str | None = None,
             "drift_score double, number_of_columns bigint, number_of_drifted_columns bigint, "
             "has_drift boolean, message string")
         return empty, summary
-    # one row per feature: kept so the summary does not recompute the tests
-    feats = feature_drift(ref, cur, target).persist()
+    feats = feature_drift(ref, cur, target)
     return feats, drift_score(feats, threshold)
 
 

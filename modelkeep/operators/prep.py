@@ -17,12 +17,14 @@ from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable,
+                             DefaultParamsWriter)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelkeep.functions.ordered import column_medians
 from modelkeep.functions.values import typed, value_counts
+from modelkeep.session import scratch_path
 
 # Fixed values from the reference's preprocessing and split.
 ONEHOT_CAP = 50
@@ -257,7 +259,20 @@ def capped_categories(train: DataFrame, cols: list[str], cap: int = ONEHOT_CAP)
                     F.coalesce("slot", "n_frequent").cast("int").alias("slot")))
 
 
-MAX_KNOWN_INFREQUENT = 10_000
+class _OneHotWriter(DefaultParamsWriter):
+    """Params, and the rare categories as a Parquet table beside them."""
+
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        rare = self.instance.rare_categories(self.sparkSession)
+        rare.write.mode("overwrite").parquet(f"{path}/rare")
+
+
+class _OneHotReader(DefaultParamsReader):
+    def load(self, path: str):
+        model = super().load(path)
+        model._set(rareTable=f"{path}/rare")
+        return model
 
 
 class CappedOneHot(Estimator, _Stage):
@@ -275,58 +290,67 @@ class CappedOneHot(Estimator, _Stage):
         cols = self.getInputCols()
         cap = self.getOrDefault(self.cap)
         cats: dict[str, list[str]] = {c: [] for c in cols}
-        rare: dict[str, list[str]] = {c: [] for c in cols}
-        open_rare: dict[str, bool] = {c: False for c in cols}
+        has_rare: set[str] = set()
+        path = ""
         if cols:
             fitted = capped_categories(df, cols, cap).persist()
             for r in fitted.where("frequent").orderBy("column", "slot").collect():
                 cats[r["column"]].append(r["category"])
-            n_rare = {r["column"]: r["k"] for r in fitted.where(~F.col("frequent"))
-                      .groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
-            small = [c for c, k in n_rare.items() if k <= MAX_KNOWN_INFREQUENT]
-            # Infrequent names are kept (to tell them from unseen values) only
-            # while the list is bounded; beyond that any value outside the
-            # frequent set maps to the infrequent slot.
-            for r in fitted.where(~F.col("frequent") & F.col("column").isin(small)).collect():
-                rare[r["column"]].append(r["category"])
-            for c, k in n_rare.items():
-                open_rare[c] = k > MAX_KNOWN_INFREQUENT
+            rare = fitted.where(~F.col("frequent"))
+            has_rare = {r["column"] for r in rare.select("column").distinct().collect()}
+            if has_rare:
+                # Any number of rare names stays a table; only "is there one" reaches the driver.
+                path = scratch_path(df.sparkSession, "onehot-rare")
+                rare.select("column", "category").write.parquet(path)
             fitted.unpersist()
-        return CappedOneHotModel(
-            inputCols=cols, categories=[cats[c] for c in cols],
-            infrequent=[sorted(rare[c]) for c in cols], openRare=[open_rare[c] for c in cols])
+        return CappedOneHotModel(inputCols=cols, categories=[cats[c] for c in cols],
+                                 withRare=[c in has_rare for c in cols], rareTable=path)
 
 
 class CappedOneHotModel(Model, _Stage):
+    """Frequent categories in the params; rare ones in a Parquet table that a
+    left join asks, so a value never seen stays all 0 however many there are."""
+
     categories = Param(Params._dummy(), "categories", "frequent categories per column",
                        TypeConverters.identity)
-    infrequent = Param(Params._dummy(), "infrequent", "infrequent categories per column",
-                       TypeConverters.identity)
-    openRare = Param(Params._dummy(), "openRare", "any non-frequent value is infrequent",
+    withRare = Param(Params._dummy(), "withRare", "which columns have rare categories",
                      TypeConverters.identity)
+    rareTable = Param(Params._dummy(), "rareTable", "Parquet table (column, category) of rare categories",
+                      TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, inputCols=None, categories=None, infrequent=None, openRare=None):
+    def __init__(self, inputCols=None, categories=None, withRare=None, rareTable=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
-    def _slots(self):
-        cols = self.getInputCols()
-        opened = self.getOrDefault(self.openRare) if self.isDefined(self.openRare) else [False] * len(cols)
-        return zip(cols, self.getOrDefault(self.categories), self.getOrDefault(self.infrequent), opened)
+    def write(self):
+        return _OneHotWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _OneHotReader(cls)
+
+    def rare_categories(self, spark) -> DataFrame:
+        if not any(self.getOrDefault(self.withRare)):
+            return spark.createDataFrame([], "column string, category string")
+        return spark.read.schema("column string, category string").parquet(self.getOrDefault(self.rareTable))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         from modelkeep.functions.values import as_text
         new = {}
-        for i, (c, cats, rare, opened) in enumerate(self._slots()):
+        out = df
+        rare = self.rare_categories(df.sparkSession)
+        for i, (c, cats, has_rare) in enumerate(zip(
+                self.getInputCols(), self.getOrDefault(self.categories), self.getOrDefault(self.withRare))):
             v = as_text(df, c)
             for j, cat in enumerate(cats):
                 new[f"__oh{i}_{j}"] = (v == F.lit(cat)).cast("double")
-            if opened:
-                new[f"__oh{i}_rare"] = (v.isNotNull() & ~v.isin(cats)).cast("double")
-            elif rare:
-                new[f"__oh{i}_rare"] = v.isin(rare).cast("double")
-        return df.withColumns({k: F.coalesce(e, F.lit(0.0)) for k, e in new.items()})
+            if has_rare:
+                own = rare.where(F.col("column") == c).select(F.col("category").alias(f"__rare{i}"))
+                out = out.join(own, v == F.col(f"__rare{i}"), "left")
+                new[f"__oh{i}_rare"] = F.col(f"__rare{i}").isNotNull().cast("double")
+        done = out.withColumns({k: F.coalesce(e, F.lit(0.0)) for k, e in new.items()})
+        return done.drop(*[x for x in done.columns if x.startswith("__rare")])
 
 
 class OneHotAssembler(Estimator, DefaultParamsReadable, DefaultParamsWritable):

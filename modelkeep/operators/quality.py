@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelkeep.functions.values import column_profile, parse_number
+from modelkeep.functions.values import column_profile, parse_number, profile_columns, typed
 from modelkeep.operators.profile import first_values
 
 # Thresholds and texts of the reference's quality scan.
@@ -68,9 +68,17 @@ def scan_high_cardinality(df: DataFrame, profile: DataFrame | None = None) -> Da
         F.lit(CARDINALITY_FIX).alias("recommended_fix"))
 
 
+def null_counts(df: DataFrame) -> DataFrame:
+    """``(column, pos, n_rows, null_count)`` from one aggregate."""
+    cols = profile_columns(df)
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(i).alias("pos"), F.count_if(typed(df, c).isNull()).alias("null_count")) for i, c in enumerate(cols)]
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*cells).alias("cells")).select("n_rows", F.inline("cells")).where("n_rows > 0")
+
+
 def scan_high_nulls(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """Any column more than 50 % null."""
-    p = profile if profile is not None else column_profile(df)
+    """Any column more than 50 % null; by itself one count per column,
+    without a shuffle of values."""
+    p = profile if profile is not None else null_counts(df)
     pct = F.col("null_count") / F.col("n_rows") * 100.0
     return p.where(pct > HIGH_NULL_PCT).select(
         F.col("pos").cast("int").alias("pos"), "column",

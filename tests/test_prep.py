@@ -60,6 +60,18 @@ def test_capped_onehot_order_and_unknown(spark):
     assert sum(vals[2]) == 0.0                            # unknown -> zeros
 
 
+def test_onehot_tells_rare_from_unseen_at_any_number(spark, scratch):
+    rows = spark.range(12_000).select(F.concat(F.lit("r"), F.col("id")).alias("v")).unionAll(
+        spark.range(500).select(F.concat(F.lit("f"), F.col("id") % 49).alias("v")))
+    model = T.CappedOneHot(inputCols=["v"]).fit(rows)
+    probe = spark.createDataFrame([("r7",), ("never_seen",), (None,), ("f3",)], "v string")
+    path = scratch("onehot")
+    model.write().overwrite().save(path)
+    for m in (model, T.CappedOneHotModel.load(path)):
+        out = {r["v"]: r["__oh0_rare"] for r in m.transform(probe).collect()}
+        assert out == {"r7": 1.0, "never_seen": 0.0, None: 0.0, "f3": 0.0}
+
+
 def test_onehot_tie_keeps_larger_category(spark):
     rows = [(f"k{i:02d}",) for i in range(51)]  # all counts tie
     model = T.CappedOneHot(inputCols=["v"]).fit(spark.createDataFrame(rows, "v string"))
