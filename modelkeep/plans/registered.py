@@ -1349,3 +1349,127 @@ def q_s1(spark, d):
     from modelkeep.session import scratch_path
     path = TB.write_csv(table(spark, d, "customer"), scratch_path(spark, "csv-customer"))
     return TB.scan_csv(spark, path)
+
+
+# ------------------------------------------- written tables, one-hot columns
+@register("S6_write_table", with_views("""
+SELECT event_type, severity, CAST(2 * count(*) AS BIGINT) AS n, CAST(2 * count(*) AS BIGINT) AS n_ids
+FROM v_audit GROUP BY event_type, severity""", "v_audit"))
+def q_s6(spark, d):
+    """Two appends, read back: every record has an id of its own."""
+    from modelkeep.session import scratch_path
+    path = scratch_path(spark, "appended")
+    rows = V.v_audit(spark, d).drop("id")
+    for _ in range(2):
+        TB.write_table(rows, path)
+    return spark.read.parquet(path).groupBy("event_type", "severity").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
+
+
+@register("A1_log_event", """
+SELECT 'NATION' AS event_type, n_name AS message, 'INFO' AS severity, CAST(1 AS BIGINT) AS n FROM nation""")
+def q_a1(spark, d):
+    from modelkeep.session import scratch_path
+    path = scratch_path(spark, "events")
+    names = [r["n_name"] for r in table(spark, d, "nation").collect()]  # a batch of driver-side events
+    A.log_events(spark, path, [("NATION", n, "INFO") for n in names])
+    return spark.read.parquet(path).groupBy("event_type", "message", "severity").agg(F.count_distinct("id").alias("n"))
+
+
+@register("T9_onehot_columns", with_views(f"""
+WITH tr AS (SELECT * FROM v_dirty WHERE NOT {_test_flag_sql('CAST(o_orderkey AS VARCHAR)')}),
+vc AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, {c} AS category, count(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY {c}" for c in _ONEHOT_COLS)}),
+r AS (SELECT *, count(*) OVER (PARTITION BY col) AS n_cats,
+             row_number() OVER (PARTITION BY col ORDER BY n DESC, category DESC) AS fr FROM vc),
+f AS (SELECT *, (n_cats <= 50 OR fr <= 49) AS frequent FROM r),
+s AS (SELECT *, CASE WHEN frequent THEN row_number() OVER (PARTITION BY col, frequent ORDER BY category) - 1
+                     ELSE count_if(frequent) OVER (PARTITION BY col) END AS slot FROM f),
+long AS ({' UNION ALL '.join(f"SELECT o_orderkey, '{c}' AS col, {c} AS category FROM v_dirty" for c in _ONEHOT_COLS)})
+SELECT l.o_orderkey, l.col AS "column", CAST(s.slot AS INTEGER) AS slot FROM long l JOIN s ON l.col = s.col AND l.category = s.category""",
+    "v_dirty"))
+def q_t9_columns(spark, d):
+    """The 0/1 columns themselves, of training and test rows: where they are 1."""
+    df = V.v_dirty(spark, d)
+    train, _ = T.split_train_test(df, "o_orderkey")
+    model = T.CappedOneHot(inputCols=_ONEHOT_COLS).fit(train)
+    out = model.transform(df)
+    cells = []
+    for i, (c, cats, rare) in enumerate(zip(_ONEHOT_COLS, model.getOrDefault(model.categories), model.getOrDefault(model.withRare))):
+        slots = [(f"__oh{i}_{j}", j) for j in range(len(cats))] + ([(f"__oh{i}_rare", len(cats))] if rare else [])
+        cells += [F.struct(F.lit(c).alias("column"), F.lit(j).alias("slot"), F.col(name).alias("v")) for name, j in slots]
+    return out.select("o_orderkey", F.inline(F.array(*cells))).where("v = 1").drop("v")
+
+
+# ------------------------------------------------------------------- streams
+def _stream_of(spark, df, name):
+    """``df`` written to a folder and read as a file stream."""
+    from modelkeep.session import scratch_path
+    path = scratch_path(spark, f"stream-{name}")
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@register("X1_stream_score", """
+SELECT l_orderkey, l_linenumber, round(regr_intercept(l_extendedprice, l_quantity) OVER ()
+       + regr_slope(l_extendedprice, l_quantity) OVER () * l_quantity, 3) AS prediction FROM lineitem""")
+def q_x1(spark, d):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+    from modelkeep.session import scratch_path
+    from modelkeep.streaming import streams as X
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    x = VectorAssembler(inputCols=["l_quantity"], outputCol="features")
+    model = PipelineModel(stages=[x, M.fit_linear(x.transform(li.withColumnRenamed("l_extendedprice", "label")))])
+    stream = _stream_of(spark, li, "inputs")
+    out = scratch_path(spark, "scored")
+    X.start(X.stream_score(stream, model, None, 1, ["l_orderkey", "l_linenumber"]), out, scratch_path(spark, "ck")).awaitTermination()
+    got = spark.read.parquet(out)
+    key = lambda k: F.get_json_object("input_json", f"$.{k}")
+    return got.select(key("l_orderkey").cast("long").alias("l_orderkey"), key("l_linenumber").cast("int").alias("l_linenumber"),
+                      F.round(F.col("prediction").cast("double"), 3).alias("prediction"))
+
+
+@register("X2_stream_volume", ORACLE["X2_stream_volume"])
+def q_x2_stream(spark, d):
+    """The stream itself, in complete mode so that open windows show too."""
+    from modelkeep.session import scratch_path
+    from modelkeep.streaming import streams as X
+    out = scratch_path(spark, "volume")
+    volume = X.stream_volume(_stream_of(spark, V.v_pred_log(spark, d), "log"))
+    X.start_batches(volume, lambda batch, _: batch.write.mode("overwrite").parquet(out), scratch_path(spark, "ck"), mode="complete").awaitTermination()
+    return spark.read.parquet(out).select("deployment_id", F.date_format("window_start", TS_FMT).alias("window_start"), "predictions")
+
+
+@register("X3_stream_feedback", """
+SELECT event_id AS prediction_id, CASE WHEN event_id % 6 = 0 THEN lower(event_type) ELSE upper(event_type) END AS actual
+FROM events WHERE event_id % 3 = 0""")
+def q_x3(spark, d):
+    """Predictions with the last of their feedback, as the stream pairs them."""
+    from modelkeep.session import scratch_path
+    from modelkeep.streaming import streams as X
+    preds = V.v_pred_log(spark, d).drop("actual")
+    out = scratch_path(spark, "pairs")
+    paired = X.stream_feedback(_stream_of(spark, preds, "predictions"), _stream_of(spark, V.v_feedback(spark, d), "feedback"), "1 day")
+    X.start(paired, out, scratch_path(spark, "ck")).awaitTermination()
+    return X.latest_feedback(spark.read.parquet(out).where("actual IS NOT NULL")).select("prediction_id", "actual")
+
+
+@register("X4_stream_performance", ORACLE["F9_performance_check"])
+def q_x4(spark, d):
+    from modelkeep.session import scratch_path
+    from modelkeep.streaming import streams as X
+    out = scratch_path(spark, "performance")
+    body = X.performance_batch(scratch_path(spark, "paired"), out, _deps(spark, d))
+    X.start_batches(_stream_of(spark, V.v_pred_log(spark, d), "log"), body, scratch_path(spark, "ck")).awaitTermination()
+    return spark.read.parquet(out).select("deployment_id", "n_labelled", r6("accuracy").alias("accuracy"), "performance_threshold", "alarm")
+
+
+@register("X5_stream_drift", ORACLE["D10_drift_score"])
+def q_x5(spark, d):
+    from modelkeep.session import scratch_path
+    from modelkeep.streaming import streams as X
+    ref, cur = V.v_drift_large(spark, d)
+    out = scratch_path(spark, "drift")
+    X.start_batches(_stream_of(spark, cur, "current"), X.drift_batch(ref, out), scratch_path(spark, "ck")).awaitTermination()
+    return spark.read.parquet(f"{out}/reports").select(
+        F.lit("large").alias("pair"), r6("drift_score").alias("drift_score"), "number_of_columns", "number_of_drifted_columns", "has_drift", "message")

@@ -132,8 +132,9 @@ def start(query_df: DataFrame, sink: str, checkpoint: str, mode: str = "append",
     return w.start(sink)
 
 
-def start_batches(query_df: DataFrame, body, checkpoint: str, available_now: bool = True):
+def start_batches(query_df: DataFrame, body, checkpoint: str, available_now: bool = True,
+                  mode: str = "append"):
     """Start a ``foreachBatch`` query with a checkpoint."""
-    w = query_df.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+    w = query_df.writeStream.outputMode(mode).foreachBatch(body).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
