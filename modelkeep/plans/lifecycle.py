@@ -12,7 +12,7 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelkeep.functions.values import column_profile
@@ -23,7 +23,8 @@ from modelkeep.operators import scoring as S
 from modelkeep.operators import train as M
 from modelkeep.operators.prep import feature_lists, union_feedback
 from modelkeep.operators.quality import quality_issues, quality_report
-from modelkeep.sources.tables import scan_inputs_json
+from modelkeep.operators.audit import log_event, log_events
+from modelkeep.sources.tables import save_model, scan_inputs_json, write_table
 
 DATASET_EVENT = "Dataset '%s' uploaded successfully. Target: %s, Task: %s, Rows: %d"
 DRIFT_EVENT = ("Data drift detected! Drift ratio is %.2f (threshold: %.2f). "
@@ -97,35 +98,67 @@ def score_batch(model: PipelineModel, df: DataFrame, classes: list[str] | None)
     return pred.withColumn("raw_prediction", F.col("prediction"))
 
 
-def drift_monitor(deployments: DataFrame, models: DataFrame, datasets: DataFrame,
-                  references: dict[int, DataFrame], log: DataFrame):
-    """Active deployment -> its training data vs its logged inputs ->
-    drift report; a report row, a warning event and a retrain request when
-    it drifts.  Returns ``(report, features, requests)``."""
+REPORT_SCHEMA = "deployment_id long, drift_score double, has_drift boolean, message string"
+
+
+def _monitor_one(act, datasets: DataFrame, reference: DataFrame, log: DataFrame):
+    """Report row and feature rows of one active deployment (a row of R9)."""
     spark = log.sparkSession
-    act = R.active_deployment(deployments, models).orderBy("deployment_id").first()
-    if act is None:
-        raise ValueError("No active model deployment found.")
     ds = datasets.where(F.col("id") == act["dataset_id"]).first()
     mine = log.where(F.col("deployment_id") == act["deployment_id"])
     if mine.isEmpty():
-        report = spark.createDataFrame(
-            [(act["deployment_id"], 0.0, False, NO_LOGS_MESSAGE)],
-            "deployment_id long, drift_score double, has_drift boolean, message string")
-        return report, spark.createDataFrame([], D.FEATURE_SCHEMA), None
-    current = scan_inputs_json(mine)
-    reference = references[act["dataset_id"]]
-    feats, summary = D.drift_report(reference, current, ds["target_column"], act["drift_threshold"])
+        return (act["deployment_id"], 0.0, False, NO_LOGS_MESSAGE), spark.createDataFrame([], D.FEATURE_SCHEMA)
+    feats, summary = D.drift_report(reference, scan_inputs_json(mine), ds["target_column"], act["drift_threshold"])
     s = summary.first()
     message = s["message"] + (RETRAIN_QUEUED if s["has_drift"] else "")
-    report = spark.createDataFrame(
-        [(act["deployment_id"], float(s["drift_score"]), bool(s["has_drift"]), message)],
-        "deployment_id long, drift_score double, has_drift boolean, message string")
-    requests = None
-    if s["has_drift"]:
-        alarm = spark.createDataFrame([(act["deployment_id"],)], "deployment_id long")
-        requests = S.retrain_requests(alarm, models, deployments, datasets, kind="drift")
-    return report, feats, requests
+    return (act["deployment_id"], float(s["drift_score"]), bool(s["has_drift"]), message), feats
+
+
+def drift_monitors(deployments: DataFrame, models: DataFrame, datasets: DataFrame,
+                   references: dict[int, DataFrame], log: DataFrame):
+    """D13 for every active deployment whose training data is in
+    ``references``: ``(reports, features with deployment_id, requests)``.
+
+    Deployments are few (their list is bookkeeping, not data); the rows behind
+    each report are compared by distributed jobs.
+    """
+    spark = log.sparkSession
+    active = [r for r in R.active_deployment(deployments, models).orderBy("deployment_id").collect() if r["dataset_id"] in references]
+    if not active:
+        raise ValueError("No active model deployment found.")
+    reports, features = [], None
+    for act in active:
+        report, feats = _monitor_one(act, datasets, references[act["dataset_id"]], log)
+        reports.append(report)
+        feats = feats.withColumn("deployment_id", F.lit(act["deployment_id"]).cast("long"))
+        features = feats if features is None else features.unionByName(feats)
+    found = spark.createDataFrame(reports, REPORT_SCHEMA)
+    requests = S.retrain_requests(found.where("has_drift").select("deployment_id"), models, deployments, datasets, kind="drift")
+    return found, features, requests
+
+
+def drift_monitor(deployments: DataFrame, models: DataFrame, datasets: DataFrame,
+                  references: dict[int, DataFrame], log: DataFrame):
+    """The first active deployment -> its training data vs its logged
+    inputs -> drift report, and a retrain request when it drifts.  Returns
+    ``(report, features, requests)``; :func:`drift_monitors` does all."""
+    first = R.active_deployment(deployments, models).orderBy("deployment_id").select("dataset_id", "deployment_id").first()
+    if first is None:
+        raise ValueError("No active model deployment found.")
+    one = deployments.where(F.col("id") == first["deployment_id"])
+    reports, features, requests = drift_monitors(one, models, datasets, references, log)
+    return reports, features.drop("deployment_id"), requests if reports.first()["has_drift"] else None
+
+
+def store_monitoring(root: str, reports: DataFrame, requests: DataFrame, deployments: DataFrame) -> None:
+    """Write side of D13: report rows, a warning event for each alarm and the
+    requested models, appended below ``root``."""
+    spark = reports.sparkSession
+    write_table(reports.withColumn("created_at", F.current_timestamp()), f"{root}/drift_reports")
+    alarms = reports.where("has_drift").join(deployments.select(F.col("id").alias("deployment_id"), "drift_threshold"), "deployment_id").collect()
+    if alarms:
+        log_events(spark, f"{root}/audit_log", [("DRIFT", DRIFT_EVENT % (a["drift_score"], a["drift_threshold"]), "WARNING") for a in alarms])
+        write_table(requests.withColumn("created_at", F.current_timestamp()), f"{root}/model_requests")
 
 
 def feedback_rows(log: DataFrame, target: str) -> DataFrame:
@@ -156,3 +189,50 @@ def run_retraining(dataset: DataFrame, dp: DatasetProfile, key: str, log: DataFr
         "id long, dataset_id long, version long, f1_score double, r2_score double")
     decision = R.promote_if_better(new, models, deployments, datasets)
     return result, decision
+
+
+def store_dataset(root: str, row: DataFrame) -> DataFrame:
+    """Write side of P15: the dataset's row with a new id, and its audit event."""
+    spark = row.sparkSession
+    stored = write_table(row.drop("id", "audit_message"), f"{root}/datasets")
+    log_event(spark, f"{root}/audit_log", "DATASET", row.first()["audit_message"])
+    return stored
+
+
+def store_training(root: str, result: M.TrainResult, dataset_id: int, version: int, name: str,
+                   deployments: DataFrame | None = None, decision: DataFrame | None = None) -> tuple[int, DataFrame | None]:
+    """Write side of F11, M9 and M10: the model row, its artefact, and, with a
+    decision (R11), the deployments after it as a new snapshot and its event.
+
+    Returns the model's id and the deployments as stored.
+    """
+    spark = SparkSession.active()
+    metrics = {k: result.best.metrics.get(k) for k in R.METRICS}
+    row = spark.createDataFrame([(dataset_id, version, "DONE", result.best.name, name, *metrics.values())],
+                                "dataset_id long, version long, status string, algorithm string, model_name string, "
+                                + ", ".join(f"{k} double" for k in metrics)).withColumn("created_at", F.current_timestamp())
+    model_id = write_table(row, f"{root}/models").first()["id"]
+    save_model(result.final_model, result.metadata(), f"{root}/artifacts/{model_id}")
+    events = [("TRAINING", f"{name} trained: {result.best.name}", "INFO")]
+    after = None
+    if decision is not None and deployments is not None:
+        decided = decision.withColumn("new_model_id", F.lit(model_id).cast("long"))
+        path = f"{root}/deployments/after_model={model_id}"
+        R.apply_promotions(deployments, decided).write.mode("overwrite").parquet(path)
+        after = spark.read.parquet(path)
+        events += [("PROMOTION", r["message"], "INFO") for r in decided.select("message").collect()]
+    log_events(spark, f"{root}/audit_log", events)
+    return model_id, after
+
+
+def train_custom(estimator, df: DataFrame, dp: DatasetProfile, key: str, models: DataFrame,
+                 deployments: DataFrame, datasets: DataFrame, dataset_id: int):
+    """M10 with its comparison: the custom model against the dataset's active
+    one (R11).  Returns ``(TrainResult, decision_df)`` for store_training."""
+    final, metrics, classes = M.train_custom_estimator(estimator, df, dp.target, dp.problem_type, dp.numerical, dp.categorical, key)
+    best = M.SearchResult(type(estimator).__name__, "custom", {}, None, final, metrics)
+    result = M.TrainResult(dp.problem_type, dp.target, classes, [best], best, final, dp.numerical, dp.categorical)
+    version = models.where(F.col("dataset_id") == dataset_id).count() + 1
+    new = df.sparkSession.createDataFrame([(-1, dataset_id, version, metrics.get("f1_score"), metrics.get("r2_score"))],
+                                          "id long, dataset_id long, version long, f1_score double, r2_score double")
+    return result, R.promote_if_better(new, models, deployments, datasets)
