@@ -99,9 +99,11 @@ def quality_issues(df: DataFrame, key: list[str], profile: DataFrame | None = No
     return issues.withColumn("issue_order", order.cast("int"))
 
 
-def quality_report(df: DataFrame, key: list[str], profile: DataFrame | None = None) -> DataFrame:
-    """``(issue_count, overall_quality_score, overall_summary)``."""
-    issues = quality_issues(df, key, profile)
+def quality_report(df: DataFrame, key: list[str], profile: DataFrame | None = None,
+                   issues: DataFrame | None = None) -> DataFrame:
+    """``(issue_count, overall_quality_score, overall_summary)``, of
+    ``issues`` if they are at hand."""
+    issues = quality_issues(df, key, profile) if issues is None else issues
     n_cols = len(df.columns)
     return issues.agg(F.count(F.lit(1)).cast("long").alias("issue_count")).select(
         "issue_count",

@@ -45,16 +45,23 @@ class DatasetProfile:
     categorical: list[str]
 
 
-def profile_dataset(df: DataFrame, target: str | None = None) -> DatasetProfile:
-    """P3-P7, P13 on one dataset; the per-column frames are persisted
-    because several small results are read from them."""
+def _kept_rows(frame: DataFrame) -> DataFrame:
+    """A frame with a row per column or issue, computed once."""
+    return frame.sparkSession.createDataFrame(frame.collect(), frame.schema)
+
+
+def profile_dataset(df: DataFrame, target: str | None = None,
+                    raw: DataFrame | None = None) -> DatasetProfile:
+    """P3-P7, P13 on one dataset.  ``raw`` is its column profile, if at hand;
+    the coerced one is only computed where some column was coerced."""
     tgt = target if target and target in df.columns else P.rule_target(df.columns, target)
+    raw = _kept_rows(column_profile(df)) if raw is None else raw
     coerced = P.coerce_numeric(df)
-    prof = column_profile(coerced).persist()
+    prof = raw if coerced is df else _kept_rows(column_profile(coerced))
     p5 = P.profile_features(coerced, tgt, prof)
-    enriched = P.enrich_profile(p5, P.rule_profile(df, tgt)).persist()
+    enriched = _kept_rows(P.enrich_profile(p5, P.rule_profile(df, tgt, raw)))
     desc = P.describe_dataset(df, tgt).first()
-    shape = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    shape = (raw.agg(F.max("n_rows")).first()[0] or 0) if raw.columns else 0
     numerical, categorical = feature_lists(enriched)
     return DatasetProfile(tgt, desc["suggested_problem_type"], shape, len(df.columns), enriched,
                           desc["description"], numerical, categorical)
@@ -66,7 +73,8 @@ def register_dataset(df: DataFrame, name: str, target: str | None = None,
     spark = df.sparkSession
     if df.isEmpty():
         raise ValueError("Dataset is empty.")
-    dp = profile_dataset(df, target)
+    raw = _kept_rows(column_profile(df))
+    dp = profile_dataset(df, target, raw)
     meta = dp.profile.select(
         "column", F.struct("type", "null_count", "dtype",
                            F.struct("min", "max", "mean", "unique_count").alias("stats"),
@@ -74,10 +82,11 @@ def register_dataset(df: DataFrame, name: str, target: str | None = None,
     meta_json = meta.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("column", "m"))))
                          .alias("j")).first()["j"]  # one entry per column
     if key:
-        qrep = quality_report(df, key).first()
+        issues = _kept_rows(quality_issues(df, key, raw))
+        qrep = quality_report(df, key, issues=issues).first()
         quality = {"overall_quality_score": qrep["overall_quality_score"],
                    "overall_summary": qrep["overall_summary"],
-                   "issues": [r.asDict() for r in quality_issues(df, key)
+                   "issues": [r.asDict() for r in issues
                               .orderBy("pos", "issue_order").drop("issue_order").collect()]}
     else:
         quality = None
