@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modelkeep.sources.tables import write_table
+
 # Evaluation rules and request texts.
 MIN_LABELLED = 5
 REGRESSION_TOLERANCE = 0.15
@@ -42,6 +44,15 @@ def decode_labels(pred: DataFrame, classes: list[str], index: str = "raw_predict
         .otherwise(F.col(index).cast("long").cast("string")))
 
 
+def scored(model, df: DataFrame) -> DataFrame:
+    """``df`` with what the model adds.  The preparation replaces feature
+    columns by imputed and scaled ones; the prediction log, and the drift
+    tests that read it, need them as they came in."""
+    pred = model.transform(df.withColumn("__raw", F.struct(*df.columns)))
+    added = [c for c in pred.columns if c not in df.columns and not c.startswith("__")]
+    return pred.select("__raw.*", *added)
+
+
 def log_predictions(pred: DataFrame, deployment_id: int, inputs: list[str],
                     output: str = "prediction") -> DataFrame:
     """rows for the prediction log: inputs as JSON, output, time."""
@@ -52,6 +63,13 @@ def log_predictions(pred: DataFrame, deployment_id: int, inputs: list[str],
         F.current_timestamp().alias("logged_at"))
 
 
+def append_predictions(pred: DataFrame, path: str, deployment_id: int, inputs: list[str],
+                       output: str = "prediction") -> DataFrame:
+    """F4 (write side): the rows appended to the prediction log, each with a
+    ``prediction_id`` of its own, by which feedback is attached later."""
+    return write_table(log_predictions(pred, deployment_id, inputs, output), path, id_col="prediction_id")
+
+
 def prediction_counts(log: DataFrame) -> DataFrame:
     """predictions per deployment (derived, never a counter)."""
     return log.groupBy("deployment_id").agg(F.count(F.lit(1)).cast("long").alias("prediction_count"))

@@ -100,8 +100,9 @@ def register_dataset(df: DataFrame, name: str, target: str | None = None,
 
 
 def score_batch(model: PipelineModel, df: DataFrame, classes: list[str] | None) -> DataFrame:
-    """F2 + F3: predictions of the active pipeline, decoded to class names."""
-    pred = model.transform(df)
+    """F2 + F3: predictions of the active pipeline, decoded to class names,
+    beside the inputs as they came in."""
+    pred = S.scored(model, df)
     if classes:
         return S.decode_labels(pred.withColumnRenamed("prediction", "raw_prediction"), classes)
     return pred.withColumn("raw_prediction", F.col("prediction"))

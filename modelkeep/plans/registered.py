@@ -1188,13 +1188,31 @@ def _assembled(df, dp, key, classes=None):
     train, test = T.split_train_test(df.where(F.col(dp.target).isNotNull()), key)
     if dp.problem_type == "classification" and classes is None:
         classes = [r["label"] for r in T.encode_labels(train, dp.target).orderBy("idx").collect()]
-    lab = lambda x: x.withColumn("label", M.label_column(x, dp.target, classes)).where(F.col("label").isNotNull())
+    # the key may be a feature, which the preparation replaces
+    lab = lambda x: x.withColumns({"label": M.label_column(x, dp.target, classes), "__row": F.col(key)}).where(F.col("label").isNotNull())
     prep = T.feature_pipeline(dp.numerical, dp.categorical).fit(lab(train))
     return prep.transform(lab(train)), prep.transform(lab(test)), classes
 
 
-def _predictions(model, test, key):
-    return model.transform(test).select(key, "label", "prediction")
+def _predictions(model, train, test, key, problem="regression"):
+    """Key and label of every scored row, and whether the model does what any
+    fitted one must: smaller errors on its training rows than the constant's,
+    or only known classes."""
+    p = model.transform(test).select(F.col("__row").alias(key), "label", "prediction")
+    if problem == "regression":
+        fitted = model.transform(train).select("label", "prediction")
+        mean = fitted.agg(F.avg("label")).first()[0] or 0.0
+        row = fitted.agg(F.sum(F.pow(F.col("label") - F.col("prediction"), 2)).alias("own"),
+                    F.sum(F.pow(F.col("label") - F.lit(mean), 2)).alias("constant")).first()
+        sound = row["own"] is not None and row["own"] < row["constant"]
+    else:
+        sound = p.join(test.select("label").distinct().withColumnRenamed("label", "prediction"), "prediction", "left_anti").isEmpty()
+    return p.select(key, F.round("label", 2).alias("label"), F.lit(sound).alias("sound"))
+
+
+_REG_ROWS = "SELECT k, round(l_extendedprice, 2) AS label, TRUE AS sound FROM v_reg"
+_CLS_ROWS = ("SELECT l.doc_id, CAST(quality AS DOUBLE) AS label, TRUE AS sound FROM labels l JOIN documents d USING (doc_id) "
+             "WHERE quality IS NOT NULL")
 
 
 @register("T10_assemble_features")
@@ -1205,11 +1223,27 @@ def q_t10(spark, d):
     return train.unionByName(test).select("k", vector_to_array("features").alias("features"))
 
 
-@register("M1_fit_logistic")
+@register("T10_assembled_cells", with_views(f"""
+WITH tr AS (SELECT * FROM v_reg WHERE NOT {_test_flag_sql('k')}),
+s AS (SELECT avg(l_quantity) AS m0, stddev_pop(l_quantity) AS s0, avg(l_discount) AS m1, stddev_pop(l_discount) AS s1,
+             avg(l_tax) AS m2, stddev_pop(l_tax) AS s2 FROM tr),
+c AS (SELECT l_returnflag, 2 + row_number() OVER (ORDER BY l_returnflag) AS slot FROM (SELECT DISTINCT l_returnflag FROM tr)),
+cells AS (SELECT k, 0 AS slot, (l_quantity - m0) / s0 AS value FROM v_reg, s UNION ALL SELECT k, 1, (l_discount - m1) / s1 FROM v_reg, s
+          UNION ALL SELECT k, 2, (l_tax - m2) / s2 FROM v_reg, s UNION ALL SELECT k, slot, 1.0 FROM v_reg JOIN c USING (l_returnflag))
+SELECT k, CAST(slot AS INTEGER) AS slot, round(value, 6) AS value FROM cells WHERE round(value, 6) <> 0""", "v_reg"))
+def q_t10_cells(spark, d):
+    from pyspark.ml.functions import vector_to_array
+    df, dp = _reg_setup(spark, d)
+    train, test, _ = _assembled(df, dp, "k")
+    cells = train.unionByName(test).select("k", F.posexplode(vector_to_array("features")).alias("slot", "v"))
+    return cells.select("k", "slot", r6("v").alias("value")).where("value <> 0")
+
+
+@register("M1_fit_logistic", f"{_CLS_ROWS} AND {_test_flag_sql('CAST(l.doc_id AS VARCHAR)')}")
 def q_m1(spark, d):
     df, dp = _cls_setup(spark, d)
     train, test, _ = _assembled(df, dp, "doc_id")
-    return _predictions(M.fit_logistic(train), test, "doc_id")
+    return _predictions(M.fit_logistic(train), train, test, "doc_id", "classification")
 
 
 @register("M2_fit_linear", """
@@ -1225,26 +1259,26 @@ def q_m2(spark, d):
         F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
-@register("M3_fit_forest")
+@register("M3_fit_forest", with_views(f"{_REG_ROWS} WHERE {_test_flag_sql('k')}", "v_reg"))
 def q_m3(spark, d):
     df, dp = _reg_setup(spark, d)
     train, test, _ = _assembled(df, dp, "k")
-    return _predictions(M.fit_forest(train, "regression", {"numTrees": 50, "maxDepth": 5, "minSplit": 2}), test, "k")
+    return _predictions(M.fit_forest(train, "regression", {"numTrees": 50, "maxDepth": 5, "minSplit": 2}), train, test, "k")
 
 
-@register("M4_fit_boosted_level")
+@register("M4_fit_boosted_level", with_views(f"{_REG_ROWS} WHERE {_test_flag_sql('k')}", "v_reg"))
 def q_m4(spark, d):
     df, dp = _reg_setup(spark, d)
     train, test, _ = _assembled(df, dp, "k")
     return _predictions(M.fit_boosted_level(train, "regression", {"rounds": 50, "maxDepth": 3,
-                                                                  "learningRate": 0.1}), test, "k")
+                                                                  "learningRate": 0.1}), train, test, "k")
 
 
-@register("M5_fit_boosted_leaf")
+@register("M5_fit_boosted_leaf", f"{_CLS_ROWS} AND {_test_flag_sql('CAST(l.doc_id AS VARCHAR)')}")
 def q_m5(spark, d):
     df, dp = _cls_setup(spark, d)
     train, test, classes = _assembled(df, dp, "doc_id")
-    return _predictions(M.fit_boosted_leaf(train, "classification", {}, len(classes)), test, "doc_id")
+    return _predictions(M.fit_boosted_leaf(train, "classification", {}, len(classes)), train, test, "doc_id", "classification")
 
 
 @register("M6_random_search")
@@ -1262,14 +1296,29 @@ def q_m6(spark, d):
                                  "algorithm string, setting string, cv_metric double")
 
 
-@register("M8_refit_full")
+@register("M8_refit_full", _CLS_ROWS)
 def q_m8(spark, d):
     df, dp = _cls_setup(spark, d)
     best = M.SearchResult("Logistic Regression", "logistic", {"C": 1.0}, None, None)
     classes = [r["label"] for r in T.encode_labels(df, "quality").orderBy("idx").collect()]
-    lab = df.withColumn("label", M.label_column(df, "quality", classes)).where(F.col("label").isNotNull())
+    lab = df.withColumns({"label": M.label_column(df, "quality", classes), "__row": F.col("doc_id")}).where(F.col("label").isNotNull())
     model = M.refit_full(best, lab, "classification", dp.numerical, dp.categorical, len(classes))
-    return model.transform(lab).select("doc_id", "label", "prediction")
+    return _predictions(model, lab, lab, "doc_id", "classification")
+
+
+@register("M6_fold_sizes", f"""
+WITH c AS (SELECT CAST(quality AS DOUBLE) AS label, count(*) AS n FROM labels l JOIN documents d USING (doc_id)
+           WHERE quality IS NOT NULL AND NOT {_test_flag_sql('CAST(l.doc_id AS VARCHAR)')} GROUP BY quality),
+f AS (SELECT least(3, min(n)) AS folds FROM c)
+SELECT label, CAST(i % folds AS INTEGER) AS fold, count(*) AS n
+FROM c, f, LATERAL (SELECT unnest(generate_series(1, n)) AS i) GROUP BY label, i % folds""")
+def q_m6_folds(spark, d):
+    df, _ = _cls_setup(spark, d)
+    train, _ = T.split_train_test(df, "doc_id")
+    classes = [r["label"] for r in T.encode_labels(train, "quality").orderBy("idx").collect()]
+    folds = int(T.cv_folds(train, "quality", "classification").first()["folds"])
+    labelled = train.withColumn("label", M.label_column(train, "quality", classes))
+    return M.with_folds(labelled, "doc_id", folds, labelled.count(), "label").groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _auto_train_cls(spark, d):
@@ -1292,20 +1341,30 @@ def q_m10(spark, d):
                                  ", ".join(f"{k} double" for k in sorted(metrics)))
 
 
-@register("F2_score_batch")
+@register("F2_score_batch", with_views(_REG_ROWS, "v_reg"))
 def q_f2(spark, d):
     df, dp = _reg_setup(spark, d)
     model, _, _ = M.train_custom_estimator(M.make_estimator("linear", "regression", {}, 0), df, dp.target,
                                            dp.problem_type, dp.numerical, dp.categorical, "k")
-    return L.score_batch(model, df, None).select("k", "prediction")
+    scored = L.score_batch(model, df, None).select("k", F.col("l_extendedprice").alias("label"), "prediction")
+    error, spread_ = scored.agg(F.sum(F.pow(F.col("label") - F.col("prediction"), 2)), F.var_pop("label") * F.count("label")).first()
+    return scored.select("k", F.round("label", 2).alias("label"), F.lit(error < spread_).alias("sound"))
 
 
-@register("F4_log_predictions")
+@register("F4_log_predictions", with_views("""
+SELECT CAST(0 AS BIGINT) AS deployment_id, l_quantity, l_discount, l_tax, l_returnflag, CAST(count(*) AS BIGINT) AS n_ids
+FROM v_reg GROUP BY l_quantity, l_discount, l_tax, l_returnflag""", "v_reg"))
 def q_f4(spark, d):
     df, dp = _reg_setup(spark, d)
     model, _, _ = M.train_custom_estimator(M.make_estimator("linear", "regression", {}, 0), df, dp.target,
                                            dp.problem_type, dp.numerical, dp.categorical, "k")
-    return S.log_predictions(L.score_batch(model, df, None), 0, dp.numerical + dp.categorical)
+    from modelkeep.session import scratch_path
+    path = scratch_path(spark, "prediction-log")
+    S.append_predictions(L.score_batch(model, df, None), path, 0, dp.numerical + dp.categorical)
+    log = spark.read.parquet(path).where("prediction IS NOT NULL")
+    field = lambda c: F.get_json_object("input_json", f"$.{c}")
+    return log.groupBy("deployment_id", *[field(c).cast("double").alias(c) for c in dp.numerical], *[field(c).alias(c) for c in dp.categorical]).agg(
+        F.count_distinct("prediction_id").alias("n_ids"))
 
 
 @register("P15_register_dataset")

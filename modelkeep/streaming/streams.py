@@ -41,7 +41,7 @@ def stream_volume(log_stream: DataFrame, every: str = "1 hour", ts: str = "logge
 def stream_score(stream: DataFrame, model: PipelineModel, classes: list[str] | None,
                  deployment_id: int, inputs: list[str]) -> DataFrame:
     """F2 + F3 + F4 on an input stream (stateless, row by row)."""
-    pred = model.transform(stream)
+    pred = S.scored(model, stream)
     if classes:
         pred = S.decode_labels(pred.withColumnRenamed("prediction", "raw_prediction"), classes)
     return pred.select(

@@ -124,3 +124,13 @@ def test_a_cluster_must_name_its_shared_folder():
                 return default
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_root(Session())
+
+
+def test_the_log_holds_inputs_as_they_came_in(spark):
+    df = spark.range(50).select(F.col("id").cast("string").alias("k"), (F.col("id") * 10.0).alias("x"), (F.col("id") * 2.0).alias("y"))
+    res = M.auto_train(df, "y", "regression", ["x"], [], "k", kinds=["linear"])
+    pred = L.score_batch(res.final_model, df, None)
+    assert pred.where("abs(x - k * 10.0) > 1e-9").count() == 0
+    from modelkeep.operators import scoring
+    logged = scoring.log_predictions(pred, 1, ["x"]).select(F.get_json_object("input_json", "$.x").cast("double").alias("x"))
+    assert logged.agg(F.max("x")).first()[0] == 490.0
