@@ -23,8 +23,11 @@ led nowhere is never tried again.  Decoding writes the labels of the arcs.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import regex
@@ -32,8 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from modelkeep.llm import words as W
-from modelkeep.llm.common import hex_sha256, id_and_text, per_batch, settle
+from modelkeep.llm.common import hex_sha256, id_and_text, settle
 
 #: Fixed value: the pre-split pattern of byte-level BPE, with Unicode classes.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,8 +46,8 @@ PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _SPACE = r" \t\n\r\x0b\f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
-#: Remembered runs (twice as many at most) and transitions of a worker.
-WORDS_KEPT, CELLS_KEPT = 1 << 18, 1 << 18
+#: Remembered runs (twice as many at most) and transitions of a task.
+WORDS_KEPT, CELLS_KEPT = 1 << 17, 1 << 18
 
 _NEVER = 1 << 60
 
@@ -205,52 +207,45 @@ class Automaton:
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_HERE: dict[int, Automaton] = {}
+@contextmanager
+def _automaton(shared):
+    """The automaton of a broadcast tokenizer file, for one task.  A worker
+    serves other tasks afterwards, so nothing of it stays in its memory."""
+    own = Automaton.from_json(shared.value)
+    try:
+        yield own
+    finally:
+        own.__dict__.clear()
+        gc.collect()
 
 
-def _automaton(shared) -> Automaton:
-    """A worker compiles the broadcast tokenizer file once."""
-    if shared.id not in _HERE:
-        _HERE.clear()
-        _HERE[shared.id] = Automaton.from_json(shared.value)
-    return _HERE[shared.id]
-
-
-class _Shared:
+def _shared(spark, path: str):
     """The text of a tokenizer file (a few MB, bounded by its vocabulary) as a broadcast."""
-
-    def __init__(self, spark, path: str):
-        with open(path, encoding="utf-8") as file:
-            self._broadcast = spark.sparkContext.broadcast(file.read())
-        self.id = self._broadcast.id if hasattr(self._broadcast, "id") else self._broadcast._jbroadcast.id()
-
-    def __getstate__(self):
-        return {"_broadcast": self._broadcast, "id": self.id}
-
-    @property
-    def value(self) -> str:
-        return self._broadcast.value
+    with open(path, encoding="utf-8") as file:
+        return spark.sparkContext.broadcast(file.read())
 
 
 def encode_column(spark, path: str):
     """A function of a text column: its ids as array<int> (null: empty)."""
-    shared = _Shared(spark, path)
+    shared = _shared(spark, path)
 
     @arrow_udf("array<int>")
-    def encode(text: pa.Array) -> pa.Array:
-        own = _automaton(shared)
-        return pa.array([own.encode(t or "") for t in text.to_pylist()], pa.list_(pa.int32()))
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with _automaton(shared) as own:
+            for batch in texts:
+                yield pa.array([own.encode(t.as_py() or "") for t in batch], pa.list_(pa.int32()))
     return encode
 
 
 def decode_column(spark, path: str):
     """A function of an ids column: the decoded text (null: empty)."""
-    shared = _Shared(spark, path)
+    shared = _shared(spark, path)
 
     @arrow_udf("string")
-    def decode(ids: pa.Array) -> pa.Array:
-        own = _automaton(shared)
-        return pa.array([own.decode(i or []) for i in ids.to_pylist()], pa.string())
+    def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with _automaton(shared) as own:
+            for batch in ids:
+                yield pa.array([own.decode(i.as_py() or []) for i in batch], pa.string())
     return decode
 
 
@@ -263,20 +258,20 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     settle(spark)
-    shared = _Shared(spark, path)
-
-    def run(batch):
-        own = _automaton(shared)
-        for lo, hi, _, _ in W.slices(batch.column(1)):
-            n, ids_sha, text_sha = [], [], []
-            for text in batch.column(1).slice(lo, hi - lo):
-                ids = own.encode(text.as_py())
-                n.append(len(ids))
-                ids_sha.append(hex_sha256(",".join([own.written[i] for i in ids]).encode()))
-                text_sha.append(hex_sha256(own.decode(ids).encode()))
-            yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
-                                  names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return id_and_text(docs, id_col, text_col).mapInArrow(per_batch(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    shared = _shared(spark, path)
+
+    def run(batches):
+        with _automaton(shared) as own:
+            for batch in batches:
+                n, ids_sha, text_sha = [], [], []
+                for text in batch.column(1):
+                    ids = own.encode(text.as_py())
+                    n.append(len(ids))
+                    ids_sha.append(hex_sha256(",".join([own.written[i] for i in ids]).encode()))
+                    text_sha.append(hex_sha256(own.decode(ids).encode()))
+                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                                      names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def tokenizer_path(name: str) -> str:
