@@ -144,7 +144,8 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFram
     """(doc_id, text_hash, start, length, item_id): each place in ``docs``
     (doc_id, text_hash, text) where a window of an item stands."""
     spark = docs.sparkSession
-    candidates = staged(item_windows(items, window=window), "item-windows")
+    # Rows of the benchmark may repeat; `found` below counts each shingle of a window once.
+    candidates = staged(item_windows(items, window=window).distinct(), "item-windows")
     sizes = [r[0] for r in candidates.select("size").distinct().collect()]
     if not sizes:
         return spark.createDataFrame([], "doc_id long, text_hash long, start int, length int, item_id long")

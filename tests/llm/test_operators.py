@@ -285,6 +285,14 @@ def test_contamination_brute_force_and_awkward(spark, awkward, empty):
     assert len(none) == len(docs) and not any(r["contaminated"] for r in none)
 
 
+def test_contamination_of_repeated_benchmark_rows(spark):
+    bench = [(1, prose(3, 40)), (1, prose(3, 40)), (2, prose(4, 30) + " end"), (2, prose(4, 30) + " other"), (3, "few words"), (3, "few words"), (3, "few words")]
+    docs = [(1, "a " + prose(3, 20)), (2, prose(4, 25)), (3, "some few words"), (4, prose(5, 30))]
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in dec.contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()), key=repr)
+    assert got == brute_contamination(docs, bench) and [r[-1] for r in got] == [True, True, True, False]
+
+
 # ------------------------------------------------------------------- urls
 def test_urls_rules_and_templates(spark):
     cases = [("http://a.com/x", "a.com", "/x", "com/", "allow"), ("https://EXAMPLE.com/en/1?q#f", "example.com", "/en/1", "example.com/en/", "block"),
