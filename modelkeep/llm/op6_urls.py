@@ -2,14 +2,15 @@
 
 A rule names a host and the beginning of a path; it fits that host and its
 subdomains, and the longest rule that fits decides.  The urls a rule decides
-label the rest.  Paths fall into a tree of templates per host: a segment that
-varies (numbers, long hexadecimal strings, segments that are rare among their
-siblings) becomes ``*``, and ``html``-like endings are cut off.  Templates that
-say the same in hosts too small to judge are merged: the evidence of a template
-shrinks towards the same template over all hosts of the parent domain, that
-towards the template over all hosts, and that towards its parent template.  A
-template is rejected where the smoothed share of blocked urls passes a
-threshold.
+label the rest.  The paths of a host, of any depth, fall into a tree of
+templates: a segment that varies (numbers, long hexadecimal strings, segments
+that are rare among their siblings) becomes ``*``, and ``html``-like endings
+are cut off.  Siblings whose labelled rates agree by a chi-square test of
+homogeneity are merged into one branch, and so are the paths below them.  The
+evidence of a branch shrinks towards its template over all hosts of the parent
+domain, that towards the template over all hosts, and that towards its parent
+template.  A template is rejected where the smoothed share of blocked urls
+passes a threshold.
 
 All of it is grouped aggregation and joins on the grouped tables.
 """
@@ -24,8 +25,8 @@ from modelkeep.llm.common import fresh, settle, staged
 #: (verdict, host, path) in the order they were given.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
-#: Segments of a path that a template tells apart.
-DEPTH = 4
+#: Upper 5 % point of the normal distribution: siblings whose rates differ by more aren't merged.
+DIFFERS = 1.6449
 
 #: A segment with less than this share of its siblings' urls is a variable.
 LEAST_SHARE = 0.01
@@ -68,40 +69,95 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def _generalised(segment: Column) -> Column:
     bare = F.regexp_replace(segment, r"\.[A-Za-z0-9]{1,5}$", "")
     variable = bare.rlike(r"^[0-9]+$") | bare.rlike(r"^[0-9a-fA-F-]{16,}$") | bare.rlike(r"[0-9]{3,}")
-    return F.when(variable, "*").otherwise(bare)
+    return F.when(variable, "*").when(bare == "", segment).otherwise(bare)
+
+
+def merged(siblings: DataFrame) -> DataFrame:
+    """``siblings`` (host, node, name, bad, m: blocked and labelled urls of a
+    branch below ``node``) with ``branch``: the smallest name among the branches
+    it is merged with.
+
+    The siblings of a node are one branch unless a chi-square test of
+    homogeneity rejects that; then those above and below the common rate are
+    tested on their own, and so on.  Equal rates are never parted.  A branch
+    without labels has no rate and stays alone.
+    """
+    rates = siblings.where("m > 0").groupBy("host", "node", "bad", "m").agg(F.count("*").alias("k"), F.min("name").alias("least"))
+    rates = staged(rates.withColumn("part", F.lit("")), "rates")
+    part_of = lambda df, *more: df.select(F.concat("host", F.lit("")).alias("h"), F.concat("node", F.lit("")).alias("o"), F.concat("part", F.lit("")).alias("t"), *more)
+    same_part = (F.col("host") == F.col("h")) & (F.col("node") == F.col("o")) & (F.col("part") == F.col("t"))
+    while True:
+        groups = rates.groupBy("host", "node", "part").agg(
+            F.sum(F.col("k") * F.col("bad")).alias("b"), F.sum(F.col("k") * F.col("m")).alias("n"), F.sum("k").alias("branches"),
+            F.sum(F.col("k") * F.col("bad") * F.col("bad") / F.col("m")).alias("squares")).withColumn("p", F.col("b") / F.col("n"))
+        free = F.greatest(F.col("branches") - 1, F.lit(1)).cast("double")
+        # Wilson and Hilferty's approximation of the chi-square quantile.
+        limit = free * F.pow(1 - 2 / (9 * free) + DIFFERS * F.sqrt(2 / (9 * free)), 3)
+        differ = groups.where((F.col("branches") > 1) & (F.col("squares") - F.col("b") * F.col("p") > limit * F.col("p") * (1 - F.col("p"))) & (F.col("b") > 0) & (F.col("b") < F.col("n")))
+        differ = staged(part_of(differ, "p"), "differ")
+        if differ.isEmpty():
+            break
+        side = F.when(F.col("p").isNull(), "").when(F.col("bad") > F.col("p") * F.col("m"), "1").otherwise("0")
+        rates = staged(rates.join(differ, same_part, "left").select("host", "node", "bad", "m", "k", "least", F.concat("part", side).alias("part")), "rates")
+    named = part_of(rates.groupBy("host", "node", "part").agg(F.min("least").alias("branch")), "branch")
+    named = rates.join(named, same_part).select(*[F.col(c).alias(f"r_{c}") for c in ("host", "node", "bad", "m")], "branch")
+    of = [F.col(c) == F.col(f"r_{c}") for c in ("host", "node", "bad", "m")]
+    return siblings.join(staged(named, "branches"), of, "left").select("host", "node", "name", F.coalesce("branch", "name").alias("branch"))
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """``urls`` (host, path, ...) with domain and template (an array of at most
-    ``DEPTH`` segments, variable ones as *)."""
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    known = urls.withColumn("segments", F.transform(F.slice(segments, 1, DEPTH), _generalised))
-    known = known.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
-    for depth in range(1, DEPTH + 1):
-        # Siblings: urls of one domain whose templates agree up to here.
-        before, own = F.array_join(F.slice("segments", 1, depth - 1), "/"), F.element_at("segments", depth)
-        here = known.where(F.size("segments") >= depth).groupBy("domain", before.alias("before"), own.alias("own")).agg(F.count("*").alias("n"))
-        here = staged(here, f"segments-{depth}")
-        of = here.groupBy("domain", "before").agg(F.sum("n").alias("all")).select(F.concat("domain", F.lit("")).alias("d"), F.concat("before", F.lit("")).alias("b"), "all")
-        rare = here.join(of, (F.col("domain") == F.col("d")) & (F.col("before") == F.col("b"))).where(
-            (F.col("own") != "*") & (F.col("n") < LEAST_SHARE * F.col("all"))).select(
-            F.col("domain").alias("rare_domain"), F.col("before").alias("rare_before"), F.col("own").alias("rare_own"))
-        joined = known.join(rare, (F.col("domain") == F.col("rare_domain")) & (before == F.col("rare_before")) & (F.when(F.size("segments") >= depth, own) == F.col("rare_own")), "left")
-        starred = F.transform("segments", lambda s, k: F.when((k == depth - 1) & F.col("rare_own").isNotNull(), "*").otherwise(s))
-        known = joined.withColumn("segments", starred).drop("rare_domain", "rare_before", "rare_own")
-        known = staged(known, f"templates-{depth}")
-    return known.withColumnRenamed("segments", "template")
+    """``urls`` (host, path, verdict, ...) with domain, template (an array of
+    segments, variable ones as *) and branch (what the template is merged to).
+
+    Each round takes all segments that the paths below a node have in common,
+    then one at which they part, so a round is a fork and not a depth.
+    """
+    segments = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), _generalised)
+    known = staged(urls.withColumn("key", F.array_join(segments, "/")).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)), "urls")
+    paths = known.groupBy("host", "key").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("bad"), F.count_if(F.col("verdict").isNotNull()).alias("m"))
+    going = staged(paths.select("*", F.lit("").alias("node"), F.array().cast("array<string>").alias("template"), F.filter(F.split("key", "/"), lambda s: s != "").alias("rest")), "paths")
+    at = lambda df, *more: df.select(F.concat("host", F.lit("")).alias("h"), F.concat("node", F.lit("")).alias("o"), *more)
+    below = (F.col("host") == F.col("h")) & (F.col("node") == F.col("o"))
+    ended = []
+    while True:
+        ends = at(going.groupBy("host", "node").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi")), "lo", "hi")
+        parts = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), False)
+        shared = F.when(parts == 0, F.size("lo")).otherwise(parts - 1).cast("int")
+        common = F.slice("rest", F.lit(1), F.col("shared"))
+        going = staged(going.join(ends, below).withColumn("shared", shared).select(
+            "host", "key", "n", "bad", "m", F.concat("node", F.array_join(F.transform(common, lambda s: F.concat(F.lit("/"), s)), "")).alias("node"),
+            F.concat("template", common).alias("template"), F.slice("rest", F.col("shared") + 1, F.size("rest")).alias("rest")), "paths")
+        ended.append(going.where(F.size("rest") == 0).select("host", "key", "template", "node"))
+        going = going.where(F.size("rest") > 0)
+        if going.isEmpty():
+            break
+        going = going.withColumn("own", F.get("rest", F.lit(0)))
+        here = staged(going.groupBy("host", "node", "own").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "m")]), "segments")
+        total = at(here.groupBy("host", "node").agg(F.sum("n").alias("all")), "all")
+        rare = (F.col("own") != "*") & (F.col("n") < LEAST_SHARE * F.col("all"))
+        here = staged(here.join(total, below).select("host", "node", "own", F.when(rare, "*").otherwise(F.col("own")).alias("name"), "bad", "m"), "siblings")
+        branch = merged(here.groupBy("host", "node", "name").agg(F.sum("bad").alias("bad"), F.sum("m").alias("m")))
+        branch = at(branch, F.concat("name", F.lit("")).alias("of_name"), "branch")
+        step = here.join(branch, below & (F.col("name") == F.col("of_name"))).select("h", "o", F.col("own").alias("of_own"), "name", "branch")
+        going = staged(going.join(staged(step, "steps"), below & (F.col("own") == F.col("of_own"))).select(
+            "host", "key", "n", "bad", "m", F.concat_ws("/", "node", "branch").alias("node"), F.concat("template", F.array("name")).alias("template"),
+            F.slice("rest", F.lit(2), F.size("rest")).alias("rest")), "paths")
+    of = ended[0]
+    for more in ended[1:]:
+        of = of.unionByName(more)
+    of = staged(of.select(F.col("host").alias("h"), F.col("key").alias("of_key"), "template", F.col("node").alias("branch")), "templates")
+    return known.join(of, (F.col("host") == F.col("h")) & (F.col("key") == F.col("of_key"))).drop("h", "key", "of_key")
 
 
 def purity(known: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """``known`` (host, domain, template, verdict) with ``blocked``: the
-    smoothed share of blocked urls at its template.
+    """``known`` (host, domain, template, branch, verdict) with ``blocked``:
+    the smoothed share of blocked urls at its branch.
 
     From the tree's root down: a template over all hosts shrinks towards its
-    parent, the same template in a domain towards that, and in a host towards
-    its domain's.
+    parent, the same template in a domain towards that, and in a host the
+    branch it is merged to towards its domain's.
     """
-    counts = staged(known.groupBy("host", "domain", "template").agg(
+    counts = staged(known.groupBy("host", "domain", "template", "branch").agg(
         F.count_if(F.col("verdict") == "block").alias("bad"), F.count_if(F.col("verdict").isNotNull()).alias("n")), "counts")
     bad, n = counts.agg(F.sum("bad"), F.sum("n")).first()
     root = ((bad or 0) + 1.0) / ((n or 0) + 2.0)
@@ -109,19 +165,18 @@ def purity(known: DataFrame, prior: float = PRIOR) -> DataFrame:
     nodes = counts.select(F.explode(F.sequence(F.lit(0), F.size("template"))).alias("depth"), "template", "bad", "n").select(
         F.slice("template", F.lit(1), F.col("depth")).alias("node"), "bad", "n").groupBy("node").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     nodes = staged(nodes, "nodes")
-    level = nodes.where(F.size("node") == 0).select("node", F.lit(root).alias("p"))
-    tree = level
-    for depth in range(1, DEPTH + 1):
-        parent = level.select(F.col("node").alias("parent"), F.col("p").alias("parent_p"))
-        level = nodes.where(F.size("node") == depth).join(parent, F.slice("node", 1, depth - 1) == F.col("parent")).select(
-            "node", smooth(F.col("bad"), F.col("n"), F.col("parent_p")).alias("p"))
-        tree = tree.unionByName(level)
-    tree = tree.select(F.col("node").alias("template_of"), "p")
+    chain = counts.where(F.size("template") > 0).select(F.col("template").alias("template_of")).distinct().withColumn(
+        "depth", F.explode(F.sequence(F.lit(1), F.size("template_of")))).withColumn("above", F.slice("template_of", F.lit(1), F.col("depth")))
+    chain = chain.join(nodes, F.col("above") == F.col("node")).groupBy("template_of").agg(F.array_sort(F.collect_list(F.struct("depth", "bad", "n"))).alias("chain"))
+    tree = chain.select("template_of", F.aggregate("chain", F.lit(root), lambda p, x: smooth(x["bad"], x["n"], p)).alias("p"))
+    tree = tree.unionByName(counts.where(F.size("template") == 0).select(F.col("template").alias("template_of")).distinct().withColumn("p", F.lit(root)))
     in_domain = counts.groupBy("domain", "template").agg(F.sum("bad").alias("b"), F.sum("n").alias("m"))
     in_domain = in_domain.join(tree, F.col("template") == F.col("template_of")).select(
         F.col("domain").alias("d"), F.col("template").alias("t"), smooth(F.col("b"), F.col("m"), F.col("p")).alias("q"))
-    judged = staged(counts.join(in_domain, (F.col("domain") == F.col("d")) & (F.col("template") == F.col("t"))).select(
-        F.col("host").alias("host_of"), F.col("template").alias("template_of"), smooth(F.col("bad"), F.col("n"), F.col("q")).alias("blocked")), "judged")
+    branches = counts.groupBy("host", "branch").agg(F.sum("bad").alias("branch_bad"), F.sum("n").alias("branch_n"))
+    branches = branches.select(F.concat("host", F.lit("")).alias("h"), F.concat("branch", F.lit("")).alias("w"), "branch_bad", "branch_n")
+    judged = counts.join(in_domain, (F.col("domain") == F.col("d")) & (F.col("template") == F.col("t"))).join(branches, (F.col("host") == F.col("h")) & (F.col("branch") == F.col("w")))
+    judged = staged(judged.select(F.col("host").alias("host_of"), F.col("template").alias("template_of"), smooth(F.col("branch_bad"), F.col("branch_n"), F.col("q")).alias("blocked")), "judged")
     return known.join(judged, (F.col("host") == F.col("host_of")) & (F.col("template") == F.col("template_of"))).drop("host_of", "template_of")
 
 

@@ -312,6 +312,30 @@ def test_urls_rules_and_templates(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_similar_siblings_are_merged(spark):
+    rows = [("h", "", "a", 1, 2), ("h", "", "b", 2, 4), ("h", "", "c", 0, 30), ("h", "", "d", 30, 30), ("h", "", "e", 0, 0), ("g", "", "a", 0, 2), ("g", "", "d", 2, 2), ("h", "/a", "z", 0, 2)]
+    got = {(r["host"], r["node"], r["name"]): r["branch"] for r in urls.merged(spark.createDataFrame(rows, "host string, node string, name string, bad long, m long")).collect()}
+    # Chi-square of g: 4 > 3.84, of the rest of h after d: 22 on 2 degrees.
+    assert got == {("h", "", "a"): "a", ("h", "", "b"): "a", ("h", "", "c"): "c", ("h", "", "d"): "d", ("h", "", "e"): "e", ("g", "", "a"): "a", ("g", "", "d"): "d", ("h", "/a", "z"): "z"}
+
+
+def test_urls_share_evidence_per_host_at_any_depth(spark):
+    deep = "/a/b/c/d/e/f"
+    rules = [("block", "x.org", f"{deep}/evil/one/"), ("allow", "x.org", f"{deep}/good/one/"), ("block", "m.org", "/p/red/one/"), ("block", "m.org", "/p/blue/one/"), ("allow", "m.org", "/p/green/one/")]
+    paths = [("x.org", f"{deep}/{k}/{w}/y{i}") for k in ("evil", "good") for w in ("one", "two") for i in "abcdefgh"]
+    paths += [("m.org", f"/p/{k}/one/{i}") for k, n in (("red", 2), ("blue", 2), ("green", 20)) for i in "abcdefghijklmnopqrst"[:n]]
+    paths += [("u.example.org", f"/{w}/home") for w in {f"{x}{y}{z}" for x in "abcdef" for y in "ghijkl" for z in "mnopqr"}] + [("v.example.org", "/shop/home")] * 2
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(paths)], "page_id long, url string")
+    got = {r["path"]: r for r in urls.judge(pages, rules=rules).collect()}
+    assert got[f"{deep}/evil/one/ya"]["blocked"] > 0.5 > got[f"{deep}/good/one/ya"]["blocked"]
+    assert got["/shop/home"]["template"] == "/shop/home" and got["/agm/home"]["template"] == "/*/home"
+    # Red and blue agree: the paths they have in common are one branch.
+    known = urls.templates(pages.select("page_id", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path")).withColumn(
+        "verdict", urls.rule_of(F.col("host"), F.col("path"), rules)["verdict"]))
+    branch = {r["path"]: r["branch"] for r in known.collect()}
+    assert branch["/p/red/one/a"] == branch["/p/blue/one/a"] != branch["/p/green/one/a"]
+
+
 # -------------------------------------------------------------------- bpe
 def test_bpe_equals_the_library(spark, awkward, empty):
     from tokenizers import Tokenizer
