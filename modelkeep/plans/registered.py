@@ -1388,17 +1388,31 @@ def _monitor_inputs(spark, d):
 @register("D13_drift_monitor")
 def q_d13(spark, d):
     m, deps, ds, refs = _monitor_inputs(spark, d)
-    report, feats, _ = L.drift_monitor(deps, m, ds, refs, V.v_pred_log(spark, d))
-    return report
+    reports, _, _ = L.drift_monitors(deps, m, ds, refs, V.v_pred_log(spark, d))
+    return reports
+
+
+def _retraining_inputs(spark, d):
+    """Every labelled document once: a fifth as logged predictions with their
+    actual value, beside the unlabelled ones without, the others as the dataset."""
+    logged = F.col("doc_id") % 5 == 0
+    rows = V.v_cls(spark, d)
+    documents = table(spark, d, "documents").select("doc_id", "n_chars", "lang", "source")
+    unlabelled = documents.join(rows.select("doc_id"), "doc_id", "left_anti").withColumn("quality", F.lit(None).cast(rows.schema["quality"].dataType))
+    log = rows.where(logged).unionByName(unlabelled).select(
+        F.col("doc_id").alias("prediction_id"), F.lit(0).cast("long").alias("deployment_id"),
+        F.to_json(F.struct("doc_id", "n_chars", "lang", "source")).alias("input_json"), F.col("quality").cast("string").alias("actual"))
+    return rows.where(~F.coalesce(logged, F.lit(False))), log
 
 
 @register("F11_run_retraining")
 def q_f11(spark, d):
-    df, dp = _cls_setup(spark, d)
+    df, log = _retraining_inputs(spark, d)
+    dp = L.profile_dataset(df, "quality")
     m = _models(spark, d)
     deps = _deps(spark, d, m)
     ds = V.v_datasets(spark, d, m)
-    result, decision = L.run_retraining(df, dp, "doc_id", None, m, deps, ds, dataset_id=0)
+    result, decision = L.run_retraining(df, dp, "doc_id", log, m, deps, ds, dataset_id=0)
     return decision.select("dataset_id", "active_model_id", "active_metric", "new_metric", "promoted", "message")
 
 

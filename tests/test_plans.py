@@ -76,3 +76,31 @@ def test_key_may_be_a_feature(spark):
     res = M.auto_train(df, "churn", "classification", ["doc_id", "age"], ["gender"], "doc_id",
                        kinds=["logistic"])
     assert res.best.metrics["accuracy"] >= 0.0
+
+
+def test_monitor_query_reports_every_active_deployment(spark):
+    from modelkeep.plans import registered as Q
+    from tests.conftest import SF_SMALL
+    m = Q._models(spark, SF_SMALL)
+    active = {r["deployment_id"] for r in L.R.active_deployment(Q._deps(spark, SF_SMALL, m), m).collect()}
+    reports = Q.QUERIES["D13_drift_monitor"](spark, SF_SMALL).collect()
+    assert len(active) > 1 and sorted(r["deployment_id"] for r in reports) == sorted(active)
+    logged = {r[0] for r in Q.V.v_pred_log(spark, SF_SMALL).select("deployment_id").distinct().collect()}
+    assert {r["deployment_id"] for r in reports if r["message"] != L.NO_LOGS_MESSAGE} == active & logged
+
+
+def test_retraining_query_trains_on_labelled_feedback(spark, monkeypatch):
+    from modelkeep.plans import registered as Q
+    from tests.conftest import SF_SMALL
+    seen = {}
+    fitted = M.auto_train
+
+    def spy(data, *args):
+        seen["keys"] = [r[0] for r in data.where("quality IS NOT NULL").select(M.SPLIT_KEY).collect()]
+        return fitted(data, *args[:-1], ["logistic"])
+    monkeypatch.setattr(L.M, "auto_train", spy)
+    assert Q.QUERIES["F11_run_retraining"](spark, SF_SMALL).count() == 1
+    labelled = {r["doc_id"] for r in Q.V.v_cls(spark, SF_SMALL).where("quality IS NOT NULL").collect()}
+    feedback = [k for k in seen["keys"] if k.startswith("fb:")]
+    assert sorted(int(k.removeprefix("fb:")) for k in seen["keys"]) == sorted(labelled)
+    assert {int(k[3:]) for k in feedback} == {i for i in labelled if i % 5 == 0} != set()
