@@ -1194,20 +1194,36 @@ def _assembled(df, dp, key, classes=None):
     return prep.transform(lab(train)), prep.transform(lab(test)), classes
 
 
-def _predictions(model, train, test, key, problem="regression"):
-    """Key and label of every scored row, and whether the model does what any
+def _predictions(scored, key, label="label"):
+    """Key, label and prediction of every scored row."""
+    return scored.select(F.col(key), F.round(label, 2).alias("label"), "prediction")
+
+
+def _held_out(model, train, test, problem="regression"):
+    """One row: held-out rows, the model's loss on them (squared errors, or wrong
+    classes) and that of the best constant of the training rows."""
+    scored = model.transform(test).select("label", "prediction")
+    if problem == "regression":
+        constant = train.agg(F.avg("label")).first()[0]
+        loss = lambda c: F.sum(F.pow(F.col("label") - c, 2))
+    else:
+        common = train.groupBy("label").count().orderBy(F.desc("count"), "label").first()
+        constant = common and common["label"]
+        loss = lambda c: F.count_if(F.col("label") != c).cast("double")
+    return scored.agg(F.count(F.lit(1)).alias("n"), loss(F.col("prediction")).alias("model_loss"), loss(F.lit(constant)).alias("constant_loss"))
+
+
+def _sound(model, train, test, key, problem="regression"):
+    """Key and label of every held-out row, and whether the model does what any
     fitted one must: smaller errors on its training rows than the constant's,
-    or only known classes."""
-    p = model.transform(test).select(F.col("__row").alias(key), "label", "prediction")
+    or only known classes.  What it does on held-out rows says ``_held_out``."""
     if problem == "regression":
-        fitted = model.transform(train).select("label", "prediction")
-        mean = fitted.agg(F.avg("label")).first()[0] or 0.0
-        row = fitted.agg(F.sum(F.pow(F.col("label") - F.col("prediction"), 2)).alias("own"),
-                    F.sum(F.pow(F.col("label") - F.lit(mean), 2)).alias("constant")).first()
-        sound = row["own"] is not None and row["own"] < row["constant"]
+        row = _held_out(model, train, train).first()
+        sound = row["model_loss"] is not None and row["model_loss"] < row["constant_loss"]
     else:
-        sound = p.join(test.select("label").distinct().withColumnRenamed("label", "prediction"), "prediction", "left_anti").isEmpty()
-    return p.select(key, F.round("label", 2).alias("label"), F.lit(sound).alias("sound"))
+        known = test.select("label").distinct().withColumnRenamed("label", "prediction")
+        sound = model.transform(test).join(known, "prediction", "left_anti").isEmpty()
+    return test.select(F.col("__row").alias(key), F.round("label", 2).alias("label"), F.lit(sound).alias("sound"))
 
 
 _REG_ROWS = "SELECT k, round(l_extendedprice, 2) AS label, TRUE AS sound FROM v_reg"
@@ -1239,11 +1255,26 @@ def q_t10_cells(spark, d):
     return cells.select("k", "slot", r6("v").alias("value")).where("value <> 0")
 
 
-@register("M1_fit_logistic", f"{_CLS_ROWS} AND {_test_flag_sql('CAST(l.doc_id AS VARCHAR)')}")
-def q_m1(spark, d):
+def _fitted_m1(spark, d):
     df, dp = _cls_setup(spark, d)
     train, test, _ = _assembled(df, dp, "doc_id")
-    return _predictions(M.fit_logistic(train), train, test, "doc_id", "classification")
+    return M.fit_logistic(train), train, test
+
+
+@register("M1_fit_logistic")
+def q_m1(spark, d):
+    model, _, test = _fitted_m1(spark, d)
+    return _predictions(model.transform(test).withColumn("doc_id", F.col("__row")), "doc_id")
+
+
+@register("M1_sound", f"{_CLS_ROWS} AND {_test_flag_sql('CAST(l.doc_id AS VARCHAR)')}")
+def q_m1_sound(spark, d):
+    return _sound(*_fitted_m1(spark, d), "doc_id", "classification")
+
+
+@register("M1_held_out")
+def q_m1_held_out(spark, d):
+    return _held_out(*_fitted_m1(spark, d), "classification")
 
 
 @register("M2_fit_linear", """
@@ -1259,26 +1290,70 @@ def q_m2(spark, d):
         F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
-@register("M3_fit_forest", with_views(f"{_REG_ROWS} WHERE {_test_flag_sql('k')}", "v_reg"))
-def q_m3(spark, d):
+def _fitted_m3(spark, d):
     df, dp = _reg_setup(spark, d)
     train, test, _ = _assembled(df, dp, "k")
-    return _predictions(M.fit_forest(train, "regression", {"numTrees": 50, "maxDepth": 5, "minSplit": 2}), train, test, "k")
+    return M.fit_forest(train, "regression", {"numTrees": 50, "maxDepth": 5, "minSplit": 2}), train, test
 
 
-@register("M4_fit_boosted_level", with_views(f"{_REG_ROWS} WHERE {_test_flag_sql('k')}", "v_reg"))
-def q_m4(spark, d):
+@register("M3_fit_forest")
+def q_m3(spark, d):
+    model, _, test = _fitted_m3(spark, d)
+    return _predictions(model.transform(test).withColumn("k", F.col("__row")), "k")
+
+
+@register("M3_sound", with_views(f"{_REG_ROWS} WHERE {_test_flag_sql('k')}", "v_reg"))
+def q_m3_sound(spark, d):
+    return _sound(*_fitted_m3(spark, d), "k")
+
+
+@register("M3_held_out")
+def q_m3_held_out(spark, d):
+    return _held_out(*_fitted_m3(spark, d))
+
+
+def _fitted_m4(spark, d):
     df, dp = _reg_setup(spark, d)
     train, test, _ = _assembled(df, dp, "k")
-    return _predictions(M.fit_boosted_level(train, "regression", {"rounds": 50, "maxDepth": 3,
-                                                                  "learningRate": 0.1}), train, test, "k")
+    return M.fit_boosted_level(train, "regression", {"rounds": 50, "maxDepth": 3, "learningRate": 0.1}), train, test
 
 
-@register("M5_fit_boosted_leaf", f"{_CLS_ROWS} AND {_test_flag_sql('CAST(l.doc_id AS VARCHAR)')}")
-def q_m5(spark, d):
+@register("M4_fit_boosted_level")
+def q_m4(spark, d):
+    model, _, test = _fitted_m4(spark, d)
+    return _predictions(model.transform(test).withColumn("k", F.col("__row")), "k")
+
+
+@register("M4_sound", with_views(f"{_REG_ROWS} WHERE {_test_flag_sql('k')}", "v_reg"))
+def q_m4_sound(spark, d):
+    return _sound(*_fitted_m4(spark, d), "k")
+
+
+@register("M4_held_out")
+def q_m4_held_out(spark, d):
+    return _held_out(*_fitted_m4(spark, d))
+
+
+def _fitted_m5(spark, d):
     df, dp = _cls_setup(spark, d)
     train, test, classes = _assembled(df, dp, "doc_id")
-    return _predictions(M.fit_boosted_leaf(train, "classification", {}, len(classes)), train, test, "doc_id", "classification")
+    return M.fit_boosted_leaf(train, "classification", {}, len(classes)), train, test
+
+
+@register("M5_fit_boosted_leaf")
+def q_m5(spark, d):
+    model, _, test = _fitted_m5(spark, d)
+    return _predictions(model.transform(test).withColumn("doc_id", F.col("__row")), "doc_id")
+
+
+@register("M5_sound", f"{_CLS_ROWS} AND {_test_flag_sql('CAST(l.doc_id AS VARCHAR)')}")
+def q_m5_sound(spark, d):
+    return _sound(*_fitted_m5(spark, d), "doc_id", "classification")
+
+
+@register("M5_held_out")
+def q_m5_held_out(spark, d):
+    return _held_out(*_fitted_m5(spark, d), "classification")
 
 
 @register("M6_random_search")
@@ -1296,14 +1371,33 @@ def q_m6(spark, d):
                                  "algorithm string, setting string, cv_metric double")
 
 
-@register("M8_refit_full", _CLS_ROWS)
-def q_m8(spark, d):
+def _refit(spark, d, split):
+    """The model refit on every labelled row, or on the training rows of the split; those rows and the held-out ones."""
     df, dp = _cls_setup(spark, d)
     best = M.SearchResult("Logistic Regression", "logistic", {"C": 1.0}, None, None)
     classes = [r["label"] for r in T.encode_labels(df, "quality").orderBy("idx").collect()]
     lab = df.withColumns({"label": M.label_column(df, "quality", classes), "__row": F.col("doc_id")}).where(F.col("label").isNotNull())
-    model = M.refit_full(best, lab, "classification", dp.numerical, dp.categorical, len(classes))
-    return _predictions(model, lab, lab, "doc_id", "classification")
+    train, test = T.split_train_test(lab, "doc_id") if split else (lab, lab)
+    return M.refit_full(best, train, "classification", dp.numerical, dp.categorical, len(classes)), train, test, lab
+
+
+@register("M8_refit_full")
+def q_m8(spark, d):
+    model, _, _, lab = _refit(spark, d, split=False)
+    return _predictions(model.transform(lab).withColumn("doc_id", F.col("__row")), "doc_id")
+
+
+@register("M8_sound", _CLS_ROWS)
+def q_m8_sound(spark, d):
+    model, train, test, _ = _refit(spark, d, split=False)
+    return _sound(model, train, test, "doc_id", "classification")
+
+
+@register("M8_held_out")
+def q_m8_held_out(spark, d):
+    """The same refit, with a fifth of the rows held out."""
+    model, train, test, _ = _refit(spark, d, split=True)
+    return _held_out(model, train, test, "classification")
 
 
 @register("M6_fold_sizes", f"""
@@ -1341,16 +1435,32 @@ def q_m10(spark, d):
                                  ", ".join(f"{k} double" for k in sorted(metrics)))
 
 
-@register("F2_score_batch", with_views(_REG_ROWS, "v_reg"))
-def q_f2(spark, d):
+def _linear_batch(spark, d):
     df, dp = _reg_setup(spark, d)
     model, _, _ = M.train_custom_estimator(M.make_estimator("linear", "regression", {}, 0), df, dp.target,
                                            dp.problem_type, dp.numerical, dp.categorical, "k")
-    scored = L.score_batch(model, df, None).select("k", F.col("l_extendedprice").alias("label"), "prediction")
+    return L.score_batch(model, df, None)
+
+
+@register("F2_score_batch")
+def q_f2(spark, d):
+    return _predictions(_linear_batch(spark, d), "k", "l_extendedprice")
+
+
+@register("F2_sound", with_views(_REG_ROWS, "v_reg"))
+def q_f2_sound(spark, d):
+    scored = _linear_batch(spark, d).select("k", F.col("l_extendedprice").alias("label"), "prediction")
     error, spread_ = scored.agg(F.sum(F.pow(F.col("label") - F.col("prediction"), 2)), F.var_pop("label") * F.count("label")).first()
     return scored.select("k", F.round("label", 2).alias("label"), F.lit(error < spread_).alias("sound"))
 
 
+@register("F2_held_out")
+def q_f2_held_out(spark, d):
+    df, dp = _reg_setup(spark, d)
+    train, test, _ = _assembled(df, dp, "k")
+    return _held_out(M.make_estimator("linear", "regression", {}, 0).fit(train), train, test)
+
+
 @register("F4_log_predictions", with_views("""
 SELECT CAST(0 AS BIGINT) AS deployment_id, l_quantity, l_discount, l_tax, l_returnflag, CAST(count(*) AS BIGINT) AS n_ids
 FROM v_reg GROUP BY l_quantity, l_discount, l_tax, l_returnflag""", "v_reg"))

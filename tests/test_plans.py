@@ -104,3 +104,47 @@ def test_retraining_query_trains_on_labelled_feedback(spark, monkeypatch):
     feedback = [k for k in seen["keys"] if k.startswith("fb:")]
     assert sorted(int(k.removeprefix("fb:")) for k in seen["keys"]) == sorted(labelled)
     assert {int(k[3:]) for k in feedback} == {i for i in labelled if i % 5 == 0} != set()
+
+
+def test_model_queries_return_predictions(spark):
+    from modelkeep.plans import registered as Q
+    from tests.conftest import SF_SMALL
+    for name, key in (("M1_fit_logistic", "doc_id"), ("M8_refit_full", "doc_id"), ("M3_fit_forest", "k")):
+        out = Q.QUERIES[name](spark, SF_SMALL)
+        assert out.columns == [key, "label", "prediction"] and out.where("prediction IS NOT NULL").count() == out.count() > 0
+
+
+def test_held_out_losses(spark):
+    from modelkeep.plans import registered as Q
+
+    class Fixed:
+        def __init__(self, c):
+            self.c = c
+
+        def transform(self, df):
+            return df.withColumn("prediction", self.c)
+    train = spark.createDataFrame([(0.0,), (0.0,), (1.0,)], "label double")
+    test = spark.createDataFrame([(0.0,), (1.0,)], "label double")
+    held = lambda c, problem: tuple(Q._held_out(Fixed(c), train, test, problem).first())
+    assert held(F.lit(1.0), "classification") == (2, 1.0, 1.0) and held(F.col("label"), "classification") == (2, 0.0, 1.0)
+    n, own, constant = held(F.lit(0.5), "regression")
+    assert (n, own) == (2, 0.5) and abs(constant - 5 / 9) < 1e-12
+
+
+def test_linear_batch_equals_least_squares(spark):
+    """Every prediction of F2, against the normal solution of numpy."""
+    import numpy as np
+    from modelkeep.plans import registered as Q
+    from tests.conftest import SF_SMALL
+    got = {}
+    for r in Q.QUERIES["F2_score_batch"](spark, SF_SMALL).collect():
+        got.setdefault(r["k"], []).append(r["prediction"])
+    rows = Q.V.v_reg(spark, SF_SMALL).collect()
+    flags = sorted({r["l_returnflag"] for r in rows})
+    x = np.array([[r["l_quantity"], r["l_discount"], r["l_tax"], *(r["l_returnflag"] == f for f in flags)] for r in rows], float)
+    y = np.array([r["l_extendedprice"] for r in rows])
+    want = {}
+    for r, p in zip(rows, x @ np.linalg.lstsq(x, y, rcond=None)[0]):
+        want.setdefault(r["k"], []).append(p)
+    assert set(got) == set(want)
+    assert max(abs(a - b) for k in want for a, b in zip(sorted(got[k]), sorted(want[k]), strict=True)) < 1e-3 * y.std()
