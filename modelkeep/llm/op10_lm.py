@@ -65,7 +65,7 @@ class Lattice:
             at = np.arange(len(own)) * length
             h = W.hashes(data, at, at + length)
             order = np.argsort(h)
-            self.tables.append((length, h[order], np.array(own)[order]))
+            self.tables.append((length, h[order], np.array(own)[order], data.reshape(-1, length)[order]))
         self.longest = max(by_length, default=1)
 
     @classmethod
@@ -90,20 +90,17 @@ class Lattice:
     def arcs(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         """Begin, end and piece of all arcs in the words of ``data``."""
         n = len(data)
-        sums = np.zeros(n + 1, np.uint64)
-        base = W._BASES[0]
-        np.cumsum(W._VALUES[0][data] * W._powers(base, n, False), out=sums[1:])
-        inverse = W._powers(base, n, True)
         left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n)  # bytes to the word's end
         places = np.arange(n)
         begin, end, piece = [places], [places + 1], [self.fallback + data.astype(np.int64)]
-        for length, table, own in self.tables:
+        for length, table, own, spelled in self.tables:
             at = places[left >= length] if length > 1 else places
             if not len(at):
                 break
-            h = W.mix((sums[at + length] - sums[at]) * inverse[at] + np.uint64(length))
+            h = W.hashes(data, at, at + length)
             k = np.minimum(np.searchsorted(table, h), len(table) - 1)
-            hit = table[k] == h
+            hit = np.flatnonzero(table[k] == h)
+            hit = hit[(np.lib.stride_tricks.sliding_window_view(data, length)[at[hit]] == spelled[k[hit]]).all(axis=1)]
             begin.append(at[hit])
             end.append(at[hit] + length)
             piece.append(own[k[hit]])

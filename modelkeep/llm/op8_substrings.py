@@ -64,14 +64,10 @@ def _paths(data: np.ndarray, bounds: np.ndarray, window: int, anchor: int, hashe
     n = np.diff(np.append(head, len(ok)))
     out = [doc, ok[head] - first[doc], n, least[ok[head]].view(np.int64)]
     if hashed:
-        # All of a path's words, and so its windows: two sums over its words, weighted by their place.
+        # All of a path's words, and so its windows: at most 2 * window - anchor words.
         for which in (0, 1):
             own_h = h if which == 0 else W.hashes(data, begin, end, 1)
-            base = W._BASES[1 - which]
-            sums = np.zeros(len(own_h) + 1, np.uint64)
-            np.cumsum(own_h * W._powers(base, len(own_h), False), out=sums[1:])
-            a, b = ok[head], ok[head] + n + window - 1
-            out.append(W.mix((sums[b] - sums[a]) * W._powers(base, len(own_h) + 1, True)[a] + n.astype(np.uint64)).view(np.int64))
+            out.append(W.runs(own_h, ok[head], n + window - 1, which).view(np.int64))
     return out
 
 

@@ -13,6 +13,9 @@ from modelkeep.llm.op7_bpe import op7_bpe
 from modelkeep.llm.op8_substrings import OP8_SQL, op8_substrings
 from modelkeep.llm.op9_quality import op9_quality
 from modelkeep.llm.op10_lm import op10_lm
+from modelkeep.llm.op11_langid import op11_langid
+from modelkeep.llm.op12_merkle import OP12_SQL, op12_merkle
+from modelkeep.llm.op13_search import OP13_SQL, op13_search
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_quality": op9_quality,
     "op10_lm": op10_lm,
+    "op11_langid": op11_langid,
+    "op12_merkle": op12_merkle,
+    "op13_search": op13_search,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -32,6 +38,8 @@ ORACLE = {
     "op2_topk": OP2_SQL,
     "op5_decontamination": OP5_SQL,
     "op8_substrings": OP8_SQL,
+    "op12_merkle": OP12_SQL,
+    "op13_search": OP13_SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL is not None:
