@@ -10,32 +10,37 @@ leads back to; each merge (u, v), in order of rank, adds one gadget:
 (Berglund, Martens and van der Merwe, "Constructing a BPE Tokenization DFA".)
 All arcs of one label lead to one state, so a state is known by the label that
 leads to it, and a path is a BPE tokenization exactly if the automaton reads
-it.  A table with every state and label would have 2.5e9 cells.  The compiled
-automaton keeps the gadgets instead (for each token its two halves and its
-rank, for each pair the rank of the gadget that took the arc away), and a cell
-of the transition table is worked out from them when it is first read.
+it.  A table with every state and label would have 2.5e9 cells, so the driver
+compiles the gadgets (for each token its two halves and its rank, for each
+pair the rank of the gadget that took the arc away), and a cell of the
+transition table is worked out from them when it is first read.
 
 A pre-split word has one accepted path.  It is found by reading the longest
 possible label first and, where the automaton has no such arc, the next
 shorter one; as each position can be reached by one path only, a position that
 led nowhere is never tried again.  Decoding writes the labels of the arcs.
+
+Texts are cut into runs (white space and what follows it) for many texts at
+once; equal runs are found by their hashes and verified by their bytes, and
+only distinct ones go through the automaton.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 from collections.abc import Iterator
-from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StructType
 
-from modelkeep.llm.common import hex_sha256, id_and_text, settle
+from modelkeep.llm import words as W
+from modelkeep.llm.common import fresh, grouped, hex_sha256, id_and_text, settle
 
 #: Fixed value: the pre-split pattern of byte-level BPE, with Unicode classes.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,11 +51,22 @@ PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _SPACE = r" \t\n\r\x0b\f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
-#: Remembered runs (twice as many at most) and transitions of a task.
-WORDS_KEPT, CELLS_KEPT = 1 << 17, 1 << 18
+#: What of it a run of the vector code begins with, and the characters of
+#: several bytes in UTF-8; texts that hold one of these are one run each.
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_WIDE_SPACE = re.compile(f"[{_SPACE}]".replace(r" \t\n\r\x0b\f", ""))
 
-_NEVER = 1 << 60
+#: Transitions a worker remembers: about 20 MB.
+CELLS_KEPT = 1 << 21
+
+#: Words of more bytes are read one by one.
+LONG = 48
 
+#: Bytes of text whose equal runs are read once.
+SLICE = 1 << 22
+
+_NEVER = 1 << 60
 
 def byte_characters() -> dict[str, int]:
     """The characters that stand for bytes in byte-level vocabulary files:
@@ -69,11 +85,10 @@ class Automaton:
         self.id_of = {text: vocabulary[token] for token, text in label.items()}
         self.label = {i: text for text, i in self.id_of.items()}
         self.added = added or {}
+        self.added_bytes = [t.encode() for t in self.added]
         self.label.update({i: text.encode() for text, i in self.added.items()})
-        self.written = {i: str(i) for i in self.label}
         self.halves: dict[int, tuple[int, int, int]] = {}  # token -> (rank, left, right)
         self.taken: dict[tuple[int, int], int] = {}  # (u, v) -> rank of the gadget that took the arc
-        self.cells: dict[tuple[int, int], bool] = {}
         for rank, (u, v) in enumerate(merges):
             a, b = vocabulary[u], vocabulary[v]
             # A merge whose halves are never made, or never read one after the other, never happens.
@@ -82,18 +97,9 @@ class Automaton:
                 continue
             self.taken[a, b] = rank
             self.halves.setdefault(vocabulary[u + v], (rank, a, b))
-        self.cells = {}
         readable = {i for i in self.label if i in self.halves or len(self.label[i]) == 1}
         self.tokens = {text: i for text, i in self.id_of.items() if i in readable}
-        # All labels as a trie: a node's children by byte, and at -1 the token that ends there.
-        self.trie: dict = {}
-        for text, i in self.tokens.items():
-            node = self.trie
-            for byte in text:
-                node = node.setdefault(byte, {})
-            node[-1] = i
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.longest = max(map(len, self.tokens), default=0)
         self.splitter = regex.compile(PRE_SPLIT)
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
 
@@ -130,34 +136,18 @@ class Automaton:
 
     def reads(self, u: int, v: int) -> bool:
         """The cell (u, v) of the transition table."""
-        key = u << 32 | v
-        cell = self.cells.get(key)
-        if cell is None:
-            if len(self.cells) >= CELLS_KEPT:
-                self.cells.clear()
-            cell = self.cells[key] = self._arc(u, v, _NEVER - 1)
-        return cell
+        return self._arc(u, v, _NEVER - 1)
 
     def path(self, word: bytes) -> list[int]:
         """The tokens of one pre-split word."""
         n, at, last, path, dead, below = len(word), 0, -1, [], None, _NEVER
-        trie, cells = self.trie, self.cells
+        tokens, longest = self.tokens, self.longest
         while at < n:
-            node, to, found = trie, at, []
-            while to < n:
-                node = node.get(word[to])
-                if node is None:
-                    break
-                to += 1
-                if -1 in node:
-                    found.append((to, node[-1]))
-            for to, token in reversed(found):
-                if to - at >= below or dead and to in dead:
+            for length in range(min(longest, n - at, below - 1), 0, -1):
+                to = at + length
+                token = tokens.get(word[at:to])
+                if token is None or dead and to in dead or last >= 0 and not self.reads(last, token):
                     continue
-                if last >= 0:
-                    reads = cells.get(last << 32 | token)
-                    if not (self.reads(last, token) if reads is None else reads):
-                        continue
                 path.append(token)
                 at, last, below = to, token, _NEVER
                 break
@@ -170,17 +160,12 @@ class Automaton:
                 at, last = at - below, path[-1] if path else -1
         return path
 
-    def _run(self, run: str) -> tuple[int, ...]:
+    def _split(self, run: str) -> list[int]:
         """The ids of white space and what follows it, as far as the next white space."""
         ids: list[int] = []
         for word in self.splitter.findall(run):
             ids += self.path(word.encode())
-        got = tuple(ids)
-        if len(run) <= 64:
-            if len(self.words) >= WORDS_KEPT:
-                self.older, self.words = self.words, {}
-            self.words[run] = got
-        return got
+        return ids
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text, without special tokens around it; added
@@ -192,37 +177,259 @@ class Automaton:
                 ids.append(self.added[part])
                 continue
             for run in RUNS.findall(part):
-                got = self.words.get(run)
-                if got is None:
-                    got = self.older.get(run)
-                    if got is None:
-                        got = self._run(run)
-                    elif len(self.words) < WORDS_KEPT:
-                        self.words[run] = got
-                ids += got
+                ids += self._split(run)
         return ids
 
+    def apart(self, text: bytes) -> bool:
+        """Whether a text can't be cut at its ASCII white space: it holds an added token or other white space."""
+        if not text.isascii() and _WIDE_SPACE.search(text.decode()):
+            return True
+        return any(t in text for t in self.added_bytes)
+
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, special tokens included."""
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@contextmanager
-def _automaton(shared):
-    """The automaton of a broadcast tokenizer file, for one task.  A worker
-    serves other tasks afterwards, so nothing of it stays in its memory."""
-    own = Automaton.from_json(shared.value)
-    try:
-        yield own
-    finally:
-        own.__dict__.clear()
-        gc.collect()
+class Table:
+    """An automaton's gadgets and labels as arrays, to read many words at once."""
+
+    def __init__(self, own: Automaton):
+        self.own = own
+        size = max(own.label, default=0) + 1
+        self.rank, self.left, self.right = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for token, (rank, u, v) in own.halves.items():
+            self.rank[token], self.left[token], self.right[token] = rank, u, v
+        pairs = sorted((u << 32 | v, rank) for (u, v), rank in own.taken.items())
+        self.pairs = np.array([*(p for p, _ in pairs), _NEVER << 2], np.int64)
+        self.ranks = np.array([*(r for _, r in pairs), _NEVER], np.int64)
+        # The labels as a trie: the nodes' children by byte (0: none), and the token that ends in a node.
+        labels = sorted(own.tokens)
+        data, length = np.frombuffer(b"".join(labels), np.uint8), np.array([len(x) for x in labels], np.int64)
+        first, node, nodes, steps = np.cumsum(length) - length, np.zeros(len(labels), np.int64), 1, []
+        for at in range(own.longest):
+            more = np.flatnonzero(length > at)
+            key, of = np.unique(node[more] << 8 | data[first[more] + at], return_inverse=True)
+            node[more] = nodes + of
+            steps.append((key, nodes + np.arange(len(key))))
+            nodes += len(key)
+        key, child = (np.concatenate([s[k] for s in steps]) if steps else np.zeros(0, np.int64) for k in (0, 1))
+        inner = np.unique(key >> 8)  # nodes with children have a row each, all others row 0
+        self.row = np.zeros(nodes, np.int32)
+        self.row[inner] = 1 + np.arange(len(inner))
+        self.child = np.zeros((len(inner) + 1, 256), np.int32)
+        self.child[self.row[key >> 8], key & 255] = child
+        self.token = np.full(nodes, -1, np.int64)
+        self.token[node] = [own.tokens[x] for x in labels]
+        self.known, self.cells = np.array([_NEVER << 2], np.int64), np.zeros(1, bool)
+
+    def arcs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The cells (u, v) of the transition table, worked out from the gadgets as ``Automaton._arc`` does."""
+        out = np.zeros(len(u), bool)
+        todo, before = np.arange(len(u)), np.full(len(u), _NEVER - 1)
+        while len(todo):
+            key = u << 32 | v
+            at = np.searchsorted(self.pairs, key)
+            open_ = (self.pairs[at] != key) | (self.ranks[at] >= before)
+            todo, u, v, before = (x[open_] for x in (todo, u, v, before))
+            made_u, made_v = self.rank[u], self.rank[v]
+            later, same = made_v > made_u, made_v == made_u
+            twice = self.left[u] == self.right[u]
+            yes = same & ((made_u < 0) | twice)
+            no = later & (u == self.left[v]) & (u == self.right[v])
+            out[todo[yes]] = True
+            u, v, before = np.where(later, u, self.right[u]), np.where(later | same, self.left[v], v), np.where(later, made_v, made_u)
+            go = ~yes & ~no
+            todo, u, v, before = (x[go] for x in (todo, u, v, before))
+        return out
+
+    def reads(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The same, from the cells read before where these are known."""
+        key = u << 32 | v
+        at = np.searchsorted(self.known, key)
+        new = np.unique(key[self.known[at] != key])
+        if len(new):
+            cells = self.arcs(new >> 32, new & 0xFFFFFFFF)
+            if len(self.known) > CELLS_KEPT:
+                self.known, self.cells = self.known[-1:], self.cells[-1:]
+                return self.reads(u, v)
+            place = np.searchsorted(self.known, new)
+            self.known, self.cells = np.insert(self.known, place, new), np.insert(self.cells, place, cells)
+            at = np.searchsorted(self.known, key)
+        return self.cells[at]
+
+    def paths(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words between ``bounds``, one after the other, and how many each has.
+
+        All words read in step: each takes the longest label it hasn't tried at
+        its place, goes on where the automaton has that arc, and back where no
+        label is left.
+        """
+        n = len(bounds) - 1
+        # Every label that begins at some byte, the longest first.
+        place, node = np.arange(len(data)), np.zeros(len(data), np.int64)
+        after, own_place, own_token, own_length = np.repeat(bounds[1:], np.diff(bounds)), [], [], []
+        for at in range(self.own.longest):
+            node = self.child[self.row[node], data[place + at]].astype(np.int64)
+            alive = node > 0
+            place, node = place[alive], node[alive]
+            if not len(place):
+                break
+            token = self.token[node]
+            ends = token >= 0
+            own_place.append(place[ends])
+            own_token.append(token[ends])
+            own_length.append(np.full(int(ends.sum()), at + 1))
+            alive = place + at + 1 < after[place]
+            place, node = place[alive], node[alive]
+        place, token, length = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (own_place, own_token, own_length))
+        order = np.lexsort((-length, place))
+        place, token, length = place[order], token[order], length[order]
+        first = np.searchsorted(place, np.arange(len(data) + 1))
+        at, depth = bounds[:-1].copy(), np.zeros(n, np.int64)
+        tried = first[at] if n else at
+        dead = np.zeros(len(data) + 1, bool)
+        taken = np.zeros((int(np.diff(bounds).max(initial=0)) + 1, n), np.int64)  # the label's place in the list, by depth
+        todo = np.flatnonzero(np.diff(bounds) > 0)
+        while len(todo):
+            stuck = tried[todo] >= first[at[todo] + 1]
+            back = todo[stuck]
+            if len(back):
+                if (depth[back] == 0).any():
+                    raise ValueError("the vocabulary can't spell a word")
+                dead[at[back]] = True
+                depth[back] -= 1
+                label = taken[depth[back], back]
+                at[back] -= length[label]
+                tried[back] = label + 1
+            go = todo[~stuck]
+            label = tried[go]
+            to = at[go] + length[label]
+            fits = ~dead[to] | (to == bounds[go + 1])
+            check = np.flatnonzero(fits & (depth[go] > 0))
+            fits[check] = self.reads(token[taken[depth[go[check]] - 1, go[check]]], token[label[check]])
+            tried[go[~fits]] += 1
+            on, label, to = go[fits], label[fits], to[fits]
+            taken[depth[on], on] = label
+            depth[on] += 1
+            at[on] = to
+            unfinished = to < bounds[on + 1]
+            tried[on[unfinished]] = first[to[unfinished]]
+            todo = todo[at[todo] < bounds[todo + 1]]
+        return token[taken.T[np.arange(len(taken)) < depth[:, None]]], depth
+
+
+class Runs:
+    """The runs of a slice of texts: ``of`` names the distinct run of each, and
+    the runs of text k are those from ``first[k]`` to ``first[k + 1]``.
+    ``ids[cuts[d]:cuts[d + 1]]`` are the ids of the distinct run d."""
+
+    def __init__(self, table: Table, data: np.ndarray, bounds: np.ndarray):
+        own, raw = table.own, data.tobytes()
+        begin, end, first = _runs(data, bounds)
+        whole = [k for k in range(len(bounds) - 1) if own.apart(raw[bounds[k]:bounds[k + 1]])]
+        if whole:
+            text = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
+            keep = ~np.isin(text, whole)
+            begin, end = (np.concatenate([x[keep], y]) for x, y in ((begin, bounds[whole]), (end, bounds[np.array(whole) + 1])))
+            order = np.argsort(begin, kind="stable")
+            begin, end = begin[order], end[order]
+            first = np.searchsorted(begin, bounds)
+        h = W.hashes(data, begin, end)
+        _, at, of = np.unique(h, return_index=True, return_inverse=True)
+        length = end - begin
+        same = length == length[at][of]
+        same[same] = W.same_bytes(data, begin[same], data, begin[at][of][same], length[same])
+        if not same.all():  # other runs with one hash: each stands for itself
+            odd = np.flatnonzero(~same)
+            of[odd] = len(at) + np.arange(len(odd))
+            at = np.concatenate([at, odd])
+        self.of, self.first = of, first
+        special = {int(bounds[k]) for k in whole}
+        self._read(table, [raw[b:e] for b, e in zip(begin[at].tolist(), end[at].tolist())], [b in special for b in begin[at].tolist()])
+
+    def _read(self, table: Table, runs: list[bytes], special: list[bool]) -> None:
+        words: list[bytes] = []
+        long: dict[int, list[int]] = {}
+        n = np.zeros(len(runs), np.int64)
+        for k, (run, apart) in enumerate(zip(runs, special)):
+            if apart or len(run) > LONG:
+                long[k] = table.own.encode(run.decode())
+            elif run.isalpha() or run[:1] == b" " and run[1:].isalpha():  # of ASCII letters: one word
+                words.append(run)
+                n[k] = 1
+            else:
+                own = table.own.splitter.findall(run.decode())
+                words += [w.encode() for w in own]
+                n[k] = len(own)
+        bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        ids, depth = table.paths(np.frombuffer(b"".join(words), np.uint8), bounds)
+        cuts = np.concatenate([[0], np.cumsum(depth)])[np.concatenate([[0], np.cumsum(n)])]
+        if long:
+            parts = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            for k, own in long.items():
+                parts[k] = np.array(own, np.int64)
+            ids = np.concatenate(parts)
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        self.ids, self.cuts, self.sizes = ids, cuts, np.diff(cuts)
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the slice, and the places between the texts' ids."""
+        size = self.sizes[self.of]
+        after = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.cuts[self.of] - after[:-1], size) + np.arange(int(after[-1]))
+        return self.ids[at], after[self.first]
+
+    def joined(self, parts: list[bytes], between: bytes) -> list[bytes]:
+        """For each distinct run the ``parts`` of its ids, with ``between`` between."""
+        own, cuts = [parts[i] for i in self.ids.tolist()], self.cuts.tolist()
+        return [between.join(own[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each run, ASCII white space and then what follows it, or
+    white space at a text's end; and the texts' first runs."""
+    space = _ASCII_SPACE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = space[1:] & ~space[:-1]
+    cut[bounds] = True
+    places = np.flatnonzero(cut)
+    begin, end = places[:-1], places[1:]
+    if not len(data):
+        begin = end = np.zeros(0, np.int64)
+    return begin, end, np.searchsorted(begin, bounds)
+
+
+class Shared:
+    """A broadcast automaton; a worker keeps its table."""
+
+    def __init__(self, own: Automaton):
+        self.own, self.made = own, None
+        size = max(own.label, default=0) + 1
+        self.labels = [own.label.get(k, b"") for k in range(size)]
+        self.written = [str(k).encode() for k in range(size)]
+
+    def __getstate__(self):
+        return self.own
+
+    def __setstate__(self, own):
+        self.__init__(own)
+
+    @property
+    def table(self) -> Table:
+        if self.made is None:
+            self.made = Table(self.own)
+        return self.made
 
 
 def _shared(spark, path: str):
-    """The text of a tokenizer file (a few MB, bounded by its vocabulary) as a broadcast."""
+    """The automaton of a tokenizer file (a few MB, bounded by its vocabulary), compiled here, as a broadcast."""
     with open(path, encoding="utf-8") as file:
-        return spark.sparkContext.broadcast(file.read())
+        return spark.sparkContext.broadcast(Shared(Automaton.from_json(file.read())))
+
+
+def _text_column(texts: pa.Array) -> pa.Array:
+    return texts.cast(pa.string()).fill_null("")
 
 
 def encode_column(spark, path: str):
@@ -230,10 +437,12 @@ def encode_column(spark, path: str):
     shared = _shared(spark, path)
 
     @arrow_udf("array<int>")
-    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        with _automaton(shared) as own:
-            for batch in texts:
-                yield pa.array([own.encode(t.as_py() or "") for t in batch], pa.list_(pa.int32()))
+    def encode(texts: pa.Array) -> pa.Array:
+        parts = []
+        for _, _, data, bounds in W.slices(_text_column(texts)):
+            ids, cuts = Runs(shared.value.table, data, bounds).flat()
+            parts.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32())))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
     return encode
 
 
@@ -242,10 +451,10 @@ def decode_column(spark, path: str):
     shared = _shared(spark, path)
 
     @arrow_udf("string")
-    def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        with _automaton(shared) as own:
-            for batch in ids:
-                yield pa.array([own.decode(i.as_py() or []) for i in batch], pa.string())
+    def decode(ids: pa.Array) -> pa.Array:
+        labels = shared.value.labels
+        return pa.array([b"".join([labels[i] for i in row.values.to_numpy().tolist()]).decode("utf-8", "replace") if row.is_valid else ""
+                         for row in ids], pa.string())
     return decode
 
 
@@ -261,19 +470,49 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     shared = _shared(spark, path)
 
     def run(batches):
-        with _automaton(shared) as own:
-            for batch in batches:
-                n, ids_sha, text_sha = [], [], []
-                for text in batch.column(1):
-                    ids = own.encode(text.as_py())
-                    n.append(len(ids))
-                    ids_sha.append(hex_sha256(",".join([own.written[i] for i in ids]).encode()))
-                    text_sha.append(hex_sha256(own.decode(ids).encode()))
-                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                                      names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in grouped(batches, 1, SLICE):
+            n, ids_sha, text_sha = [], [], []
+            for _, _, data, bounds in W.slices(batch.column(1), SLICE):
+                runs = Runs(shared.value.table, data, bounds)
+                n.append(np.diff(np.concatenate([[0], np.cumsum(runs.sizes[runs.of])])[runs.first]))
+                of, written, labels = runs.of.tolist(), runs.joined(shared.value.written, b","), runs.joined(shared.value.labels, b"")
+                for a, b in zip(runs.first[:-1].tolist(), runs.first[1:].tolist()):
+                    own = of[a:b]
+                    ids_sha.append(hex_sha256(b",".join([written[k] for k in own])))
+                    text_sha.append(hex_sha256(b"".join([labels[k] for k in own]).decode("utf-8", "replace").encode()))
+            yield pa.record_batch([batch.column(0), pa.array(np.concatenate(n), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                                  names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenized(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with three more columns: ids, n_tokens and decoded_sha256, the
+    digest of the decoded ids.  Taken names get a ``_``.  Null texts are empty
+    and have no ids; an empty table gives no rows."""
+    settle(docs.sparkSession)
+    shared = _shared(docs.sparkSession, path)
+    more = [(fresh(docs, "ids"), "array<int>"), (fresh(docs, "n_tokens"), "long"), (fresh(docs, "decoded_sha256"), "string")]
+    at = next(k for k, c in enumerate(docs.columns) if c == text_col)
+
+    def run(batches):
+        for batch in grouped(batches, at, SLICE):
+            ids, sha = [], []
+            for _, _, data, bounds in W.slices(_text_column(batch.column(at)), SLICE):
+                runs = Runs(shared.value.table, data, bounds)
+                flat, cuts = runs.flat()
+                ids.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32())))
+                of, labels = runs.of.tolist(), runs.joined(shared.value.labels, b"")
+                sha += [hex_sha256(b"".join([labels[k] for k in of[a:b]]).decode("utf-8", "replace").encode())
+                        for a, b in zip(runs.first[:-1].tolist(), runs.first[1:].tolist())]
+            all_ids = pa.concat_arrays(ids)
+            yield pa.record_batch([*batch.columns, all_ids, pa.array(np.diff(all_ids.offsets.to_numpy()), pa.int64()), pa.array(sha, pa.string())],
+                                  names=[*batch.schema.names, *(name for name, _ in more)])
+    schema = docs.schema
+    for name, kind in more:
+        schema = StructType(schema.fields + StructType.fromDDL(f"`{name}` {kind}").fields)
+    return docs.mapInArrow(run, schema)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
