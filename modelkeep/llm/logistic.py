@@ -5,26 +5,20 @@ from __future__ import annotations
 import numpy as np
 
 
-def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, only_raise: bool = False) -> np.ndarray:
+def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, center: np.ndarray | None = None) -> np.ndarray:
     """Weights of the columns of ``x``, then the constant, by damped Newton
-    steps; the constant isn't shrunk.  With ``only_raise`` no weight is negative."""
+    steps; each is drawn to its ``center`` (0), the constant hardly."""
     x = np.column_stack([x, np.ones(len(x))])
-    free, w = np.ones(x.shape[1], bool), np.zeros(x.shape[1])
+    center = np.zeros(x.shape[1]) if center is None else center
+    w = center.astype(float)
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
-    while True:
-        for _ in range(40):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            own = x[:, free]
-            gradient = own.T @ (y - p) - (penalty * w)[free]
-            step = np.linalg.solve((own.T * (p * (1 - p) + 1e-9)) @ own + np.diag(penalty[free]), gradient)
-            step *= min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
-            w[free] += step
-            if np.abs(step).max() < 1e-6:
-                break
-        down = (w < 0) & free & only_raise
-        down[-1] = False
-        if not down.any():
-            return w
-        free &= ~down
-        w[down] = 0.0
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (y - p) - penalty * (w - center)
+        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + np.diag(penalty), gradient)
+        step *= min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w

@@ -1,4 +1,4 @@
-"""Language-model scores of texts: a subword lattice behind corpus counts.
+"""Language-model scores of texts: the marginal likelihood of a subword lattice.
 
 A word is spelled by the pieces of an existing vocabulary in many ways.  Its
 lattice has an arc for every piece that stands at some place of it (any byte
@@ -8,9 +8,11 @@ weights start from the vocabulary's own scores.  One round of expected counts
 over the words of the training texts (forward and backward) fits these weights to
 the corpus, with the file's scores as the prior; pieces stay as they are.
 
-A token's probability discounts its corpus count c by D and gives the mass so
-freed to the lattice: (max(c - D, 0) + D V lattice(word)) / N, with N tokens
-and V distinct ones in training.  A text's score is the sum over its tokens.
+A text's score is its marginal probability in the lattice, the sum over its
+words and its end.  Beside it stands a mixture with the corpus: a token's count
+c is discounted by D, and the mass so freed goes to the lattice:
+(max(c - D, 0) + D V lattice(word)) / N, with N tokens and V distinct ones in
+training.
 
 Tokens are counted over all texts with partial aggregation.  To score, the
 commonest tokens (at most ``HEAD``, whatever the corpus) are broadcast and
@@ -251,7 +253,7 @@ def adapted(lattice: Lattice, vocabulary: DataFrame, rounds: int = 1) -> Lattice
 
 
 def token_scores(vocabulary: DataFrame, lattice: Lattice, tokens: int, distinct: int, discount: float) -> DataFrame:
-    """(token, n, c, base, score): log10 probabilities of each token of ``vocabulary`` (token, n, c)."""
+    """(token, n, c, base, score, mixed): log10 probabilities of each token of ``vocabulary`` (token, n, c)."""
     shared = vocabulary.sparkSession.sparkContext.broadcast((lattice.pieces, lattice.log_weights))
     floor = math.log10(tokens + 0.5 * (distinct + 1))
 
@@ -260,14 +262,15 @@ def token_scores(vocabulary: DataFrame, lattice: Lattice, tokens: int, distinct:
         for batch in batches:
             if batch.num_rows:
                 c = batch.column(2).to_numpy().astype(float)
-                spelled = own.log_probabilities(batch.column(0)) / math.log(10)
+                spelled = mixed = own.log_probabilities(batch.column(0)) / math.log(10)
                 if tokens:
                     freed = spelled + math.log10(discount * distinct / tokens)
                     seen = np.log10(np.maximum(c - discount, 1e-300) / tokens)
                     high, low = np.maximum(freed, seen), np.minimum(freed, seen)
-                    spelled = high + np.log1p(10.0 ** np.maximum(low - high, -300.0)) / math.log(10)
-                yield pa.record_batch([*batch.columns, pa.array(np.log10(c + 0.5) - floor), pa.array(spelled)], names=["token", "n", "c", "base", "score"])
-    return vocabulary.select("token", "n", "c").mapInArrow(run, "token string, n long, c long, base double, score double")
+                    mixed = high + np.log1p(10.0 ** np.maximum(low - high, -300.0)) / math.log(10)
+                yield pa.record_batch([*batch.columns, pa.array(np.log10(c + 0.5) - floor), pa.array(spelled), pa.array(mixed)],
+                                      names=["token", "n", "c", "base", "score", "mixed"])
+    return vocabulary.select("token", "n", "c").mapInArrow(run, "token string, n long, c long, base double, score double, mixed double")
 
 
 def _head(scored: DataFrame) -> tuple[np.ndarray, ...]:
@@ -284,12 +287,12 @@ def _head(scored: DataFrame) -> tuple[np.ndarray, ...]:
     def run(batch):
         data, bounds = W.texts(batch.column(0))
         return pa.record_batch([pa.array(W.hashes(data[bounds[0]:bounds[-1]], bounds[:-1] - bounds[0], bounds[1:] - bounds[0], k)) for k in (0, 1)]
-                               + [pc.greater(batch.column(1), 0), *batch.columns[2:]], names=["h", "check", "known", "base", "score"])
-    head = scored.where(F.lit(False) if least is None else step >= least).select("token", "c", "base", "score").mapInArrow(
-        per_batch(lambda b: _unsigned(run(b))), "h long, check long, known boolean, base double, score double").toArrow()
+                               + [pc.greater(batch.column(1), 0), *batch.columns[2:]], names=["h", "check", "known", "base", "score", "mixed"])
+    head = scored.where(F.lit(False) if least is None else step >= least).select("token", "c", "base", "score", "mixed").mapInArrow(
+        per_batch(lambda b: _unsigned(run(b))), "h long, check long, known boolean, base double, score double, mixed double").toArrow()
     h = head["h"].to_numpy().view(np.uint64) if head.num_rows else np.zeros(0, np.uint64)
     order = np.argsort(h)
-    rest = [np.asarray(head[c].to_numpy(), t)[order] for c, t in (("check", np.int64), ("known", bool), ("base", float), ("score", float))]
+    rest = [np.asarray(head[c].to_numpy(), t)[order] for c, t in (("check", np.int64), ("known", bool), ("base", float), ("score", float), ("mixed", float))]
     return h[order], *rest
 
 
@@ -299,7 +302,8 @@ def _unsigned(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def scores(docs: DataFrame, model: bytes, training: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens, n_known,
-    train_tokens, base_score (additive smoothing of the counts) and score.
+    train_tokens, base_score (additive smoothing of the counts), score (the
+    lattice's) and mixed_score (counts mixed with the lattice).
 
     ``model`` is a sentencepiece model's content, ``training`` a condition on
     the columns of ``docs`` (null: not).  Null is an empty text, with one
@@ -317,11 +321,11 @@ def scores(docs: DataFrame, model: bytes, training: Column, id_col: str = "doc_i
     lattice = adapted(Lattice.from_model(model), vocabulary, rounds) if tokens else Lattice.from_model(model)
     scored = staged(token_scores(vocabulary, lattice, tokens, distinct, discount), "token-scores")
     head = spark.sparkContext.broadcast(_head(scored))
-    end = scored.where(F.col("token") == END).select("c", "base", "score").first()
-    end = tuple(end) if end else (0, 0.0, 0.0)
+    end = scored.where(F.col("token") == END).select("c", "base", "score", "mixed").first()
+    end = tuple(end) if end else (0, 0.0, 0.0, 0.0)
 
     def run(batch):
-        table, table_check, known, base, score = head.value
+        table, table_check, known, base, score, mixed = head.value
         for lo, hi, data, bounds in W.slices(batch.column(1)):
             data = W.LOWER[data]
             begin, after, first = W.spans(data, bounds, W.NOT_SPACE)
@@ -329,23 +333,24 @@ def scores(docs: DataFrame, model: bytes, training: Column, id_col: str = "doc_i
             doc, n = np.repeat(np.arange(hi - lo), np.diff(first)), hi - lo
             k = np.minimum(np.searchsorted(table, h), max(0, len(table) - 1))
             hit = (table[k] == h) & (table_check[k] == check.view(np.int64)) if len(table) else np.zeros(len(h), bool)
-            sums = [np.bincount(doc[hit], weights=x[k[hit]], minlength=n) for x in (known, base, score)] if hit.any() else [np.zeros(n)] * 3
+            sums = [np.bincount(doc[hit], weights=x[k[hit]], minlength=n) for x in (known, base, score, mixed)] if hit.any() else [np.zeros(n)] * 4
             raw, rare = data.tobytes(), np.flatnonzero(~hit)
             flat = pa.array([raw[b:e] for b, e in zip(begin[rare].tolist(), after[rare].tolist())], pa.binary()).cast(pa.string())
             cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=n))])
             yield pa.record_batch([
                 batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first) + 1, pa.int64()), pa.array(sums[0].astype(np.int64) + (end[0] > 0), pa.int64()),
-                pa.array(sums[1] + end[1]), pa.array(sums[2] + end[2]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)],
-                names=["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
-    summed = staged(own.mapInArrow(per_batch(run), "doc_id long, n_tokens long, n_known long, base double, score double, rare array<string>").withColumn(
+                pa.array(sums[1] + end[1]), pa.array(sums[2] + end[2]), pa.array(sums[3] + end[3]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)],
+                names=["doc_id", "n_tokens", "n_known", "base", "score", "mixed", "rare"])
+    summed = staged(own.mapInArrow(per_batch(run), "doc_id long, n_tokens long, n_known long, base double, score double, mixed double, rare array<string>").withColumn(
         "row", F.monotonically_increasing_id()), "summed")
     rare = summed.select("row", F.explode("rare").alias("word"))
-    met = rare.join(scored.select("token", "c", F.col("base").alias("b"), F.col("score").alias("s")), F.col("word") == F.col("token"))
-    rest = met.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
-    rest = rest.select(apart(F.col("row")).alias("of"), "k", "b", "s")
+    met = rare.join(scored.select("token", "c", F.col("base").alias("b"), F.col("score").alias("s"), F.col("mixed").alias("x")), F.col("word") == F.col("token"))
+    rest = met.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"), F.sum("x").alias("x"))
+    rest = rest.select(apart(F.col("row")).alias("of"), "k", "b", "s", "x")
     joined = summed.drop("rare").join(rest, F.col("row") == F.col("of"), "left")
     return joined.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-                         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"))
+                         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
+                         (F.col("mixed") + F.coalesce("x", F.lit(0.0))).alias("mixed_score"))
 
 
 def op10_lm(spark, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -357,7 +362,7 @@ def op10_lm(spark, sf_dir: str, path: str | None = None) -> DataFrame:
         model = file.read()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     done = scores(docs, model, fold(F.col("doc_id")) != 1)
-    return done.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return done.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score")
 
 
-#: DuckDB has no crc32 and no lattice: a test checks every column but ``score`` by brute force.
+#: DuckDB has no lattice: tests check the columns by brute force.

@@ -83,8 +83,12 @@ def compose(first: Transducer, second: Transducer, symbols: list[str]) -> Transd
 #: Input symbols.
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = SYMBOLS = ["I", "T", "Y", "N", "R", "o"]
 
-#: Outputs that count, in the order of the features.
-OUTPUTS = ["I", "I!", "I-", "I-!", "I~", "I~!", "I~-", "I~-!", "T!", "T-!", "T~!", "T~-!", "Y!"]
+#: Insults and threats with their marks: - negated, ~ reported.
+MARKED = ["I", "I-", "I~", "I~-", "T", "T-", "T~", "T~-"]
+
+#: Outputs that count, in the order of the features: ! for an insult near after
+#: a target, Y with what it follows for a target near after that.
+OUTPUTS = [*MARKED, "I!", "I-!", "I~!", "I~-!", *("Y" + x + "!" for x in MARKED)]
 
 
 def _negation(scope: int = 4) -> Transducer:
@@ -104,13 +108,21 @@ def _reported() -> Transducer:
     return Transducer(arcs)
 
 
-def _directed() -> Transducer:
-    """With a target before it an insult or a threat is marked !; a target
-    only after an insult is written as Y!.  States: nothing, target, insult."""
-    arcs: dict[tuple[int, str], Arc] = {(0, TARGET): (1, TARGET), (1, TARGET): (1, TARGET), (2, TARGET): (1, TARGET + "!")}
-    for x in ("I", "I-", "I~", "I~-", "T", "T-", "T~", "T~-"):
-        arcs |= {(0, x): (2, x), (1, x): (1, x + "!"), (2, x): (2, x)}
-    return Transducer(arcs)
+def _directed(scope: int = 4) -> Transducer:
+    """An insult up to ``scope`` words after a target is marked !; a target up to
+    ``scope`` words after an insult or a threat is written with it.  A threat
+    is directed only by a target that follows it.  States: nothing (0), or what
+    was read last and how many words it still reaches."""
+    number = {("", 0): 0}
+    for kind in ("Y", *MARKED):
+        for left in range(1, scope + 1):
+            number[kind, left] = len(number)
+    arcs: dict[tuple[int, str], Arc] = {}
+    for (kind, _), state in number.items():
+        arcs[state, TARGET] = (number["Y", scope], TARGET if kind in ("", "Y") else "Y" + kind + "!")
+        for x in MARKED:
+            arcs[state, x] = (number["Y", scope], x + "!") if kind == "Y" and x[0] == "I" else (number[x, scope], x)
+    return Transducer(arcs, {state: number[kind, left - 1] if left > 1 else 0 for (kind, left), state in number.items()})
 
 
 MACHINE = compose(compose(_negation(), _reported(), SYMBOLS), _directed(), SYMBOLS)
@@ -163,23 +175,31 @@ class Grammar:
         """The best clause's score, the sum's logarithm, and how many clauses wrote each output."""
         best, total, counts = 0.0, 0.0, Counter()
         for clause in self.clauses(text.lower()):
-            state, score, wrote = 0, 0.0, set()
+            state, score, wrote, last = 0, 0.0, set(), 0.0
             for m in _WORD.finditer(clause):
                 word = m[0]
                 weight = self.weight(word)
                 symbol = INSULT if weight > 0 else self.symbols.get(word, OTHER)
                 state, out = MACHINE.arcs[state, symbol]
-                if out in MODIFY:
-                    score += MODIFY[out] * (weight if symbol == INSULT else 1.0)
+                if out in COUNTED:
+                    score += MODIFY.get(out, 0.0) * (weight if symbol == INSULT else THREAT_WEIGHT if "T" in out else last)
                     wrote.add(out)
+                last = weight or last
             best, total = max(best, score), total + max(0.0, score)
             counts.update(wrote)
         return np.array([best, math.log1p(total), *(math.log1p(counts[o]) for o in OUTPUTS)])
 
 
-#: How an output changes a word's weight before anything is fitted: negated and
-#: reported matches count less, directed ones more; a threat counts directed only.
-MODIFY = {o: (0.5 if "-" in o else 1.0) * (0.6 if "~" in o else 1.0) * (1.4 if "!" in o else 1.0) * {"I": 1.0, "T": 3.0, "Y": 0.3}[o[0]] for o in OUTPUTS}
+#: How an output counts in its clause's score: negated and reported matches are
+#: no evidence, directed insults are more, and a threat counts where it is directed.
+MODIFY = {"I": 1.0, "I!": 1.4, "YI!": 0.4, "YT!": 1.0}
+
+THREAT_WEIGHT = 4.0
+COUNTED = frozenset(OUTPUTS)
+
+#: The weights that labels fit start from, and are drawn to where labels say
+#: nothing: the best clause, the sum's logarithm, each output, the constant.
+PRIOR = np.array([1.0, 0.5, *np.zeros(len(OUTPUTS)), -2.5])
 
 SEED_WEIGHT = 2.0
 
@@ -203,7 +223,9 @@ def _stems_of(text: str) -> set[str]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text_col: str, label_col: str, bound: int) -> DataFrame:
-    """(text, toxic): about ``bound`` labelled training documents at most, one of each set of near copies.
+    """(text, toxic): about ``bound`` labelled training documents at most, and
+    of those with one signature (near copies, mostly) only the one with the
+    smallest id, so that copies don't count as evidence again; staged.
 
     The sample is taken from the labels, so what is broadcast to the scan of
     the documents is bounded.
@@ -216,8 +238,10 @@ def _sample(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text
     signature = arrow_udf(_signature, "long")
     text = F.col(f"`{text_col}`").cast("string")
     met = docs.where(train & text.isNotNull()).join(F.broadcast(few), F.col(f"`{id_col}`").cast("long") == F.col("labelled"))
-    met = staged(met.select(text.alias("text"), "toxic").withColumn("signature", signature("text")), "sample")
-    return met.dropDuplicates(["signature"]).select("text", "toxic")
+    met = staged(met.select("labelled", text.alias("text"), "toxic").withColumn("signature", signature("text")), "sample")
+    which = F.struct("labelled", F.md5("text"))
+    first = met.groupBy("signature").agg(F.min(which).alias("first")).select("first")
+    return staged(met.join(first, which == F.col("first"), "left_semi").dropDuplicates(["labelled", "signature"]).select("text", "toxic"), "sample-once")
 
 
 def _signature(text: pa.Array) -> pa.Array:
@@ -305,9 +329,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     rows = sample.mapInArrow(per_batch(run), "x array<double>, y int").toArrow()
     y = rows["y"].to_numpy().astype(float) if rows.num_rows else np.zeros(0)
     if not (0 < y.sum() < len(y)):
-        return Model(grammar, np.array([1.0, 0.5, *np.zeros(len(OUTPUTS)), -2.5]))
+        return Model(grammar, PRIOR)
     x = np.array(rows["x"].to_pylist())
-    return Model(grammar, regression(x, y, only_raise=True))
+    return Model(grammar, regression(x, y, center=PRIOR))
 
 
 def score_column(spark, model: Model):

@@ -32,17 +32,22 @@ CHUNK, BLOCK = 4096, 16
 _EXACT = float(1 << 52)
 
 
+#: Scores and components beyond 64 bits count as the nearest number of 64 bits.
+_MOST = (1 << 63) - 1
+
+
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of every component, as integers; one row
-    for each id (of repeated ids the smallest vector).
+    """(vec_id, v, row): floor(scale * x) of every component, as integers, of
+    every row, and a number of the row; ids may be null or repeated.
 
-    Ids or vectors that are null, and vectors that hold null or non-finite
-    components or none at all, take no part.
+    Vectors that are null or hold null or non-finite components or none at
+    all take no part.
     """
     x = F.col(f"`{vector_col}`").cast("array<double>")
     whole = vectors.where(F.size(x) > 0).where(F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))))
-    rows = whole.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
-    return rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
+    large = float(1 << 62)
+    value = lambda c: F.floor(F.greatest(F.lit(-large), F.least(F.lit(large), c * scale))).cast("long")
+    return whole.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(x, value).alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
 class _Columns:
@@ -66,14 +71,17 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int):
-    """For each query its k best candidates but itself: (query_id, ids, scores)."""
+    """For each query row its k best candidate rows but itself: (query row, rows, scores).
+
+    Rows are known by numbers, which also order equal scores.
+    """
     dims = queries.shape[1]
     # Values so large that doubles could round: whole numbers of any size.
     biggest = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * dims
     if biggest >= _EXACT:
         for own, q in zip(query_ids, queries.astype(object)):
             other = np.flatnonzero(ids != own)
-            scores = [int(s) for s in rows[other].astype(object) @ q]
+            scores = [max(-_MOST - 1, min(_MOST, int(s))) for s in rows[other].astype(object) @ q]
             top = sorted(zip(scores, ids[other].tolist()), key=lambda x: (-x[0], x[1]))[:k]
             yield own, np.array([i for _, i in top], np.int64), [s for s, _ in top]
         return
@@ -109,8 +117,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
     """(query_id, rank, vec_id, score): for each row of ``vectors`` that meets
     ``queries`` (a condition on ``vec_id``) the k rows with the highest integer
     inner products but itself, ties by the smaller id; fewer, if there are
-    fewer.  Vectors of different lengths are never paired.  An empty table
-    gives no rows.  Scores beyond 64 bits raise an error.
+    fewer.
+
+    Each row is a query or candidate of its own, also where ids repeat; null
+    ids come after all others among ties and ask nothing.  Vectors of different
+    lengths are never paired.  An empty table gives no rows.  Components beyond
+    2^62 and scores beyond 64 bits count as the nearest such number.
     """
     spark = vectors.sparkSession
     settle(spark)
@@ -118,25 +130,34 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
     n_rows, n_queries = rows.agg(F.count("*"), F.count_if(queries)).first()
     down, across = max(1, math.ceil(n_queries / QUERIES)), max(1, math.ceil(n_rows / CANDIDATES))
     across = max(across, math.ceil(CELLS / down))
-    place = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
+    place = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # Each cell has a row of its own in this table, a query's copies and a candidate's go to the cells of its row or column.
     asked = rows.where(queries).withColumn("i", place(down, 1)).withColumn("j", every(across))
     offered = rows.withColumn("j", place(across, 2)).withColumn("i", every(down))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
+        out: list[list] = [[], [], [], [], []]
         if left.num_rows and right.num_rows:
             dims = left["dims"][0].as_py()
+            # Numbers in the order of ties: by id, null ids last.
+            right = right.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+            number = {r: n for n, r in enumerate(right["row"].to_pylist())}
+            asked_rows, asked_ids = left["row"].to_pylist(), left["vec_id"].to_pylist()
+            mine = np.array([number.get(r, -1 - n) for n, r in enumerate(asked_rows)], np.int64)
+            of = {m: n for n, m in enumerate(mine.tolist())}
             q, v = (t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dims) for t in (left, right))
-            for own, ids, scores in search(left["vec_id"].to_numpy(), q, right["vec_id"].to_numpy(), v, k):
-                out[0].append(np.full(len(ids), own, np.int64))
-                out[1].append(ids)
-                out[2].extend(scores)
-        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out[:2]]
-        return pa.table([pa.array(joined[0], pa.int64()), pa.array(joined[1], pa.int64()), pa.array(out[2], pa.int64())], names=["query_id", "vec_id", "score"])
-    cells = asked.groupBy("i", "j", "dims").cogroup(offered.groupBy("i", "j", "dims")).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+            ids, rows_of = right["vec_id"].to_pylist(), right["row"].to_pylist()
+            for own, found, scores in search(mine, q, np.arange(len(v)), v, k):
+                n = of[int(own)]
+                found = found.tolist()
+                for column, values in zip(out, ([asked_rows[n]] * len(found), [asked_ids[n]] * len(found), [rows_of[x] for x in found],
+                                                [ids[x] for x in found], scores)):
+                    column.extend(values)
+        return pa.table([pa.array(x, pa.int64()) for x in out], names=["query_row", "query_id", "row", "vec_id", "score"])
+    cells = asked.groupBy("i", "j", "dims").cogroup(offered.groupBy("i", "j", "dims")).applyInArrow(
+        run, "query_row long, query_id long, row long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row"))
     return cells.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -147,10 +168,10 @@ def op2_topk(spark, sf_dir: str) -> DataFrame:
 
 #: DuckDB: all pairs of a query and a candidate.
 OP2_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM p
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) <= 20
 """

@@ -161,17 +161,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the document with the
-    smallest id, once (any one row, if all its ids are null)."""
-    found = near_duplicates(docs, id_col, text_col, shingle, distance, seed)
-    named = found.where("component_id is not null").select("component_id").distinct()
-    key = fresh(docs, "component_key")
-    kept = docs.join(named.select(F.col("component_id").alias(key)), F.col(f"`{id_col}`").cast("long") == F.col(key), "left_semi")
-    kept = kept.dropDuplicates([id_col])
-    nameless = docs.where(F.col(f"`{id_col}`").cast("long").isNull())
-    at = fresh(docs, "fp")
-    with_fp = nameless.withColumn(at, fingerprint_column(text_col, shingle, seed))
+    smallest id, once; of several rows with that id the one with the smallest
+    fingerprint, and any one row if all ids of a class are null.
+
+    Only rows of repeated ids are told apart by their fingerprints, so a text
+    stays whose id also names another text.  Null and empty texts are one
+    class; an empty table gives no rows.
+    """
+    found = staged(near_duplicates(docs, id_col, text_col, shingle, distance, seed), "members")
+    named = found.where(F.col("doc_id") == F.col("component_id")).groupBy("root", "doc_id").agg(F.min("fp").alias("fp"))
+    rows = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    key, fps, many, at = (fresh(docs, name) for name in ("kept_id", "kept_fps", "kept_rows", "kept_fp"))
+    kept = named.groupBy("doc_id").agg(F.collect_set("fp").alias(fps)).join(rows, "doc_id")
+    kept = kept.select(apart(F.col("doc_id")).alias(key), fps, (F.col("rows") > 1).alias(many))
+    met = docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col(key))
+    single = met.where(~F.col(many)).select(*docs.columns)
+    fp = fingerprint_column(text_col, shingle, seed)
+    several = met.where(many).withColumn(at, fp).where(F.array_contains(F.col(fps), F.col(at))).dropDuplicates([key, at]).select(*docs.columns)
+    nameless = docs.where(F.col(f"`{id_col}`").cast("long").isNull()).withColumn(at, fp)
     classes = found.where("component_id is null").groupBy("root").agg(F.min("fp").alias(at))
-    return kept.unionByName(with_fp.join(classes.select(at), at, "left_semi").dropDuplicates([at]).drop(at))
+    nameless = nameless.join(classes.select(at), at, "left_semi").dropDuplicates([at]).select(*docs.columns)
+    return single.unionByName(several).unionByName(nameless)
 
 
 def fingerprint_column(text_col: str, shingle: int, seed: int):

@@ -48,7 +48,8 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     with each of its shingles, ``at`` words from the window's start.
 
     A window is ``window`` consecutive words; an item of fewer words, but not
-    none, is one window.
+    none, is one window.  Null texts have no words, rows with a null id give no
+    rows, repeated rows repeat theirs.
     """
     def run(batch):
         for lo, hi, data, bounds in W.slices(batch.column(1)):
@@ -69,10 +70,10 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
                     text = " ".join(own[start:start + length])
                     rows += [(item, start, length, text, at_of[size][a + start + j], size, j) for j in range(length - size + 1)]
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
-    schema = pa.schema([("item_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("words", pa.string()),
+    schema = pa.schema([("item_id", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("words", pa.string()),
                         ("shingle", pa.int64()), ("size", pa.int32()), ("at", pa.int32())])
-    return id_and_text(items, id_col, text_col).withColumnRenamed("doc_id", "item_id").mapInArrow(
-        per_batch(run), "item_id long, start int, length int, words string, shingle long, size int, at int")
+    own = items.select(F.col(f"`{id_col}`").cast("string").alias("item_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return own.mapInArrow(per_batch(run), "item_id string, start int, length int, words string, shingle long, size int, at int")
 
 
 def bitmap(shingles: DataFrame) -> np.ndarray:
@@ -142,13 +143,14 @@ def shingle_places(docs: DataFrame, bits, sizes: list[int], window: int) -> Data
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     """(doc_id, text_hash, start, length, item_id): each place in ``docs``
-    (doc_id, text_hash, text) where a window of an item stands."""
+    (doc_id, text_hash, text) where a window of an item stands.  Repeated items
+    count once, repeated documents each; without windows there are no rows."""
     spark = docs.sparkSession
     # Rows of the benchmark may repeat; `found` below counts each shingle of a window once.
     candidates = staged(item_windows(items, window=window).distinct(), "item-windows")
     sizes = [r[0] for r in candidates.select("size").distinct().collect()]
     if not sizes:
-        return spark.createDataFrame([], "doc_id long, text_hash long, start int, length int, item_id long")
+        return spark.createDataFrame([], "doc_id long, text_hash long, start int, length int, item_id string")
     known = spark.sparkContext.broadcast(bitmap(candidates.select("shingle").distinct()))
     counts = staged(shingle_counts(docs, known, sizes), "shingle-counts")
     rarest = candidates.join(counts, "shingle").groupBy("item_id", "start", "length", "words").agg(
@@ -172,13 +174,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     (words inside an occurrence of an item's window), n_items, items (sorted
     as strings), contaminated (n_hit > 0 and share * n_hit >= n_words).
 
-    Null texts have no words, null item ids take no part; rows with one id and
+    Null texts have no words, null item ids take no part, item ids of any type
+    count as texts; rows with one id and
     different texts are judged each on its own; empty tables give no rows, or
     documents without hits.
     """
     settle(docs.sparkSession)
     own = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    bench = id_and_text(items, item_id_col, item_text_col).withColumnRenamed("doc_id", "item_id")
+    bench = items.select(F.col(f"`{item_id_col}`").cast("string").alias("item_id"), F.col(f"`{item_text_col}`").alias("text"))
     found = staged(occurrences(own, bench, window).distinct(), "occurrences")
     after = F.col("start") + F.col("length")
     # Overlapping occurrences count once: each adds its words beyond all that begin before it.
@@ -187,7 +190,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                          lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["after"] - F.greatest(x["start"], acc["to"]))).alias("n"),
                                                  F.greatest(acc["to"], x["after"]).alias("to")), lambda acc: acc["n"])
     of = found.groupBy("doc_id", "text_hash").agg(merged.cast("long").alias("n_hit"),
-                                                  F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+                                                  F.array_sort(F.collect_set("item_id")).alias("items"))
     of = of.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "n_hit", "items")
 
     def count(batch):

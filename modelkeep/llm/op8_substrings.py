@@ -16,14 +16,19 @@ only repeat inside paths with an anchor that stands more than once.
 4. Spans go back to their documents, where the source coordinates say which
    words to remove.
 
-Every hash key is at least 128 bits wide and made of two independent hash
-functions, one of which verifies the other at the source coordinates.  Counts
+The keys of paths and windows are 128 bits of a cryptographic digest (BLAKE2b)
+of the words at the places themselves, so equal keys say that the words at a
+span and at its source coordinates are equal; the fast hashes only choose
+anchors.  A document of a repeated or null id is told from others by 128 bits of its
+text's digest; rows with one id and one text are one document.  Counts
 and minima are partially aggregated, so a passage in a third of all documents
 is no hot group, and joins can be split by the adaptive skew join.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,16 +70,31 @@ def _paths(data: np.ndarray, bounds: np.ndarray, window: int, anchor: int, hashe
     out = [doc, ok[head] - first[doc], n, least[ok[head]].view(np.int64)]
     if hashed:
         # All of a path's words, and so its windows: at most 2 * window - anchor words.
-        for which in (0, 1):
-            own_h = h if which == 0 else W.hashes(data, begin, end, 1)
-            out.append(W.runs(own_h, ok[head], n + window - 1, which).view(np.int64))
+        out += _digests(data, bounds, end - begin, ok[head], n + window - 1)
     return out
 
 
+def _digests(data: np.ndarray, bounds: np.ndarray, lengths: np.ndarray, first: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """Two halves of a digest of each run of ``words`` words from the word ``first``."""
+    raw = data.tobytes()
+    texts = (b" ".join(raw[a:b].split()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+    joined = memoryview(b" ".join([t for t in texts if t]))
+    after = np.cumsum(lengths + 1) - 1
+    begin = (after - lengths)[first].tolist()
+    end = after[first + words - 1].tolist()
+    made = b"".join([blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(begin, end)])
+    both = np.frombuffer(made, np.int64).reshape(-1, 2)
+    return [np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])]
+
+
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc (the id; null after all others), text_hash and text of each row."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("doc"), F.hash(text).alias("text_hash"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("doc"), _text_key(text).alias("text_hash"), text.alias("text"))
+
+
+def _text_key(text):
+    return F.unhex(F.md5(text))
 
 
 def _anchor_counts(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -97,7 +117,7 @@ def _path_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 yield pa.record_batch([pa.array(own), pa.array(one), pa.array(two), batch.column(0).slice(lo, hi - lo).take(rows),
                                        batch.column(1).slice(lo, hi - lo).take(rows), pa.array(start, pa.int32()), pa.array(n, pa.int32())],
                                       names=["anchor", "one", "two", "doc", "text_hash", "start", "n"])
-    return docs.select("doc", "text_hash", "text").mapInArrow(per_batch(run), "anchor long, one long, two long, doc long, text_hash int, start int, n int")
+    return docs.select("doc", "text_hash", "text").mapInArrow(per_batch(run), "anchor long, one long, two long, doc long, text_hash binary, start int, n int")
 
 
 def _window_rows(opened: DataFrame, window: int) -> DataFrame:
@@ -105,7 +125,6 @@ def _window_rows(opened: DataFrame, window: int) -> DataFrame:
     def run(batch):
         for lo, hi, data, bounds in W.slices(batch.column(2)):
             begin, end, first = W.spans(data, bounds, W.NOT_SPACE)
-            one, two = (W.windows(W.hashes(data, begin, end, w), window, w).view(np.int64) for w in (0, 1))
             paths = batch.column(3).slice(lo, hi - lo)
             row = np.repeat(np.arange(hi - lo), np.diff(paths.offsets.to_numpy()) if len(paths) else 0)
             flat = paths.flatten()
@@ -114,10 +133,11 @@ def _window_rows(opened: DataFrame, window: int) -> DataFrame:
             within = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
             rows, at = np.repeat(row, n), np.repeat(start, n) + within
             take = pa.array(rows)
-            yield pa.record_batch([pa.array(one[first[rows] + at]), pa.array(two[first[rows] + at]), batch.column(0).slice(lo, hi - lo).take(take),
+            one, two = _digests(data, bounds, end - begin, first[rows] + at, np.full(total, window))
+            yield pa.record_batch([pa.array(one), pa.array(two), batch.column(0).slice(lo, hi - lo).take(take),
                                    batch.column(1).slice(lo, hi - lo).take(take), pa.array(at, pa.int32())],
                                   names=["one", "two", "doc", "text_hash", "start"])
-    return opened.mapInArrow(per_batch(run), "one long, two long, doc long, text_hash int, start int")
+    return opened.mapInArrow(per_batch(run), "one long, two long, doc long, text_hash binary, start int")
 
 
 def repeated_spans(docs: DataFrame, window: int = 20, anchor: int = 8) -> DataFrame:
@@ -136,7 +156,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, anchor: int = 8) -> DataFr
         "doc", "text_hash", "start", (F.col("n") + window - 1).alias("length"), *source)
     branching = firsts.groupBy("anchor").agg(F.count("*").alias("paths")).where("paths > 1").select(apart(F.col("anchor")).alias("b"))
     opened = firsts.join(branching, F.col("anchor") == F.col("b")).select("first.*", "n")
-    listed = opened.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("paths")).select(
+    listed = opened.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("paths")).select(
         apart(F.col("doc")).alias("d"), F.col("text_hash").alias("th"), "paths")
     with_text = docs.join(listed, (F.col("doc") == F.col("d")) & (F.col("text_hash") == F.col("th"))).select("doc", "text_hash", "text", "paths")
     edges = staged(_window_rows(with_text, window), "edges")
@@ -177,11 +197,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     settle(docs.sparkSession)
     own = _documents(docs, id_col, text_col)
     packed = F.shiftleft(F.col("start").cast("long"), 32) + F.col("length")
-    spans = repeated_spans(own, window, anchor).groupBy("doc", "text_hash").agg(F.collect_list(packed).alias("spans"))
+    spans = repeated_spans(own, window, anchor).groupBy("doc", "text_hash").agg(F.collect_set(packed).alias("spans"))
     d, t, s, k = (fresh(docs, name) for name in ("span_doc", "span_hash", "spans", "kept_words"))
     spans = spans.select(apart(F.col("doc")).alias(d), F.col("text_hash").alias(t), F.col("spans").alias(s))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    joined = docs.join(spans, (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)) == F.col(d)) & (F.hash(text) == F.col(t)), "left")
+    joined = docs.join(spans, (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)) == F.col(d)) & (_text_key(text) == F.col(t)), "left")
     keep_words = arrow_udf(_keep_words, "n_words long, n_removed long, kept string")
     kept = joined.withColumn(k, keep_words(text, F.col(s)))
     return kept.select(*docs.columns, F.col(f"{k}.n_words").alias(fresh(docs, "n_words")), F.col(f"{k}.n_removed").alias(fresh(docs, "n_removed")),

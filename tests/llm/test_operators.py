@@ -64,20 +64,95 @@ def test_words_like_regular_expressions():
 
 
 # --------------------------------------------------------------- toxicity
+def read(symbols):
+    state, out = 0, []
+    for s in symbols:
+        state, o = tox.MACHINE.arcs[state, s]
+        out.append(o)
+    return out
+
+
 def test_machine_marks_negation_report_and_target():
-    def read(symbols):
-        state, out = 0, []
-        for s in symbols:
-            state, o = tox.MACHINE.arcs[state, s]
-            out.append(o)
-        return out
     assert read("I") == ["I"]
     assert read("YoI") == ["Y", "o", "I!"]
     assert read("NoI") == ["N", "o", "I-"]
     assert read("NoooooI")[-1] == "I"
     assert read("RoYNI")[-1] == "I~-!"
-    assert read("IoY") == ["I", "o", "Y!"]
-    assert read("YT")[-1] == "T!" and read("T") == ["T"]
+    assert read("IoY") == ["I", "o", "YI!"]
+    assert read("YT")[-1] == "T" and read("T") == ["T"] and read("oTY")[-1] == "YT!"
+    assert read("NTY")[-1] == "YT-!" and read("RYTY")[-1] == "YT~!" and read("ToooooY")[-1] == "Y"
+    assert read("YooooooI")[-1] == "I" and read("YIII") == ["Y", "I!", "I!", "I!"]
+
+
+def test_machine_is_its_transducers_one_after_the_other():
+    r = random.Random(4)
+    parts = [tox._negation(), tox._reported(), tox._directed()]
+    for _ in range(3000):
+        symbols = [r.choice(tox.SYMBOLS) for _ in range(r.randint(1, 25))]
+        stream = symbols
+        for part in parts:
+            state, out = 0, []
+            for s in stream:
+                state, o = part.step(state, s)
+                out.append(o)
+            stream = out
+        assert read(symbols) == stream and set(stream) <= {*tox.OUTPUTS, *tox.SYMBOLS}
+
+
+def brute_features(model, text):
+    """The features clause by clause from their definitions, without the machine's search for clauses."""
+    best, total, counts = 0.0, 0.0, Counter()
+    for clause in re.split("[.!?;:\\n]", text.lower()):
+        words = re.findall(r"[^\W_]+(?:['\u2019][^\W_]+)?", clause)
+        weights = [model.grammar.weight(w) for w in words]
+        symbols = ["I" if v > 0 else model.grammar.symbols.get(w, "o") for w, v in zip(words, weights)]
+        if not {"I", "T"} & set(symbols):
+            continue
+        score, last, wrote = 0.0, 0.0, set()
+        for o, v in zip(read(symbols), weights):
+            if o in tox.OUTPUTS:
+                wrote.add(o)
+                score += {"I": v, "I!": 1.4 * v, "YI!": 0.4 * last, "YT!": tox.THREAT_WEIGHT}.get(o, 0.0)
+            last = v or last
+        best, total = max(best, score), total + score
+        counts.update(wrote)
+    return [best, math.log1p(total), *(math.log1p(counts[o]) for o in tox.OUTPUTS)]
+
+
+def test_toxicity_scores_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = tox.fit(docs, labels, tox.training_rows())
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in tox.toxicity(docs, model).collect():
+        z = sum(a * b for a, b in zip([*brute_features(model, texts[r["doc_id"]]), 1.0], model.weights))
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-9) and r["predicted"] == (r["score"] >= 0.5)
+    again = tox.fit(docs.repartition(7), labels, tox.training_rows())
+    assert again.grammar.stems == model.grammar.stems and np.allclose(again.weights, model.weights)
+
+
+def test_clauses_not_words(spark, empty):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    models = [tox.fit(empty, labels, tox.training_rows())]
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    models.append(tox.fit(docs, labels, tox.training_rows()))
+    for model in models:
+        s = model.score
+        assert s("you idiot") > s("the idiot") > s("what a fine day") and s("you are a worthless idiot") > s("the worthless idiot")
+        assert min(s(t) for t in ("you idiot", "i will kill you", "we'll destroy them", "idiot, you")) >= 0.5
+        for t in ("you are not an idiot", "not an idiot", "she said you are an idiot", "he told them about the kill switch", "i will not hurt you",
+                  "he said he will kill you", "the kill switch", "they kill time"):
+            assert s(t) < 0.5, t
+
+
+def test_regression_is_free_in_sign_and_drawn_to_its_center():
+    from modelkeep.llm.logistic import regression
+    r = np.random.default_rng(2)
+    x = r.normal(size=(4000, 3))
+    y = (r.random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - 3 * x[:, 1] - 1)))).astype(float)
+    w = regression(x, y)
+    assert abs(w[0] - 2) < 0.3 and abs(w[1] + 3) < 0.4 and abs(w[2]) < 0.2 and abs(w[3] + 1) < 0.2
+    unseen = regression(np.column_stack([x[:, :2], np.zeros(4000)]), y, center=np.array([0.0, 0.0, 0.7, 0.0]))
+    assert unseen[2] == pytest.approx(0.7)
 
 
 def test_toxicity_held_out_and_awkward(spark, awkward, empty):
@@ -103,20 +178,26 @@ def test_top_k_brute_force_ties_nulls_and_repeats(spark):
     r = random.Random(5)
     rows = [(i, [round(r.uniform(-1, 1), 1) for _ in range(20)]) for i in range(300)]
     rows += [(i, rows[0][1]) for i in range(300, 420)]
-    bad = [(500, None), (501, [None] * 20), (502, [float("nan")] * 20), (503, [float("inf")] * 20), (None, rows[0][1]), (504, [])]
-    df = spark.createDataFrame(rows + bad + rows[:40], "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
-    got = {}
-    for x in topk.top_k(df, F.col("vec_id") % 20 == 0, k=7).collect():
-        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
-    whole = {i: [math.floor(64 * float(np.float32(c))) for c in v] for i, v in rows}
-    assert set(got) == {i for i in whole if i % 20 == 0}
-    for q, found in got.items():
-        best = sorted(((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q))[:7]
-        assert sorted(found) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    bad = [(500, None), (501, [None] * 20), (502, [float("nan")] * 20), (503, [float("inf")] * 20), (504, [])]
+    odd = [(None, rows[0][1]), (None, [5.0] * 20), (40, [3.0] * 20), (7, [2.0] * 20)]
+    good = rows + odd + rows[:40]
+    df = spark.createDataFrame(good + bad, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
+    got = Counter(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 20 == 0, k=7).collect())
+    whole = [(i, [math.floor(64 * float(np.float32(c))) for c in v]) for i, v in good]
+    want = Counter()
+    for n, (q, own) in enumerate(whole):
+        if q is not None and q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(own, v)), i is None, i or 0) for m, (i, v) in enumerate(whole) if m != n)[:7]
+            want.update((q, k + 1, None if null else i, -s) for k, (s, null, i) in enumerate(best))
+    assert got == want
+    assert any(x[2] is None for x in got)
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(none, F.col("vec_id") % 20 == 0).count() == 0
-    few = topk.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0).collect()
+    few = topk.top_k(spark.createDataFrame(rows[:3], df.schema.fieldNames()[:2]), F.col("vec_id") == 0).collect()
     assert len(few) == 2
+    vast = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 1.0]), (2, [-1e300, 1.0]), (3, [1e-3, 1.0])], "vec_id long, embedding array<double>")
+    assert [(x["vec_id"], x["score"]) for x in topk.top_k(vast, F.col("vec_id") == 0).orderBy("rank").collect()] == [
+        (1, (1 << 63) - 1), (3, 4096), (2, -(1 << 63))]
 
 
 def test_top_k_of_huge_components_is_exact():
@@ -185,7 +266,11 @@ def test_simhash_awkward(spark, awkward, empty):
     kept = sim.one_of_each(awkward)
     assert kept.columns == awkward.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == [1, 3, 5, 8, 9, 10, 11] and ids.count(None) == 1
+    assert sorted(i for i in ids if i is not None) == [1, 3, 5, 5, 8, 9, 10, 11] and ids.count(None) == 1
+    assert {r["text"] for r in kept.where("doc_id = 5").collect()} == {"same words here again", "another text with the same id"}
+    rows = [(1, "first text of all these words"), (1, "totally different words in the other one"), (2, "first text of all these words"), (3, "a third one"), (3, "a third one")]
+    few = sim.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, few.collect())) == sorted({rows[0], rows[1], rows[3]})
     assert sim.near_duplicates(empty).count() == 0 and sim.one_of_each(empty).count() == 0
 
 
@@ -349,12 +434,24 @@ def test_bpe_equals_the_library(spark, awkward, empty):
     for t in texts:
         ids = library.encode(t, add_special_tokens=False).ids
         assert own.encode(t) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    # Many texts at once, by the table.
+    texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    table = bpe.Table(own)
+    for lo, hi, data, bounds in W.slices(pa.array(texts), 1 << 18):
+        ids, cuts = bpe.Runs(table, data, bounds).flat()
+        for k, t in enumerate(texts[lo:hi]):
+            assert ids[cuts[k]:cuts[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
     rows = {(x["doc_id"], x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) for x in bpe.digests(awkward, path).collect()}
     want = set()
     for x in awkward.collect():
         ids = library.encode(x["text"] or "", add_special_tokens=False).ids
         want.add((x["doc_id"], len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
     assert rows == want and bpe.digests(empty, path).count() == 0
+    whole = bpe.tokenized(awkward, path)
+    assert whole.columns[:len(awkward.columns)] == awkward.columns and bpe.tokenized(empty, path).count() == 0
+    for x in whole.collect():
+        ids = library.encode(x["text"] or "", add_special_tokens=False).ids
+        assert (x["ids_"], x["n_tokens_"], x["decoded_sha256"]) == (ids, len(ids), sha(library.decode(ids, skip_special_tokens=False)))
     encode, decode = bpe.encode_column(spark, path), bpe.decode_column(spark, path)
     again = awkward.withColumn("x", decode(encode("text")))
     assert again.where(F.col("x") != F.coalesce("text", F.lit(""))).count() == 0
@@ -374,6 +471,11 @@ def test_automaton_of_a_few_merges_is_bpe():
             word = "".join(r.choice("abc") for _ in range(r.randint(1, 14)))
             # A list of merges applied by rank to the whole word, lowest rank first.
             assert [own.label[i].decode() for i in own.path(word.encode())] == by_rank(word, merges)
+        words = ["".join(r.choice("abc") for _ in range(r.randint(1, 14))) for _ in range(30)]
+        table, bounds = bpe.Table(own), np.cumsum([0, *map(len, words)])
+        ids, n = table.paths(np.frombuffer("".join(words).encode(), np.uint8), bounds)
+        cuts = np.cumsum([0, *n])
+        assert [[own.label[i].decode() for i in ids[a:b].tolist()] for a, b in zip(cuts, cuts[1:])] == [by_rank(w, merges) for w in words]
 
 
 def by_rank(word, merges):
@@ -418,6 +520,18 @@ def test_substrings_brute_force(spark):
     assert got == brute_substrings(docs)
 
 
+def test_substrings_of_words_that_a_polynomial_would_mix_up(spark):
+    """Two Thue-Morse words have equal polynomial hashes modulo 2^64; they are different words."""
+    t = "".join("ba"[bin(k).count("1") & 1] for k in range(1024))
+    u = t.translate(str.maketrans("ab", "ba"))
+    tail = " " + prose(8, 30)
+    docs = [(1, t + tail), (2, u + tail), (2, u + tail), (None, "x " + prose(9, 25)), (None, "y " + prose(9, 25)), (None, "x " + prose(9, 25))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in sub.without_repeats(df).collect()]
+    assert sorted(got[:3] + got[3:], key=repr) == sorted([(1, 31, 0), (2, 31, 30), (2, 31, 30), (None, 26, 0), (None, 26, 25), (None, 26, 0)], key=repr) \
+        or sorted(got, key=repr) == sorted([(1, 31, 0), (2, 31, 30), (2, 31, 30), (None, 26, 25), (None, 26, 0), (None, 26, 25)], key=repr)
+
+
 def test_substrings_awkward(awkward, empty):
     got = sub.without_repeats(awkward)
     assert got.columns[:len(awkward.columns)] == awkward.columns and got.count() == awkward.count()
@@ -490,6 +604,36 @@ def test_lm_base_scores_brute_force(spark, monkeypatch, head):
         assert -1e7 < r["score"] < 0
 
 
+def test_lm_scores_brute_force(spark):
+    """The lattice's score word by word, its weights from the expected counts of the training words."""
+    docs = documents(spark)
+    tokens = {i: [*WORD.findall(lower(t)), "\n"] for i, t in docs.items()}
+    c = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
+    own = lm.Lattice.from_model(model_bytes())
+    prior, expected = np.exp(own.log_weights), np.zeros(len(own.log_weights))
+    spell = lambda w: b"" if w == "\n" else ("▁" + w).encode()
+    for w in c:
+        own.forward_long(spell(w), expected)
+    expected += prior * (1.0 + lm.PRIOR * expected.sum())
+    fitted = lm.Lattice(own.pieces, np.log(expected / expected.sum()))
+    value = {w: fitted.forward_long(spell(w)) / math.log(10) for ws in tokens.values() for w in ws}
+    n, v = sum(c.values()), len(c)
+    once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
+    d = min(0.9, max(0.1, once / (once + 2 * twice)))
+    for r in lm.op10_lm(spark, SF).collect():
+        ws = tokens[r["doc_id"]]
+        assert math.isclose(r["score"], sum(value[w] for w in ws), rel_tol=1e-9)
+        mixed = sum(math.log10((max(c[w] - d, 0) + d * v * 10 ** value[w]) / n) for w in ws)
+        assert math.isclose(r["mixed_score"], mixed, rel_tol=1e-9)
+
+
+def test_lm_tokens_that_a_polynomial_would_mix_up(spark):
+    t = "".join("ba"[bin(k).count("1") & 1] for k in range(1024))
+    docs = spark.createDataFrame([(1, True, t), (2, True, t.translate(str.maketrans("ab", "ba")))], "doc_id long, training boolean, text string")
+    got = {r["token"]: (r["n"], r["c"]) for r in lm.token_counts(docs).collect()}
+    assert got == {t: (1, 1), t.translate(str.maketrans("ab", "ba")): (1, 1), "\n": (2, 2)}
+
+
 def test_lm_awkward(awkward, empty):
     got = lm.scores(awkward, model_bytes(), F.col("doc_id") > 0).collect()
     assert len(got) == awkward.count() and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in got)

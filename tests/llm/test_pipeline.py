@@ -1,5 +1,6 @@
 """The pipeline's stages: what each keeps, on awkward, empty and given tables."""
 
+import hashlib
 import importlib
 import zlib
 
@@ -38,7 +39,21 @@ def test_run_equals_stage_by_stage(spark):
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(importlib.import_module("public_tokenizers").path("byte_bpe_50k.json"))
     for i in list(left)[:100]:
-        assert got[i]["ids"] == library.encode(left[i], add_special_tokens=False).ids and got[i]["n_chars"] == len(left[i])
+        ids = library.encode(left[i], add_special_tokens=False).ids
+        assert got[i]["ids"] == ids and got[i]["n_tokens"] == len(ids) and got[i]["n_chars"] == len(left[i])
+        assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_planted_items_and_copies_go(spark):
+    """A document that holds an item goes, one beside it stays; so do rows of one id with different texts."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(1, "before it " + bench + " and after"), (2, "nothing of that kind"), (2, "nothing of that kind"), (3, "words " * 2000 + bench), (4, None), (None, bench)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.decontamination(spark, docs, SF)
+    # 20 * n_hit < n_words in the long document.
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 2), (False, 2), (False, 3), (False, 4)]
+    once = P.near_duplicates(spark, docs, SF)
+    assert sorted((r["doc_id"] or 0) for r in once.collect()) == [0, 1, 2, 3, 4]
 
 
 def test_clean_documents_stay(spark):
