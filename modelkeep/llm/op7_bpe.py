@@ -57,14 +57,25 @@ _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _WIDE_SPACE = re.compile(f"[{_SPACE}]".replace(r" \t\n\r\x0b\f", ""))
 
+#: Classes of bytes in runs whose words are known from these: letters (with the
+#: letters U+00C0 to U+023F in two bytes), digits, other signs, white space; and
+#: bytes that only the pattern decides about.
+_LETTER, _DIGIT, _SIGN, _BLANK, _HARD = range(5)
+_KIND = np.full(256, _HARD, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[_ASCII_SPACE] = _BLANK
+_KIND[ord("'")] = _HARD
+
 #: Transitions a worker remembers: about 20 MB.
 CELLS_KEPT = 1 << 21
 
 #: Words of more bytes are read one by one.
 LONG = 48
 
-#: Bytes of text whose equal runs are read once.
-SLICE = 1 << 22
+#: Bytes of text whose equal runs are read once, and words that go through the table in step.
+SLICE, WORDS = 1 << 21, 1 << 15
 
 _NEVER = 1 << 60
 
@@ -259,9 +270,13 @@ class Table:
         return self.cells[at]
 
     def paths(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of all words between ``bounds``, one after the other, and how many each has.
+        """The tokens of all words between ``bounds``, one after the other, and how many each has."""
+        found = [self._paths(data[bounds[k]:bounds[min(k + WORDS, len(bounds) - 1)]], bounds[k:k + WORDS + 1] - bounds[k])
+                 for k in range(0, len(bounds) - 1, WORDS)]
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
 
-        All words read in step: each takes the longest label it hasn't tried at
+    def _paths(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All words read in step: each takes the longest label it hasn't tried at
         its place, goes on where the automaton has that arc, and back where no
         label is left.
         """
@@ -289,7 +304,7 @@ class Table:
         at, depth = bounds[:-1].copy(), np.zeros(n, np.int64)
         tried = first[at] if n else at
         dead = np.zeros(len(data) + 1, bool)
-        taken = np.zeros((int(np.diff(bounds).max(initial=0)) + 1, n), np.int64)  # the label's place in the list, by depth
+        taken = np.zeros((int(np.diff(bounds).max(initial=0)) + 1, n), np.int32)  # the label's place in the list, by depth
         todo = np.flatnonzero(np.diff(bounds) > 0)
         while len(todo):
             stuck = tried[todo] >= first[at[todo] + 1]
@@ -344,33 +359,56 @@ class Runs:
             odd = np.flatnonzero(~same)
             of[odd] = len(at) + np.arange(len(odd))
             at = np.concatenate([at, odd])
-        self.of, self.first = of, first
-        special = {int(bounds[k]) for k in whole}
-        self._read(table, [raw[b:e] for b, e in zip(begin[at].tolist(), end[at].tolist())], [b in special for b in begin[at].tolist()])
-
-    def _read(self, table: Table, runs: list[bytes], special: list[bool]) -> None:
-        words: list[bytes] = []
-        long: dict[int, list[int]] = {}
-        n = np.zeros(len(runs), np.int64)
-        for k, (run, apart) in enumerate(zip(runs, special)):
-            if apart or len(run) > LONG:
-                long[k] = table.own.encode(run.decode())
-            elif run.isalpha() or run[:1] == b" " and run[1:].isalpha():  # of ASCII letters: one word
-                words.append(run)
-                n[k] = 1
+        self._read(table, data, raw, begin[at], end[at], np.isin(begin[at], bounds[whole]) if whole else np.zeros(len(at), bool))
+        self.of, self.first = self.place[of], first
+
+    def _read(self, table: Table, data: np.ndarray, raw: bytes, begin: np.ndarray, end: np.ndarray, special: np.ndarray) -> None:
+        """The ids of the distinct runs.  Most are cut into words by the classes of
+        their bytes, all at once; the pattern cuts the others one by one."""
+        length = end - begin
+        bounds = np.concatenate([[0], np.cumsum(length)])
+        flat = data[np.repeat(begin - bounds[:-1], length) + np.arange(int(bounds[-1]))]
+        kind = _KIND[flat]
+        signs = np.flatnonzero(flat == 0xC3)  # U+00D7 and U+00F7 are no letters
+        kind[signs[np.isin(flat[signs + 1], (0x97, 0xB7))]] = _HARD
+        head = bounds[:-1]
+        hard = special | (length > LONG)
+        if len(flat):
+            hard |= np.logical_or.reduceat(kind == _HARD, head)
+            second = np.minimum(head + 1, len(flat) - 1)
+            hard |= (length > 1) & (kind[head] == _BLANK) & (kind[second] == _BLANK)
+            new = np.ones(len(flat), bool)
+            new[1:] = kind[1:] != kind[:-1]
+            new[second[(length > 1) & (flat[head] == 0x20)]] = False
+            new[head] = True
+        else:
+            new = np.zeros(0, bool)
+        easy, rest = np.flatnonzero(~hard), np.flatnonzero(hard)
+        self.place = np.empty(len(length), np.int64)
+        self.place[np.concatenate([easy, rest])] = np.arange(len(length))
+        keep = np.repeat(~hard, length)
+        words_of = np.add.reduceat(new, head)[easy] if len(flat) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(new[keep])
+        parts, sizes = [], []
+        for k in rest.tolist():
+            run = raw[begin[k]:end[k]].decode()
+            if special[k] or length[k] > LONG:
+                sizes.append(np.array(table.own.encode(run), np.int64))
             else:
-                own = table.own.splitter.findall(run.decode())
-                words += [w.encode() for w in own]
-                n[k] = len(own)
-        bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-        ids, depth = table.paths(np.frombuffer(b"".join(words), np.uint8), bounds)
-        cuts = np.concatenate([[0], np.cumsum(depth)])[np.concatenate([[0], np.cumsum(n)])]
-        if long:
-            parts = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            for k, own in long.items():
-                parts[k] = np.array(own, np.int64)
-            ids = np.concatenate(parts)
-            cuts = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+                own = [w.encode() for w in table.own.splitter.findall(run)]
+                sizes.append(len(own))
+                parts += own
+        lengths = np.concatenate([np.diff(np.append(starts, int(keep.sum()))), [len(w) for w in parts]]).astype(np.int64)
+        ids, depth = table.paths(np.concatenate([flat[keep], np.frombuffer(b"".join(parts), np.uint8)]), np.concatenate([[0], np.cumsum(lengths)]))
+        counts = np.concatenate([words_of, [0 if isinstance(x, np.ndarray) else x for x in sizes]]).astype(np.int64)
+        cuts = np.concatenate([[0], np.cumsum(depth)])[np.concatenate([[0], np.cumsum(counts)])]
+        whole = {len(easy) + j: x for j, x in enumerate(sizes) if isinstance(x, np.ndarray)}
+        if whole:  # their ids go in where nothing stands yet
+            at = [cuts[k] for k in whole]
+            ids = np.insert(ids, np.repeat(at, [len(x) for x in whole.values()]), np.concatenate(list(whole.values())))
+            more = np.zeros(len(counts) + 1, np.int64)
+            more[np.array(list(whole)) + 1] = [len(x) for x in whole.values()]
+            cuts = cuts + np.cumsum(more)
         self.ids, self.cuts, self.sizes = ids, cuts, np.diff(cuts)
 
     def flat(self) -> tuple[np.ndarray, np.ndarray]:
