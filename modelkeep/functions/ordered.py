@@ -4,7 +4,7 @@ Running sums, exact medians, ECDFs and ranks all need an order inside a
 group.  A plain ``Window.partitionBy(group).orderBy(x)`` sends every row of a
 group to one task, which breaks once one group holds a third of the data.
 
-The size of the largest group is measured first (one small aggregate).
+The input is written once, and the size of its largest group measured on that.
 When every group fits comfortably in a task (``max_rows_per_bucket``), a
 plain window is used.  Otherwise each group is cut into ranges:
 
@@ -26,6 +26,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modelkeep.session import scratch_path
+
 MAX_ROWS_PER_BUCKET = 2_000_000
 
 
@@ -34,6 +36,39 @@ def _order_cols(order: list[str | Column], descending: bool) -> list[Column]:
     return [c.desc() if descending else c.asc() for c in cols]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, and
+    the same rows in the same partitions after an executor is lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def positions(df: DataFrame, order: list[Column], groups: list[str] = [], name: str = "position") -> DataFrame:
+    """1-based position of every row by the whole ``order``, within ``groups``.
+
+    Rows are range-partitioned by all order columns, rows tied on all of them
+    by a row number, and sorted within partitions, so neither a large group nor
+    rows that share the first column are ever one task.  A row's place in its
+    partition plus the rows of its group in the partitions before (a row per
+    group and partition) is its position.
+    """
+    tie = F.monotonically_increasing_id()
+    whole = [*[F.col(g) for g in groups], *order, F.col("__tie")]
+    dealt = written(df.withColumn("__tie", tie).repartitionByRange(*whole).sortWithinPartitions(*whole).drop("__tie").withColumn("__at", tie), "positions")
+    part = F.shiftright("__at", 33)
+    runs = dealt.groupBy(*groups, part.alias("__p")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    before = F.sum("__n").over(before.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(groups)], F.col("__p").alias("__q"), "__first",
+                       F.coalesce(before, F.lit(0)).alias("__before"))
+    same = part == F.col("__q")
+    for k, g in enumerate(groups):
+        same &= F.col(g).eqNullSafe(F.col(f"__g{k}"))
+    met = dealt.join(runs, same)
+    return met.select(*df.columns, (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("long").alias(name))
+
+
 def bucket_count(df: DataFrame, groups: list[str], max_rows_per_bucket: int) -> int:
     """Buckets needed so that no (group, bucket) exceeds the row budget."""
     largest = df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
@@ -68,6 +103,8 @@ def running_sums(df: DataFrame, groups: list[str], order: list[str],
         return out.drop("__g")
     key = order[0]
     frame_end = Window.currentRow if inclusive else -1
+    if buckets is None:
+        df = written(df, "ordered")
     n_buckets = buckets if buckets is not None else bucket_count(df, groups, max_rows_per_bucket)
 
     if n_buckets <= 1:

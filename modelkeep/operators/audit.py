@@ -26,6 +26,15 @@ def log_event(spark: SparkSession, path: str, event_type: str, message: str,
     return log_events(spark, path, [(event_type, message, severity)])
 
 
+def append_events(events: DataFrame, path: str) -> DataFrame:
+    """A1 for events that a job derives: rows with ``event_type``, ``message``
+    and ``severity`` are appended where they are, each with an id of its own;
+    ``created_at`` is now, where they bring none."""
+    if "created_at" not in events.columns:
+        events = events.withColumn("created_at", F.current_timestamp())
+    return write_table(events.select("event_type", "message", "severity", "created_at"), path)
+
+
 def log_events(spark: SparkSession, path: str, events: list[tuple[str, str, str]]) -> DataFrame:
     return write_table(event_rows(spark, events), path)
 

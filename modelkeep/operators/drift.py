@@ -1,10 +1,13 @@
 """Drift: D1-D12 (test definitions: SURVEY Appendix C).
 
-One long frame ``(feature, grp, value)`` (grp 0 = reference, 1 = current)
-is counted once per distinct value; every test then works on the aligned
-counts ``(feature, value, ref_n, cur_n)``, one row per distinct value.
-Ordered statistics (KS, Wasserstein) use the bucketed running sums, so a
-feature with billions of distinct values is still spread over many tasks.
+Both sides are counted once, in one shuffle, into the aligned counts
+``(feature, num, cat, ref_n, cur_n)``, one row per distinct value; every test
+works on these.  Numeric features have ``num``, text features ``cat``.  Ordered
+statistics (KS, Wasserstein) use the bucketed running sums, so a feature with
+billions of distinct values is still spread over many tasks.
+
+Every step also takes ``keys``: more columns (a deployment, say) that tell
+apart many reports, which are then computed by one plan.
 """
 
 from __future__ import annotations
@@ -63,13 +66,14 @@ def harmonise_types(ref: DataFrame, cur: DataFrame, features: list[str]):
 
     def side(df):
         cols = [typed(df, f).cast("double").alias(f) for f in numeric]
-        cols += [F.coalesce(_text(df, f), F.lit("nan")).alias(f) for f in text]
+        cols += [F.coalesce(cell_text(df, f), F.lit("nan")).alias(f) for f in text]
         return df.select(*cols)
 
     return side(ref), side(cur), numeric, text
 
 
-def _text(df: DataFrame, f: str):
+def cell_text(df: DataFrame, f: str):
+    """A value as the text it is compared by."""
     dt = df.schema[f].dataType
     c = typed(df, f)
     if isinstance(dt, T.StringType):
@@ -79,64 +83,78 @@ def _text(df: DataFrame, f: str):
     return c.cast("string")
 
 
-def long_counts(ref: DataFrame, cur: DataFrame, numeric: list[str], text: list[str]):
-    """``(feature, grp, num, cat, n)``: counts per distinct value and side.
+def _cells(df: DataFrame, numeric: list[str], text: list[str], keys: list[str]) -> DataFrame:
+    """``(keys, feature, num, cat)``: a row becomes one cell per feature, in one scan."""
+    cells = [F.struct(F.lit(f).alias("feature"), F.col(f).alias("num"), F.lit(None).cast("string").alias("cat")) for f in numeric]
+    cells += [F.struct(F.lit(f).alias("feature"), F.lit(None).cast("double").alias("num"), F.col(f).alias("cat")) for f in text]
+    return spread(df.select(*keys, *numeric, *text)).select(*keys, F.inline(F.array(*cells)))
+
+
+def value_counts(df: DataFrame, numeric: list[str], text: list[str], keys: list[str] = []) -> DataFrame:
+    """``(keys, feature, num, cat, n)`` of one harmonised side."""
+    return _cells(df, numeric, text, keys).groupBy(*keys, "feature", "num", "cat").agg(F.count(F.lit(1)).alias("n"))
 
-    Map-side partial aggregation collapses repeated values before the
-    shuffle, so a hot value costs one row per input partition.
-    """
-    def side(df, grp):
-        # One scan per side: a row becomes one cell per feature.
-        cells = [F.struct(F.lit(f).alias("feature"), F.col(f).alias("num"), F.lit(None).cast("string").alias("cat")) for f in numeric]
-        cells += [F.struct(F.lit(f).alias("feature"), F.lit(None).cast("double").alias("num"), F.col(f).alias("cat")) for f in text]
-        return spread(df.select(*numeric, *text)).select(F.inline(F.array(*cells))).withColumn("grp", F.lit(grp))
 
-    both = side(ref, 0).unionByName(side(cur, 1))
-    return both.groupBy("feature", "grp", "num", "cat").agg(F.count(F.lit(1)).alias("n"))
+def align_counts(ref: DataFrame, cur: DataFrame, keys: list[str] = []) -> DataFrame:
+    """``(keys, feature, num, cat, ref_n, cur_n)`` of two sides' cells; with a
+    column ``n`` a cell stands for that many, so counts merge with cells."""
+    def side(df, own, other):
+        n = F.col("n") if "n" in df.columns else F.lit(1).cast("long")
+        return df.select(*keys, "feature", "num", "cat", n.alias(own), F.lit(0).cast("long").alias(other))
+    both = side(ref, "ref_n", "cur_n").unionByName(side(cur, "cur_n", "ref_n"))
+    return both.groupBy(*keys, "feature", "num", "cat").agg(F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"))
 
 
 # --------------------------------------------------------------------- D3
-def reference_medians(counts: DataFrame) -> DataFrame:
-    """``(feature, median)`` of the reference side of numeric features."""
-    ref_num = counts.where((F.col("grp") == 0) & F.col("cat").isNull() & F.col("num").isNotNull())
-    return exact_median(ref_num.select("feature", F.col("num").alias("value"), "n"), ["feature"])
+#: A text feature's cells have a text always (NULL is 'nan'), so this is a numeric NULL.
+_HOLE = "num IS NULL AND cat IS NULL"
 
 
-def fill_from_reference(counts: DataFrame, numeric: list[str]) -> DataFrame:
-    """D3: numeric NULLs on both sides take the reference median."""
-    if not numeric:
-        return counts
-    med = reference_medians(counts)
-    is_num = F.col("feature").isin(numeric)
-    filled = (counts.join(F.broadcast(med), "feature", "left")  # one row per feature
-              .withColumn("num", F.when(is_num & F.col("num").isNull(), F.col("median"))
-                          .otherwise(F.col("num"))))
-    return filled.groupBy("feature", "grp", "num", "cat").agg(F.sum("n").alias("n"))
+def reference_medians(aligned: DataFrame, keys: list[str] = []) -> DataFrame:
+    """``(keys, feature, median)`` of the reference side of numeric features."""
+    own = aligned.where("num IS NOT NULL AND ref_n > 0").select(*keys, "feature", F.col("num").alias("value"), F.col("ref_n").alias("n"))
+    return exact_median(own, [*keys, "feature"])
 
 
-def aligned_counts(counts: DataFrame) -> DataFrame:
-    """``(feature, num, cat, ref_n, cur_n)``: both sides on one row per value."""
-    return counts.groupBy("feature", "num", "cat").agg(
-        F.sum(F.when(F.col("grp") == 0, F.col("n")).otherwise(0)).cast("long").alias("ref_n"),
-        F.sum(F.when(F.col("grp") == 1, F.col("n")).otherwise(0)).cast("long").alias("cur_n"))
+def fill_from_reference(aligned: DataFrame, keys: list[str] = []) -> DataFrame:
+    """D3: numeric NULLs on both sides take the reference median.
+
+    Only the counts of the NULLs move, to the median's row (a new one where
+    the median isn't a value); no row is shuffled again.  Features without a
+    reference value keep their NULLs.
+    """
+    g = [*keys, "feature"]
+    holes = aligned.where(_HOLE).select(*g, F.col("ref_n").alias("ref_holes"), F.col("cur_n").alias("cur_holes"))
+    if holes.isEmpty():
+        return aligned
+    some = aligned.join(F.broadcast(holes.select(*g)), g, "left_semi")  # one row per feature
+    fill = F.broadcast(holes.join(reference_medians(some, keys), g, "left"))
+    here = F.col("num") == F.col("median")
+    whole = aligned.where(f"NOT ({_HOLE})").join(fill, g, "left")
+    kept = whole.select(*g, "num", "cat", *[(F.col(f"{x}_n") + F.when(here, F.col(f"{x}_holes")).otherwise(0)).alias(f"{x}_n") for x in ("ref", "cur")])
+    met = whole.where(here).select(*g)
+    new = fill.join(met, g, "left_anti").select(*g, F.col("median").alias("num"), F.lit(None).cast("string").alias("cat"),
+                                                F.col("ref_holes").alias("ref_n"), F.col("cur_holes").alias("cur_n"))
+    return kept.unionByName(new)
 
 
 # --------------------------------------------------------------------- D4
-def choose_test(aligned: DataFrame, numeric: list[str]) -> DataFrame:
-    """``(feature, feature_type, n_ref, n_cur, n_values, test_name, mu)``.
+def choose_test(aligned: DataFrame, keys: list[str] = []) -> DataFrame:
+    """``(keys, feature, feature_type, n_ref, n_cur, n_values, test_name, mu)``.
 
     ``mu`` is the reference mean of numeric features (used by D8).
     """
-    per = aligned.groupBy("feature").agg(
+    per = aligned.groupBy(*keys, "feature").agg(
         F.sum("ref_n").cast("long").alias("n_ref"),
         F.sum("cur_n").cast("long").alias("n_cur"),
         F.count(F.lit(1)).cast("long").alias("n_values"),
-        (F.sum(F.col("num") * F.col("ref_n")) / F.sum("ref_n")).alias("mu"))
-    num = F.col("feature").isin(numeric) if numeric else F.lit(False)
+        (F.sum(F.col("num") * F.col("ref_n")) / F.nullif(F.sum("ref_n"), F.lit(0))).alias("mu"),
+        F.bool_and(F.col("cat").isNull()).alias("is_num"))
+    num = F.col("is_num")
     test = (F.when(F.col("n_ref") <= SMALL_REFERENCE_ROWS, _small_test(num))
             .when(num & (F.col("n_values") > NUMERIC_MIN_UNIQUE), TEST_WASSERSTEIN)
             .otherwise(TEST_JS))
-    return per.select("feature", F.when(num, "numerical").otherwise("categorical").alias("feature_type"),
+    return per.select(*keys, "feature", F.when(num, "numerical").otherwise("categorical").alias("feature_type"),
                       "n_ref", "n_cur", "n_values", test.alias("test_name"), "mu")
 
 
@@ -147,38 +165,40 @@ def _small_test(numeric):
 
 
 # --------------------------------------------------------------- D5 .. D9
-def ordered_statistics(aligned: DataFrame, tests: DataFrame) -> DataFrame:
+def ordered_statistics(aligned: DataFrame, tests: DataFrame, keys: list[str] = []) -> DataFrame:
     """ECDF statistics of numeric features in ONE ordered pass.
 
-    ``(feature, ks_d, w_area, ref_var)``: max |F - G| (KS), the integral of
+    ``(keys, feature, ks_d, w_area, ref_var)``: max |F - G| (KS), the integral of
     |F - G| over the value axis (Wasserstein) and the reference population
     variance.  ``tests`` has one row per feature, hence the broadcast.
     """
     ordered = tests.where(F.col("test_name").isin(TEST_KS, TEST_WASSERSTEIN))
-    info = F.broadcast(ordered.select("feature", "n_ref", "n_cur", "mu"))
-    a = aligned.where(F.col("num").isNotNull()).join(info, "feature")
+    g = [*keys, "feature"]
+    info = F.broadcast(ordered.select(*g, "n_ref", "n_cur", "mu"))
+    a = aligned.where(F.col("num").isNotNull()).join(info, g)
     # the distinct-value count per feature is known: size the buckets from it
     widest = ordered.agg(F.max("n_values")).first()[0] or 0
     buckets = max(1, -(-widest // MAX_ROWS_PER_BUCKET))
-    cum = running_sums(a, ["feature"], ["num"], ["ref_n", "cur_n"], with_next=True, buckets=buckets)
+    cum = running_sums(a, g, ["num"], ["ref_n", "cur_n"], with_next=True, buckets=buckets)
     gap = F.coalesce(F.col("num_next") - F.col("num"), F.lit(0.0))
     diff = F.abs(F.col("ref_n_cum") / F.col("n_ref") - F.col("cur_n_cum") / F.col("n_cur"))
-    return cum.groupBy("feature").agg(
+    return cum.groupBy(*g).agg(
         F.max(diff).alias("ks_d"),
         F.sum(diff * gap).alias("w_area"),
         (F.sum(F.col("ref_n") * F.pow(F.col("num") - F.col("mu"), 2)) / F.first("n_ref")).alias("ref_var"))
 
 
-def share_statistics(aligned: DataFrame, tests: DataFrame) -> DataFrame:
+def share_statistics(aligned: DataFrame, tests: DataFrame, keys: list[str] = []) -> DataFrame:
     """Count-share statistics of every feature in ONE aggregation.
 
-    ``(feature, chi_sum, unseen, js_div, low_ref, low_cur)``: chi-square sum
+    ``(keys, feature, chi_sum, unseen, js_div, low_ref, low_cur)``: chi-square sum
     with expected = reference share x current rows (an expected 0 with
     observations marks ``unseen``), Jensen-Shannon divergence (natural log,
     0 ln 0 = 0) and the counts of the smallest value (z-test).
     """
-    info = F.broadcast(tests.select("feature", "n_ref", "n_cur"))
-    a = aligned.join(info, "feature")
+    g = [*keys, "feature"]
+    info = F.broadcast(tests.select(*g, "n_ref", "n_cur"))
+    a = aligned.join(info, g)
     e = F.col("ref_n") * F.col("n_cur") / F.col("n_ref")
     p = F.col("ref_n") / F.col("n_ref")
     q = F.col("cur_n") / F.col("n_cur")
@@ -187,7 +207,7 @@ def share_statistics(aligned: DataFrame, tests: DataFrame) -> DataFrame:
     def kl(x):
         return F.when(x > 0, x * F.log(x / h)).otherwise(F.lit(0.0))
 
-    return a.groupBy("feature").agg(
+    return a.groupBy(*g).agg(
         F.sum(F.when(e > 0, F.pow(F.col("cur_n") - e, 2) / e).otherwise(F.lit(0.0))).alias("chi_sum"),
         F.max(((e == 0) & (F.col("cur_n") > 0)).cast("int")).alias("unseen"),
         (F.sum(kl(p)) / 2 + F.sum(kl(q)) / 2).alias("js_div"),
@@ -195,10 +215,11 @@ def share_statistics(aligned: DataFrame, tests: DataFrame) -> DataFrame:
                  F.struct("num", "cat")).alias("low"))
 
 
-def drift_statistics(aligned: DataFrame, tests: DataFrame) -> DataFrame:
+def drift_statistics(aligned: DataFrame, tests: DataFrame, keys: list[str] = []) -> DataFrame:
     """Statistic and p-value of the chosen test for every feature."""
-    stats = (tests.join(ordered_statistics(aligned, tests), "feature", "left")
-             .join(share_statistics(aligned, tests), "feature", "left"))
+    g = [*keys, "feature"]
+    stats = (tests.join(ordered_statistics(aligned, tests, keys), g, "left")
+             .join(share_statistics(aligned, tests, keys), g, "left"))
     n, m = F.col("n_ref").cast("double"), F.col("n_cur").cast("double")
     # z-test on the share of the smallest value
     p1, p2 = F.col("low.ref") / n, F.col("low.cur") / m
@@ -212,7 +233,7 @@ def drift_statistics(aligned: DataFrame, tests: DataFrame) -> DataFrame:
     statistic = (F.when(t == TEST_KS, F.col("ks_d")).when(t == TEST_WASSERSTEIN, w)
                  .when(t == TEST_CHI2, chi).when(t == TEST_Z, z).otherwise(js))
     dof = F.when(t == TEST_CHI2, F.col("n_values") - 1)
-    out = stats.select("feature", "feature_type", "test_name", "n_ref", "n_cur", "n_values",
+    out = stats.select(*g, "feature_type", "test_name", "n_ref", "n_cur", "n_values",
                        statistic.alias("statistic"), dof.alias("dof"))
     # One row per feature: the p-value UDFs see a handful of rows, and are
     # only planned when a chi-square or z test was chosen.
@@ -266,15 +287,85 @@ def prepared_counts(ref: DataFrame, cur: DataFrame, target: str | None = None):
     """
     features = align_features(ref, cur, target)
     r, c, numeric, text = harmonise_types(ref, cur, features)
-    raw = long_counts(r, c, numeric, text).persist()
-    aligned = aligned_counts(fill_from_reference(raw, numeric)).persist()
-    tests = choose_test(aligned, numeric).persist()
-    tests.count()  # fills all three, so the raw counts can go
-    raw.unpersist()
+    raw = align_counts(_cells(r, numeric, text, []), _cells(c, numeric, text, [])).persist()
+    aligned = fill_from_reference(raw)
+    if aligned is not raw:
+        aligned = aligned.persist()
+    tests = choose_test(aligned).persist()
+    tests.count()  # fills all of them, so the raw counts can go
+    if aligned is not raw:
+        raw.unpersist()
     return features, aligned, tests
 
 
+# ----------------------------------------------------- reference summaries
+def store_reference(ref: DataFrame, cur: DataFrame, path: str, target: str | None = None) -> DataFrame:
+    """The reference's value counts, harmonised with the columns of ``cur``,
+    written once below ``path``: ``(feature, position, num, cat, n)``.
+
+    Summaries merge: the counts of two parts of a reference, added up, are the
+    counts of both (:func:`merge_references`).
+    """
+    features = align_features(ref, cur, target)
+    r, _, numeric, text = harmonise_types(ref, cur, features)
+    position = F.element_at(F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f), F.lit(i))]), F.col("feature"))
+    counts = value_counts(r, numeric, text) if features else ref.sparkSession.createDataFrame([], "feature string, num double, cat string, n long")
+    out = counts.withColumn("position", position.cast("int") if features else F.lit(None).cast("int"))
+    out.select("feature", "position", "num", "cat", "n").write.mode("overwrite").parquet(path)
+    return ref.sparkSession.read.parquet(path)
+
+
+def merge_references(*summaries: DataFrame) -> DataFrame:
+    """One summary of several parts of a reference."""
+    both = summaries[0]
+    for more in summaries[1:]:
+        both = both.unionByName(more)
+    return both.groupBy("feature", "position", "num", "cat").agg(F.sum("n").alias("n"))
+
+
+def summary_features(summary: DataFrame) -> list[tuple[str, bool]]:
+    """The features of a summary in order, and whether each is numeric: a row per column."""
+    rows = summary.groupBy("position", "feature").agg(F.bool_and(F.col("cat").isNull()).alias("numeric")).orderBy("position").collect()
+    return [(r["feature"], r["numeric"]) for r in rows]
+
+
+def report_from_summary(summary: DataFrame, cur: DataFrame, threshold: float = DEFAULT_DRIFT_THRESHOLD):
+    """D11 against a stored reference (:func:`store_reference`): reads the
+    summary and the current rows only."""
+    spark = cur.sparkSession
+    known = [(f, n) for f, n in summary_features(summary) if f in cur.columns]
+    numeric, text = [f for f, n in known if n], [f for f, n in known if not n]
+    if not known:
+        return _no_report(spark, cur.limit(MIN_CURRENT_ROWS).count())
+    c = cur.select(*[typed(cur, f).cast("double").alias(f) for f in numeric], *[F.coalesce(cell_text(cur, f), F.lit("nan")).alias(f) for f in text])
+    ref = summary.where(F.col("feature").isin([f for f, _ in known]))
+    raw = align_counts(ref, _cells(c, numeric, text, [])).persist()
+    aligned = fill_from_reference(raw)
+    tests = choose_test(aligned).persist()
+    found = _report(spark, [f for f, _ in known], aligned, tests, threshold)
+    for frame in (raw, tests):
+        frame.unpersist()
+    return found
+
+
 # ------------------------------------------------------------- D10 / D11
+def feature_rows(stats: DataFrame, position, keys: list[str] = []) -> DataFrame:
+    """Per-feature drift rows with what their tests say."""
+    is_p = F.col("test_name").isin(TEST_KS, TEST_CHI2, TEST_Z)
+    score = F.when(is_p, F.col("p_value")).otherwise(F.col("statistic"))
+    detected = F.when(is_p, F.col("p_value") < P_VALUE_THRESHOLD) \
+        .otherwise(F.col("statistic") >= DISTANCE_THRESHOLD)
+    return stats.select(
+        *keys, "feature", position.cast("int").alias("position"), "feature_type", "test_name",
+        F.when(is_p, "p_value").otherwise("distance").alias("score_kind"),
+        "n_ref", "n_cur", "n_values", "statistic", "p_value",
+        score.alias("drift_score"), detected.alias("drift_detected"))
+
+
+def _position_of(features: list[str]):
+    return F.element_at(F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f), F.lit(i))]), F.col("feature"))
+
+
 def feature_drift(ref: DataFrame, cur: DataFrame, target: str | None = None) -> DataFrame:
     """Per-feature drift rows (D1-D9 composed), schema ``FEATURE_SCHEMA``.
 
@@ -285,18 +376,7 @@ def feature_drift(ref: DataFrame, cur: DataFrame, target: str | None = None) ->
     if not align_features(ref, cur, target):
         return spark.createDataFrame([], FEATURE_SCHEMA)
     features, aligned, tests = prepared_counts(ref, cur, target)
-    stats = drift_statistics(aligned, tests)
-    pos = F.element_at(F.create_map(*[x for i, f in enumerate(features)
-                                      for x in (F.lit(f), F.lit(i))]), F.col("feature"))
-    is_p = F.col("test_name").isin(TEST_KS, TEST_CHI2, TEST_Z)
-    score = F.when(is_p, F.col("p_value")).otherwise(F.col("statistic"))
-    detected = F.when(is_p, F.col("p_value") < P_VALUE_THRESHOLD) \
-        .otherwise(F.col("statistic") >= DISTANCE_THRESHOLD)
-    rows = stats.select(
-        "feature", pos.cast("int").alias("position"), "feature_type", "test_name",
-        F.when(is_p, "p_value").otherwise("distance").alias("score_kind"),
-        "n_ref", "n_cur", "n_values", "statistic", "p_value",
-        score.alias("drift_score"), detected.alias("drift_detected"))
+    rows = feature_rows(drift_statistics(aligned, tests), _position_of(features))
     found = spark.createDataFrame(rows.collect(), rows.schema)
     aligned.unpersist()
     tests.unpersist()
@@ -318,32 +398,41 @@ def drift_score(features: DataFrame, threshold: float = DEFAULT_DRIFT_THRESHOLD)
                         F.col("number_of_columns"), F.format_number(score, 2)).alias("message"))
 
 
+SUMMARY_SCHEMA = "drift_score double, number_of_columns bigint, number_of_drifted_columns bigint, has_drift boolean, message string"
+
+
+def _no_report(spark, n_cur: int):
+    """No feature rows, and why: too few current rows, or no feature."""
+    message = GATE_MESSAGE % (n_cur, MIN_CURRENT_ROWS) if n_cur < MIN_CURRENT_ROWS else NO_FEATURES_MESSAGE
+    return spark.createDataFrame([], FEATURE_SCHEMA), spark.createDataFrame([(0.0, 0, 0, False, message)], SUMMARY_SCHEMA)
+
+
+def _report(spark, features: list[str], aligned: DataFrame, tests: DataFrame, threshold: float):
+    """Every current row has one cell per feature, so the tests' counts say how many rows there are."""
+    n_cur = tests.agg(F.max("n_cur")).first()[0] or 0
+    if n_cur < MIN_CURRENT_ROWS:
+        return _no_report(spark, n_cur)
+    rows = feature_rows(drift_statistics(aligned, tests), _position_of(features))
+    feats = spark.createDataFrame(rows.collect(), rows.schema)
+    return feats, drift_score(feats, threshold)
+
+
 def drift_report(ref: DataFrame, cur: DataFrame, target: str | None = None,
                  threshold: float = DEFAULT_DRIFT_THRESHOLD):
     """Gate, then per-feature rows and the summary.
 
     Returns ``(features_df, summary_df)``.  Fewer than 5 current rows give
-    score 0, no feature rows and the gate message (one count, the only
-    driver round-trip).
+    score 0, no feature rows and the gate message; the rows are counted with
+    their values, in the one pass over both sides.
     """
     spark = ref.sparkSession
-    n_cur = cur.count()
-    if n_cur < MIN_CURRENT_ROWS:
-        empty = spark.createDataFrame([], FEATURE_SCHEMA)
-        summary = spark.createDataFrame(
-            [(0.0, 0, 0, False, GATE_MESSAGE % (n_cur, MIN_CURRENT_ROWS))],
-            "drift_score double, number_of_columns bigint, number_of_drifted_columns bigint, "
-            "has_drift boolean, message string")
-        return empty, summary
     if not align_features(ref, cur, target):
-        empty = spark.createDataFrame([], FEATURE_SCHEMA)
-        summary = spark.createDataFrame(
-            [(0.0, 0, 0, False, NO_FEATURES_MESSAGE)],
-            "drift_score double, number_of_columns bigint, number_of_drifted_columns bigint, "
-            "has_drift boolean, message string")
-        return empty, summary
-    feats = feature_drift(ref, cur, target)
-    return feats, drift_score(feats, threshold)
+        return _no_report(spark, cur.limit(MIN_CURRENT_ROWS).count())
+    features, aligned, tests = prepared_counts(ref, cur, target)
+    found = _report(spark, features, aligned, tests, threshold)
+    aligned.unpersist()
+    tests.unpersist()
+    return found
 
 
 # --------------------------------------------------------------------- D12

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelkeep.functions.ordered import dense_positions
+from modelkeep.functions.ordered import positions
 
 # Deployment defaults, status names and event texts.
 DEFAULT_DRIFT_THRESHOLD = 0.3
@@ -42,8 +42,8 @@ def next_version(models: DataFrame) -> DataFrame:
 
 
 def list_models(models: DataFrame) -> DataFrame:
-    """R2: newest first (ties: newest id first); a distributed range sort."""
-    return models.orderBy(F.col("created_at").desc(), F.col("id").desc())
+    """R2: every model with its ``position``, newest first (ties: newest id first)."""
+    return positions(models, [F.col("created_at").desc(), F.col("id").desc()])
 
 
 def model_status(models: DataFrame, model_id: int) -> DataFrame:
@@ -59,16 +59,16 @@ def leaderboard(models: DataFrame, deployments: DataFrame, search: str | None =
     """DONE models by score (desc, then id), ranked from 1, with the
     active flag; optional case-insensitive search on algorithm or name.
 
-    The rank comes from bucketed running counts, so the whole table is
-    never sorted inside one task.
+    Ranks are positions by the whole order, so neither the table nor the
+    models of one score are ever sorted inside one task.
     """
     done = models.where(F.col("status") == DONE)
     if search:
         s = search.lower()
         done = done.where(F.lower("algorithm").contains(s) | F.lower("model_name").contains(s))
     scored = done.select("id", "model_name", "algorithm", "version",
-                         model_score(done).alias("score"), (-F.col("id")).alias("__neg_id"))
-    ranked = dense_positions(scored, [], ["score", "__neg_id"], descending=True, name="rank")
+                         model_score(done).alias("score"))
+    ranked = positions(scored, [F.col("score").desc(), F.col("id")], name="rank")
     active = active_models(deployments).withColumn("is_active", F.lit(True))
     return (ranked.join(active, "id", "left")
             .select(F.col("rank").cast("long").alias("rank"), "id", "model_name", "algorithm", "version",
@@ -188,9 +188,12 @@ def promote_if_better(new_models: DataFrame, models: DataFrame, deployments: Dat
 
 def apply_promotions(deployments: DataFrame, decisions: DataFrame) -> DataFrame:
     """R11 (write side): promoted datasets get a new active deployment that
-    inherits the thresholds; the old one turns inactive."""
-    won = decisions.where("promoted")
-    retired = won.select(F.col("deployment_id").alias("id"), F.lit(True).alias("__retire"))
+    inherits the thresholds; the old ones turn inactive.  Of several promoted
+    models of one dataset the best (of equals the first) becomes active, so a
+    dataset has one active deployment however many there are."""
+    better = F.struct("new_metric", -F.col("new_model_id"))
+    won = decisions.where("promoted").groupBy("dataset_id").agg(F.max_by(F.struct(*decisions.columns), better).alias("d")).select("d.*")
+    retired = decisions.where("promoted").select(F.col("deployment_id").alias("id")).distinct().withColumn("__retire", F.lit(True))
     base = (deployments.join(retired, "id", "left")
             .withColumn("status", F.when(F.col("__retire"), F.lit(INACTIVE)).otherwise(F.col("status")))
             .drop("__retire"))

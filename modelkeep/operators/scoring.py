@@ -125,10 +125,14 @@ def performance_check(log: DataFrame, deployments: DataFrame,
                       problem_type: str = "classification") -> DataFrame:
     """accuracy only with >= 5 labelled rows; alarm iff accuracy is
     below the deployment's performance threshold."""
-    acc = (accuracy_classification(log) if problem_type == "classification"
-           else accuracy_tolerance(log))
+    return check_accuracy(accuracy_classification(log) if problem_type == "classification"
+                          else accuracy_tolerance(log), deployments)
+
+
+def check_accuracy(accuracy: DataFrame, deployments: DataFrame) -> DataFrame:
+    """F9 on ``(deployment_id, n_labelled, accuracy)``."""
     dep = deployments.select(F.col("id").alias("deployment_id"), "performance_threshold")
-    j = acc.where(F.col("n_labelled") >= MIN_LABELLED).join(dep, "deployment_id")
+    j = accuracy.where(F.col("n_labelled") >= MIN_LABELLED).join(dep, "deployment_id")
     alarm = F.col("accuracy") < F.col("performance_threshold")
     return j.select("deployment_id", "n_labelled", "accuracy", "performance_threshold",
                     alarm.alias("alarm"),

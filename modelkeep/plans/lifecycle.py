@@ -12,10 +12,11 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from modelkeep.functions.values import column_profile
+from modelkeep.functions.ordered import written
+from modelkeep.functions.values import column_profile, is_nested, is_numeric_type, typed
 from modelkeep.operators import drift as D
 from modelkeep.operators import profile as P
 from modelkeep.operators import registry as R
@@ -111,17 +112,46 @@ def score_batch(model: PipelineModel, df: DataFrame, classes: list[str] | None)
 REPORT_SCHEMA = "deployment_id long, drift_score double, has_drift boolean, message string"
 
 
-def _monitor_one(act, datasets: DataFrame, reference: DataFrame, log: DataFrame):
-    """Report row and feature rows of one active deployment (a row of R9)."""
+def logged_values(log: DataFrame) -> DataFrame:
+    """``(deployment_id, key, kind, num, txt, n, firsts)``: how often each value
+    of each key stands in the JSON inputs of each deployment, by one scan of
+    the log.  ``firsts`` counts the first cell of every row, so their sum are a
+    deployment's rows; JSON nulls, and rows without an object, have no kind."""
     spark = log.sparkSession
-    ds = datasets.where(F.col("id") == act["dataset_id"]).first()
-    mine = log.where(F.col("deployment_id") == act["deployment_id"])
-    if mine.isEmpty():
-        return (act["deployment_id"], 0.0, False, NO_LOGS_MESSAGE), spark.createDataFrame([], D.FEATURE_SCHEMA)
-    feats, summary = D.drift_report(reference, scan_inputs_json(mine), ds["target_column"], act["drift_threshold"])
-    s = summary.first()
-    message = s["message"] + (RETRAIN_QUEUED if s["has_drift"] else "")
-    return (act["deployment_id"], float(s["drift_score"]), bool(s["has_drift"]), message), feats
+    parsed = log.select("deployment_id", F.try_parse_json("input_json").alias("__v"))
+    each = parsed.lateralJoin(spark.tvf.variant_explode(F.col("__v").outer()))
+    kind = F.expr("CASE WHEN value IS NULL OR is_variant_null(value) THEN NULL ELSE schema_of_variant(value) END")
+    kind = F.when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "DOUBLE").when(
+        kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "BIGINT").when(kind == "BOOLEAN", kind).when(kind.isNotNull(), "STRING")
+    cells = each.select("deployment_id", "key", kind.alias("kind"), "value", (F.coalesce("pos", F.lit(0)) == 0).cast("long").alias("first"))
+    num = F.when(F.col("kind").isin("BIGINT", "DOUBLE"), F.expr("try_variant_get(value, '$', 'double')")).when(
+        F.col("kind") == "BOOLEAN", F.expr("try_variant_get(value, '$', 'boolean')").cast("double"))
+    txt = F.when(F.col("kind").isNotNull(), F.coalesce(F.expr("try_variant_get(value, '$', 'string')"), F.to_json("value")))
+    return cells.groupBy("deployment_id", "key", "kind", num.alias("num"), txt.alias("txt")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("first").alias("firsts"))
+
+
+def _reference_values(references: dict[int, DataFrame]):
+    """Value counts ``(ref_id, feature, num, txt, n)`` of each distinct
+    reference, its columns, and which reference each dataset has."""
+    frames: dict[int, tuple[int, DataFrame]] = {}
+    of_dataset, columns, counts = [], [], None
+    for dataset_id, frame in references.items():
+        if id(frame) not in frames:
+            number = len(frames)
+            frames[id(frame)] = (number, frame)
+            names = [f.name for f in frame.schema.fields if not is_nested(f.dataType)]
+            columns += [(number, c, k, is_numeric_type(frame.schema[c].dataType)) for k, c in enumerate(names)]
+            cells = [F.struct(F.lit(c).alias("feature"),
+                              (typed(frame, c).cast("double") if is_numeric_type(frame.schema[c].dataType) else F.lit(None).cast("double")).alias("num"),
+                              D.cell_text(frame, c).alias("txt")) for c in names]
+            own = frame.select(F.inline(F.array(*cells))).groupBy("feature", "num", "txt").agg(F.count(F.lit(1)).alias("n"))
+            own = own.withColumn("ref_id", F.lit(number))
+            counts = own if counts is None else counts.unionByName(own)
+        of_dataset.append((dataset_id, frames[id(frame)][0]))
+    spark = counts.sparkSession
+    return (counts, spark.createDataFrame(columns, "ref_id int, feature string, at int, ref_numeric boolean"),
+            spark.createDataFrame(of_dataset, "dataset_id long, ref_id int"))
 
 
 def drift_monitors(deployments: DataFrame, models: DataFrame, datasets: DataFrame,
@@ -129,22 +159,66 @@ def drift_monitors(deployments: DataFrame, models: DataFrame, datasets: DataFram
     """D13 for every active deployment whose training data is in
     ``references``: ``(reports, features with deployment_id, requests)``.
 
-    Deployments are few (their list is bookkeeping, not data); the rows behind
-    each report are compared by distributed jobs.
+    One plan for all of them: the log is scanned once, each reference once, and
+    all tests work on counts keyed by deployment and feature, so the work
+    doesn't grow with the number of deployments.
     """
+    counts, columns, of_dataset = _reference_values(references) if references else (None, None, None)
     spark = log.sparkSession
-    active = [r for r in R.active_deployment(deployments, models).orderBy("deployment_id").collect() if r["dataset_id"] in references]
-    if not active:
+    if counts is None:
         raise ValueError("No active model deployment found.")
-    reports, features = [], None
-    for act in active:
-        report, feats = _monitor_one(act, datasets, references[act["dataset_id"]], log)
-        reports.append(report)
-        feats = feats.withColumn("deployment_id", F.lit(act["deployment_id"]).cast("long"))
-        features = feats if features is None else features.unionByName(feats)
-    found = spark.createDataFrame(reports, REPORT_SCHEMA)
-    requests = S.retrain_requests(found.where("has_drift").select("deployment_id"), models, deployments, datasets, kind="drift")
-    return found, features, requests
+    target = datasets.select(F.col("id").alias("dataset_id"), "target_column")
+    active = written(R.active_deployment(deployments, models).join(target, "dataset_id").join(of_dataset, "dataset_id").select(
+        "deployment_id", "drift_threshold", "target_column", "ref_id"), "active")
+    if active.isEmpty():
+        raise ValueError("No active model deployment found.")
+    ids = active.select("deployment_id")
+    cur = written(logged_values(log.join(F.broadcast(ids), "deployment_id", "left_semi")), "logged-values")  # ids: bookkeeping
+    rows = cur.groupBy("deployment_id").agg(F.sum("firsts").cast("long").alias("n_rows"))
+    kinds = cur.where("kind IS NOT NULL").groupBy("deployment_id", F.col("key").alias("feature")).agg(
+        F.collect_set("kind").alias("kinds"), F.sum("n").alias("n_present"))
+    number = F.size(F.array_except("kinds", F.array(F.lit("BIGINT"), F.lit("DOUBLE")))) == 0
+    cur_type = F.when(number, F.when(F.array_contains("kinds", "DOUBLE"), "DOUBLE").otherwise("BIGINT")).when(
+        (F.size("kinds") == 1) & F.array_contains("kinds", "BOOLEAN"), "BOOLEAN").otherwise("STRING")
+    met = active.join(columns, "ref_id").where("feature <> coalesce(target_column, '')").join(kinds, ["deployment_id", "feature"]).join(rows, "deployment_id")
+    met = met.select("deployment_id", "ref_id", "feature", "n_rows", "n_present", cur_type.alias("cur_type"),
+                     (F.col("ref_numeric") & (cur_type != "STRING")).alias("numeric"),
+                     (F.row_number().over(Window.partitionBy("deployment_id").orderBy("at")) - 1).alias("position"))
+    feats = written(met.where(F.col("n_rows") >= D.MIN_CURRENT_ROWS), "monitored-features")
+    key = ["deployment_id"]
+
+    def cells(df):
+        """num of numeric features, cat of the others."""
+        return df.select("deployment_id", "feature", F.when(F.col("numeric"), F.col("num")).alias("num"),
+                         F.when(~F.col("numeric"), F.coalesce("txt", F.lit("nan"))).alias("cat"), "n")
+    # A text side's numbers and truth values are written as the reference's are.
+    written_as = F.when(F.col("cur_type") == "DOUBLE", F.col("num").cast("string")).when(F.col("cur_type") == "BOOLEAN", F.initcap("txt")).otherwise(F.col("txt"))
+    logged = cur.where("kind IS NOT NULL").withColumnRenamed("key", "feature").join(feats, ["deployment_id", "feature"]).withColumn("txt", written_as)
+    missing = feats.where("n_rows > n_present").select("*", F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("txt"),
+                                                       (F.col("n_rows") - F.col("n_present")).alias("n"))
+    raw = written(D.align_counts(cells(counts.join(feats, ["ref_id", "feature"])), cells(logged).unionByName(cells(missing)), key), "aligned")
+    aligned = D.fill_from_reference(raw, key)
+    tests = written(D.choose_test(aligned, key), "tests")
+    place = feats.select(*key, "feature", "position")
+    features = written(D.feature_rows(D.drift_statistics(aligned, tests, key).join(place, [*key, "feature"]), F.col("position"), key), "drift-features")
+    return _reports(active, rows, met, features), features, S.retrain_requests(
+        _reports(active, rows, met, features).where("has_drift").select("deployment_id"), models, deployments, datasets, kind="drift")
+
+
+def _reports(active: DataFrame, rows: DataFrame, met: DataFrame, features: DataFrame) -> DataFrame:
+    """A row of ``REPORT_SCHEMA`` for every active deployment."""
+    drifted, many = F.count_if("drift_detected"), F.count(F.lit(1))
+    scored = features.groupBy("deployment_id").agg((drifted / many).alias("score"), F.format_string(
+        D.DONE_MESSAGE, drifted, many, F.format_number(drifted / many, 2)).alias("done"))
+    all_ = active.join(rows, "deployment_id", "left").join(met.groupBy("deployment_id").agg(F.count(F.lit(1)).alias("n_features")), "deployment_id", "left").join(
+        scored, "deployment_id", "left")
+    n = F.coalesce("n_rows", F.lit(0))
+    has = F.coalesce(F.col("score") >= F.col("drift_threshold"), F.lit(False))
+    message = (F.when(n == 0, F.lit(NO_LOGS_MESSAGE))
+               .when(n < D.MIN_CURRENT_ROWS, F.format_string(D.GATE_MESSAGE, n, F.lit(D.MIN_CURRENT_ROWS)))
+               .when(F.col("n_features").isNull(), F.lit(D.NO_FEATURES_MESSAGE))
+               .otherwise(F.concat("done", F.when(has, RETRAIN_QUEUED).otherwise(""))))
+    return all_.select("deployment_id", F.coalesce("score", F.lit(0.0)).alias("drift_score"), has.alias("has_drift"), message.alias("message"))
 
 
 def drift_monitor(deployments: DataFrame, models: DataFrame, datasets: DataFrame,

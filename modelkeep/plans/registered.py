@@ -352,15 +352,19 @@ def _round_feats(df):
                      "drift_detected")
 
 
-@register("D1_align_features", """
-SELECT column_name AS feature,
-       CAST(row_number() OVER (ORDER BY ordinal_position) - 1 AS INTEGER) AS position
-FROM information_schema.columns
-WHERE table_name = 'lineitem' AND column_name <> 'l_returnflag'
-  AND column_name IN ('k', 'l_quantity', 'l_discount', 'l_tax', 'l_returnflag', 'l_extendedprice')""")
+_D1_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("D1_align_features", with_views(" UNION ALL ".join(f"""
+SELECT '{f}' AS feature, CAST({k} AS INTEGER) AS position, (SELECT CAST(count({f}) AS BIGINT) FROM lineitem) AS ref_values,
+       (SELECT CAST(count({f}) AS BIGINT) FROM v_reg) AS cur_values""" for k, f in enumerate(_D1_FEATURES)), "v_reg"))
 def q_d1(spark, d):
-    feats = D.align_features(table(spark, d, "lineitem"), V.v_reg(spark, d), "l_returnflag")
-    return spark.createDataFrame(list(zip(feats, range(len(feats)))), "feature string, position int")
+    """The aligned features in the reference's order, with the values each side has of them."""
+    ref, cur = table(spark, d, "lineitem"), V.v_reg(spark, d)
+    feats = D.align_features(ref, cur, "l_returnflag")
+    sides = [df.agg(*[F.count(f).alias(f) for f in feats]).unpivot([], feats, "feature", name) for df, name in ((ref, "ref_values"), (cur, "cur_values"))]
+    position = F.array_position(F.array(*[F.lit(f) for f in feats]), F.col("feature")) - 1
+    return sides[0].join(sides[1], "feature").select("feature", position.cast("int").alias("position"), "ref_values", "cur_values")
 
 
 _NULL_COLS = ["l_quantity", "l_tax", "l_returnflag"]
@@ -402,18 +406,26 @@ SELECT f AS feature, round(med, 6) AS median, ref_filled, cur_filled FROM (
          CAST((SELECT count(*) - count(l_tax) FROM v_nulls) AS BIGINT),
          CAST((SELECT count(*) - count(l_tax) FROM v_reg) AS BIGINT))""", "v_nulls", "v_reg"))
 def q_d3(spark, d):
+    """What the fill moved: values after it less values before it, on either side."""
     ref, cur = _null_pair(spark, d)
     r, c, numeric, text = D.harmonise_types(ref, cur, D.align_features(ref, cur))
-    raw = D.long_counts(r, c, numeric, text)
-    med = D.reference_medians(raw)
-    nulls = (raw.where(F.col("feature").isin(numeric) & F.col("num").isNull())
-             .groupBy("feature").agg(
-                 F.sum(F.when(F.col("grp") == 0, F.col("n")).otherwise(0)).cast("long").alias("ref_filled"),
-                 F.sum(F.when(F.col("grp") == 1, F.col("n")).otherwise(0)).cast("long").alias("cur_filled")))
-    return med.join(nulls, "feature", "left").select(
-        "feature", r6("median").alias("median"),
-        F.coalesce("ref_filled", F.lit(0)).cast("long").alias("ref_filled"),
-        F.coalesce("cur_filled", F.lit(0)).cast("long").alias("cur_filled"))
+    aligned = D.align_counts(D.value_counts(r, numeric, text), D.value_counts(c, numeric, text)).persist()
+    filled = D.fill_from_reference(aligned)
+
+    def values(df, sign):
+        return df.where("num IS NOT NULL").select("feature", *[(F.lit(sign) * F.col(f"{x}_n")).alias(f"{x}_n") for x in ("ref", "cur")])
+    moved = values(filled, 1).unionByName(values(aligned, -1)).groupBy("feature").agg(
+        F.sum("ref_n").cast("long").alias("ref_filled"), F.sum("cur_n").cast("long").alias("cur_filled"))
+    return _released(D.reference_medians(aligned).join(moved, "feature").select(
+        "feature", r6("median").alias("median"), "ref_filled", "cur_filled"), aligned)
+
+
+def _released(rows, *frames):
+    """A result with a row per feature, computed now, and the frames behind it released."""
+    found = rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    for frame in frames:
+        frame.unpersist()
+    return found
 
 
 def _pair_tests(spark, d, fx):
@@ -429,18 +441,18 @@ _D4_BODY = """SELECT '{pair}' AS pair, feature, feature_type, n_ref, n_cur, n_va
     "WITH " + drift_sql("v_drift_ref", "v_drift_cur", _LARGE["numeric"], _LARGE["text"], _LARGE["order"]).strip()
     + "\n" + _D4_BODY.format(pair="large"), *_LARGE_VIEWS))
 def q_d4(spark, d):
-    _, tests = _pair_tests(spark, d, V.v_drift_large)
-    return tests.select(F.lit("large").alias("pair"), "feature", "feature_type", "n_ref", "n_cur",
-                        "n_values", "test_name")
+    aligned, tests = _pair_tests(spark, d, V.v_drift_large)
+    return _released(tests.select(F.lit("large").alias("pair"), "feature", "feature_type", "n_ref", "n_cur",
+                                  "n_values", "test_name"), aligned, tests)
 
 
 @register("D4_choose_test_parties", with_views(
     "WITH " + drift_sql("v_party_ref", "v_party_cur", _PARTY["numeric"], _PARTY["text"], _PARTY["order"]).strip()
     + "\n" + _D4_BODY.format(pair="parties"), *_PARTY_VIEWS))
 def q_d4_parties(spark, d):
-    _, tests = _pair_tests(spark, d, V.v_drift_parties)
-    return tests.select(F.lit("parties").alias("pair"), "feature", "feature_type", "n_ref", "n_cur",
-                        "n_values", "test_name")
+    aligned, tests = _pair_tests(spark, d, V.v_drift_parties)
+    return _released(tests.select(F.lit("parties").alias("pair"), "feature", "feature_type", "n_ref", "n_cur",
+                                  "n_values", "test_name"), aligned, tests)
 
 
 def _test_sql(spec, views, test, cols):
@@ -455,8 +467,8 @@ def _test_q(fx, fn, cols):
     def q(spark, d):
         aligned, tests = _pair_tests(spark, d, fx)
         out = fn(aligned, tests)
-        return out.select("feature", *[r6(c).alias(c) if c != "dof" else F.col(c).cast("long")
-                                       for c in cols])
+        return _released(out.select("feature", *[r6(c).alias(c) if c != "dof" else F.col(c).cast("long")
+                                                 for c in cols]), aligned, tests)
     return q
 
 
@@ -642,7 +654,6 @@ def q_e7(spark, d):
 
 
 # ----------------------------------------------------------------- registry
-from modelkeep.functions.ordered import dense_positions  # noqa: E402
 from modelkeep.operators import registry as R  # noqa: E402
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
@@ -672,9 +683,7 @@ SELECT CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS BIGINT) AS
        algorithm, status, version, strftime(created_at, {TS_SQL}) AS created_at
 FROM v_models""", "v_models"))
 def q_r2(spark, d):
-    m = _models(spark, d).withColumn("__ts", F.unix_micros(F.col("created_at").cast("timestamp")))
-    ranked = dense_positions(m, [], ["__ts", "id"], descending=True, name="position")
-    return ranked.select(F.col("position").cast("long").alias("position"), "id", "model_name", "algorithm",
+    return R.list_models(_models(spark, d)).select("position", "id", "model_name", "algorithm",
                          "status", "version", F.date_format("created_at", TS_FMT).alias("created_at"))
 
 
@@ -715,6 +724,12 @@ def q_r5(spark, d):
     return R.job_counts(_models(spark, d))
 
 
+@register("R5_jobs_not_done", with_views(f"""
+SELECT id, model_name, status, strftime(created_at, {TS_SQL}) AS created_at FROM v_models WHERE status IN ('PENDING', 'TRAINING', 'FAILED')""", "v_models"))
+def q_r5_jobs(spark, d):
+    return R.jobs_not_done(_models(spark, d)).select("id", "model_name", "status", F.date_format("created_at", TS_FMT).alias("created_at"))
+
+
 @register("R6_explode_metrics", with_views("""
 SELECT id, 'F1 Score' AS metric, CAST(round(f1_score * 100) AS BIGINT) AS value
 FROM v_models WHERE status = 'DONE' AND f1_score IS NOT NULL
@@ -1006,23 +1021,10 @@ def q_s5(spark, d):
 SELECT CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS BIGINT) AS position, id, name,
        problem_type, strftime(created_at, {TS_SQL}) AS created_at FROM v_datasets""", "v_models", "v_datasets"))
 def q_s8(spark, d):
-    ds = TB.list_datasets(V.v_datasets(spark, d)).withColumn("__ts", F.unix_micros(F.col("created_at").cast("timestamp")))
-    ranked = dense_positions(ds, [], ["__ts", "id"], descending=True, name="position")
-    return ranked.select(F.col("position").cast("long").alias("position"), "id", "name", "problem_type",
+    return TB.list_datasets(V.v_datasets(spark, d)).select("position", "id", "name", "problem_type",
                          F.date_format("created_at", TS_FMT).alias("created_at"))
 
 
-# ---------------------------------------------------- stream volume (batch)
-@register("X2_stream_volume", with_views(f"""
-SELECT deployment_id, strftime(date_trunc('hour', logged_at), {TS_SQL}) AS window_start,
-       CAST(count(*) AS BIGINT) AS predictions
-FROM v_pred_log GROUP BY deployment_id, date_trunc('hour', logged_at)""", "v_pred_log"))
-def q_x2(spark, d):
-    from modelkeep.streaming.streams import volume_by_hour
-    out = volume_by_hour(V.v_pred_log(spark, d))
-    return out.select("deployment_id", F.date_format("window_start", TS_FMT).alias("window_start"), "predictions")
-
-
 # -------------------------------------------------------------- preparation
 from modelkeep.operators import prep as T  # noqa: E402
 
@@ -1495,11 +1497,36 @@ def _monitor_inputs(spark, d):
     return m, deps, ds, refs
 
 
-@register("D13_drift_monitor")
+def _d13_sql():
+    """All deployments at once: the drift SQL with a feature per deployment."""
+    body = drift_sql("__ref", "__cur", [], [], [])
+    long = """
+act AS (SELECT dp.id AS deployment_id, dp.drift_threshold FROM v_deployments dp WHERE dp.status = 'active'),
+cnt AS (SELECT a.deployment_id, a.drift_threshold, count(l.deployment_id) AS n_rows FROM act a LEFT JOIN v_pred_log l USING (deployment_id) GROUP BY ALL),
+long AS (
+  SELECT 'd' || c.deployment_id AS feature, 0 AS grp, CAST(json_extract_string(e.props, '$.k') AS DOUBLE) AS num, NULL::VARCHAR AS cat
+  FROM cnt c CROSS JOIN events e WHERE c.n_rows >= 5
+  UNION ALL
+  SELECT 'd' || c.deployment_id, 1, CAST(json_extract_string(l.input_json, '$.k') AS DOUBLE), NULL::VARCHAR
+  FROM cnt c JOIN v_pred_log l USING (deployment_id) WHERE c.n_rows >= 5),
+"""
+    rest = body[body.index("med AS ("):].replace("l.feature IN ('')", "TRUE").replace("feature IN ('')", "TRUE").replace("CAST(CASE feature  END AS INTEGER) AS position", "0 AS position")
+    return with_views("WITH " + long.strip() + "\n" + rest + """
+SELECT c.deployment_id, round(COALESCE(CASE WHEN f.drift_detected THEN 1.0 ELSE 0.0 END, 0.0), 6) AS drift_score,
+  COALESCE(CASE WHEN f.drift_detected THEN 1.0 ELSE 0.0 END >= c.drift_threshold, FALSE) AS has_drift,
+  CASE WHEN n_rows = 0 THEN 'No production predictions logged yet. Run predictions first to calculate drift.'
+       WHEN n_rows < 5 THEN 'Insufficient production data to calculate drift. Logged predictions: ' || n_rows || ' (requires at least 5).'
+       ELSE 'Drift check complete. ' || CAST(f.drift_detected AS INTEGER) || ' of 1 features drifted (ratio: '
+            || CASE WHEN f.drift_detected THEN '1.00' ELSE '0.00' END || ').'
+            || CASE WHEN f.drift_detected THEN ' Data drift exceeded threshold. Retraining job has been queued.' ELSE '' END END AS message
+FROM cnt c LEFT JOIN feats f ON f.feature = 'd' || c.deployment_id""", "v_pred_log", "v_models", "v_deployments")
+
+
+@register("D13_drift_monitor", _d13_sql())
 def q_d13(spark, d):
     m, deps, ds, refs = _monitor_inputs(spark, d)
     reports, _, _ = L.drift_monitors(deps, m, ds, refs, V.v_pred_log(spark, d))
-    return reports
+    return reports.withColumn("drift_score", r6("drift_score"))
 
 
 def _retraining_inputs(spark, d):
@@ -1549,13 +1576,13 @@ def q_s6(spark, d):
         F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
 
 
-@register("A1_log_event", """
-SELECT 'NATION' AS event_type, n_name AS message, 'INFO' AS severity, CAST(1 AS BIGINT) AS n FROM nation""")
+@register("A1_log_event", with_views("""
+SELECT event_type, message, severity, CAST(1 AS BIGINT) AS n FROM v_audit""", "v_audit"))
 def q_a1(spark, d):
+    """Every event appended as an audit event, read back: each has an id of its own."""
     from modelkeep.session import scratch_path
     path = scratch_path(spark, "events")
-    names = [r["n_name"] for r in table(spark, d, "nation").collect()]  # a batch of driver-side events
-    A.log_events(spark, path, [("NATION", n, "INFO") for n in names])
+    A.append_events(V.v_audit(spark, d).select("event_type", "message", "severity"), path)
     return spark.read.parquet(path).groupBy("event_type", "message", "severity").agg(F.count_distinct("id").alias("n"))
 
 
@@ -1584,11 +1611,13 @@ def q_t9_columns(spark, d):
 
 
 # ------------------------------------------------------------------- streams
-def _stream_of(spark, df, name):
-    """``df`` written to a folder and read as a file stream."""
+def _stream_of(spark, df, name, last=None):
+    """``df``, and then ``last``, written to a folder and read as a file stream."""
     from modelkeep.session import scratch_path
     path = scratch_path(spark, f"stream-{name}")
     df.write.parquet(path)
+    if last is not None:
+        last.write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)
 
 
@@ -1612,7 +1641,10 @@ def q_x1(spark, d):
                       F.round(F.col("prediction").cast("double"), 3).alias("prediction"))
 
 
-@register("X2_stream_volume", ORACLE["X2_stream_volume"])
+@register("X2_stream_volume", with_views(f"""
+SELECT deployment_id, strftime(date_trunc('hour', logged_at), {TS_SQL}) AS window_start,
+       CAST(count(*) AS BIGINT) AS predictions
+FROM v_pred_log GROUP BY deployment_id, date_trunc('hour', logged_at)""", "v_pred_log"))
 def q_x2_stream(spark, d):
     """The stream itself, in complete mode so that open windows show too."""
     from modelkeep.session import scratch_path
@@ -1624,27 +1656,43 @@ def q_x2_stream(spark, d):
 
 
 @register("X3_stream_feedback", """
-SELECT event_id AS prediction_id, CASE WHEN event_id % 6 = 0 THEN lower(event_type) ELSE upper(event_type) END AS actual
-FROM events WHERE event_id % 3 = 0""")
+SELECT event_id AS prediction_id, CASE WHEN event_id % 6 = 0 THEN lower(event_type) WHEN event_id % 3 = 0 THEN upper(event_type) END AS actual FROM events""")
 def q_x3(spark, d):
-    """Predictions with the last of their feedback, as the stream pairs them."""
+    """Every prediction with the last of its labels, as the stream's sink has it."""
     from modelkeep.session import scratch_path
     from modelkeep.streaming import streams as X
-    preds = V.v_pred_log(spark, d).drop("actual")
+    preds, labels = V.v_pred_log(spark, d).drop("actual"), V.v_feedback(spark, d)
+    end = "10 days"
     out = scratch_path(spark, "pairs")
-    paired = X.stream_feedback(_stream_of(spark, preds, "predictions"), _stream_of(spark, V.v_feedback(spark, d), "feedback"), "1 day")
+    paired = X.stream_feedback(_stream_of(spark, preds, "predictions", X.closing_events(preds, "logged_at", end)),
+                               _stream_of(spark, labels, "feedback", X.closing_events(labels, "received_at", end)), "1 day")
     X.start(paired, out, scratch_path(spark, "ck")).awaitTermination()
-    return X.latest_feedback(spark.read.parquet(out).where("actual IS NOT NULL")).select("prediction_id", "actual")
+    return spark.read.parquet(out).select("prediction_id", "actual")
+
+
+def _performance_stream(spark, d):
+    from modelkeep.session import scratch_path
+    from modelkeep.streaming import streams as X
+    m = _models(spark, d)
+    deps, ds = _deps(spark, d, m), V.v_datasets(spark, d, m)
+    root = scratch_path(spark, "performance")
+    changes = X.label_changes(_stream_of(spark, V.v_pred_log(spark, d), "log"), wait="60 days")
+    X.start_batches(changes, X.performance_state(root, deps, m, ds), scratch_path(spark, "ck"), mode="update").awaitTermination()
+    return root, deps
 
 
 @register("X4_stream_performance", ORACLE["F9_performance_check"])
 def q_x4(spark, d):
-    from modelkeep.session import scratch_path
     from modelkeep.streaming import streams as X
-    out = scratch_path(spark, "performance")
-    body = X.performance_batch(scratch_path(spark, "paired"), out, _deps(spark, d))
-    X.start_batches(_stream_of(spark, V.v_pred_log(spark, d), "log"), body, scratch_path(spark, "ck")).awaitTermination()
-    return spark.read.parquet(out).select("deployment_id", "n_labelled", r6("accuracy").alias("accuracy"), "performance_threshold", "alarm")
+    root, deps = _performance_stream(spark, d)
+    return X.performance_now(root, spark, deps).select("deployment_id", "n_labelled", r6("accuracy").alias("accuracy"), "performance_threshold", "alarm")
+
+
+@register("X4_stream_requests", ORACLE["F10_retrain_requests"])
+def q_x4_requests(spark, d):
+    """What the stream asks to be retrained, when alarms go on."""
+    root, _ = _performance_stream(spark, d)
+    return spark.read.parquet(f"{root}/requests").drop("batch_id")
 
 
 @register("X5_stream_drift", ORACLE["D10_drift_score"])

@@ -220,7 +220,7 @@ def v_drift_large(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     li = table(spark, d, "lineitem")
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus"]
     ref = li.where(F.col("l_returnflag") == "N").select(*cols)
-    cur = li.where(F.col("l_returnflag") == "R").select(
+    cur = li.where(F.col("l_returnflag") != "N").select(
         (F.col("l_quantity") * F.lit(1.5)).alias("l_quantity"), *cols[1:])
     return ref, cur
 
@@ -349,7 +349,7 @@ SQL_VIEWS: dict[str, str] = {
         FROM lineitem WHERE l_returnflag = 'N'""",
     "v_drift_cur": """
         SELECT l_quantity * 1.5::DOUBLE AS l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus
-        FROM lineitem WHERE l_returnflag = 'R'""",
+        FROM lineitem WHERE l_returnflag <> 'N'""",
     "v_geo": """
         SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "v_party_ref": """

@@ -171,8 +171,9 @@ def write_table(df: DataFrame, path: str, mode: str = "append", id_col: str | No
 
 
 def list_datasets(datasets: DataFrame) -> DataFrame:
-    """Catalogue newest first (ties by id, newest id first)."""
-    return datasets.orderBy(F.col("created_at").desc(), F.col("id").desc())
+    """The catalogue with each entry's ``position``, newest first (ties: newest id first)."""
+    from modelkeep.functions.ordered import positions
+    return positions(datasets, [F.col("created_at").desc(), F.col("id").desc()])
 
 
 def save_model(model, meta: dict, directory: str) -> str:

@@ -85,7 +85,7 @@ def test_tests_with_p_values_at_any_reference_size(spark):
 def test_a_corrected_label_counts_once(spark):
     rows = [(1, "A", 1), (1, "B", 2), (2, "A", 1)]
     pairs = spark.createDataFrame(rows, "prediction_id long, actual string, received_at long")
-    got = {r["prediction_id"]: r["actual"] for r in X.latest_feedback(pairs).collect()}
+    got = {r["prediction_id"]: r["actual"] for r in X.latest_labels(pairs).collect()}
     assert got == {1: "B", 2: "A"}
 
 
