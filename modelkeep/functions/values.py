@@ -151,18 +151,32 @@ def typed_value_counts(df: DataFrame, columns: list[str] | None = None) -> DataF
             .groupBy("column", "num", "txt").agg(F.count(F.lit(1)).alias("n")))
 
 
+def text_key(text: Column) -> Column:
+    """A text as a key of at most 33 bytes: itself, or 128 bits of its digest."""
+    short = F.concat(F.lit("="), text).cast("binary")
+    return F.when(F.octet_length(text) <= 32, short).when(text.isNotNull(), F.concat(F.lit("#").cast("binary"), F.unhex(F.md5(text))))
+
+
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column from ONE scan and one shuffle.
 
     ``(column, pos, numeric, n_rows, non_null, null_count, n_unique, min,
-    max, mean, url_ratio, dtype)``.  Every statistic is derived from the
-    typed distinct-value counts: min/max/mean from numeric values weighted
-    by their counts, the URL share by testing each distinct text once.
+    max, mean, url_ratio, dtype)``.  Every statistic is derived from counts
+    per distinct value: min/max/mean from numeric values weighted by their
+    counts, distinct texts from keys of at most 33 bytes (a longer text's
+    128-bit digest), so megabyte texts shuffle no more than short ones; whether
+    a text is a URL is asked where it is.
     """
     cols = columns if columns is not None else profile_columns(df)
-    vc = typed_value_counts(df, cols)
-    present = F.col("num").isNotNull() | F.col("txt").isNotNull()
-    url = F.col("txt").rlike(URL_PATTERN).cast("double")
+    cells = []
+    for c in cols:
+        numeric = is_numeric_type(df.schema[c].dataType)
+        txt = F.lit(None).cast("string") if numeric else as_text(df, c)
+        cells.append(F.struct(F.lit(c).alias("column"), (typed(df, c).cast("double") if numeric else F.lit(None).cast("double")).alias("num"),
+                              text_key(txt).alias("key"), txt.rlike(URL_PATTERN).alias("url")))
+    vc = (spread(df.select(*cols)).select(F.inline(F.array(*cells)))
+          .groupBy("column", "num", "key", "url").agg(F.count(F.lit(1)).alias("n")))
+    present = F.col("num").isNotNull() | F.col("key").isNotNull()
     per = vc.groupBy("column").agg(
         F.sum("n").cast("long").alias("n_rows"),
         F.sum(F.when(present, F.col("n")).otherwise(0)).cast("long").alias("non_null"),
@@ -170,8 +184,8 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         F.min("num").alias("min"), F.max("num").alias("max"),
         (F.sum(F.col("num") * F.col("n")) / F.sum(F.when(F.col("num").isNotNull(), F.col("n"))))
         .alias("mean"),
-        (F.sum(F.when(F.col("txt").isNotNull(), url * F.col("n")))
-         / F.sum(F.when(F.col("txt").isNotNull(), F.col("n")))).alias("url_ratio"))
+        (F.sum(F.when(F.col("key").isNotNull(), F.col("url").cast("double") * F.col("n")))
+         / F.sum(F.when(F.col("key").isNotNull(), F.col("n")))).alias("url_ratio"))
     pos = F.element_at(F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))]),
                        F.col("column"))
     numeric = F.col("column").isin([c for c in cols if is_numeric_type(df.schema[c].dataType)] or [""])

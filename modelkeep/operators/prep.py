@@ -22,7 +22,7 @@ from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, Default
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelkeep.functions.ordered import column_medians
+from modelkeep.functions.ordered import column_medians, positions
 from modelkeep.functions.values import typed, value_counts
 from modelkeep.session import scratch_path
 
@@ -74,12 +74,25 @@ def split_train_test(df: DataFrame, key: str | list[str], test: float = TEST_SHA
 def encode_labels(train: DataFrame, target: str) -> DataFrame:
     """T4: ``(label, idx)``: distinct training labels as text, sorted, 0..n-1.
 
-    The label set is the model's class list (it is kept with the model), so
-    ranking it with one window over the distinct labels is bounded by the
-    class count.
+    The dictionary is a table with distributed ranks, however many labels
+    there are; :func:`with_label_index` joins it to rows.
     """
     labels = train.select(_label_text(train, target).alias("label")).where(F.col("label").isNotNull()).distinct()
-    return labels.withColumn("idx", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
+    return positions(labels, [F.col("label")]).select("label", (F.col("position") - 1).cast("int").alias("idx"))
+
+
+def with_label_index(df: DataFrame, target: str, labels: DataFrame, name: str = "label") -> DataFrame:
+    """``df`` with its target's index in the dictionary ``labels`` (NULL where
+    it isn't there), by a join."""
+    of = labels.select(F.col("label").alias("__l"), F.col("idx").alias(name))
+    return df.join(of, _label_text(df, target) == F.col("__l"), "left").drop("__l")
+
+
+def with_label_text(df: DataFrame, index: str, labels: DataFrame, name: str = "prediction") -> DataFrame:
+    """F3 against the dictionary: the label of each index, an unknown one as it is, by a join."""
+    of = labels.select(F.col("idx").alias("__i"), F.col("label").alias("__l"))
+    met = df.join(of, F.col(index).cast("int") == F.col("__i"), "left")
+    return met.withColumn(name, F.coalesce("__l", F.col(index).cast("long").cast("string"))).drop("__i", "__l")
 
 
 def _label_text(df: DataFrame, target: str):

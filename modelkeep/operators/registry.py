@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelkeep.functions.ordered import positions
+from modelkeep.sources.snapshots import SnapshotTable
 
 # Deployment defaults, status names and event texts.
 DEFAULT_DRIFT_THRESHOLD = 0.3
@@ -217,6 +218,23 @@ def update_thresholds(deployments: DataFrame, drift: float | None = None,
     return out
 
 
+def commit_active(table: SnapshotTable, models: DataFrame, model_id: int, token: str | None = None) -> DataFrame:
+    """R8 (write side): the stored deployments after :func:`set_active`."""
+    return table.update(lambda deps: set_active(deps, models, model_id), token)
+
+
+def commit_promotions(table: SnapshotTable, decide, token: str | None = None) -> DataFrame:
+    """R11 (write side): the stored deployments after the promotions that
+    ``decide`` finds for them; decided again if another commit came first, so
+    two promotions of one dataset leave one active deployment."""
+    return table.update(lambda deps: apply_promotions(deps, decide(deps)), token)
+
+
+def commit_thresholds(table: SnapshotTable, drift: float | None = None, performance: float | None = None, token: str | None = None) -> DataFrame:
+    """R12 (write side): the stored deployments after :func:`update_thresholds`."""
+    return table.update(lambda deps: update_thresholds(deps, drift, performance), token)
+
+
 def job_events(models: DataFrame) -> DataFrame:
     """Training job status events derived from model rows: PENDING at
     creation, TRAINING an hour later, DONE/FAILED two hours later."""

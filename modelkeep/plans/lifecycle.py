@@ -25,6 +25,7 @@ from modelkeep.operators import train as M
 from modelkeep.operators.prep import feature_lists, union_feedback
 from modelkeep.operators.quality import quality_issues, quality_report
 from modelkeep.operators.audit import log_event, log_events
+from modelkeep.sources.snapshots import SnapshotTable
 from modelkeep.sources.tables import save_model, scan_inputs_json, write_table
 
 DATASET_EVENT = "Dataset '%s' uploaded successfully. Target: %s, Task: %s, Rows: %d"
@@ -252,18 +253,43 @@ def feedback_rows(log: DataFrame, target: str) -> DataFrame:
     return scan_inputs_json(lab, keep=["prediction_id", "actual"]).withColumnRenamed("actual", target)
 
 
+def consume_feedback(root: str, log: DataFrame, run: str, mark: str = "prediction_id") -> DataFrame:
+    """Labelled rows of the log enter the ledger ``training_feedback`` below
+    ``root`` once: those beyond their deployment's high-water ``mark`` (a column
+    that ascends with the labels' arrival).  Returns the whole ledger, which is
+    what training uses; a replayed ``run`` adds nothing."""
+    def new(used: DataFrame | None) -> DataFrame:
+        rows = log.where(F.col("actual").isNotNull()).select("deployment_id", "prediction_id", F.col(mark).alias("mark"), "input_json", "actual")
+        if used is None:
+            return rows.withColumn("run", F.lit(run))
+        high = used.groupBy(F.col("deployment_id").alias("of")).agg(F.max("mark").alias("high"))
+        met = rows.join(high, F.col("deployment_id").eqNullSafe(F.col("of")), "left")
+        return met.where("high IS NULL OR mark > high").drop("of", "high").withColumn("run", F.lit(run))
+    return SnapshotTable(log.sparkSession, f"{root}/training_feedback", "entry").extend(new, run)
+
+
+def training_set(dataset: DataFrame, target: str, key: str, feedback: DataFrame | None) -> DataFrame:
+    """The rows F11 trains on: the dataset and the labelled feedback, with a
+    split key of their own (the dataset's key may be a feature; feedback rows
+    get a deterministic one, so the split survives recomputation)."""
+    data = dataset.withColumn(M.SPLIT_KEY, F.col(key).cast("string"))
+    if feedback is None:
+        return data
+    fb = feedback_rows(feedback, target)
+    fb = fb.withColumn(M.SPLIT_KEY, F.concat(F.lit("fb:"), F.col("prediction_id").cast("string")))
+    return union_feedback(data, fb.drop("prediction_id"), target)
+
+
 def run_retraining(dataset: DataFrame, dp: DatasetProfile, key: str, log: DataFrame | None,
                    models: DataFrame, deployments: DataFrame, datasets: DataFrame,
-                   dataset_id: int, kinds: list[str] | None = None):
+                   dataset_id: int, kinds: list[str] | None = None, root: str | None = None, run: str = "0"):
     """dataset (+ labelled feedback of its active deployment) -> M9 ->
-    R11 decision.  Returns ``(TrainResult, decision_df)``."""
-    # The split key is a column of its own (the dataset's key may be a feature);
-    # feedback rows get a deterministic one, so the split survives recomputation.
-    data = dataset.withColumn(M.SPLIT_KEY, F.col(key).cast("string"))
-    if log is not None:
-        fb = feedback_rows(log, dp.target)
-        fb = fb.withColumn(M.SPLIT_KEY, F.concat(F.lit("fb:"), F.col("prediction_id").cast("string")))
-        data = union_feedback(data, fb.drop("prediction_id"), dp.target)
+    R11 decision.  Returns ``(TrainResult, decision_df)``.  With ``root`` the
+    feedback goes through the ledger there, so a label enters training once
+    however many runs there are."""
+    if log is not None and root is not None:
+        log = consume_feedback(root, log, run)
+    data = training_set(dataset, dp.target, key, log)
     result = M.auto_train(data, dp.target, dp.problem_type, dp.numerical, dp.categorical, M.SPLIT_KEY, kinds)
     spark = dataset.sparkSession
     new_version = (models.where(F.col("dataset_id") == dataset_id).count()) + 1
@@ -284,9 +310,11 @@ def store_dataset(root: str, row: DataFrame) -> DataFrame:
 
 
 def store_training(root: str, result: M.TrainResult, dataset_id: int, version: int, name: str,
-                   deployments: DataFrame | None = None, decision: DataFrame | None = None) -> tuple[int, DataFrame | None]:
+                   deployments: DataFrame | None = None, decision: DataFrame | None = None, decide=None) -> tuple[int, DataFrame | None]:
     """Write side of F11, M9 and M10: the model row, its artefact, and, with a
     decision (R11), the deployments after it as a new snapshot and its event.
+    ``decide(deployments, model_id)`` decides again where another commit to the
+    stored deployments came first.
 
     Returns the model's id and the deployments as stored.
     """
@@ -301,9 +329,10 @@ def store_training(root: str, result: M.TrainResult, dataset_id: int, version: i
     after = None
     if decision is not None and deployments is not None:
         decided = decision.withColumn("new_model_id", F.lit(model_id).cast("long"))
-        path = f"{root}/deployments/after_model={model_id}"
-        R.apply_promotions(deployments, decided).write.mode("overwrite").parquet(path)
-        after = spark.read.parquet(path)
+        table = SnapshotTable(spark, f"{root}/deployments")
+        if table.version() < 0:
+            table.append(deployments, "first")
+        after = R.commit_promotions(table, lambda deps: decide(deps, model_id) if decide else decided, f"model={model_id}")
         events += [("PROMOTION", r["message"], "INFO") for r in decided.select("message").collect()]
     log_events(spark, f"{root}/audit_log", events)
     return model_id, after

@@ -1473,7 +1473,7 @@ def q_f4(spark, d):
     from modelkeep.session import scratch_path
     path = scratch_path(spark, "prediction-log")
     S.append_predictions(L.score_batch(model, df, None), path, 0, dp.numerical + dp.categorical)
-    log = spark.read.parquet(path).where("prediction IS NOT NULL")
+    log = TB.read_table(spark, path, "prediction_id").where("prediction IS NOT NULL")
     field = lambda c: F.get_json_object("input_json", f"$.{c}")
     return log.groupBy("deployment_id", *[field(c).cast("double").alias(c) for c in dp.numerical], *[field(c).alias(c) for c in dp.categorical]).agg(
         F.count_distinct("prediction_id").alias("n_ids"))
@@ -1553,6 +1553,40 @@ def q_f11(spark, d):
     return decision.select("dataset_id", "active_model_id", "active_metric", "new_metric", "promoted", "message")
 
 
+@register("F11_training_set", with_views("""
+SELECT CAST(doc_id AS VARCHAR) AS split_key, n_chars, lang, source, CAST(quality AS BIGINT) AS quality FROM v_cls WHERE doc_id % 5 <> 0
+UNION ALL
+SELECT 'fb:' || doc_id, n_chars, lang, source, CAST(quality AS BIGINT) FROM v_cls WHERE doc_id % 5 = 0""", "v_cls"))
+def q_f11_rows(spark, d):
+    """What the second of two runs trains on: each label once."""
+    from modelkeep.session import scratch_path
+    df, log = _retraining_inputs(spark, d)
+    root = scratch_path(spark, "ledger")
+    middle = log.agg(F.percentile_approx("prediction_id", 0.5)).first()[0]
+    L.consume_feedback(root, log.where(F.col("prediction_id") <= F.lit(middle)), "first")  # labels come in the order of ids
+    feedback = L.consume_feedback(root, log, "second")
+    data = L.training_set(df, "quality", "doc_id", feedback)
+    return data.select(F.col(M.SPLIT_KEY).alias("split_key"), "n_chars", "lang", "source", F.col("quality").cast("long").alias("quality"))
+
+
+@register("R8_commit_active", with_views(f"""
+SELECT id, model_id, CASE WHEN model_id = (SELECT max(id) FROM v_models WHERE status = 'DONE') THEN 'active' ELSE 'inactive' END AS status FROM v_deployments
+UNION ALL
+SELECT (SELECT max(id) + 1 FROM v_deployments), max(id), 'active' FROM v_models WHERE status = 'DONE'
+  HAVING max(id) NOT IN (SELECT model_id FROM v_deployments)""", "v_models", "v_deployments"))
+def q_r8_commit(spark, d):
+    """The newest model made active in the stored deployments, twice: the replay changes nothing."""
+    from modelkeep.session import scratch_path
+    from modelkeep.sources.snapshots import SnapshotTable
+    m = _models(spark, d)
+    table_ = SnapshotTable(spark, scratch_path(spark, "deployments"))
+    table_.append(_deps(spark, d, m).drop("deployed_at"), "first")
+    newest = m.where(F.col("status") == "DONE").agg(F.max("id")).first()[0]
+    for _ in range(2):
+        R.commit_active(table_, m, newest, f"activate {newest}")
+    return table_.read().select("id", "model_id", "status")
+
+
 @register("S1_scan_csv", """
 SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
 def q_s1(spark, d):
@@ -1572,7 +1606,7 @@ def q_s6(spark, d):
     rows = V.v_audit(spark, d).drop("id")
     for _ in range(2):
         TB.write_table(rows, path)
-    return spark.read.parquet(path).groupBy("event_type", "severity").agg(
+    return TB.read_table(spark, path).groupBy("event_type", "severity").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
 
 
@@ -1583,7 +1617,7 @@ def q_a1(spark, d):
     from modelkeep.session import scratch_path
     path = scratch_path(spark, "events")
     A.append_events(V.v_audit(spark, d).select("event_type", "message", "severity"), path)
-    return spark.read.parquet(path).groupBy("event_type", "message", "severity").agg(F.count_distinct("id").alias("n"))
+    return TB.read_table(spark, path).groupBy("event_type", "message", "severity").agg(F.count_distinct("id").alias("n"))
 
 
 @register("T9_onehot_columns", with_views(f"""

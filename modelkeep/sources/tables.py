@@ -1,21 +1,20 @@
 """Sources and sinks: S1-S8.
 
 Bookkeeping tables (datasets, models, deployments, prediction_log, feedback,
-drift_reports, audit_log) are append-only Parquet folders.  Updates (R8,
-R11, R12) write a new snapshot next to the old one and never overwrite a
-path that is being read.
+drift_reports, audit_log) are snapshot tables (``snapshots.py``): appends and
+updates (R8, R11, R12) are commits, and readers see whole versions only.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelkeep.functions.values import NUMBER_PATTERN, as_text
+from modelkeep.sources.snapshots import SnapshotTable
 
 # The tokens a pandas CSV reader turns into missing values.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -148,26 +147,25 @@ def scan_inputs_json(log: DataFrame, column: str = "input_json",
 _SPARK_TYPES = {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}
 
 
-def write_table(df: DataFrame, path: str, mode: str = "append", id_col: str | None = "id") -> DataFrame:
-    """Append records to a bookkeeping table.
+def write_table(df: DataFrame, path: str, mode: str = "append", id_col: str | None = "id", token: str | None = None) -> DataFrame:
+    """Append records to a bookkeeping table, as one commit; returns them as stored.
 
-    New ids continue after the current maximum: ``max(id) + 1 +
-    monotonically_increasing_id()`` -- unique and increasing, computed without
-    a global sort or a single-task row number.
+    New records get ids of a block that the commit reserves, so two writers
+    never give equal ids; a commit replayed with its ``token`` changes nothing.
+    ``mode="overwrite"`` puts the records in place of all others.
     """
-    spark = df.sparkSession
-    out = df
-    if id_col and id_col not in df.columns:
-        try:
-            last = spark.read.parquet(path).agg(F.max(id_col)).first()[0]
-        except AnalysisException as e:  # first write: no table yet
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            last = None
-        start = 0 if last is None else last + 1
-        out = df.withColumn(id_col, F.lit(start).cast("long") + F.monotonically_increasing_id())
-    out.write.mode(mode).parquet(path)
-    return out
+    t = SnapshotTable(df.sparkSession, path, id_col)
+    if mode == "overwrite" and t.version() >= 0:
+        return t.update(lambda _: df, token)
+    return t.append(df, token)
+
+
+def read_table(spark: SparkSession, path: str, id_col: str | None = "id", version: int | None = None) -> DataFrame:
+    """The records of a bookkeeping table at a version (the last one)."""
+    found = SnapshotTable(spark, path, id_col).read(version)
+    if found is None:
+        raise ValueError(f"{path} has no records.")
+    return found
 
 
 def list_datasets(datasets: DataFrame) -> DataFrame:

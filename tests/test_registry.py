@@ -6,7 +6,7 @@ from modelkeep.operators import audit as A
 from modelkeep.operators import registry as R
 from modelkeep.operators import scoring as S
 from modelkeep.sources import fixtures as V
-from modelkeep.sources.tables import write_table
+from modelkeep.sources.tables import read_table, write_table
 from tests.conftest import SF_SMALL
 
 MODELS = ("id long, dataset_id long, status string, algorithm string, f1_score double, "
@@ -91,9 +91,9 @@ def test_feedback_latest_wins_and_unknown(spark):
 def test_write_table_ids_and_audit(spark, scratch):
     path = scratch("audit")
     A.log_event(spark, path, "SYSTEM", "first")
-    first_id = spark.read.parquet(path).first()["id"]
+    first_id = read_table(spark, path).first()["id"]
     A.log_events(spark, path, [("DRIFT", "two", "WARNING"), ("TRAINING", "three", "INFO")])
-    ev = spark.read.parquet(path)
+    ev = read_table(spark, path)
     ids = {r["message"]: r["id"] for r in ev.collect()}
     # unique and increasing across appends (not dense: no global row number)
     assert len(set(ids.values())) == 3 and ids["two"] > first_id and ids["three"] > first_id

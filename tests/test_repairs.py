@@ -16,7 +16,7 @@ def test_ids_go_on_after_zero(spark, scratch):
     path = scratch("ids")
     for k in range(4):
         S.write_table(spark.createDataFrame([(k,)], "v long").coalesce(1), path)
-    ids = sorted(r["id"] for r in spark.read.parquet(path).collect())
+    ids = sorted(r["id"] for r in S.read_table(spark, path).collect())
     assert len(set(ids)) == 4
     assert R.next_record_id(spark.createDataFrame([(0,)], "id long")) == 1
     assert R.next_record_id(spark.createDataFrame([], "id long")) == 0

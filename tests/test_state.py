@@ -6,7 +6,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from modelkeep.plans import lifecycle as L
-from modelkeep.sources.tables import load_model
+from modelkeep.sources.tables import load_model, read_table
 
 
 def registry(spark):
@@ -33,11 +33,11 @@ def test_every_active_deployment_is_monitored_and_stored(spark, scratch):
     root = scratch("state")
     L.store_monitoring(root, reports, requests, deps)
     L.store_monitoring(root, reports, requests, deps)
-    stored = spark.read.parquet(f"{root}/drift_reports")
+    stored = read_table(spark, f"{root}/drift_reports")
     assert stored.count() == 4 and stored.select("id").distinct().count() == 4
-    events = spark.read.parquet(f"{root}/audit_log").collect()
+    events = read_table(spark, f"{root}/audit_log").collect()
     assert len(events) == 4 and all(e["severity"] == "WARNING" and "Triggering auto-retraining" in e["message"] for e in events)
-    assert spark.read.parquet(f"{root}/model_requests").count() == 2 * requests.count()
+    assert read_table(spark, f"{root}/model_requests").count() == 2 * requests.count()
 
 
 def test_dataset_and_custom_training_are_stored(spark, scratch):
@@ -45,7 +45,7 @@ def test_dataset_and_custom_training_are_stored(spark, scratch):
     df, root = churn(spark), scratch("state")
     for _ in range(2):
         L.store_dataset(root, L.register_dataset(df, "churn.csv"))
-    rows = spark.read.parquet(f"{root}/datasets").collect()
+    rows = read_table(spark, f"{root}/datasets").collect()
     assert len({r["id"] for r in rows}) == 2 and json.loads(rows[0]["features_metadata"])["gender"]["type"] == "categorical"
     dp = L.DatasetProfile("churn", "classification", 80, 4, df, "", ["age"], ["gender"])
     only = deps.where("id = 0")
@@ -57,5 +57,5 @@ def test_dataset_and_custom_training_are_stored(spark, scratch):
     assert meta["classes"] == ["no", "yes"] and model.transform(df).count() == 80
     active = {r["model_id"] for r in after.where("status = 'active'").collect()}
     assert active == ({model_id} if decided["promoted"] else {0})
-    assert spark.read.parquet(f"{root}/models").first()["f1_score"] == result.best.metrics["f1_score"]
-    assert {e["event_type"] for e in spark.read.parquet(f"{root}/audit_log").collect()} == {"DATASET", "TRAINING", "PROMOTION"}
+    assert read_table(spark, f"{root}/models").first()["f1_score"] == result.best.metrics["f1_score"]
+    assert {e["event_type"] for e in read_table(spark, f"{root}/audit_log").collect()} == {"DATASET", "TRAINING", "PROMOTION"}
