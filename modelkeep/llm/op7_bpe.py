@@ -68,14 +68,14 @@ _KIND[0x30:0x3A] = _DIGIT
 _KIND[_ASCII_SPACE] = _BLANK
 _KIND[ord("'")] = _HARD
 
-#: Transitions a worker remembers: about 20 MB.
-CELLS_KEPT = 1 << 21
+#: Transitions a worker remembers: about 5 MB.
+CELLS_KEPT = 1 << 19
 
 #: Words of more bytes are read one by one.
 LONG = 48
 
 #: Bytes of text whose equal runs are read once, and words that go through the table in step.
-SLICE, WORDS = 1 << 21, 1 << 15
+SLICE, WORDS = 1 << 21, 1 << 14
 
 _NEVER = 1 << 60
 
@@ -96,7 +96,6 @@ class Automaton:
         self.id_of = {text: vocabulary[token] for token, text in label.items()}
         self.label = {i: text for text, i in self.id_of.items()}
         self.added = added or {}
-        self.added_bytes = [t.encode() for t in self.added]
         self.label.update({i: text.encode() for text, i in self.added.items()})
         self.halves: dict[int, tuple[int, int, int]] = {}  # token -> (rank, left, right)
         self.taken: dict[tuple[int, int], int] = {}  # (u, v) -> rank of the gadget that took the arc
@@ -191,48 +190,97 @@ class Automaton:
                 ids += self._split(run)
         return ids
 
-    def apart(self, text: bytes) -> bool:
-        """Whether a text can't be cut at its ASCII white space: it holds an added token or other white space."""
-        if not text.isascii() and _WIDE_SPACE.search(text.decode()):
-            return True
-        return any(t in text for t in self.added_bytes)
-
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, special tokens included."""
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
 
 
 class Table:
-    """An automaton's gadgets and labels as arrays, to read many words at once."""
+    """An automaton's gadgets and labels as arrays, to read many words at once.
+
+    It is made on the driver and travels as a few MB; the trie's upper nodes get
+    a row for every byte where it arrives, deeper ones are looked up.
+    """
 
     def __init__(self, own: Automaton):
-        self.own = own
         size = max(own.label, default=0) + 1
-        self.rank, self.left, self.right = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.rank, self.left, self.right = np.full(size, -1, np.int32), np.zeros(size, np.int32), np.zeros(size, np.int32)
         for token, (rank, u, v) in own.halves.items():
             self.rank[token], self.left[token], self.right[token] = rank, u, v
         pairs = sorted((u << 32 | v, rank) for (u, v), rank in own.taken.items())
         self.pairs = np.array([*(p for p, _ in pairs), _NEVER << 2], np.int64)
         self.ranks = np.array([*(r for _, r in pairs), _NEVER], np.int64)
-        # The labels as a trie: the nodes' children by byte (0: none), and the token that ends in a node.
+        self.added = own.added
+        texts = [own.label.get(k, b"") for k in range(size)]
+        self.label_bytes, self.label_ends = b"".join(texts), np.cumsum([len(t) for t in texts]).astype(np.int32)
+        # The labels as a trie: a sorted key (node, byte) for each child, nodes in the order of their depth.
         labels = sorted(own.tokens)
         data, length = np.frombuffer(b"".join(labels), np.uint8), np.array([len(x) for x in labels], np.int64)
-        first, node, nodes, steps = np.cumsum(length) - length, np.zeros(len(labels), np.int64), 1, []
-        for at in range(own.longest):
+        self.longest = int(length.max(initial=0))
+        first, node, nodes, keys, self.shallow = np.cumsum(length) - length, np.zeros(len(labels), np.int64), 1, [], 1
+        for at in range(self.longest):
             more = np.flatnonzero(length > at)
             key, of = np.unique(node[more] << 8 | data[first[more] + at], return_inverse=True)
             node[more] = nodes + of
-            steps.append((key, nodes + np.arange(len(key))))
+            keys.append(key)
             nodes += len(key)
-        key, child = (np.concatenate([s[k] for s in steps]) if steps else np.zeros(0, np.int64) for k in (0, 1))
-        inner = np.unique(key >> 8)  # nodes with children have a row each, all others row 0
-        self.row = np.zeros(nodes, np.int32)
-        self.row[inner] = 1 + np.arange(len(inner))
-        self.child = np.zeros((len(inner) + 1, 256), np.int32)
-        self.child[self.row[key >> 8], key & 255] = child
-        self.token = np.full(nodes, -1, np.int64)
+            if at == 1:
+                self.shallow = nodes  # nodes of at most two bytes
+        self.keys = np.append(np.concatenate(keys) if keys else np.zeros(0, np.int64), _NEVER).astype(np.int64)  # the child of key k is node k + 1
+        self.token = np.full(nodes, -1, np.int32)
         self.token[node] = [own.tokens[x] for x in labels]
+        self.__setstate__(self.__getstate__())
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("child", "known", "cells", "splitter", "specials", "labels", "written")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.child = np.zeros((self.shallow, 256), np.int32)
+        upper = np.flatnonzero(self.keys >> 8 < self.shallow)
+        self.child[self.keys[upper] >> 8, self.keys[upper] & 255] = upper + 1
         self.known, self.cells = np.array([_NEVER << 2], np.int64), np.zeros(1, bool)
+        self.splitter = regex.compile(PRE_SPLIT)
+        self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        ends = self.label_ends.tolist()
+        self.labels = [self.label_bytes[a:b] for a, b in zip([0, *ends], ends)]
+        self.written = [str(k).encode() for k in range(len(ends))]
+
+    def _step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The child of each node by a byte; 0: none."""
+        out = np.zeros(len(node), np.int64)
+        upper = node < self.shallow
+        out[upper] = self.child[node[upper], byte[upper]]
+        deep = np.flatnonzero(~upper)
+        key = node[deep] << 8 | byte[deep]
+        at = np.searchsorted(self.keys, key)
+        out[deep] = np.where(self.keys[at] == key, at + 1, 0)
+        return out
+
+    def apart(self, text: bytes) -> bool:
+        """Whether a text can't be cut at its ASCII white space: it holds an added token or other white space."""
+        if not text.isascii() and _WIDE_SPACE.search(text.decode()):
+            return True
+        return any(t.encode() in text for t in self.added)
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a whole text; added tokens that stand in it are one id."""
+        out = []
+        for part in self.specials.split(text) if self.specials else [text]:
+            if part in self.added:
+                out.append(np.array([self.added[part]], np.int64))
+                continue
+            words = [w.encode() for w in self.splitter.findall(part)]
+            short = [w if len(w) <= LONG else b"" for w in words]
+            ids, depth = self.paths(np.frombuffer(b"".join(short), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in short])]).astype(np.int64))
+            cuts = np.concatenate([[0], np.cumsum(depth)])
+            done = 0
+            for k, word in enumerate(words):
+                if len(word) > LONG:
+                    out += [ids[cuts[done]:cuts[k]], self._paths(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0]]
+                    done = k
+            out.append(ids[cuts[done]:])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
     def arcs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """The cells (u, v) of the transition table, worked out from the gadgets as ``Automaton._arc`` does."""
@@ -243,13 +291,13 @@ class Table:
             at = np.searchsorted(self.pairs, key)
             open_ = (self.pairs[at] != key) | (self.ranks[at] >= before)
             todo, u, v, before = (x[open_] for x in (todo, u, v, before))
-            made_u, made_v = self.rank[u], self.rank[v]
+            made_u, made_v = self.rank[u].astype(np.int64), self.rank[v].astype(np.int64)
             later, same = made_v > made_u, made_v == made_u
             twice = self.left[u] == self.right[u]
             yes = same & ((made_u < 0) | twice)
             no = later & (u == self.left[v]) & (u == self.right[v])
             out[todo[yes]] = True
-            u, v, before = np.where(later, u, self.right[u]), np.where(later | same, self.left[v], v), np.where(later, made_v, made_u)
+            u, v, before = np.where(later, u, self.right[u]).astype(np.int64), np.where(later | same, self.left[v], v).astype(np.int64), np.where(later, made_v, made_u)
             go = ~yes & ~no
             todo, u, v, before = (x[go] for x in (todo, u, v, before))
         return out
@@ -284,13 +332,13 @@ class Table:
         # Every label that begins at some byte, the longest first.
         place, node = np.arange(len(data)), np.zeros(len(data), np.int64)
         after, own_place, own_token, own_length = np.repeat(bounds[1:], np.diff(bounds)), [], [], []
-        for at in range(self.own.longest):
-            node = self.child[self.row[node], data[place + at]].astype(np.int64)
+        for at in range(self.longest):
+            node = self._step(node, data[place + at].astype(np.int64))
             alive = node > 0
             place, node = place[alive], node[alive]
             if not len(place):
                 break
-            token = self.token[node]
+            token = self.token[node].astype(np.int64)
             ends = token >= 0
             own_place.append(place[ends])
             own_token.append(token[ends])
@@ -340,9 +388,9 @@ class Runs:
     ``ids[cuts[d]:cuts[d + 1]]`` are the ids of the distinct run d."""
 
     def __init__(self, table: Table, data: np.ndarray, bounds: np.ndarray):
-        own, raw = table.own, data.tobytes()
+        raw = data.tobytes()
         begin, end, first = _runs(data, bounds)
-        whole = [k for k in range(len(bounds) - 1) if own.apart(raw[bounds[k]:bounds[k + 1]])]
+        whole = [k for k in range(len(bounds) - 1) if table.apart(raw[bounds[k]:bounds[k + 1]])]
         if whole:
             text = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
             keep = ~np.isin(text, whole)
@@ -393,9 +441,9 @@ class Runs:
         for k in rest.tolist():
             run = raw[begin[k]:end[k]].decode()
             if special[k] or length[k] > LONG:
-                sizes.append(np.array(table.own.encode(run), np.int64))
+                sizes.append(table.encode(run))
             else:
-                own = [w.encode() for w in table.own.splitter.findall(run)]
+                own = [w.encode() for w in table.splitter.findall(run)]
                 sizes.append(len(own))
                 parts += own
         lengths = np.concatenate([np.diff(np.append(starts, int(keep.sum()))), [len(w) for w in parts]]).astype(np.int64)
@@ -438,32 +486,10 @@ def _runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return begin, end, np.searchsorted(begin, bounds)
 
 
-class Shared:
-    """A broadcast automaton; a worker keeps its table."""
-
-    def __init__(self, own: Automaton):
-        self.own, self.made = own, None
-        size = max(own.label, default=0) + 1
-        self.labels = [own.label.get(k, b"") for k in range(size)]
-        self.written = [str(k).encode() for k in range(size)]
-
-    def __getstate__(self):
-        return self.own
-
-    def __setstate__(self, own):
-        self.__init__(own)
-
-    @property
-    def table(self) -> Table:
-        if self.made is None:
-            self.made = Table(self.own)
-        return self.made
-
-
 def _shared(spark, path: str):
-    """The automaton of a tokenizer file (a few MB, bounded by its vocabulary), compiled here, as a broadcast."""
+    """The table of a tokenizer file (a few MB, bounded by its vocabulary), compiled here, as a broadcast."""
     with open(path, encoding="utf-8") as file:
-        return spark.sparkContext.broadcast(Shared(Automaton.from_json(file.read())))
+        return spark.sparkContext.broadcast(Table(Automaton.from_json(file.read())))
 
 
 def _text_column(texts: pa.Array) -> pa.Array:
@@ -478,7 +504,7 @@ def encode_column(spark, path: str):
     def encode(texts: pa.Array) -> pa.Array:
         parts = []
         for _, _, data, bounds in W.slices(_text_column(texts)):
-            ids, cuts = Runs(shared.value.table, data, bounds).flat()
+            ids, cuts = Runs(shared.value, data, bounds).flat()
             parts.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32())))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
     return encode
@@ -511,7 +537,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for batch in grouped(batches, 1, SLICE):
             n, ids_sha, text_sha = [], [], []
             for _, _, data, bounds in W.slices(batch.column(1), SLICE):
-                runs = Runs(shared.value.table, data, bounds)
+                runs = Runs(shared.value, data, bounds)
                 n.append(np.diff(np.concatenate([[0], np.cumsum(runs.sizes[runs.of])])[runs.first]))
                 of, written, labels = runs.of.tolist(), runs.joined(shared.value.written, b","), runs.joined(shared.value.labels, b"")
                 for a, b in zip(runs.first[:-1].tolist(), runs.first[1:].tolist()):
@@ -536,7 +562,7 @@ def tokenized(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         for batch in grouped(batches, at, SLICE):
             ids, sha = [], []
             for _, _, data, bounds in W.slices(_text_column(batch.column(at)), SLICE):
-                runs = Runs(shared.value.table, data, bounds)
+                runs = Runs(shared.value, data, bounds)
                 flat, cuts = runs.flat()
                 ids.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32())))
                 of, labels = runs.of.tolist(), runs.joined(shared.value.labels, b"")
