@@ -68,8 +68,8 @@ _KIND[0x30:0x3A] = _DIGIT
 _KIND[_ASCII_SPACE] = _BLANK
 _KIND[ord("'")] = _HARD
 
-#: Transitions a worker remembers: about 5 MB.
-CELLS_KEPT = 1 << 19
+#: Transitions a worker remembers: about 10 MB.
+CELLS_KEPT = 1 << 20
 
 #: Words of more bytes are read one by one.
 LONG = 48
@@ -242,9 +242,9 @@ class Table:
         self.known, self.cells = np.array([_NEVER << 2], np.int64), np.zeros(1, bool)
         self.splitter = regex.compile(PRE_SPLIT)
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        ends = self.label_ends.tolist()
-        self.labels = [self.label_bytes[a:b] for a, b in zip([0, *ends], ends)]
-        self.written = [str(k).encode() for k in range(len(ends))]
+        self.labels = np.frombuffer(self.label_bytes, np.uint8), self.label_ends.astype(np.int64)
+        decimal = [f"{k},".encode() for k in range(len(self.label_ends))]
+        self.written = np.frombuffer(b"".join(decimal), np.uint8), np.cumsum([len(d) for d in decimal])
 
     def _step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The child of each node by a byte; 0: none."""
@@ -257,6 +257,11 @@ class Table:
         out[deep] = np.where(self.keys[at] == key, at + 1, 0)
         return out
 
+    def decode(self, ids: np.ndarray) -> str:
+        """The labels of the arcs, special tokens included."""
+        data, ends = self.labels
+        return b"".join([data[a:b].tobytes() for a, b in zip((ends - np.diff(ends, prepend=0))[ids].tolist(), ends[ids].tolist())]).decode("utf-8", "replace")
+
     def apart(self, text: bytes) -> bool:
         """Whether a text can't be cut at its ASCII white space: it holds an added token or other white space."""
         if not text.isascii() and _WIDE_SPACE.search(text.decode()):
@@ -346,7 +351,7 @@ class Table:
             alive = place + at + 1 < after[place]
             place, node = place[alive], node[alive]
         place, token, length = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (own_place, own_token, own_length))
-        order = np.lexsort((-length, place))
+        order = np.argsort(place * 256 + (255 - length)) if self.longest < 256 else np.lexsort((-length, place))
         place, token, length = place[order], token[order], length[order]
         first = np.searchsorted(place, np.arange(len(data) + 1))
         at, depth = bounds[:-1].copy(), np.zeros(n, np.int64)
@@ -466,10 +471,15 @@ class Runs:
         at = np.repeat(self.cuts[self.of] - after[:-1], size) + np.arange(int(after[-1]))
         return self.ids[at], after[self.first]
 
-    def joined(self, parts: list[bytes], between: bytes) -> list[bytes]:
-        """For each distinct run the ``parts`` of its ids, with ``between`` between."""
-        own, cuts = [parts[i] for i in self.ids.tolist()], self.cuts.tolist()
-        return [between.join(own[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    def joined(self, data: np.ndarray, ends: np.ndarray, between: int = 0) -> list[bytes]:
+        """For each distinct run the parts of its ids, one after the other: part
+        k ends at ``ends[k]`` of ``data``.  ``between`` bytes at the end of the last one are left out."""
+        begins = ends - np.diff(ends, prepend=0)
+        size = (ends - begins)[self.ids]
+        after = np.concatenate([[0], np.cumsum(size)])
+        raw = data[np.repeat(begins[self.ids] - after[:-1], size) + np.arange(int(after[-1]))].tobytes()
+        cuts = after[self.cuts].tolist()
+        return [raw[a:max(a, b - between)] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -516,9 +526,8 @@ def decode_column(spark, path: str):
 
     @arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        labels = shared.value.labels
-        return pa.array([b"".join([labels[i] for i in row.values.to_numpy().tolist()]).decode("utf-8", "replace") if row.is_valid else ""
-                         for row in ids], pa.string())
+        table = shared.value
+        return pa.array([table.decode(row.values.to_numpy()) if row.is_valid else "" for row in ids], pa.string())
     return decode
 
 
@@ -534,12 +543,12 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     shared = _shared(spark, path)
 
     def run(batches):
-        for batch in grouped(batches, 1, SLICE):
+        for batch in grouped(batches, 1, 2 * SLICE):
             n, ids_sha, text_sha = [], [], []
-            for _, _, data, bounds in W.slices(batch.column(1), SLICE):
+            for _, _, data, bounds in W.slices(batch.column(1), 2 * SLICE):
                 runs = Runs(shared.value, data, bounds)
                 n.append(np.diff(np.concatenate([[0], np.cumsum(runs.sizes[runs.of])])[runs.first]))
-                of, written, labels = runs.of.tolist(), runs.joined(shared.value.written, b","), runs.joined(shared.value.labels, b"")
+                of, written, labels = runs.of.tolist(), runs.joined(*shared.value.written, 1), runs.joined(*shared.value.labels)
                 for a, b in zip(runs.first[:-1].tolist(), runs.first[1:].tolist()):
                     own = of[a:b]
                     ids_sha.append(hex_sha256(b",".join([written[k] for k in own])))
@@ -565,7 +574,7 @@ def tokenized(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 runs = Runs(shared.value, data, bounds)
                 flat, cuts = runs.flat()
                 ids.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32())))
-                of, labels = runs.of.tolist(), runs.joined(shared.value.labels, b"")
+                of, labels = runs.of.tolist(), runs.joined(*shared.value.labels)
                 sha += [hex_sha256(b"".join([labels[k] for k in of[a:b]]).decode("utf-8", "replace").encode())
                         for a, b in zip(runs.first[:-1].tolist(), runs.first[1:].tolist())]
             all_ids = pa.concat_arrays(ids)
