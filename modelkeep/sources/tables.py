@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelkeep.functions.values import NUMBER_PATTERN, as_text
+from modelkeep.sources.csv_records import csv_records
 from modelkeep.sources.snapshots import SnapshotTable
 
 # The tokens a pandas CSV reader turns into missing values.
@@ -37,20 +38,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return scan_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def whole_file_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text by Spark's own multi-line reader, which gives a file to one task."""
+    return spark.read.option("header", True).option("multiLine", True).option("mode", "PERMISSIVE").option("escape", '"').csv(path)
+
+
+def _parsed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The records of ``path`` as columns of ``schema``; names come from the schema, not from the header."""
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+    return csv_records(spark, path).select(F.from_csv("record", ddl, {"escape": '"', "mode": "PERMISSIVE"}).alias("__r")).select("__r.*")
+
+
 def scan_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """Header CSV with pandas-like typing.
 
-    Read every column as text (PERMISSIVE, multi-line), turn the NA tokens
-    into NULL, then type each column by a vote computed in ONE aggregation:
-    all non-null values integers that fit -> bigint, all numbers -> double,
-    all true/false -> boolean, else string.  With an explicit schema the vote is
-    skipped.
+    Quoted values may hold newlines, and a file is still read by a task per
+    split (``csv_records``).  Every column is read as text (PERMISSIVE), the NA
+    tokens become NULL, and each column is typed by a vote computed in ONE
+    aggregation: all non-null values integers that fit -> bigint, all numbers ->
+    double, all true/false -> boolean, else string.  With an explicit schema the
+    vote is skipped.
     """
-    reader = (spark.read.option("header", True).option("multiLine", True)
-              .option("mode", "PERMISSIVE").option("escape", '"'))
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    raw = reader.option("inferSchema", False).csv(path)
+        return _parsed_csv(spark, path, schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema))
+    raw = _parsed_csv(spark, path, whole_file_csv(spark, path).schema)
     cols = raw.columns
     cleaned = raw.select(*[F.when(F.col(c).isin(NA_TOKENS), F.lit(None))
                            .otherwise(F.col(c)).alias(c) for c in cols])
