@@ -83,15 +83,23 @@ def spread(df: DataFrame) -> DataFrame:
     """A scan of a single split (one small file, or one row group) dealt to
     all cores before heavy per-row work; anything else is returned as it is.
 
-    Only plans without an exchange are asked for their partitions, so this
-    starts no job, and at most one split is ever shuffled.
+    Only a plan whose every node works row by row over one scan is asked for
+    its partitions, so this starts no job, and at most one split is ever shuffled.
     """
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    if any(word in plan for word in ("Exchange", "Join", "Aggregate", "Window", "Sort", "Limit", "InMemory", "Union", "Existing")):
-        return df
+    nodes = [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() not in _ROW_BY_ROW:
+            return df
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
+#: Plan nodes that neither move rows between partitions nor read a stored result.
+_ROW_BY_ROW = {"Project", "Filter", "Generate", "LogicalRelation"}
+
+
 ROWS_PER_TASK = 50_000
 
 
