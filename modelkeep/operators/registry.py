@@ -22,6 +22,7 @@ PROMOTED_TEXT = ("Retrained model v%d (%.4f) outperformed active model v%d (%.4f
                  "Auto-promoting...")
 SKIPPED_TEXT = ("Retrained model v%d (%.4f) did not outperform active model v%d (%.4f). "
                 "Promotion skipped.")
+STATUS_TEXT = {"TRAINING": "Training in progress...", "DONE": "Training successfully completed."}
 DEPLOYED_TEXT = "Model v%d (%s) deployed successfully. API is live."
 COMPARISON_SIZE = 8
 
@@ -235,21 +236,26 @@ def commit_thresholds(table: SnapshotTable, drift: float | None = None, performa
     return table.update(lambda deps: update_thresholds(deps, drift, performance), token)
 
 
-def job_events(models: DataFrame) -> DataFrame:
+def job_events(models: DataFrame, error: str | None = None) -> DataFrame:
     """Training job status events derived from model rows: PENDING at
-    creation, TRAINING an hour later, DONE/FAILED two hours later."""
+    creation, TRAINING an hour later, DONE/FAILED two hours later, each with its
+    status message (of a failure the text in the column ``error``; PENDING has none)."""
     st = F.col("status")
-    base = models.select(F.col("id").alias("model_id"), "created_at", "status")
-    pending = base.select("model_id", F.lit(PENDING).alias("status"), F.col("created_at").alias("ts"))
-    training = base.where(st.isin(TRAINING, DONE, FAILED)).select(
-        "model_id", F.lit(TRAINING).alias("status"),
-        (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
-    final = base.where(st.isin(DONE, FAILED)).select(
-        "model_id", "status", (F.col("created_at") + F.expr("INTERVAL 2 HOURS")).alias("ts"))
-    return pending.unionByName(training).unionByName(final)
+    base = models.select(F.col("id").alias("model_id"), "created_at", "status", (F.col(error) if error else F.lit(None).cast("string")).alias("__error"))
+    at = {PENDING: F.col("created_at"), TRAINING: F.col("created_at") + F.expr("INTERVAL 1 HOUR")}
+    last = F.col("created_at") + F.expr("INTERVAL 2 HOURS")
+
+    def event(status, ts, message):
+        return F.struct(status.alias("status"), ts.alias("ts"), message.cast("string").alias("status_message"))
+    steps = F.array(
+        event(F.lit(PENDING), at[PENDING], F.lit(None)),
+        F.when(st.isin(TRAINING, DONE, FAILED), event(F.lit(TRAINING), at[TRAINING], F.lit(STATUS_TEXT[TRAINING]))),
+        F.when(st.isin(DONE, FAILED), event(st, last, F.when(st == DONE, STATUS_TEXT[DONE]).otherwise(F.col("__error")))))
+    return base.select("model_id", F.inline(F.array_compact(steps)))
 
 
 def job_transitions(events: DataFrame) -> DataFrame:
-    """Current state of every job = its last event."""
-    return events.groupBy("model_id").agg(
-        F.max_by("status", "ts").alias("status"), F.count(F.lit(1)).cast("long").alias("n_events"))
+    """Current state of every job = its last event, with its message."""
+    last = F.max_by(F.struct("status", "status_message"), "ts")
+    return events.groupBy("model_id").agg(last.alias("last"), F.count(F.lit(1)).cast("long").alias("n_events")).select(
+        "model_id", "last.status", "last.status_message", "n_events")

@@ -806,20 +806,24 @@ def _newest_done(models):
 
 @register("R11_promote_if_better", with_views("""
 WITH nw AS (SELECT * FROM v_models WHERE id IN (SELECT max(id) FROM v_models WHERE status = 'DONE' GROUP BY dataset_id)),
-act AS (SELECT dp.id AS deployment_id, dp.model_id, m.dataset_id, m.f1_score, m.r2_score
+act AS (SELECT dp.id AS deployment_id, dp.model_id, m.dataset_id, m.version, m.f1_score, m.r2_score
         FROM v_deployments dp JOIN v_models m ON dp.model_id = m.id WHERE dp.status = 'active'),
 j AS (SELECT nw.dataset_id, act.deployment_id, act.model_id AS active_model_id, nw.id AS new_model_id,
+             nw.version AS nv, act.version AS av,
              COALESCE(CASE WHEN ds.problem_type = 'classification' THEN act.f1_score ELSE act.r2_score END, -1.0) AS am,
              COALESCE(CASE WHEN ds.problem_type = 'classification' THEN nw.f1_score ELSE nw.r2_score END, -1.0) AS nm
       FROM nw JOIN act ON nw.dataset_id = act.dataset_id JOIN v_datasets ds ON ds.id = nw.dataset_id)
 SELECT dataset_id, deployment_id, active_model_id, new_model_id, round(am, 6) AS active_metric,
-       round(nm, 6) AS new_metric, nm > am AS promoted FROM j""", "v_models", "v_deployments", "v_datasets"))
+       round(nm, 6) AS new_metric, nm > am AS promoted,
+       printf('Retrained model v%d (%.4f) ', nv, nm) || CASE WHEN nm > am THEN 'outperformed' ELSE 'did not outperform' END
+       || printf(' active model v%d (%.4f). ', av, am) || CASE WHEN nm > am THEN 'Auto-promoting...' ELSE 'Promotion skipped.' END AS message
+FROM j""", "v_models", "v_deployments", "v_datasets"))
 def q_r11(spark, d):
     m = _models(spark, d)
     dec = R.promote_if_better(_newest_done(m), m, _deps(spark, d, m), V.v_datasets(spark, d, m))
     return dec.select("dataset_id", "deployment_id", "active_model_id", "new_model_id",
                       r6("active_metric").alias("active_metric"), r6("new_metric").alias("new_metric"),
-                      "promoted")
+                      "promoted", "message")
 
 
 @register("R12_update_thresholds", with_views(f"""
@@ -831,13 +835,16 @@ def q_r12(spark, d):
 
 @register("R13_job_transitions", with_views("""
 WITH ev AS (
-  SELECT id AS model_id, 'PENDING' AS status, created_at AS ts FROM v_models
-  UNION ALL SELECT id, 'TRAINING', created_at + INTERVAL 1 HOUR FROM v_models WHERE status IN ('TRAINING', 'DONE', 'FAILED')
-  UNION ALL SELECT id, status, created_at + INTERVAL 2 HOUR FROM v_models WHERE status IN ('DONE', 'FAILED'))
-SELECT model_id, arg_max(status, ts) AS status, CAST(count(*) AS BIGINT) AS n_events FROM ev GROUP BY model_id""",
+  SELECT id AS model_id, 'PENDING' AS status, created_at AS ts, NULL AS msg, 0 AS step FROM v_models
+  UNION ALL SELECT id, 'TRAINING', created_at + INTERVAL 1 HOUR, 'Training in progress...', 1 FROM v_models WHERE status IN ('TRAINING', 'DONE', 'FAILED')
+  UNION ALL SELECT id, status, created_at + INTERVAL 2 HOUR,
+                   CASE WHEN status = 'DONE' THEN 'Training successfully completed.' ELSE 'Model ' || id || ' failed.' END, 2
+            FROM v_models WHERE status IN ('DONE', 'FAILED'))
+SELECT model_id, arg_max(status, ts) AS status, last(msg ORDER BY ts) AS status_message, CAST(count(*) AS BIGINT) AS n_events FROM ev GROUP BY model_id""",
     "v_models"))
 def q_r13(spark, d):
-    return R.job_transitions(R.job_events(_models(spark, d)))
+    failed = _models(spark, d).withColumn("error", F.format_string("Model %d failed.", "id"))
+    return R.job_transitions(R.job_events(failed, "error"))
 
 
 # ------------------------------------------------------- scoring & feedback
@@ -925,12 +932,14 @@ chk AS (SELECT a.deployment_id, a.n_labelled, a.accuracy, dp.performance_thresho
         FROM acc a JOIN v_deployments dp ON a.deployment_id = dp.id WHERE a.n_labelled >= 5)"""
 
 
-@register("F9_performance_check", with_views("WITH " + _F9_SQL.strip() + "\nSELECT * FROM chk",
+@register("F9_performance_check", with_views("WITH " + _F9_SQL.strip() + """
+SELECT *, CASE WHEN alarm THEN printf('Model performance dropped to %.2f (threshold: %.2f). Triggering automatic retraining.',
+                                      accuracy, performance_threshold) END AS message FROM chk""",
                                              "v_pred_log", "v_models", "v_deployments"))
 def q_f9(spark, d):
     out = S.performance_check(V.v_pred_log(spark, d), _deps(spark, d))
     return out.select("deployment_id", "n_labelled", r6("accuracy").alias("accuracy"),
-                      "performance_threshold", "alarm")
+                      "performance_threshold", "alarm", "message")
 
 
 @register("F10_retrain_requests", with_views("WITH " + _F9_SQL.strip() + """
@@ -1463,6 +1472,107 @@ def q_f2_held_out(spark, d):
     return _held_out(M.make_estimator("linear", "regression", {}, 0).fit(train), train, test)
 
 
+# Fits whose every prediction has a closed form in SQL: least squares on one
+# column, group means of a tree that can tell all groups apart, class shares of
+# groups for a logistic model without a penalty.
+_LINE_SQL = """
+WITH s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept FROM v_reg)
+SELECT k, round(slope * l_quantity + intercept, 2) AS prediction FROM v_reg, s"""
+_GROUP_MEANS_SQL = "SELECT k, round(avg(l_extendedprice) OVER (PARTITION BY l_returnflag), 2) AS prediction FROM v_reg"
+
+
+def _line_data(spark, d):
+    return V.v_reg(spark, d).select("k", "l_quantity", "l_extendedprice")
+
+
+def _rounded(scored, key="k"):
+    return scored.select(key, F.round("prediction", 2).alias("prediction"))
+
+
+def _flag_frame(spark, d):
+    """One feature, the place of the row's return flag; label is the price."""
+    from pyspark.ml.feature import VectorAssembler
+    place = F.array_position(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("l_returnflag"))
+    rows = V.v_reg(spark, d).select("k", place.cast("double").alias("flag"), F.col("l_extendedprice").alias("label"))
+    return VectorAssembler(inputCols=["flag"], outputCol="features").transform(rows)
+
+
+@register("M3_group_means", with_views(_GROUP_MEANS_SQL, "v_reg"))
+def q_m3_means(spark, d):
+    """A forest whose trees see all rows: every tree is the groups' means."""
+    rows = _flag_frame(spark, d)
+    forest = M.make_estimator("forest", "regression", {"numTrees": 3, "maxDepth": 2}, 0).setBootstrap(False)
+    return _rounded(forest.fit(rows).transform(rows))
+
+
+@register("M4_group_means", with_views(_GROUP_MEANS_SQL, "v_reg"))
+def q_m4_means(spark, d):
+    """The first tree is the groups' means; later rounds find nothing left."""
+    rows = _flag_frame(spark, d)
+    return _rounded(M.fit_boosted_level(rows, "regression", {"rounds": 3, "maxDepth": 2, "learningRate": 0.1}).transform(rows))
+
+
+@register("M5_group_means", with_views(_GROUP_MEANS_SQL, "v_reg"))
+def q_m5_means(spark, d):
+    rows = _flag_frame(spark, d)
+    boosted = M.make_estimator("boosted_leaf", "regression", {"rounds": 3, "maxDepth": -1}, 0).setSubsamplingRate(1.0)
+    return _rounded(boosted.fit(rows).transform(rows))
+
+
+@register("M1_class_shares", """
+SELECT l.doc_id, round(avg(CAST(quality AS DOUBLE)) OVER (PARTITION BY lang), 3) AS probability
+FROM labels l JOIN documents d USING (doc_id) WHERE quality IS NOT NULL AND lang IS NOT NULL""")
+def q_m1_shares(spark, d):
+    """Indicators of all groups and no penalty: the likelihood's maximum is the groups' class shares."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    rows = table(spark, d, "labels").where("quality IS NOT NULL").join(table(spark, d, "documents").where("lang IS NOT NULL").select("doc_id", "lang"), "doc_id")
+    langs = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]
+    named = [f"is_{i}" for i in range(1, len(langs))]
+    rows = rows.select("doc_id", F.col("quality").cast("double").alias("label"), *[(F.col("lang") == x).cast("double").alias(c) for x, c in zip(langs[1:], named)])
+    rows = VectorAssembler(inputCols=named, outputCol="features").transform(rows)
+    scored = M.fit_logistic(rows, {"C": 1e9}).transform(rows)
+    return scored.select("doc_id", F.round(vector_to_array("probability")[1], 3).alias("probability"))
+
+
+@register("M8_least_squares", with_views(_LINE_SQL, "v_reg"))
+def q_m8_line(spark, d):
+    rows = _line_data(spark, d).withColumn("label", F.col("l_extendedprice"))
+    best = M.SearchResult("Linear Regression", "linear", {}, None, None)
+    return _rounded(M.refit_full(best, rows, "regression", ["l_quantity"], [], 0).transform(rows))
+
+
+def _line_model(spark, d):
+    return M.train_custom_estimator(M.make_estimator("linear", "regression", {}, 0), _line_data(spark, d), "l_extendedprice", "regression", ["l_quantity"], [], "k")
+
+
+@register("F2_least_squares", with_views(_LINE_SQL, "v_reg"))
+def q_f2_line(spark, d):
+    return _rounded(L.score_batch(_line_model(spark, d)[0], _line_data(spark, d), None))
+
+
+@register("S7_save_load", with_views(_LINE_SQL.replace("round(slope", "'line' AS name, round(slope"), "v_reg"))
+def q_s7(spark, d):
+    """Predictions and metadata of a model that was saved and loaded again."""
+    from modelkeep.session import scratch_path
+    folder = TB.save_model(_line_model(spark, d)[0], {"name": "line"}, scratch_path(spark, "model"))
+    model, meta = TB.load_model(spark, folder)
+    return _rounded(L.score_batch(model, _line_data(spark, d), None)).withColumn("name", F.lit(meta["name"]))
+
+
+@register("M10_least_squares", with_views(f"""
+WITH r AS (SELECT *, {_test_flag_sql('k')} AS test FROM v_reg),
+s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept FROM r WHERE NOT test),
+e AS (SELECT l_extendedprice AS y, slope * l_quantity + intercept - l_extendedprice AS err FROM r, s WHERE test)
+SELECT round(1 - sum(err * err) / (var_pop(y) * count(*)), 6) AS r2_score, round(avg(abs(err)), 4) AS mae,
+       round(sqrt(avg(err * err)), 4) AS rmse FROM e""", "v_reg"))
+def q_m10_line(spark, d):
+    """Metrics on the test split of a user's estimator fitted to the training split."""
+    m = _line_model(spark, d)[1]
+    return spark.createDataFrame([(float(m["r2_score"]), float(m["mae"]), float(m["rmse"]))], "r2_score double, mae double, rmse double").select(
+        F.round("r2_score", 6).alias("r2_score"), F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"))
+
+
 @register("F4_log_predictions", with_views("""
 SELECT CAST(0 AS BIGINT) AS deployment_id, l_quantity, l_discount, l_tax, l_returnflag, CAST(count(*) AS BIGINT) AS n_ids
 FROM v_reg GROUP BY l_quantity, l_discount, l_tax, l_returnflag""", "v_reg"))
@@ -1484,6 +1594,33 @@ def q_p15(spark, d):
     return L.register_dataset(V.v_dirty(spark, d), "orders_dirty.csv", key=["o_orderkey"])
 
 
+@register("P15_dataset_row", with_views(_ISSUES_SQL + f""",
+found AS (SELECT count(*) AS n FROM issues)
+SELECT CAST(7 AS BIGINT) AS id, 'orders_dirty.csv' AS name, count(*) AS row_count, CAST(6 AS BIGINT) AS column_count,
+       'sparse' AS target_column, 'classification' AS problem_type,
+       'Rule-based Profile: This dataset contains ' || count(*) || ' rows and 6 columns. '
+       || 'The AutoML engine has identified it as a classification task targeting ''sparse''.' AS description,
+       CAST(greatest(0, 100 - 10 * any_value(n)) AS BIGINT) AS overall_quality_score, CAST(any_value(n) AS INTEGER) AS n_issues
+FROM v_dirty, found""", "v_dirty"))
+def q_p15_row(spark, d):
+    """The stored row's fields, its quality report read back from the JSON."""
+    row = L.register_dataset(V.v_dirty(spark, d), "orders_dirty.csv", key=["o_orderkey"], dataset_id=7)
+    q = F.from_json("quality_report", "overall_quality_score long, issues array<struct<column:string>>")
+    return row.select("id", "name", "row_count", "column_count", "target_column", "problem_type", "description",
+                      q["overall_quality_score"].alias("overall_quality_score"), F.size(q["issues"]).alias("n_issues"))
+
+
+@register("P15_metadata", with_views(_P13_SQL.replace('SELECT p5."column", p5.pos,', 'SELECT p5."column",'), "v_dirty"))
+def q_p15_metadata(spark, d):
+    """The stored row's metadata of every column, read back from the JSON."""
+    row = L.register_dataset(V.v_dirty(spark, d), "orders_dirty.csv", dataset_id=7)
+    stats = "struct<min: double, max: double, mean: double, unique_count: long>"
+    each = row.select(F.explode(F.from_json("features_metadata", f"map<string, struct<type: string, null_count: long, dtype: string, stats: {stats}, role: string, explanation: string>>")).alias("column", "m"))
+    s = F.col("m.stats")
+    return each.select("column", "m.type", "m.null_count", "m.dtype", *[r6(s[c]).alias(c) for c in ("min", "max", "mean")],
+                       s["unique_count"].alias("unique_count"), "m.role", "m.explanation")
+
+
 def _monitor_inputs(spark, d):
     """Training data of the deployed models' datasets: the logged input
     schema (``k``) read from the events themselves; current = the logs."""
@@ -1719,7 +1856,7 @@ def _performance_stream(spark, d):
 def q_x4(spark, d):
     from modelkeep.streaming import streams as X
     root, deps = _performance_stream(spark, d)
-    return X.performance_now(root, spark, deps).select("deployment_id", "n_labelled", r6("accuracy").alias("accuracy"), "performance_threshold", "alarm")
+    return X.performance_now(root, spark, deps).select("deployment_id", "n_labelled", r6("accuracy").alias("accuracy"), "performance_threshold", "alarm", "message")
 
 
 @register("X4_stream_requests", ORACLE["F10_retrain_requests"])
