@@ -69,6 +69,24 @@ def positions(df: DataFrame, order: list[Column], groups: list[str] = [], name:
     return met.select(*df.columns, (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("long").alias(name))
 
 
+def sums_before(df: DataFrame, groups: list[str], order: list[str], weights: list[str], suffix: str = "_below") -> DataFrame:
+    """Add ``<w><suffix>`` = sum of ``w`` over the rows of the group that come
+    before each row in ``order``; no two rows of a group may tie on it.
+
+    Rows are range-partitioned by group and order, so one large group is cut into
+    as many tasks as all small ones together, whatever its size; what the
+    partitions before hold of a group (a row per group and partition) is added
+    to the sums inside the partition.  ``df`` is run once.
+    """
+    dealt = written(df.repartitionByRange(*groups, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy(*groups, "__p").agg(*[F.sum(w).alias(f"__t_{w}") for w in weights])
+    earlier = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*groups, "__p", *[F.coalesce(F.sum(f"__t_{w}").over(earlier), F.lit(0)).alias(f"__o_{w}") for w in weights])
+    inside = Window.partitionBy(*groups, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = dealt.join(offsets, [*groups, "__p"])
+    return met.select(*df.columns, *[(F.coalesce(F.sum(w).over(inside), F.lit(0)) + F.col(f"__o_{w}")).alias(f"{w}{suffix}") for w in weights])
+
+
 def bucket_count(df: DataFrame, groups: list[str], max_rows_per_bucket: int) -> int:
     """Buckets needed so that no (group, bucket) exceeds the row budget."""
     largest = df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0

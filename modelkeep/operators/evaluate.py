@@ -3,7 +3,7 @@
 Classification metrics come from one small confusion table
 ``groupBy(label, prediction).count()`` (classes x classes rows), never from
 row loops.  AUC is exact Mann-Whitney with ties at half weight, computed
-from per-score positive/negative counts and ordered running sums.
+from per-score positive/negative counts and sums over ranges of scores.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelkeep.functions.ordered import running_sums
+from modelkeep.functions.ordered import sums_before
 
 
 def confusion(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -69,7 +69,7 @@ def weighted_f1(pred, label="label", prediction="prediction"):
 
 def _auc_from_counts(counts: DataFrame, groups: list[str]) -> DataFrame:
     """AUC per group from ``(groups, score, pos, neg)`` distinct-score counts."""
-    cum = running_sums(counts, groups, ["score"], ["neg"], inclusive=False, suffix="_below")
+    cum = sums_before(counts, groups, ["score"], ["neg"])
     part = F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))
     agg = cum.groupBy(*groups).agg(F.sum(part).alias("u"), F.sum("pos").alias("p"),
                                    F.sum("neg").alias("q"))
