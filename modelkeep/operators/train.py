@@ -378,8 +378,13 @@ def train_custom_estimator(estimator, df: DataFrame, target: str, problem: str,
     lab = lambda d: d.withColumn("label", label_column(d, target, classes)).where(F.col("label").isNotNull())
     pipe = estimator if isinstance(estimator, Pipeline) else Pipeline(
         stages=feature_pipeline(numerical, categorical).getStages() + [estimator])
-    model = pipe.fit(_kept(lab(train)))
+    def fitted(rows):
+        kept = _kept(rows)
+        try:
+            return pipe.fit(kept)
+        finally:
+            kept.unpersist()
+    model = fitted(lab(train))
     test_l = lab(test)
     metrics = evaluate_model(model, test_l if not test_l.isEmpty() else lab(train), problem, classes)
-    final = pipe.fit(_kept(lab(data)))
-    return final, metrics, classes
+    return fitted(lab(data)), metrics, classes

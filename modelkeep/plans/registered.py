@@ -1732,6 +1732,17 @@ def q_s1(spark, d):
     return TB.scan_csv(spark, path)
 
 
+@register("S1_scan_csv_texts", f"""
+SELECT doc_id, CASE WHEN text IN ({", ".join("'" + t + "'" for t in TB.NA_TOKENS)}) THEN NULL ELSE md5(text) END AS text_md5,
+       CASE WHEN lang IN ({", ".join("'" + t + "'" for t in TB.NA_TOKENS)}) THEN NULL ELSE lang END AS lang FROM documents""")
+def q_s1_texts(spark, d):
+    """Texts with quotes, commas and newlines, written and read by splits."""
+    from modelkeep.session import scratch_path
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    got = TB.scan_csv(spark, TB.write_csv(docs, scratch_path(spark, "csv-documents")))
+    return got.select("doc_id", F.md5("text").alias("text_md5"), "lang")
+
+
 # ------------------------------------------- written tables, one-hot columns
 @register("S6_write_table", with_views("""
 SELECT event_type, severity, CAST(2 * count(*) AS BIGINT) AS n, CAST(2 * count(*) AS BIGINT) AS n_ids
