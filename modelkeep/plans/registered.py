@@ -1573,6 +1573,22 @@ def q_m10_line(spark, d):
         F.round("r2_score", 6).alias("r2_score"), F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"))
 
 
+@register("M9_least_squares", with_views(f"""
+WITH r AS (SELECT *, {_test_flag_sql('k')} AS test FROM v_reg),
+s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept FROM r WHERE NOT test),
+e AS (SELECT round(1 - sum((slope * l_quantity + intercept - l_extendedprice) ** 2) / (var_pop(l_extendedprice) * count(*)), 6) AS r2_score
+      FROM r, s WHERE test),
+w AS (SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept FROM v_reg)
+SELECT k, round(slope * l_quantity + intercept, 2) AS prediction, 'Linear Regression' AS algorithm, r2_score FROM v_reg, w, e""", "v_reg"))
+def q_m9_line(spark, d):
+    """The whole training run with one candidate: score on the test split, then
+    predictions of the model refitted to every row."""
+    rows = _line_data(spark, d)
+    run = M.auto_train(rows, "l_extendedprice", "regression", ["l_quantity"], [], "k", kinds=["linear"])
+    scored = _rounded(L.score_batch(run.final_model, rows, None))
+    return scored.withColumns({"algorithm": F.lit(run.best.name), "r2_score": F.round(F.lit(float(run.best.metrics["r2_score"])), 6)})
+
+
 @register("F4_log_predictions", with_views("""
 SELECT CAST(0 AS BIGINT) AS deployment_id, l_quantity, l_discount, l_tax, l_returnflag, CAST(count(*) AS BIGINT) AS n_ids
 FROM v_reg GROUP BY l_quantity, l_discount, l_tax, l_returnflag""", "v_reg"))

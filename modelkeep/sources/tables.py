@@ -57,11 +57,16 @@ def scan_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
     tokens become NULL, and each column is typed by a vote computed in ONE
     aggregation: all non-null values integers that fit -> bigint, all numbers ->
     double, all true/false -> boolean, else string.  With an explicit schema the
-    vote is skipped.
+    vote is skipped.  Partition folders (``a=1/``) add their columns; their files
+    are read a task each.
     """
     if schema is not None:
         return _parsed_csv(spark, path, schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema))
-    raw = _parsed_csv(spark, path, whole_file_csv(spark, path).schema)
+    raw = whole_file_csv(spark, path)
+    if len(spark.read.text(path).columns) == 1:  # no columns from folder names
+        raw = _parsed_csv(spark, path, raw.schema)
+    else:
+        raw = raw.select(*[F.col(c).cast("string") for c in raw.columns])
     cols = raw.columns
     cleaned = raw.select(*[F.when(F.col(c).isin(NA_TOKENS), F.lit(None))
                            .otherwise(F.col(c)).alias(c) for c in cols])

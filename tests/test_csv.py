@@ -73,6 +73,15 @@ def test_awkward_files(spark, tmp_path, body):
     assert _sorted(S.scan_csv(spark, path, whole.schema)) == _sorted(whole)
 
 
+def test_partition_folders_add_their_column(spark, tmp_path):
+    for day in (1, 2):
+        (tmp_path / f"day={day}").mkdir()
+        (tmp_path / f"day={day}" / "f.csv").write_text('k,t\n1,"x\ny"\n')
+    got = S.scan_csv(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"k": "bigint", "t": "string", "day": "bigint"}
+    assert sorted(map(tuple, got.collect())) == [(1, "x\ny", 1), (1, "x\ny", 2)]
+
+
 def test_an_unclosed_value_runs_to_the_end(spark, tmp_path, small_splits):
     path = _folder(tmp_path, ["a,b\n1,x\n2,\"y\n" + "z,1\n" * 100])
     got = S.scan_csv(spark, path, "a string, b string").collect()
