@@ -94,10 +94,11 @@ def merged(siblings: DataFrame) -> DataFrame:
         # Wilson and Hilferty's approximation of the chi-square quantile.
         limit = free * F.pow(1 - 2 / (9 * free) + DIFFERS * F.sqrt(2 / (9 * free)), 3)
         differ = groups.where((F.col("branches") > 1) & (F.col("squares") - F.col("b") * F.col("p") > limit * F.col("p") * (1 - F.col("p"))) & (F.col("b") > 0) & (F.col("b") < F.col("n")))
-        differ = staged(part_of(differ, "p"), "differ")
+        differ = staged(part_of(differ, "b", "n"), "differ")
         if differ.isEmpty():
             break
-        side = F.when(F.col("p").isNull(), "").when(F.col("bad") > F.col("p") * F.col("m"), "1").otherwise("0")
+        # Whole numbers: rounded rates could part branches of equal rates.
+        side = F.when(F.col("n").isNull(), "").when(F.col("bad") * F.col("n") > F.col("b") * F.col("m"), "1").otherwise("0")
         rates = staged(rates.join(differ, same_part, "left").select("host", "node", "bad", "m", "k", "least", F.concat("part", side).alias("part")), "rates")
     named = part_of(rates.groupBy("host", "node", "part").agg(F.min("least").alias("branch")), "branch")
     named = rates.join(named, same_part).select(*[F.col(c).alias(f"r_{c}") for c in ("host", "node", "bad", "m")], "branch")

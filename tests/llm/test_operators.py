@@ -1,6 +1,7 @@
 """Each operator against brute force, and on awkward and empty tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -421,6 +422,138 @@ def test_urls_share_evidence_per_host_at_any_depth(spark):
     assert branch["/p/red/one/a"] == branch["/p/blue/one/a"] != branch["/p/green/one/a"]
 
 
+def brute_branches(siblings):
+    """{name: branch} of the siblings {name: (bad, m)} of one node."""
+    def part(rates):
+        b, n, free = sum(r[0] for r in rates), sum(r[1] for r in rates), max(1, len(rates) - 1)
+        statistic = sum((x - m * b / n) ** 2 / m for x, m in rates)
+        limit = free * (1 - 2 / (9 * free) + urls.DIFFERS * math.sqrt(2 / (9 * free))) ** 3
+        if len(rates) < 2 or not 0 < b < n or statistic <= limit * (b / n) * (1 - b / n):
+            return [rates]
+        return part([r for r in rates if r[0] * n > b * r[1]]) + part([r for r in rates if r[0] * n <= b * r[1]])
+    named = sorted(x for x in siblings if siblings[x][1])
+    of = {}
+    for rates in part([siblings[x] for x in named]) if named else []:
+        same = [x for x in named if siblings[x] in rates]
+        of.update(dict.fromkeys(same, min(same)))
+    return {x: of.get(x, x) for x in siblings}
+
+
+def brute_urls(rows, rules):
+    """{(page_id, url): (host, path, rule, verdict, template, blocked)}"""
+    def parse(url):
+        rest = (url or "").partition("://")[2]
+        host = re.match("[^/?#]*", rest)[0]
+        return re.sub("[A-Z]", lambda m: m[0].lower(), host), re.match("[^?#]*", rest[len(host):])[0]
+
+    def rule(host, path):
+        fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        best = max(fits, key=lambda r: len(r[1] + r[2]), default=(None, "", ""))
+        return best[0], best[1] + best[2] if fits else None
+
+    def general(segment):
+        bare = re.sub("\\.[A-Za-z0-9]{1,5}\\Z", "", segment)
+        return "*" if re.search("\\A[0-9]+\\Z|\\A[0-9a-fA-F-]{16,}\\Z|[0-9]{3,}", bare) else bare or segment
+
+    hosts, read = {}, {}
+    for page, url in rows:
+        host, path = parse(url)
+        verdict, text = rule(host, path)
+        key = tuple(general(s) for s in path.split("/") if s)
+        read[page, url] = (host, path, text, verdict, key)
+        n = hosts.setdefault(host, {}).setdefault(key, [0, 0, 0])
+        for i, one in enumerate((True, verdict == "block", verdict is not None)):
+            n[i] += one
+    at = {}  # (host, key) -> template, branch
+
+    def walk(host, keys, depth, template, branch):
+        """``keys``, each with its template so far, have a branch in common."""
+        for key in [k for k in keys if len(k) == depth]:
+            at[host, key] = template[key], branch
+        here = [k for k in keys if len(k) > depth]
+        if not here:
+            return
+        if len({k[depth] for k in keys if len(k) > depth}) == 1 and len(here) == len(keys):
+            own = here[0][depth]
+            return walk(host, here, depth + 1, {k: template[k] + (own,) for k in here}, branch + (own,))
+        total = sum(hosts[host][k][0] for k in here)
+        size = Counter()
+        for k in here:
+            size[k[depth]] += hosts[host][k][0]
+        name = {o: "*" if size[o] < urls.LEAST_SHARE * total else o for o in size}
+        rates = {}
+        for k in here:
+            b, m = rates.get(name[k[depth]], (0, 0))
+            rates[name[k[depth]]] = b + hosts[host][k][1], m + hosts[host][k][2]
+        of = brute_branches(rates)
+        for into in set(of.values()):
+            some = [k for k in here if of[name[k[depth]]] == into]
+            walk(host, some, depth + 1, {k: template[k] + (name[k[depth]],) for k in some}, branch + (into,))
+    for host, keys in hosts.items():
+        walk(host, list(keys), 0, dict.fromkeys(keys, ()), ())
+
+    domain = lambda host: (re.findall("[^.]+\\.[^.]+\\Z", host) or [""])[0]
+    over, within, branches = {}, {}, {}
+    for host, keys in hosts.items():
+        for key, (_, b, m) in keys.items():
+            template, branch = at[host, key]
+            for table, where in [*((over, template[:d]) for d in range(len(template) + 1)), (within, (domain(host), template)), (branches, (host, branch))]:
+                old = table.get(where, (0, 0))
+                table[where] = old[0] + b, old[1] + m
+    smooth = lambda counts, p: (counts[0] + urls.PRIOR * p) / (counts[1] + urls.PRIOR)
+    out = {}
+    for row, (host, path, text, verdict, key) in read.items():
+        template, branch = at[host, key]
+        p = (over[()][0] + 1) / (over[()][1] + 2)
+        for depth in range(1, len(template) + 1):
+            p = smooth(over[template[:depth]], p)
+        p = smooth(branches[host, branch], smooth(within[domain(host), template], p))
+        out[row] = (host, path, text, verdict or ("block" if p > urls.THRESHOLD else "allow"), "/" + "/".join(template), p)
+    return out
+
+
+def same_urls(spark, rows, rules):
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = urls.judge(pages, rules=rules).collect()
+    want = brute_urls(rows, rules)
+    assert len(got) == len(rows)
+    for r, (page, url) in zip(sorted(got, key=lambda r: r["page_id"]), rows):
+        assert tuple(r)[1:6] == want[page, url][:5], url
+        assert r["blocked"] == pytest.approx(want[page, url][5], abs=1e-9)
+    return want
+
+
+def test_urls_brute_force_on_whole_pages(spark):
+    rows = sorted((r["page_id"], r["url"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect())
+    want = same_urls(spark, rows, urls.RULES)
+    assert len({w[4] for w in want.values()}) > 3 and {w[3] for w in want.values()} == {"allow", "block"}
+
+
+def test_urls_brute_force_on_forks_and_merged_branches(spark):
+    rng = random.Random(6)
+    names = ["ab", "cd.html", "ef", "gh", "x1", "2024", "deadbeefdeadbeef", "q.x", ".html"]
+    rows = []
+    for _ in range(1500):
+        # A section's own share of blocked pages, so that some siblings agree and some don't.
+        section = rng.choice(names)
+        bad = rng.random() < {"ab": 0.1, "ef": 0.1, "gh": 0.9, "x1": 0.9}.get(section, 0.5)
+        mark = "bad" if bad else rng.choice(["ok", "none"])
+        path = "/".join(["", section, *rng.choices(names, k=rng.randrange(4)), mark, *rng.choices(names, k=rng.randrange(2))])
+        rows.append((len(rows), f"{rng.choice(['http', 'x'])}://{rng.choice(['A.one.org', 'b.one.org', 'two.org', 'solo'])}{path}{rng.choice(['', '?a=/b', '#c', '/'])}"))
+    rows += [(len(rows), f"http://big.org/w{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}/z") for k in range(100)] + [(2000 + k, "http://big.org/home/z") for k in range(40)]
+    middle = ["/".join(m) for k in range(4) for m in itertools.product(names, repeat=k)]
+    hosts = ("one.org", "two.org")
+    rules = [(v, h, f"/{s}{'/' if m else ''}{m}/{w}") for h in hosts for s in names for m in middle if len(m) < 6 for v, w in (("block", "bad"), ("allow", "ok"))]
+    same_urls(spark, rows, rules[:60] + rules[-60:])
+
+
+def test_urls_of_equal_rates_stay_together(spark):
+    # 57 of 100 and 285 of 500 are the rate of all, yet 0.57 * 100 rounds to less than 57 and 0.57 * 500 doesn't.
+    rates = {"a": (57, 100), "b": (285, 500), "c": (0, 430), "d": (570, 570)}
+    got = urls.merged(spark.createDataFrame([("h", "", n, *r) for n, r in rates.items()], "host string, node string, name string, bad long, m long"))
+    assert {r["name"]: r["branch"] for r in got.collect()} == brute_branches(rates) == {"a": "a", "b": "a", "c": "c", "d": "d"}
+
+
 # -------------------------------------------------------------------- bpe
 def test_bpe_equals_the_library(spark, awkward, empty):
     from tokenizers import Tokenizer
@@ -554,6 +687,95 @@ def test_quality_held_out_and_awkward(spark, awkward, empty):
     assert {r["evidence"] for r in none} == {0.0}
 
 
+def brute_statistics(text):
+    words = WORD.findall(text)
+    n, size = len(words), max(1, len(text.encode()))
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    most, share = max(1, n), lambda x, y: math.sqrt(x / y)
+    of = lambda pattern: len(re.findall(pattern, text))
+    again = sum(a == b for a, b in zip(low, low[1:]))
+    return [math.log1p(n), size / most / 10, len(set(low)) / most, share(max(Counter(low).values(), default=0), most), share(again, most), share(of("[A-Z]"), size),
+            share(of("[0-9]"), size), share(of(r"[#$%&*@^~<>{}\[\]\\=_]"), size), share(of("[|]"), size), share(of("[!?]"), size), share(of("\n"), size)]
+
+
+def brute_strength(groups):
+    groups = [(g, n, m) for g, n, m in groups if n > 1]
+    weight = sum(n * m * (1 - m) for _, n, m in groups)
+    if not groups or not weight:
+        return 100.0
+    chance = sum(m * (1 - m) for _, _, m in groups)
+    rho = (sum(n * (g / n - m) ** 2 for g, n, m in groups) - chance) / max(1e-9, weight - chance)
+    return min(1e6, max(1.0, 1 / rho - 1)) if rho > 1e-6 else 1e6
+
+
+def brute_quality(docs, labels, train):
+    """{id: (evidence, host_rate, path_rate, score)} of docs {id: (text, host, path)}."""
+    named = {i: int(sum(v) / len(v) >= 0.5) for i, v in labels.items() if v}
+    learned = [i for i in docs if train(i) and i in named]
+    x = np.array([brute_statistics(docs[i][0]) for i in docs])
+    mine = np.array([k for k, i in enumerate(docs) if i in set(learned)])
+    y = np.array([named[i] for i in docs if i in set(learned)], float)
+    middle, spread = x[mine].mean(axis=0), x[mine].std(axis=0) + 1e-6
+    w = qual.regression((x[mine] - middle) / spread, y)
+    evidence = np.clip((x - middle) / spread @ w[:-1] + w[-1], -30, 30)
+    hosts, paths = {}, {}
+    for i in learned:
+        for table, key in ((hosts, docs[i][1]), (paths, docs[i][1:])):
+            good, n = table.get(key, (0, 0))
+            table[key] = good + named[i], n + 1
+    mean = (sum(named[i] for i in learned) + 1) / (len(learned) + 2)
+    strong = brute_strength([(g, n, mean) for g, n in hosts.values()])
+    host_rate = {h: (g + strong * mean) / (n + strong) for h, (g, n) in hosts.items()}
+    inner = brute_strength([(g, n, host_rate[h]) for (h, _), (g, n) in paths.items()])
+    odds = lambda p: math.log(p / (1 - p))
+    out = {}
+    for e, (i, (_, h, p)) in zip(evidence, docs.items()):
+        host = host_rate.get(h, mean)
+        good, n = paths.get((h, p), (0, 0))
+        path = (good + inner * host) / (n + inner) if n else host
+        out[i] = e, host, path, 1 / (1 + math.exp(-(e + odds(path) - odds(mean))))
+    return out
+
+
+def test_quality_features_brute_force():
+    texts = ["", "a", "  ", "One two TWO two\nthree 3 |!? #{}", "é É ß x" * 3, "a a A b\x0bb\x85c", prose(4, 300)]
+    raw = [t.encode() for t in texts]
+    bounds = np.cumsum([0] + [len(r) for r in raw])
+    got = qual.features(np.frombuffer(b"".join(raw), np.uint8), bounds)
+    assert got == pytest.approx(np.array([brute_statistics(t) for t in texts]))
+
+
+@pytest.mark.parametrize("skew", (0.3, 0.9))
+def test_quality_brute_force(spark, skew):
+    rng = random.Random(9)
+    docs, labels = {}, {}
+    for i in range(900):
+        host = f"h{rng.randrange(6)}" if rng.random() < 0.9 else f"rare{i}"
+        good = rng.random() < (skew if host < "h3" else 1 - skew)
+        docs[i] = (prose(i, 20) if good or rng.random() < 0.2 else "!! | 99 " * rng.randrange(1, 9), host, rng.choice(["a", "b"]))
+        labels[i] = [int(good)] * (i % 3 > 0) + [1 - int(good)] * (i % 7 == 0)
+    frame = spark.createDataFrame([(i, *d) for i, d in docs.items()], "doc_id long, text string, source string, lang string")
+    marks = spark.createDataFrame([(i, v) for i, values in labels.items() for v in values], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in qual.quality(frame, marks, qual.fold(F.col("doc_id")) > 0, F.col("source"), F.col("lang")).collect()}
+    want = brute_quality(docs, labels, lambda i: zlib.crc32(str(i).encode()) % 5 > 0)
+    assert set(got) == set(docs)
+    for i, w in want.items():
+        assert tuple(got[i][c] for c in ("evidence", "host_rate", "path_rate", "score")) == pytest.approx(w, abs=1e-5)
+        assert got[i]["predicted"] == (got[i]["score"] >= 0.5)
+
+
+def test_quality_brute_force_on_whole_documents(spark):
+    got = {r["doc_id"]: r for r in qual.op9_quality(spark, SF).collect()}
+    docs = {r["doc_id"]: (r["text"] or "", r["source"] or "", r["lang"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        labels.setdefault(r["doc_id"], []).extend([] if r["quality"] is None else [r["quality"]])
+    want = brute_quality(docs, labels, lambda i: zlib.crc32(str(i).encode()) % 5 > 0)
+    assert set(got) == set(docs)
+    for i, w in want.items():
+        assert tuple(got[i][c] for c in ("evidence", "host_rate", "path_rate", "score")) == pytest.approx(w, abs=1e-5)
+
+
 def test_sparse_sites_shrink_towards_the_prior(spark):
     rows = [(k, "some words of text", f"h{k % 4}" if k < 400 else "rare", "p") for k in range(402)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
