@@ -201,6 +201,37 @@ def test_top_k_brute_force_ties_nulls_and_repeats(spark):
         (1, (1 << 63) - 1), (3, 4096), (2, -(1 << 63))]
 
 
+def test_top_k_of_many_norms_blocks_and_lengths(spark, monkeypatch):
+    for name, size in (("HEAD", 40), ("QUERIES", 8), ("CANDIDATES", 16), ("CELLS", 1), ("CHUNK", 8), ("BLOCK", 3)):
+        monkeypatch.setattr(topk, name, size)
+    grids, grid = [], topk.grid
+    monkeypatch.setattr(topk, "grid", lambda *a: grids.append((a, grid(*a))) or grids[-1][1])
+    r = random.Random(8)
+    rows = [(i, [r.uniform(-1, 1) * 10 ** r.uniform(-3, 1) for _ in range(r.choice([7, 7, 7, 4]))]) for i in range(900)]
+    rows += [(900 + i, [0.0] * 7) for i in range(30)] + [(1000 + i, rows[0][1]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 20 == 0, k=6).collect())
+    whole = [(i, [math.floor(64 * c) for c in v]) for i, v in rows]
+    want = []
+    for q, own in whole:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in whole if i != q and len(v) == len(own))[:6]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+    # The bound rules out some cells, and copies go only to the others.
+    [((wanting, offered, _, _), places)] = grids
+    cells = sum(blocks * meets for side, _, _, blocks, meets in places if side == "i")
+    assert cells == sum(blocks * meets for side, _, _, blocks, meets in places if side == "j")
+    assert cells < sum(p[3] for p in places if p[0] == "i") * sum(p[3] for p in places if p[0] == "j") and max(offered.values()) >= 30
+
+
+def test_top_k_grid_meets_prefixes():
+    places = topk.grid({-1: 3, 100: 5}, {50: 10, 100: 1, 120: 4}, 2, 4)
+    # Queries: blocks 0-1 reach all, 2-4 band 100 and above; candidates: block 0 (120), 1 (100), 2-4 (50).
+    assert sorted(places) == [("i", -1, 0, 2, 5), ("i", 100, 2, 3, 2), ("j", 50, 2, 3, 2), ("j", 100, 1, 1, 5), ("j", 120, 0, 1, 5)]
+    assert topk.grid({}, {1: 2}, 1, 1) == [("j", 1, 0, 2, 0)] and topk.grid({1: 2}, {}, 1, 1) == [("i", 1, 0, 2, 0)]
+
+
 def test_top_k_of_huge_components_is_exact():
     q = np.array([[1 << 30, 3]])
     v = np.array([[1 << 31, 1], [1 << 31, 2], [5, 5]])
