@@ -195,6 +195,20 @@ def _after_head(asked: DataFrame, head: list, k: int) -> DataFrame:
     return asked.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + f", found {_FOUND}, floor long")
 
 
+def _bins(counts: dict[int, int], size: int, bands: list[int]) -> list[list]:
+    """Neighbouring ``bands`` together while they hold at most ``size``: [bands, number of their blocks]."""
+    bins: list[list] = []
+    held = size + 1
+    for band in bands:
+        if held + counts[band] > size:
+            bins.append([[], 1])
+            held = 0
+        held += counts[band]
+        bins[-1][0].append(band)
+        bins[-1][1] = max(1, -(-held // size))
+    return bins
+
+
 def grid(wanting: dict[int, int], offered: dict[int, int], many: int, wide: int) -> list[tuple]:
     """(side, band, first block, blocks, blocks of the other side that it meets)
     for the queries (side i: their number by the least band they need) and the
@@ -202,15 +216,17 @@ def grid(wanting: dict[int, int], offered: dict[int, int], many: int, wide: int)
 
     Queries that reach furthest and candidates of the largest norms stand
     first, so that what a block meets are the first blocks of the other side.
+    Neighbouring bands share a block; it needs what its first band needs, and
+    offers what its first band offers.
     """
-    blocks = {("i", b): -(-n // many) for b, n in wanting.items()} | {("j", b): -(-n // wide) for b, n in offered.items()}
-    order = {"i": sorted(wanting), "j": sorted(offered, reverse=True)}
-    begin = {side: list(itertools.accumulate((blocks[side, b] for b in bands), initial=0)) for side, bands in order.items()}
+    bins = {"i": _bins(wanting, many, sorted(wanting)), "j": _bins(offered, wide, sorted(offered, reverse=True))}
+    begin = {side: list(itertools.accumulate((blocks for _, blocks in some), initial=0)) for side, some in bins.items()}
     out = []
     for side, other in ("ij", "ji"):
-        for n, band in enumerate(order[side]):
-            met = bisect.bisect_right(order[other], band) if side == "j" else bisect.bisect_right(order[other], -band, key=lambda b: -b)
-            out.append((side, band, begin[side][n], blocks[side, band], begin[other][met]))
+        firsts = [bands[0] if other == "i" else -bands[0] for bands, _ in bins[other]]
+        for n, (bands, blocks) in enumerate(bins[side]):
+            met = bisect.bisect_right(firsts, bands[0] if other == "i" else -bands[0])
+            out += [(side, band, begin[side][n], blocks, begin[other][met]) for band in bands]
     return out
 
 
@@ -245,9 +261,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
     # One number a band, on either side: bounded by the bands.
     wanting = {r["band"]: r["count"] for r in asked.groupBy("band").count().collect()}
     offered = {r["band"]: r["count"] for r in rest.groupBy("band").count().collect()}
-    many = max(1, min(QUERIES, CELL_BYTES // per_row))
-    groups = sum(-(-n // many) for n in wanting.values())
-    wide = max(1, min(CANDIDATES, CELL_BYTES // per_row, max(1024, math.ceil(sum(offered.values()) * groups / CELLS))))
+    n_rest, fit = sum(offered.values()), max(1, CELL_BYTES // per_row)
+    wide = min(CANDIDATES, fit, max(CHUNK, math.ceil(n_rest * math.ceil(n_queries / QUERIES) / CELLS)))
+    many = min(QUERIES, fit, max(64, math.ceil(n_queries * math.ceil(n_rest / wide) / CELLS)))
     place_of = spark.createDataFrame(grid(wanting, offered, many, wide), "side string, of_band int, at int, blocks int, meets int").where("meets > 0")
 
     def placed(df, side, other):

@@ -220,15 +220,19 @@ def test_top_k_of_many_norms_blocks_and_lengths(spark, monkeypatch):
     assert got == sorted(want)
     # The bound rules out some cells, and copies go only to the others.
     [((wanting, offered, _, _), places)] = grids
-    cells = sum(blocks * meets for side, _, _, blocks, meets in places if side == "i")
-    assert cells == sum(blocks * meets for side, _, _, blocks, meets in places if side == "j")
-    assert cells < sum(p[3] for p in places if p[0] == "i") * sum(p[3] for p in places if p[0] == "j") and max(offered.values()) >= 30
+    blocks = {side: {(at, n, meets) for s, _, at, n, meets in places if s == side} for side in "ij"}
+    cells = {side: {(block, other) for at, n, meets in blocks[side] for block in range(at, at + n) for other in range(meets)} for side in "ij"}
+    assert cells["i"] == {(i, j) for j, i in cells["j"]}
+    assert len(cells["i"]) < sum(n for _, n, _ in blocks["i"]) * sum(n for _, n, _ in blocks["j"]) and max(offered.values()) >= 30
 
 
 def test_top_k_grid_meets_prefixes():
     places = topk.grid({-1: 3, 100: 5}, {50: 10, 100: 1, 120: 4}, 2, 4)
     # Queries: blocks 0-1 reach all, 2-4 band 100 and above; candidates: block 0 (120), 1 (100), 2-4 (50).
     assert sorted(places) == [("i", -1, 0, 2, 5), ("i", 100, 2, 3, 2), ("j", 50, 2, 3, 2), ("j", 100, 1, 1, 5), ("j", 120, 0, 1, 5)]
+    # Neighbouring bands in one block: it needs the least and offers the most of them.
+    assert sorted(topk.grid({-1: 1, 7: 1, 9: 1}, {5: 2, 6: 1, 8: 3}, 2, 3)) == [
+        ("i", -1, 0, 1, 2), ("i", 7, 0, 1, 2), ("i", 9, 1, 1, 0), ("j", 5, 1, 1, 1), ("j", 6, 1, 1, 1), ("j", 8, 0, 1, 1)]
     assert topk.grid({}, {1: 2}, 1, 1) == [("j", 1, 0, 2, 0)] and topk.grid({1: 2}, {}, 1, 1) == [("i", 1, 0, 2, 0)]
 
 
