@@ -211,11 +211,11 @@ def prepare_folds(train: DataFrame, numerical, categorical, folds: int) -> Prepa
     return Prepared(done[0][0], done[0][1], done[0][2], [(frame, n) for _, frame, n in done[1:]])
 
 
-def random_search(name: str, kind: str, problem: str, prepared: Prepared, n_classes: int) -> SearchResult:
-    """M6: 3 seeded settings, k-fold CV on weighted F1 / R^2, best refit on
-    the whole training split; no CV (direct default fit) when there are no
-    folds or the grid is empty."""
-    grid, setting, metric = GRIDS[kind], {}, None
+def random_search(name: str, kind: str, problem: str, prepared: Prepared, n_classes: int, grid: dict[str, list] | None = None) -> SearchResult:
+    """M6: 3 seeded settings of ``grid`` (None: the kind's own), k-fold CV on
+    weighted F1 / R^2, best refit on the whole training split; no CV (direct
+    default fit) when there are no folds or the grid is empty."""
+    grid, setting, metric = GRIDS[kind] if grid is None else grid, {}, None
     if grid and prepared.folds:
         settings = grid_settings(grid, N_SETTINGS)
 

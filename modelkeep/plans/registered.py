@@ -1519,6 +1519,28 @@ def q_m5_means(spark, d):
     return _rounded(boosted.fit(rows).transform(rows))
 
 
+@register("M6_group_means", with_views(f"""
+WITH r AS (SELECT k, floor(l_quantity / 13) AS g, l_extendedprice AS y, {_SPLIT_SQL.format(k='k')} % 3 AS fold FROM v_reg),
+f AS (SELECT DISTINCT fold AS held FROM r),
+a AS (SELECT held, avg(y) AS overall FROM r JOIN f ON fold <> held GROUP BY held),
+b AS (SELECT held, g AS of_g, avg(y) AS mean FROM r JOIN f ON fold <> held GROUP BY held, g),
+s AS (SELECT a.held, 1 - sum((y - overall) ** 2) / (var_pop(y) * count(*)) AS flat, 1 - sum((y - mean) ** 2) / (var_pop(y) * count(*)) AS deep
+      FROM r JOIN a ON r.fold = a.held JOIN b ON r.fold = b.held AND g = of_g GROUP BY a.held),
+c AS (SELECT avg(flat) AS flat, avg(deep) AS deep FROM s)
+SELECT k, round(CASE WHEN deep > flat THEN avg(y) OVER (PARTITION BY g) ELSE avg(y) OVER () END, 2) AS prediction,
+       CASE WHEN deep > flat THEN 3 ELSE 0 END AS depth, round(greatest(deep, flat), 6) AS cv_metric FROM r, c""", "v_reg"))
+def q_m6_means(spark, d):
+    """A search whose scores have a closed form: trees without a split are the
+    mean of the other folds, those of depth 3 the means of four groups; the
+    better setting is refitted to all rows."""
+    rows = V.v_reg(spark, d).select("k", F.floor(F.col("l_quantity") / 13).cast("double").alias("band"), F.col("l_extendedprice").alias("label"),
+                                    F.pmod(T.split_bucket(F.col("k")), F.lit(3)).alias("fold"))
+    prepared = M.prepare_folds(rows, ["band"], [], 3)
+    found = M.random_search("Boosted Trees", "boosted_level", "regression", prepared, 0, {"rounds": [1], "maxDepth": [0, 3]})
+    prepared.unpersist()
+    return _rounded(found.model.transform(rows)).withColumns({"depth": F.lit(int(found.setting["maxDepth"])), "cv_metric": F.round(F.lit(found.cv_metric), 6)})
+
+
 @register("M1_class_shares", """
 SELECT l.doc_id, round(avg(CAST(quality AS DOUBLE)) OVER (PARTITION BY lang), 3) AS probability
 FROM labels l JOIN documents d USING (doc_id) WHERE quality IS NOT NULL AND lang IS NOT NULL""")
