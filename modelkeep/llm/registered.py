@@ -12,7 +12,7 @@ from modelkeep.llm.op6_urls import op6_urls
 from modelkeep.llm.op7_bpe import op7_bpe
 from modelkeep.llm.op8_substrings import OP8_SQL, op8_substrings
 from modelkeep.llm.op9_quality import op9_quality
-from modelkeep.llm.op10_lm import op10_lm
+from modelkeep.llm.op10_lm import op10_corpus_lm
 from modelkeep.llm.op11_langid import op11_langid
 from modelkeep.llm.op12_merkle import OP12_SQL, op12_merkle
 from modelkeep.llm.op13_search import OP13_SQL, op13_search
@@ -27,7 +27,7 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_substrings": op8_substrings,
     "op9_quality": op9_quality,
-    "op10_lm": op10_lm,
+    "op10_lm": op10_corpus_lm,
     "op11_langid": op11_langid,
     "op12_merkle": op12_merkle,
     "op13_search": op13_search,
