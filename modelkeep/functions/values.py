@@ -21,6 +21,8 @@ URL_PATTERN = r"https?://|www\."
 # Strict decimal / scientific literal; guards try_cast so that both engines
 # agree ('5d', '1_000', 'inf', 'nan' are rejected).
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# What a text that parses can consist of; others end the test at their first other character.
+_NUMBER_CHARS = r"^[₹$£€,\s%0-9.eE+-]*$"
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -76,7 +78,7 @@ def strip_formatting(text: Column) -> Column:
 def parse_number(text: Column) -> Column:
     """Formatted numeric string -> double, NULL when it does not parse."""
     cleaned = strip_formatting(text)
-    return F.when(cleaned.rlike(NUMBER_PATTERN), cleaned.try_cast("double"))
+    return F.when(text.rlike(_NUMBER_CHARS), F.when(cleaned.rlike(NUMBER_PATTERN), cleaned.try_cast("double")))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -100,6 +102,18 @@ def spread(df: DataFrame) -> DataFrame:
 _ROW_BY_ROW = {"Project", "Filter", "Generate", "LogicalRelation"}
 
 
+#: Columns that are counted each for itself where that reads nothing twice.
+COLUMNS_APART = 24
+
+
+def _is_plain_scan(df: DataFrame) -> bool:
+    """Only projections over one file scan, which reads the columns asked for."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.getClass().getSimpleName() == "Project":
+        node = node.children().apply(0)
+    return node.getClass().getSimpleName() == "LogicalRelation"
+
+
 ROWS_PER_TASK = 50_000
 
 
@@ -166,7 +180,9 @@ def text_key(text: Column) -> Column:
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per column from ONE scan and one shuffle.
+    """One row per column from one scan and one shuffle (of a few columns straight
+    from a file, each is read and counted for itself: the same bytes, and no
+    row is copied once per column).
 
     ``(column, pos, numeric, n_rows, non_null, null_count, n_unique, min,
     max, mean, url_ratio, dtype)``.  Every statistic is derived from counts
@@ -176,14 +192,20 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     a text is a URL is asked where it is.
     """
     cols = columns if columns is not None else profile_columns(df)
-    cells = []
+    cells = {}
     for c in cols:
         numeric = is_numeric_type(df.schema[c].dataType)
         txt = F.lit(None).cast("string") if numeric else as_text(df, c)
-        cells.append(F.struct(F.lit(c).alias("column"), (typed(df, c).cast("double") if numeric else F.lit(None).cast("double")).alias("num"),
-                              text_key(txt).alias("key"), txt.rlike(URL_PATTERN).alias("url")))
-    vc = (spread(df.select(*cols)).select(F.inline(F.array(*cells)))
-          .groupBy("column", "num", "key", "url").agg(F.count(F.lit(1)).alias("n")))
+        cells[c] = [F.lit(c).alias("column"), (typed(df, c).cast("double") if numeric else F.lit(None).cast("double")).alias("num"),
+                    text_key(txt).alias("key"), txt.rlike(URL_PATTERN).alias("url")]
+    rows, names = spread(df.select(*cols)), ["column", "num", "key", "url"]
+    if 0 < len(cols) <= COLUMNS_APART and _is_plain_scan(rows):
+        vc = None
+        for c, cell in cells.items():
+            own = rows.select(*cell).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+            vc = own if vc is None else vc.unionAll(own)
+    else:
+        vc = rows.select(F.inline(F.array(*[F.struct(*cell) for cell in cells.values()]))).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     present = F.col("num").isNotNull() | F.col("key").isNotNull()
     per = vc.groupBy("column").agg(
         F.sum("n").cast("long").alias("n_rows"),

@@ -1196,7 +1196,7 @@ def _reg_setup(spark, d):
 def _assembled(df, dp, key, classes=None):
     """Feature pipeline fitted on the training split; (train, test) frames
     with ``features`` and ``label``."""
-    train, test = T.split_train_test(df.where(F.col(dp.target).isNotNull()), key)
+    train, test = T.split_written(df.where(F.col(dp.target).isNotNull()), key)
     if dp.problem_type == "classification" and classes is None:
         classes = [r["label"] for r in T.encode_labels(train, dp.target).orderBy("idx").collect()]
     # the key may be a feature, which the preparation replaces
