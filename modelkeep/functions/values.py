@@ -115,16 +115,18 @@ def _is_plain_scan(df: DataFrame) -> bool:
 
 
 ROWS_PER_TASK = 50_000
+MOST_ROWS_PER_TASK = 500_000
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """Partition a frame of known row count for iterative work (model fits
     run one job per tree level / iteration, so a task per core only pays
     off with enough rows per task).  Target: one partition per
-    ``ROWS_PER_TASK`` rows, at most one per core; large frames that already
-    have more partitions than that are left alone."""
+    ``ROWS_PER_TASK`` rows, at most one per core unless each then has more than
+    ``MOST_ROWS_PER_TASK``; large frames that already have more partitions than
+    that are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    target = max(1, min(cores, -(-rows // ROWS_PER_TASK)))
+    target = max(1, min(cores, -(-rows // ROWS_PER_TASK)), -(-rows // MOST_ROWS_PER_TASK))
     current = df.rdd.getNumPartitions()
     if current < target:
         return df.repartition(target)

@@ -97,6 +97,50 @@ def make_estimator(kind: str, problem: str, setting: dict, n_train: int, n_class
     return GBTClassifier(**args)
 
 
+#: A fit of trees keeps its rows as objects: bytes of a row, and of each of its
+#: features and of its counts in the trees' samples.  A partition of more bytes
+#: than PART_BYTES is read whole by one task of every level, so its rows are dealt out.
+ROW_BYTES = 250
+CELL_BYTES = 4
+PART_BYTES = 256 << 20
+_TREES = (RandomForestClassifier, RandomForestRegressor, GBTClassifier, GBTRegressor, OneVsRest)
+_INPUTS = ("featuresCol", "labelCol", "weightCol", "validationIndicatorCol")
+
+
+def _width(train: DataFrame, features: str) -> int:
+    """Number of features, from the assembler's metadata or else the first row."""
+    known = train.schema[features].metadata.get("ml_attr", {}).get("num_attrs")
+    if known is None:
+        row = train.select(features).first()
+        known = row[0].size if row and row[0] is not None else 0
+    return known
+
+
+def in_parts(estimator, train: DataFrame) -> DataFrame:
+    """The columns that an ensemble of trees is fitted to, in partitions of at
+    most about ``PART_BYTES`` as the fit keeps them; as they are where they fit."""
+    named = [estimator.getOrDefault(p) for p in _INPUTS if estimator.hasParam(p) and estimator.isDefined(p)]
+    rows = train.select(*[c for c in dict.fromkeys(named) if c])
+    trees = estimator.getNumTrees() if estimator.hasParam("numTrees") else 1
+    each = ROW_BYTES + CELL_BYTES * (trees + _width(rows, estimator.getFeaturesCol()))
+    sizes = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    if not total or most * each <= PART_BYTES:
+        return rows
+    return rows.repartition(max(-(-total * each // PART_BYTES), rows.rdd.getNumPartitions()))
+
+
+def fitted(estimator, train: DataFrame):
+    """``estimator`` fitted to an assembled frame, trees to parts of bounded size."""
+    return estimator.fit(in_parts(estimator, train) if isinstance(estimator, _TREES) else train)
+
+
+def fitted_stages(prep: Pipeline, estimator, rows: DataFrame) -> PipelineModel:
+    """``prep`` and then ``estimator`` as one fitted pipeline."""
+    done = prep.fit(rows)
+    return PipelineModel(stages=[*done.stages, fitted(estimator, done.transform(rows))])
+
+
 def fit_logistic(train: DataFrame, setting: dict | None = None, features="features"):
     """M1 on an assembled frame (``features``, ``label``)."""
     return make_estimator("logistic", "classification", setting or {}, train.count()).fit(train)
@@ -109,17 +153,17 @@ def fit_linear(train: DataFrame):
 
 def fit_forest(train: DataFrame, problem: str, setting: dict | None = None):
     """M3."""
-    return make_estimator("forest", problem, setting or {}, 0).fit(train)
+    return fitted(make_estimator("forest", problem, setting or {}, 0), train)
 
 
 def fit_boosted_level(train: DataFrame, problem: str, setting: dict | None = None, n_classes: int = 2):
     """M4."""
-    return make_estimator("boosted_level", problem, setting or {}, 0, n_classes).fit(train)
+    return fitted(make_estimator("boosted_level", problem, setting or {}, 0, n_classes), train)
 
 
 def fit_boosted_leaf(train: DataFrame, problem: str, setting: dict | None = None, n_classes: int = 2):
     """M5 (Spark grows trees level-wise; leaf-wise growth is approximated)."""
-    return make_estimator("boosted_leaf", problem, setting or {}, 0, n_classes).fit(train)
+    return fitted(make_estimator("boosted_leaf", problem, setting or {}, 0, n_classes), train)
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -223,7 +267,7 @@ def random_search(name: str, kind: str, problem: str, prepared: Prepared, n_clas
             k, fold = at
             frame, n = prepared.folds[fold]
             est = make_estimator(kind, problem, settings[k], n, n_classes)
-            return evaluator(problem).evaluate(est.fit(frame.where(F.col("fold") != fold)).transform(frame.where(F.col("fold") == fold)))
+            return evaluator(problem).evaluate(fitted(est, frame.where(F.col("fold") != fold)).transform(frame.where(F.col("fold") == fold)))
         todo = [(k, f) for k in range(len(settings)) for f in range(len(prepared.folds))]
         with ThreadPoolExecutor(max_workers=CV_PARALLELISM) as pool:
             scores = dict(zip(todo, pool.map(score, todo)))
@@ -231,7 +275,7 @@ def random_search(name: str, kind: str, problem: str, prepared: Prepared, n_clas
         best = max(range(len(settings)), key=lambda k: (means[k], -k))
         setting, metric = settings[best], float(means[best])
     est = make_estimator(kind, problem, setting, prepared.rows, n_classes)
-    model = PipelineModel(stages=[*prepared.model.stages, est.fit(prepared.train)])
+    model = PipelineModel(stages=[*prepared.model.stages, fitted(est, prepared.train)])
     return SearchResult(name, kind, setting, metric, model)
 
 
@@ -361,7 +405,7 @@ def refit_full(best: SearchResult, labelled: DataFrame, problem: str, numerical,
     """M8: the winning setting refit on every labelled row (known classes)."""
     n = labelled.count()
     est = make_estimator(best.kind, problem, best.setting, n, n_classes)
-    return Pipeline(stages=feature_pipeline(numerical, categorical).getStages() + [est]).fit(labelled)
+    return fitted_stages(feature_pipeline(numerical, categorical), est, labelled)
 
 
 def train_custom_estimator(estimator, df: DataFrame, target: str, problem: str,
@@ -376,15 +420,15 @@ def train_custom_estimator(estimator, df: DataFrame, target: str, problem: str,
     if problem == "classification" and classes is None:
         classes = [r["label"] for r in encode_labels(train, target).orderBy("idx").collect()]
     lab = lambda d: d.withColumn("label", label_column(d, target, classes)).where(F.col("label").isNotNull())
-    pipe = estimator if isinstance(estimator, Pipeline) else Pipeline(
-        stages=feature_pipeline(numerical, categorical).getStages() + [estimator])
-    def fitted(rows):
+    prep = feature_pipeline(numerical, categorical)
+    pipe = estimator if isinstance(estimator, Pipeline) else Pipeline(stages=prep.getStages() + [estimator])
+    def fit_to(rows):
         kept = _kept(rows)
         try:
-            return pipe.fit(kept)
+            return fitted_stages(prep, estimator, kept) if isinstance(estimator, _TREES) else pipe.fit(kept)
         finally:
             kept.unpersist()
-    model = fitted(lab(train))
+    model = fit_to(lab(train))
     test_l = lab(test)
     metrics = evaluate_model(model, test_l if not test_l.isEmpty() else lab(train), problem, classes)
-    return fitted(lab(data)), metrics, classes
+    return fit_to(lab(data)), metrics, classes
