@@ -1502,7 +1502,7 @@ def q_m3_means(spark, d):
     """A forest whose trees see all rows: every tree is the groups' means."""
     rows = _flag_frame(spark, d)
     forest = M.make_estimator("forest", "regression", {"numTrees": 3, "maxDepth": 2}, 0).setBootstrap(False)
-    return _rounded(forest.fit(rows).transform(rows))
+    return _rounded(M.fitted(forest, rows).transform(rows))
 
 
 @register("M4_group_means", with_views(_GROUP_MEANS_SQL, "v_reg"))
@@ -1516,7 +1516,7 @@ def q_m4_means(spark, d):
 def q_m5_means(spark, d):
     rows = _flag_frame(spark, d)
     boosted = M.make_estimator("boosted_leaf", "regression", {"rounds": 3, "maxDepth": -1}, 0).setSubsamplingRate(1.0)
-    return _rounded(boosted.fit(rows).transform(rows))
+    return _rounded(M.fitted(boosted, rows).transform(rows))
 
 
 @register("M6_group_means", with_views(f"""
