@@ -22,6 +22,7 @@ stay inside one bucket and the result equals the single-window answer.
 from __future__ import annotations
 
 import math
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """A written frame read with its files by name: a folder lists them in any
+    order, and sums of floats and draws by partition would differ between runs."""
+    files = sorted(df.inputFiles())
+    return df.sparkSession.read.schema(df.schema).parquet(*[unquote(f) for f in files]) if len(files) > 1 else df
+
+
 def positions(df: DataFrame, order: list[Column], groups: list[str] = [], name: str = "position") -> DataFrame:
     """1-based position of every row by the whole ``order``, within ``groups``.
 

@@ -15,18 +15,21 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression, OneVsRest,
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressionModel,
+                                   RandomForestRegressor)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from modelkeep.functions.ordered import in_file_order, written
 from modelkeep.functions.values import parse_number, sized
+from modelkeep.operators import boosted
 from modelkeep.operators import evaluate as E
 from modelkeep.operators.prep import (SPLIT_SEED, cv_folds, encode_labels, feature_pipeline,
-                                      grid_settings, split_train_test, _label_text)
+                                      grid_settings, split_train_test, split_written, _label_text)
 from modelkeep.operators.profile import coerce_report
 
 # Candidate grids and defaults of the reference's search.
@@ -104,6 +107,7 @@ ROW_BYTES = 250
 CELL_BYTES = 4
 PART_BYTES = 256 << 20
 _TREES = (RandomForestClassifier, RandomForestRegressor, GBTClassifier, GBTRegressor, OneVsRest)
+_MODELS = dict(zip(_TREES, (RandomForestClassificationModel, RandomForestRegressionModel, GBTClassificationModel, GBTRegressionModel)))
 _INPUTS = ("featuresCol", "labelCol", "weightCol", "validationIndicatorCol")
 
 
@@ -131,8 +135,16 @@ def in_parts(estimator, train: DataFrame) -> DataFrame:
 
 
 def fitted(estimator, train: DataFrame):
-    """``estimator`` fitted to an assembled frame, trees to parts of bounded size."""
-    return estimator.fit(in_parts(estimator, train) if isinstance(estimator, _TREES) else train)
+    """``estimator`` fitted to an assembled frame: boosted trees from the cells
+    of its bins where a task can keep them, other trees to parts of bounded size."""
+    if not isinstance(estimator, _TREES):
+        return estimator.fit(train)
+    parts = in_parts(estimator, train)
+    drawn = estimator.hasParam("subsamplingRate") and estimator.getSubsamplingRate() < 1.0
+    grown = boosted.fit(estimator, parts if drawn else train)
+    if grown is not None or type(estimator) not in _MODELS:
+        return estimator.fit(parts) if grown is None else grown
+    return estimator._copyValues(boosted.quick(_MODELS[type(estimator)])(estimator._fit_java(parts)))
 
 
 def fitted_stages(prep: Pipeline, estimator, rows: DataFrame) -> PipelineModel:
