@@ -179,15 +179,12 @@ def fit_boosted_leaf(train: DataFrame, problem: str, setting: dict | None = None
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Persist a frame that many fits will read, partitioned by its size."""
-    df = df.persist()
-    rows = df.count()
-    out = sized(df, rows)
-    if out is not df:
-        out = out.persist()
-        out.count()
-        df.unpersist()
-    return out
+    """A frame that many fits will read, in partitions by its size.  Written
+    and read again, so that their plans are no longer than a scan: planning
+    hundreds of jobs over nested cached frames took longer than their tasks."""
+    df = in_file_order(written(df, "kept"))
+    out = sized(df, df.count())
+    return out if out is df or out.rdd.getNumPartitions() < df.rdd.getNumPartitions() else in_file_order(written(out, "kept"))
 
 
 def label_column(df: DataFrame, target: str, classes: list[str] | None):
