@@ -22,7 +22,7 @@ from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, Default
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelkeep.functions.ordered import column_medians, positions, written
+from modelkeep.functions.ordered import column_medians, in_file_order, positions, written
 from modelkeep.functions.values import typed, value_counts
 from modelkeep.session import scratch_path
 
@@ -71,13 +71,15 @@ def split_train_test(df: DataFrame, key: str | list[str], test: float = TEST_SHA
             marked.where(F.col("__bucket") < cut).drop("__bucket"))
 
 
-def split_written(df: DataFrame, key: str, test: float = TEST_SHARE, seed: int = SPLIT_SEED) -> tuple[DataFrame, DataFrame]:
+def split_written(df: DataFrame, key: str, test: float = TEST_SHARE, seed: int = SPLIT_SEED, whole: bool = False, with_key: bool = True) -> tuple[DataFrame, ...]:
     """:func:`split_train_test` of rows that many passes will read: they and
-    their side of the split are computed once and written."""
+    their side of the split are computed once and written.  ``whole`` returns
+    all rows besides; without ``with_key`` the key isn't kept."""
     held_out = split_bucket(F.col(key), seed) < int(round(test * 100))
-    marked = written(df.withColumn("__held_out", held_out), "split")
-    return (marked.where(~F.col("__held_out")).drop("__held_out"),
-            marked.where("__held_out").drop("__held_out"))
+    marked = df.withColumn("__held_out", held_out)
+    marked = in_file_order(written(marked if with_key else marked.drop(key), "split"))
+    sides = (marked.where(~F.col("__held_out")), marked.where("__held_out"), *([marked] if whole else []))
+    return tuple(side.drop("__held_out") for side in sides)
 
 
 def encode_labels(train: DataFrame, target: str) -> DataFrame:

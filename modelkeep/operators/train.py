@@ -249,16 +249,17 @@ class Prepared:
             frame.unpersist()
 
 
-def prepare_folds(train: DataFrame, numerical, categorical, folds: int) -> Prepared:
+def prepare_folds(train: DataFrame, numerical, categorical, folds: int, keep: bool = True) -> Prepared:
     """The preparation, fitted once per fold and once on all of ``train``
-    (with ``label`` and ``fold``); every candidate and setting reads these."""
+    (with ``label`` and ``fold``); every candidate and setting reads these.
+    ``keep`` the assembled rows where they are read more than once."""
     prep = feature_pipeline(numerical, categorical)
 
     def one(fold):
         part = train if fold is None else train.where(F.col("fold") != fold)
         model = prep.fit(part)
-        frame = _kept(model.transform(train).select("features", "label", "fold"))
-        return model, frame, part.count()
+        frame = model.transform(train).select("features", "label", *[c for c in ("fold",) if c in train.columns])
+        return model, _kept(frame) if keep else frame, part.count()
     with ThreadPoolExecutor(max_workers=CV_PARALLELISM) as pool:
         done = list(pool.map(one, [None, *range(folds if folds >= 2 else 0)]))
     return Prepared(done[0][0], done[0][1], done[0][2], [(frame, n) for _, frame, n in done[1:]])
@@ -369,21 +370,21 @@ def auto_train(df: DataFrame, target: str, problem: str, numerical: list[str],
     # the key may itself be a feature (a numeric id the rule profile keeps)
     data = training_rows(df, target, numerical, categorical, key)
     key = SPLIT_KEY
-    train, test = split_train_test(data, key)
+    todo = [(name, kind) for name, kind in CANDIDATES[problem] if not kinds or kind in kinds]
+    searched = any(GRIDS[kind] for _, kind in todo)
+    train, test, data = split_written(data, key, whole=True, with_key=searched)
     classes = None
     if problem == "classification":
         classes = [r["label"] for r in encode_labels(train, target).orderBy("idx").collect()]
-    folds_row = cv_folds(train, target, problem).first()
-    folds = int(folds_row["folds"] or 0)
     lab = lambda d: d.withColumn("label", label_column(d, target, classes)).where(F.col("label").isNotNull())
-    labelled = _kept(lab(train))
-    train_l = _kept(with_folds(labelled, key, max(folds, 2), labelled.count(), "label" if classes else None))
-    test_l = _kept(lab(test))
-    prepared = prepare_folds(train_l, numerical, categorical, folds)
+    train_l, test_l, folds = lab(train), lab(test), 0
+    if searched:
+        folds = int(cv_folds(train, target, problem).first()["folds"] or 0)
+        train_l = _kept(with_folds(train_l, key, max(folds, 2), train_l.count(), "label" if classes else None).drop(key))
+    prepared = prepare_folds(train_l, numerical, categorical, folds, keep=searched)
     if test_l.isEmpty():
         test_l = train_l
     n_classes = len(classes) if classes else 0
-    todo = [(name, kind) for name, kind in CANDIDATES[problem] if not kinds or kind in kinds]
 
     def run(candidate):
         name, kind = candidate
@@ -401,11 +402,8 @@ def auto_train(df: DataFrame, target: str, problem: str, numerical: list[str],
     for r in results[1:]:
         if (r.metrics.get(metric) or float("-inf")) > (best.metrics.get(metric) or float("-inf")):
             best = r
-    whole = _kept(lab(data))
-    final = refit_full(best, whole, problem, numerical, categorical, n_classes)
+    final = refit_full(best, lab(data), problem, numerical, categorical, n_classes)
     prepared.unpersist()
-    for frame in (labelled, train_l, test_l, whole):
-        frame.unpersist()
     return TrainResult(problem, target, classes, results, best, final, numerical, categorical)
 
 

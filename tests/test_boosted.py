@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from modelkeep.operators import boosted as B
+from modelkeep.operators import prep as T
 from modelkeep.operators import train as M
 
 
@@ -57,3 +58,15 @@ def test_rows_spark_refuses_and_fits_too_large_are_sparks(spark, monkeypatch, sc
     assert _text(type(est.fit(rows)).load(path)) == _text(model)
     monkeypatch.setattr(B, "MOST_CELLS", 10)
     assert B.fit(est, rows) is None and M.fitted(est, rows).getNumTrees == 2
+
+
+def test_a_search_reads_short_plans_and_least_squares_keeps_no_copies(spark, monkeypatch):
+    rows = _rows(spark, 400).select(F.col("id").cast("string").alias("key"), "a", "b", "y")
+    seen, real = [], M.written
+    monkeypatch.setattr(M, "written", lambda df, name: seen.append(name) or real(df, name))
+    run = M.auto_train(rows, "y", "regression", ["a", "b"], [], "key", kinds=["linear"])
+    assert seen == [] and run.best.name == "Linear Regression"
+    frame = M._kept(rows.withColumn("c", F.col("a") + 1).groupBy("a").agg(F.sum("c").alias("c")))
+    assert seen == ["kept"] and "Aggregate" not in frame._jdf.queryExecution().toString()
+    train, test, whole = T.split_written(rows, "key", whole=True, with_key=False)
+    assert whole.columns == ["a", "b", "y"] and whole.count() == train.count() + test.count() == 400
